@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import table
-from . import exact_dedup, langid, mixing, packing, quality
+from . import chat, exact_dedup, langid, mixing, near_dedup, packing, quality, toxicity, url_filters, warc
 
 
 def _remainder(of: str, by: int):
@@ -21,6 +21,15 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs.select("doc_id", "text", held.alias("held_out")), net).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op2_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages' archive against a replica with known damage: bytes altered in one of 101 pages,
+    one of 997 lost."""
+    pages = table(spark, sf_dir, "pages")
+    last = F.concat(F.expr("substr(html, 1, length(html) - 1)"), F.lit("~"))
+    damaged = pages.where("page_id is null or page_id % 997 <> 13").withColumn("html", F.when(F.col("page_id") % 101 == 7, last).otherwise(F.col("html")))
+    return warc.audit(warc.records(pages), warc.records(damaged))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality.apply(docs).drop("text")
@@ -30,15 +39,53 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.assign(table(spark, sf_dir, "documents"), keep="max", carry=["doc_id"])
 
 
+def dated_list(pages: DataFrame) -> DataFrame:
+    """A dated domain list of the hosts in the pages: by their md5 some are blocked from a day on,
+    some of those allowed again; two parent domains are always listed."""
+    hosts = pages.select(url_filters.host_of(F.col("url")).alias("domain")).where("domain is not null").distinct()
+    digit = lambda k: F.conv(F.substring(F.md5("domain"), k, 2), 16, 10).cast("int")
+    day = lambda n: F.expr("timestamp_ntz'2024-01-01 00:00:00'") + F.make_dt_interval(n)
+    blocked = hosts.where(digit(1) < 96).select("domain", F.lit("block").alias("action"), day(digit(3)).alias("since"))
+    freed = hosts.where((digit(1) < 96) & (digit(5) < 128)).select("domain", F.lit("allow").alias("action"), day(digit(3) + digit(7)).alias("since"))
+    fixed = "values ('spam-farm.example.org', 'block', timestamp_ntz'2024-02-01 00:00:00'), ('cheap-pills.example.com', 'block', timestamp_ntz'2024-03-01 00:00:00'), ('cheap-pills.example.com', 'allow', timestamp_ntz'2024-09-01 00:00:00') as t(domain, action, since)"
+    return blocked.unionByName(freed).unionByName(pages.sparkSession.sql(f"select * from {fixed}"))
+
+
+def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    fetched = F.expr("timestamp_ntz'2024-01-01 00:00:00'") + F.make_dt_interval(F.lit(0), F.lit(0), (F.col("page_id") * 7919 % 525600).cast("int"))
+    captures = pages.select("page_id", "url", fetched.alias("fetched_at"))
+    return url_filters.judge(captures, dated_list(pages))
+
+
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.link(table(spark, sf_dir, "documents"))
+
+
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "source", "size", "source_size", "target", "repeats", "taken")
 
 
+def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    segments = chat.transcripts(table(spark, sf_dir, "conversations"))
+    model = chat.train(segments.where(_remainder("conv_id", 5) != 0))
+    return chat.parse(chat.raw(segments), model)
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held = _remainder("doc_id", 5) == 0
+    labels = table(spark, sf_dir, "labels").where(~held)
+    model = toxicity.train(docs, labels)
+    scored = toxicity.score(docs.withColumn("held_out", held), model)
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), with_ids=False)
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op3_quality_rules, op4_exact_dedup, op7_source_mixing, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_merkle_fixity, op3_quality_rules, op4_exact_dedup, op5_url_filters, op6_near_dedup, op7_source_mixing, op8_chat_format, op9_toxicity, op10_packing)}
 
 ORACLES = {
     "op4_exact_dedup": """
