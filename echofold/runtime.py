@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -64,3 +66,20 @@ class Scratch:
                 jvm = self.spark._jvm
                 where = jvm.org.apache.hadoop.fs.Path(path)
                 where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Gives the executors this package, once per application: they need not have it installed."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    home = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="echofold-")) / "echofold_package.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for source in sorted(home.rglob("*.py")):
+            out.write(source, source.relative_to(home.parent))
+    spark.sparkContext.addPyFile(str(archive))
+    _shipped.add(app)
