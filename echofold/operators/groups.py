@@ -132,7 +132,7 @@ def change_keeper(members: DataFrame, choices: DataFrame, file_columns: list[str
     chosen = choices.select("group_key", F.col("file_id").alias("_chosen"))
     joined = members.join(chosen, "group_key")
     is_member = F.bool_or(F.col("file_id") == F.col("_chosen")).over(W.partitionBy("group_key"))
-    checked = joined.where(F.when(is_member, True).otherwise(F.raise_error(F.lit("the chosen file is not in the group")).cast("boolean")))
+    checked = joined.withColumn("_member", is_member).where(F.when(F.col("_member"), True).otherwise(F.raise_error(F.lit("the chosen file is not in the group")).cast("boolean"))).drop("_member")
     new = checked.withColumn("rank", F.when(F.col("file_id") == F.col("_chosen"), 1).otherwise(F.row_number().over(W.partitionBy("group_key").orderBy(F.when(F.col("file_id") == F.col("_chosen"), 0).otherwise(1), "rank"))))
     new = new.withColumn("keeper_reason", F.when(F.col("rank") == 1, "chosen by you")).drop("_chosen", "kind", "confidence", "reason", "keeper_id", "aside")
     out = against_keeper(new, file_columns, o)

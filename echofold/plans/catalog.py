@@ -352,7 +352,7 @@ def _analysed(spark: SparkSession, d: str) -> DataFrame:
 _BOTH = """both_files AS (SELECT p.a, p.b, x.width AS wa, x.height AS ha, y.width AS wb, y.height AS hb, x.normalized = y.normalized AS named, x.has_edit OR y.has_edit AS edited,
         abs(epoch_us(x.taken_at) - epoch_us(y.taken_at)) AS dus, x.camera_key = y.camera_key AS same_cam, x.ext AS ea, y.ext AS eb, x.path AS pa, y.path AS pb, HAVERSINE AS metres
         FROM cand p JOIN files x ON x.file_id = p.a JOIN files y ON y.file_id = p.b WHERE NOT x.is_video AND NOT y.is_video),
-    dist AS (SELECT p.a, p.b, min(bit_count(xor(h.hash, g.hash))) AS d, arg_min(g.variant, bit_count(xor(h.hash, g.hash)) * 8 + g.variant) AS v FROM cand p JOIN hashes h ON h.file_id = p.a AND h.variant = 0 JOIN hashes g ON g.file_id = p.b GROUP BY ALL),
+    dist AS (SELECT p.a, p.b, min(bit_count(xor(h.hash, g.hash))) AS d, arg_min(g.variant, bit_count(xor(h.hash, g.hash))::BIGINT * 8 + g.variant) AS v FROM cand p JOIN hashes h ON h.file_id = p.a AND h.variant = 0 JOIN hashes g ON g.file_id = p.b GROUP BY ALL),
     ratio AS (SELECT f.*, d.d, d.v, wa / ha::DOUBLE AS ra, CASE WHEN d.v >= 4 THEN hb / wb::DOUBLE ELSE wb / hb::DOUBLE END AS rb FROM both_files f JOIN dist d ON f.a = d.a AND f.b = d.b
         WHERE NOT ((ea = 'cr2') <> (eb = 'cr2') AND regexp_replace(pa, '\\.[^.]*$', '') = regexp_replace(pb, '\\.[^.]*$', ''))),
     ruled AS (SELECT *, CASE WHEN d <= 8 AND NOT coalesce(dus > 50000, false) THEN greatest(50.0, least(98.0, 98.0 - d - (v <> 0)::INT - 10 * (abs(ra - rb) / greatest(ra, rb) > 0.02)::INT + named::INT)) END AS p,
