@@ -27,7 +27,8 @@ def op2_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     last = F.concat(F.expr("substr(html, 1, length(html) - 1)"), F.lit("~"))
     damaged = pages.where("page_id is null or page_id % 997 <> 13").withColumn("html", F.when(F.col("page_id") % 101 == 7, last).otherwise(F.col("html")))
-    return warc.audit(warc.records(pages), warc.records(damaged))
+    found = warc.audit(warc.records(pages), warc.records(damaged))
+    return found.withColumn("page_id", F.coalesce("left_page", "right_page")).drop("left_page", "right_page")
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,9 +88,62 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_language_id, op2_merkle_fixity, op3_quality_rules, op4_exact_dedup, op5_url_filters, op6_near_dedup, op7_source_mixing, op8_chat_format, op9_toxicity, op10_packing)}
 
+_STOPS = ", ".join(f"'{w}'" for s in quality.STOP_WORDS for w in (s, s.capitalize()))
+_RECORD = r"""'WARC/1.1' || e || 'WARC-Type: resource' || e || 'WARC-Record-ID: <urn:page:' || page_id || '>' || e || 'WARC-Target-URI: ' || coalesce(url, '') || e || 'Content-Type: text/html' || e || 'Content-Length: ' || strlen(h) || e || e || h || e || e"""
+
+
+def _side(name: str, rows: str) -> str:
+    """An archive side in SQL: offsets and hashes of its records."""
+    return f"""{name}_r AS (SELECT page_id // {warc.PER_FILE} AS file_no, page_id, {_RECORD} AS record FROM (SELECT page_id, url, h, chr(13) || chr(10) AS e FROM ({rows}))),
+        {name}_h AS (SELECT file_no, page_id, sha256(record) AS hash, strlen(record) AS length FROM {name}_r),
+        {name}_l AS (SELECT file_no, page_id, hash, CAST(coalesce(sum(length) OVER (PARTITION BY file_no ORDER BY page_id, hash ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS at FROM {name}_h)"""
+
+
+_DIGIT = "('0x' || substr(md5(domain), {0}, 2))::INTEGER"
+_HOST = r"regexp_replace(regexp_extract(lower(url), '^[a-z][a-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1), '\.+$', '')"
+
 ORACLES = {
+    "op2_merkle_fixity": f"""
+        WITH {_side("a", "SELECT page_id, url, coalesce(html, '') AS h FROM pages")},
+        {_side("b", "SELECT page_id, url, CASE WHEN page_id % 101 = 7 AND html IS NOT NULL THEN substr(html, 1, length(html) - 1) || '~' ELSE coalesce(html, '') END AS h FROM pages WHERE page_id % 997 <> 13")}
+        SELECT coalesce(a.file_no, b.file_no) AS file_no, coalesce(a.at, b.at) AS "offset", coalesce(a.page_id, b.page_id) AS page_id,
+            CASE WHEN b.hash IS NULL THEN 'missing' WHEN a.hash IS NULL THEN 'extra' ELSE 'altered' END AS damage, a.hash AS left_hash, b.hash AS right_hash
+        FROM a_l a FULL JOIN b_l b ON a.file_no = b.file_no AND a.at = b.at WHERE a.hash IS DISTINCT FROM b.hash""",
+    "op3_quality_rules": rf"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, [x FOR x IN string_split(coalesce(text, ''), chr(10)) IF regexp_matches(x, '[^\x20\x09-\x0D]')] AS ls FROM documents),
+        runs AS (SELECT doc_id, i, w[i:i + 4] AS r FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d)),
+        twice AS (SELECT doc_id, i FROM runs QUALIFY count(*) OVER (PARTITION BY doc_id, r) > 1),
+        marked AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM twice, range(5) t(k) GROUP BY doc_id),
+        c AS (SELECT d.doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines,
+            coalesce(m.n, 0)::BIGINT AS n_repeat_words, len(ls)::BIGINT AS n_lines, len([x FOR x IN w IF x IN ({_STOPS})]) AS stops, len([x FOR x IN ls IF length(x) < 12]) AS shorts, len(regexp_extract_all(t, '[A-Z]')) AS uppers FROM d LEFT JOIN marked m ON m.doc_id = d.doc_id),
+        r AS (SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, coalesce(word_chars / nullif(n_words, 0)::DOUBLE, 0) AS mean_word_length, coalesce(n_symbols / nullif(n_words, 0)::DOUBLE, 0) AS symbol_ratio,
+            coalesce(stops / nullif(n_words, 0)::DOUBLE, 0) AS stop_ratio, coalesce(n_dup_lines / nullif(n_lines, 0)::DOUBLE, 0) AS dup_line_ratio, coalesce(shorts / nullif(n_lines, 0)::DOUBLE, 0) AS short_line_ratio, coalesce(uppers / nullif(word_chars, 0)::DOUBLE, 0) AS upper_ratio,
+            n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM c)
+        SELECT *, NOT base_failed AND {" AND ".join(" AND ".join([*([f"{n} >= {lo}"] if lo is not None else []), *([f"{n} <= {hi}"] if hi is not None else [])]) for n, lo, hi in quality.THRESHOLDS)} AS kept FROM r""",
     "op4_exact_dedup": """
         WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
         g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)
         SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id AS kept, sha256(d.t) AS text_sha256 FROM d JOIN g ON d.t = g.t""",
+    "op5_url_filters": f"""
+        WITH p AS (SELECT page_id, url, TIMESTAMP '2024-01-01 00:00:00' + to_minutes(page_id * 7919 % 525600) AS fetched_at, nullif({_HOST}, '') AS host FROM pages),
+        hosts AS (SELECT DISTINCT host AS domain FROM p WHERE host IS NOT NULL),
+        log AS (SELECT domain, 'block' AS action, TIMESTAMP '2024-01-01' + to_days({_DIGIT.format(3)}) AS since FROM hosts WHERE {_DIGIT.format(1)} < 96
+            UNION ALL SELECT domain, 'allow', TIMESTAMP '2024-01-01' + to_days({_DIGIT.format(3)} + {_DIGIT.format(7)}) FROM hosts WHERE {_DIGIT.format(1)} < 96 AND {_DIGIT.format(5)} < 128
+            UNION ALL VALUES ('spam-farm.example.org', 'block', TIMESTAMP '2024-02-01'), ('cheap-pills.example.com', 'block', TIMESTAMP '2024-03-01'), ('cheap-pills.example.com', 'allow', TIMESTAMP '2024-09-01')),
+        one AS (SELECT domain, since, max(action) AS action FROM log GROUP BY ALL),
+        met AS (SELECT p.page_id, l.domain, l.since, l.action FROM p JOIN one l ON (p.host = l.domain OR ends_with(p.host, '.' || l.domain)) AND l.since <= p.fetched_at),
+        latest AS (SELECT * FROM met QUALIFY row_number() OVER (PARTITION BY page_id, domain ORDER BY since DESC) = 1),
+        top AS (SELECT * FROM latest QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY length(domain) DESC) = 1)
+        SELECT p.page_id, p.url, p.fetched_at, p.host, t.domain AS matched_domain, t.action, t.since AS active_since, coalesce(t.action <> 'block', true) AS kept FROM p LEFT JOIN top t ON t.page_id = p.page_id""",
+    "op7_source_mixing": rf"""
+        WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, ('0x' || substr(md5('{mixing.SEED}:' || doc_id), 1, 12))::BIGINT AS place FROM documents),
+        s AS (SELECT source, sum(size)::BIGINT AS source_size, [3.0, 1.0, 2.0][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::DOUBLE AS weight FROM d GROUP BY source),
+        caps AS (SELECT *, 2.0::DOUBLE * source_size AS cap, 2.0::DOUBLE * source_size / weight AS level FROM s),
+        levels AS (SELECT a.level AS l, (SELECT sum(CASE WHEN b.level < a.level THEN b.cap ELSE b.weight * a.level END) FROM caps b) AS held FROM caps a),
+        below AS (SELECT coalesce(max(l), 0) AS l FROM levels WHERE held <= (SELECT 1.5::DOUBLE * sum(source_size) FROM s)),
+        water AS (SELECT ((SELECT 1.5::DOUBLE * sum(source_size) FROM s) - coalesce(sum(cap) FILTER (level <= l), 0)) / sum(weight) FILTER (level > l) AS w FROM caps, below),
+        t AS (SELECT source, source_size, least(cap, w * weight) AS target FROM caps, water),
+        e AS (SELECT *, floor(target / source_size)::BIGINT AS whole, target - floor(target / source_size) * source_size AS need FROM t),
+        r AS (SELECT d.*, e.source_size, e.target, e.whole, e.need, coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY place, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source)
+        SELECT doc_id, source, size, source_size, target, least(2, whole + (before + size / 2.0::DOUBLE <= need)::BIGINT)::BIGINT AS repeats, size * least(2, whole + (before + size / 2.0::DOUBLE <= need)::BIGINT)::BIGINT AS taken FROM r""",
 }

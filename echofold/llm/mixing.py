@@ -64,8 +64,9 @@ def water_fill(sources: DataFrame, weights: Sequence[float] = WEIGHTS, budget: f
         .withColumn("_total", F.lit(float(budget)) * F.sum("source_size").over(every))
         .withColumn("_left", F.col("_total") - F.coalesce(F.sum("_cap").over(fit), F.lit(0.0)))
         .withColumn("_open", F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(fit), F.lit(0.0)))
-        # the level if this source and those after it are open; right at the first that does not clamp
-        .withColumn("_water", F.min(F.when(F.col("_level") * F.col("_open") >= F.col("_left"), F.col("_left") / F.col("_open"))).over(every))
+        # the level if this source and those after it are open, where this one does not clamp: the
+        # first such source has the right level, and it is the highest
+        .withColumn("_water", F.max(F.when(F.col("_level") * F.col("_open") >= F.col("_left"), F.col("_left") / F.col("_open"))).over(every))
         .withColumn("target", F.least(F.col("_cap"), F.coalesce(F.col("_water") * F.col("weight"), F.col("_cap"))))
         .select("source", "source_size", "weight", "target")
     )
