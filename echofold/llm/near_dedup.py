@@ -5,13 +5,17 @@
    signature, and ``BANDS`` band keys of ``ROWS`` whole minima each.
 2. Documents of one digest are one class; only classes take part from here on, so exact copies
    cost one row however many they are.
-3. Classes that share a band key are candidates.  In each bucket every class is first paired with
-   one centre (another for each band), and each class keeps the pair with the highest
-   collision-corrected similarity, from counted equal low bits.  These pairs are confirmed on full
-   sets and joined to components.
-4. Buckets that still hold two components or more give all pairs across them; a pair goes on
-   only if its estimate is at least the threshold less ``SLACK``.  Per pair of components the best
-   ``FIRST`` are confirmed, then, where the components are still apart, all others.
+3. Classes that share a band key are candidates.  In rounds, each bucket takes a centre (another
+   one each round), every component of classes pairs its members with the centres of their buckets,
+   and keeps the pair with the highest collision-corrected similarity, from counted equal low
+   bits.  These pairs are confirmed on full sets and merge components; each round is linear in the
+   rows of buckets that still hold two components, and rounds end when none links.
+4. Classes of buckets that still hold two components are set aside where so many of their shingles
+   occur in no other such class that no similarity can reach the threshold (exact, and linear in
+   the shingles).  Of the buckets left, those of at most ``SMALL`` rows give all pairs across
+   components whose estimate is at least the threshold less ``SLACK``, which are confirmed.  In
+   larger ones all rows outside the bucket's main component are compared with all its rows, in
+   blocks and inside the tasks: first by estimate, then on full sets; only links leave a task.
    No bucket, partner or candidate is capped or dropped.
 
 A pair at similarity 0.75 shares no band with probability (1 - 0.75^4)^32 = 5e-6, and its estimate
@@ -36,7 +40,6 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators.cluster import components
@@ -48,7 +51,12 @@ NUMERATOR, DENOMINATOR = 3, 4  # linked at similarity 3/4 or more
 PERMUTATIONS, BITS = 256, 4
 BANDS, ROWS = 32, 4
 SLACK = 0.11
-FIRST = 4
+#: Most rows of a bucket whose pairs are rows of a join, and rows of a block in larger buckets.
+SMALL, BLOCK = 48, 256
+#: Most rounds with centres, and most times that lone classes are set aside, before all remaining
+#: pairs are tried.
+ROUNDS = 3
+PEELS = 2
 #: Most text hashes that are broadcast to fetch candidate texts (8 bytes each).
 BROADCAST_TEXTS = 1_000_000
 
@@ -163,6 +171,100 @@ def _confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.where(DENOMINATOR * common >= NUMERATOR * (F.size("sa") + F.size("sb") - common)).select("a", "b")
 
 
+def _open(joined: DataFrame) -> DataFrame:
+    """Rows (key, node, root) of the buckets that hold two components or more."""
+    keys = joined.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
+    return joined.join(keys, "key", "left_semi").select("key", "node", "root")
+
+
+def _best_with_centres(rows: DataFrame, turn: int) -> DataFrame:
+    """Per component its best pair (a, b) with a centre of another component in one of its
+    buckets.  The centre is the node least under a mask that differs by bucket and round."""
+    mask = F.xxhash64("key", F.lit(turn)).bitwiseAND(F.lit((1 << 62) - 1))
+    centres = rows.groupBy("key").agg(F.min(F.col("node").bitwiseXOR(mask)).alias("_low")).select("key", F.col("_low").bitwiseXOR(mask).alias("node"))
+    centres = centres.join(rows, ["key", "node"]).select("key", F.col("node").alias("node2"), F.col("root").alias("root2"), F.col("n").alias("n2"), F.col("sig").alias("sig2"))
+    met = rows.join(centres, "key").where((F.col("root") != F.col("root2")) & _sized("n", "n2")).select("root", "node", "node2", _estimate("sig", "sig2").alias("est"))
+    near = met.where(F.col("est") >= NUMERATOR / DENOMINATOR - SLACK)
+    best = near.groupBy("root").agg(F.max(F.struct("est", "node", "node2")).alias("top"))
+    return best.select(F.least("top.node", "top.node2").alias("a"), F.greatest("top.node", "top.node2").alias("b")).distinct()
+
+
+def _apart(rows: DataFrame, traits: DataFrame, sets: DataFrame) -> DataFrame:
+    """Nodes that can't link with any other of ``rows``: with u shingles that none of those has,
+    a set of n shares n - u at most, which has to be the threshold's part of n at least."""
+    own = rows.select("node").distinct()
+    held = sets.join(own, "node", "left_semi").select("node", F.explode("shingles").alias("s"))
+    once = held.groupBy("s").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("node")).where("c = 1")
+    lone = once.groupBy("node").agg(F.count(F.lit(1)).alias("u")).join(traits.select("node", "n"), "node")
+    return lone.where((F.col("n") - F.col("u")) * DENOMINATOR < F.col("n") * NUMERATOR).select("node")
+
+
+def _across(rows: DataFrame) -> DataFrame:
+    """Pairs (a, b) across components in buckets of at most ``SMALL`` rows that may be similar
+    enough: at most ``SMALL`` for a row."""
+    far = rows.select("key", *[F.col(c).alias(f"{c}2") for c in ("node", "root", "n", "sig")])
+    near = _estimate("sig", "sig2") >= NUMERATOR / DENOMINATOR - SLACK
+    met = rows.join(far, (rows["key"] == far["key"]) & (F.col("node") < F.col("node2")) & (F.col("root") != F.col("root2")) & _sized("n", "n2") & near)
+    return met.select(F.col("node").alias("a"), F.col("node2").alias("b")).distinct()
+
+
+def _rows_of(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Nodes, roots, signatures, set ends and sets on end of a block."""
+    lists = lambda c: t[c].combine_chunks() if isinstance(t[c], pa.ChunkedArray) else t[c]
+    sig, sets = lists("sig"), lists("shingles")
+    ends = np.concatenate(([0], np.cumsum([len(x) for x in sets])))
+    return t["node"].to_numpy(), t["root"].to_numpy(), sig.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64).reshape(-1, _LONGS), ends, sets.flatten().to_numpy(zero_copy_only=False)
+
+
+def _compare(left: pa.Table, right: pa.Table) -> pa.Table:
+    """Confirmed links (a, b) between the rows of two blocks, one for each row of the left and
+    component of the right."""
+    out_a, out_b = [], []
+    if left.num_rows and right.num_rows:
+        node, root, sig, ends, sets = _rows_of(left)
+        node2, root2, sig2, ends2, sets2 = _rows_of(right)
+        size2, ones, chance = np.diff(ends2), np.uint64(sum(1 << (BITS * k) for k in range(64 // BITS))), 1 / (1 << BITS)
+        for i in range(len(node)):
+            x = sig[i] ^ sig2
+            for s in (1, 2):
+                x |= x >> np.uint64(s)
+            agree = 1 - np.bitwise_count(x & ones).sum(1) / PERMUTATIONS
+            may = ((agree - chance) / (1 - chance) >= NUMERATOR / DENOMINATOR - SLACK) & (root2 != root[i])
+            if not may.any():
+                continue
+            own, where = sets[ends[i] : ends[i + 1]], np.flatnonzero(may)
+            own = np.sort(own)
+            picked = np.concatenate([sets2[ends2[j] : ends2[j + 1]] for j in where])
+            hit = own[np.minimum(np.searchsorted(own, picked), len(own) - 1)] == picked
+            common = np.add.reduceat(hit.astype(np.int64), np.concatenate(([0], np.cumsum(size2[where])[:-1])))
+            good = where[DENOMINATOR * common >= NUMERATOR * (len(own) + size2[where] - common)]
+            _, one = np.unique(root2[good], return_index=True)
+            out_a += [int(node[i])] * len(one)
+            out_b += node2[good[one]].tolist()
+    return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
+
+
+def _large(rows: DataFrame, sets: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Links across components in the buckets of ``sizes`` (key, members, main): every row outside
+    the bucket's main component against all rows of the bucket, in blocks of about ``BLOCK`` rows
+    on either side, compared inside the tasks.  Only confirmed links leave a task."""
+    full = rows.join(sizes, "key").join(sets, "node").select("key", "node", "root", "sig", "shingles", "members", "main", "outside")
+    spread = lambda c, n: F.pmod(F.xxhash64("node", F.lit(c)), n).cast("int")
+    many = lambda c: F.ceil(F.col(c) / BLOCK).cast("long")
+    every = lambda n: F.explode(F.sequence(F.lit(0), (n - 1).cast("int")))
+    columns = ["key", "i", "j", "node", "root", "sig", "shingles"]
+    left = full.where("root <> main").withColumn("i", spread(1, many("outside"))).withColumn("j", every(many("members"))).select(columns).toDF(*columns)
+    right = full.withColumn("j", spread(2, many("members"))).withColumn("i", every(many("outside"))).select(*[F.col(c).alias(f"{c}_") for c in columns]).toDF(*columns)
+    return left.groupBy("key", "i", "j").cogroup(right.groupBy("key", "i", "j")).applyInArrow(_compare, "a long, b long").distinct()
+
+
+def _merge(place: DataFrame, linked: DataFrame, scratch: Scratch) -> DataFrame:
+    """(node, root) after the linked pairs (a, b) have joined their components."""
+    ra, rb = place.select(F.col("node").alias("a"), F.col("root").alias("ra")), place.select(F.col("node").alias("b"), F.col("root").alias("rb"))
+    moved = components(linked.join(ra, "a").join(rb, "b").select("ra", "rb"), "ra", "rb", scratch)
+    return scratch.cut(place.join(moved.select(F.col("node").alias("root"), F.col("root").alias("_to")), "root", "left").select("node", F.coalesce("_to", "root").alias("root")), "place")
+
+
 def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
     """One row per row of ``docs``: its id, n_shingles, component_id and kept."""
     scratch = Scratch(docs.sparkSession, "near")
@@ -176,26 +278,15 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
     one = described.where("digest is not null").groupBy("digest").agg(F.min("_id").alias("least_id"), F.min("_text_key").alias("text_key"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
     classes = scratch.cut(one.withColumn("node", F.monotonically_increasing_id()), "classes")
 
-    # buckets with two classes or more, each with a centre that differs from band to band
+    # buckets with two classes or more
     keyed = classes.select("node", F.explode("bands").alias("key"))
-    mask = F.col("key").bitwiseAND(F.lit((1 << 62) - 1))
-    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min(F.col("node").bitwiseXOR(mask)).alias("_low")).where("members > 1").select("key", F.col("_low").bitwiseXOR(mask).alias("centre"))
-    buckets = scratch.cut(keyed.join(shared, "key"), "buckets")
-
+    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1").select("key")
+    buckets = scratch.cut(keyed.join(shared, "key", "left_semi"), "buckets")
     traits = classes.select("node", "n", "sig")
-    star = buckets.where("node <> centre").select("node", "centre").distinct()
-    rated = (
-        star.join(traits, "node")
-        .join(traits.select(F.col("node").alias("centre"), F.col("n").alias("cn"), F.col("sig").alias("csig")), "centre")
-        .where(_sized("n", "cn"))
-        .select("node", "centre", _estimate("sig", "csig").alias("est"))
-        .where(F.col("est") >= NUMERATOR / DENOMINATOR - SLACK)
-    )
-    best = rated.groupBy("node").agg(F.max(F.struct("est", "centre")).alias("top")).select(F.col("node").alias("a"), F.col("top.centre").alias("b"))
-    first = scratch.cut(best, "first")
+    place = scratch.cut(buckets.select("node").distinct().withColumn("root", F.col("node")), "place")
 
     # full sets of the classes that share a bucket with another
-    wanted = scratch.cut(classes.join(buckets.select("node").distinct(), "node", "left_semi").select("node", "digest", F.col("text_key").alias("_text_key")), "wanted")
+    wanted = scratch.cut(classes.join(place.select("node"), "node", "left_semi").select("node", "digest", F.col("text_key").alias("_text_key")), "wanted")
     keys = wanted.select("_text_key").distinct()
     keys = F.broadcast(keys) if wanted.count() <= BROADCAST_TEXTS else keys
     texts = docs.select(text_key.alias("_text_key"), F.col(text_col).alias("_text")).join(keys, "_text_key", "left_semi")
@@ -203,32 +294,39 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
     found = found.groupBy("digest").agg(F.first("shingles").alias("shingles"))
     sets = scratch.cut(wanted.join(found, "digest").select("node", "shingles"), "sets")
 
-    linked = scratch.cut(_confirm(first, sets), "linked")
-    root = components(linked, scratch=scratch)
-
-    # pairs across components that share a bucket
-    where = classes.select("node").join(root, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
-    placed = buckets.select("key", "node").join(where, "node")
-    open_keys = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-    open_rows = scratch.cut(placed.join(open_keys, "key", "left_semi").join(traits, "node"), "open")
-    far = open_rows.select("key", *[F.col(c).alias(f"{c}2") for c in ("node", "root", "n", "sig")])
-    across = open_rows.join(far, (open_rows["key"] == far["key"]) & (F.col("node") < F.col("node2")) & (F.col("root") != F.col("root2")) & _sized("n", "n2") & (_estimate("sig", "sig2") >= NUMERATOR / DENOMINATOR - SLACK))
-    pairs = across.select(F.col("node").alias("a"), F.col("node2").alias("b"), F.least("root", "root2").alias("ra"), F.greatest("root", "root2").alias("rb"), _estimate("sig", "sig2").alias("est")).distinct()
-    rest = scratch.cut(pairs, "across")
-    if rest.limit(1).count():
-        order = W.partitionBy("ra", "rb").orderBy(F.desc("est"), "a", "b")
-        ranked = scratch.cut(rest.withColumn("nth", F.row_number().over(order)), "ranked")
-        linked = linked.unionByName(scratch.cut(_confirm(ranked.where(F.col("nth") <= FIRST), sets), "linked"))
-        late = ranked.where(F.col("nth") > FIRST)
-        if late.limit(1).count():
-            root = components(linked, scratch=scratch)
-            ra, rb = root.select(F.col("node").alias("a"), F.col("root").alias("qa")), root.select(F.col("node").alias("b"), F.col("root").alias("qb"))
-            apart = late.join(ra, "a", "left").join(rb, "b", "left").where(F.coalesce("qa", "a") != F.coalesce("qb", "b"))
-            linked = linked.unionByName(scratch.cut(_confirm(apart, sets), "linked"))
-        root = components(linked, scratch=scratch)
+    # rounds: every component tries its best pair with a bucket's centre, until none links
+    joined = buckets.join(place, "node")
+    for turn in range(ROUNDS):
+        rows = scratch.cut(_open(joined).join(traits, "node"), f"open{turn}")
+        best = _best_with_centres(rows, turn)
+        linked = scratch.cut(_confirm(best, sets), f"linked{turn}")
+        if not linked.limit(1).count():
+            break
+        place = _merge(place, linked, scratch)
+        joined = rows.select("key", "node").join(place, "node")
+
+    # what is left, without classes that their own shingles keep apart from all others
+    left = scratch.cut(_open(joined), "left")
+    for _ in range(PEELS):
+        alone = scratch.cut(_apart(left, traits, sets), "alone")
+        if not alone.limit(1).count():
+            break
+        left = scratch.cut(_open(left.join(alone, "node", "left_anti")), "left")
+
+    # all pairs across components that share a bucket
+    rows = scratch.cut(left.join(traits, "node"), "rest")
+    per_root = rows.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"))
+    sizes = scratch.cut(per_root.groupBy("key").agg(F.sum("c").alias("members"), F.max(F.struct("c", "root")).alias("top")).select("key", "members", F.col("top.root").alias("main"), (F.col("members") - F.col("top.c")).alias("outside")), "sizes")
+    small = sizes.where(F.col("members") <= SMALL).select("key")
+    pairs = scratch.cut(_across(rows.join(small, "key", "left_semi")), "across")
+    place = _merge(place, scratch.cut(_confirm(pairs, sets), "linked"), scratch)
+    large = sizes.where(F.col("members") > SMALL)
+    if large.limit(1).count():
+        now = rows.drop("root").join(place, "node").select(rows.columns)
+        place = _merge(place, scratch.cut(_large(now, sets, large), "linked"), scratch)
 
     # the smallest id of each component, back to every document by its digest
-    owned = classes.select("node", "digest", "least_id").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    owned = classes.select("node", "digest", "least_id").join(place, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = owned.groupBy("root").agg(F.min("least_id").alias("component_id"))
     of_digest = scratch.cut(owned.join(least, "root").select("digest", "component_id"), "named")
     base = described.select("_id", "n_shingles", "digest")
