@@ -236,7 +236,7 @@ def reference_ids():
 
 def test_packing_round_trip(spark, sf, odd, reference_ids):
     tricky = [(500, "a  b    c　\n\n d's  \t x"), (501, "  lead"), (502, "end  "), (503, "\u0085   y <|endoftext|> é\r\n"), (504, "a" * 5000)]
-    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").limit(60).unionByName(odd.select("doc_id", "text").where("doc_id not in (2, 7)")).unionByName(spark.createDataFrame(tricky, "doc_id long, text string"))
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").where("doc_id >= 140").unionByName(odd.select("doc_id", "text").where("doc_id not in (2, 7)")).unionByName(spark.createDataFrame(tricky, "doc_id long, text string"))
     pieces = collections.defaultdict(list)
     rows = packing.pack(docs).collect()
     for r in rows:
