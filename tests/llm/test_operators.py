@@ -112,8 +112,9 @@ def test_estimate_is_close_to_the_true_similarity():
     assert abs((x.mean() - 1 / 16) / (15 / 16) - 320 / 480) < 0.12
 
 
-def test_exact_dedup_equals_sql(agree):
-    agree(catalog.QUERIES["op4_exact_dedup"], catalog.ORACLES["op4_exact_dedup"])
+@pytest.mark.parametrize("name", catalog.ORACLES)
+def test_query_equals_sql(agree, name):
+    agree(catalog.QUERIES[name], catalog.ORACLES[name])
 
 
 def test_exact_dedup_odd_rows(odd, none):
