@@ -6,12 +6,13 @@ each hash group, not assumed equal.  Copies collapse on the map side, so a group
 third of all rows reaches its reducer as one row per map task.  The group's slim row (hashes,
 size, kept id) then joins back to the documents' ids and hashes; texts are shuffled once.  That
 join is an ordinary sort-merge join, which adaptive execution splits where a hash is hot.
+``deduplicate`` needs no join: the same grouping carries one whole row per text.
 
 Defined results: null text counts as empty; texts are equal when the same after lower-casing
 A-Z; rows with a null id are counted and dropped for any row with an id, and if a group has only
-null ids its keep_id is null and all its rows are kept; a repeated row (same id and text) is
-flagged kept on each of its copies by ``assign``, while ``deduplicate`` leaves one of them;
-other columns pass through; an empty table gives an empty result.
+null ids its keep_id is null and ``assign`` flags all its rows kept; a repeated row (same id and
+text) is flagged kept on each of its copies by ``assign``; ``deduplicate`` leaves one row of each
+text in both cases; other columns pass through; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -54,7 +55,9 @@ def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min") -> DataFrame:
-    """The kept rows in the columns of ``docs``; one row where the kept row itself is repeated."""
-    flagged = assign(docs, id_col, text_col, keep)
-    stays = flagged.where("kept").select(docs.columns if set(docs.columns) <= set(flagged.columns) else flagged.columns[: len(docs.columns)])
-    return stays.toDF(*docs.columns)
+    """One row of each distinct text, in the columns of ``docs``: a row with the kept id, and just
+    one of them where that row is repeated."""
+    text, own, known = normalised(F.col(text_col)), F.col(id_col), F.col(id_col).isNotNull()
+    pick, first = {"min": (F.min_by, ~known), "max": (F.max_by, known)}[keep]
+    row = pick(F.struct(*docs.columns), F.struct(first, own, F.xxhash64(text_col))).alias("_row")
+    return docs.groupBy(F.md5(text).alias("_h"), text.alias("_text")).agg(row).select("_row.*")

@@ -124,6 +124,15 @@ def test_exact_dedup_odd_rows(odd, none):
     assert exact_dedup.assign(none).count() == 0
 
 
+@pytest.mark.parametrize("keep, ids", [("max", [2, 4, 5, 6, 7, 7]), ("min", [1, 3, 5, 6, 7, 7])])
+def test_exact_dedup_leaves_one_row_of_a_text(odd, keep, ids):
+    rows = exact_dedup.deduplicate(odd, keep=keep)
+    assert rows.columns == odd.columns
+    assert sorted(r.doc_id for r in rows.collect()) == ids
+    nameless = odd.withColumn("doc_id", F.lit(None).cast("long"))
+    assert sorted(lower(r.text) for r in exact_dedup.deduplicate(nameless, keep=keep).collect()) == sorted({lower(r.text) for r in odd.collect()})
+
+
 def by_hand(text):
     w = WORD.findall(text or "")
     runs = collections.Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
