@@ -265,10 +265,15 @@ def _merge(place: DataFrame, linked: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.cut(place.join(moved.select(F.col("node").alias("root"), F.col("root").alias("_to")), "root", "left").select("node", F.coalesce("_to", "root").alias("root")), "place")
 
 
-def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
-    """One row per row of ``docs``: its id, n_shingles, component_id and kept."""
+def _text_key(text_col: str) -> Column:
+    """A 64-bit hash and the length of a text in one key."""
+    return F.xxhash64(F.col(text_col), F.length(text_col))
+
+
+def _linked(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
+    """One row per row of ``docs``: _id, _text_key, n_shingles, component_id and kept."""
     scratch = Scratch(docs.sparkSession, "near")
-    text_key = F.xxhash64(F.col(text_col), F.length(text_col))
+    text_key = _text_key(text_col)
     slim = docs.select(F.col(id_col).alias("_id"), text_key.alias("_text_key"), F.col(text_col).alias("_text"))
     id_type = slim.schema["_id"].dataType.simpleString()
     schema = f"_id {id_type}, _text_key long, n_shingles long, digest binary, sig array<long>, bands array<long>"
@@ -329,13 +334,19 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
     owned = classes.select("node", "digest", "least_id").join(place, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = owned.groupBy("root").agg(F.min("least_id").alias("component_id"))
     of_digest = scratch.cut(owned.join(least, "root").select("digest", "component_id"), "named")
-    base = described.select("_id", "n_shingles", "digest")
+    base = described.select("_id", "_text_key", "n_shingles", "digest")
     out = base.join(of_digest, "digest", "left").withColumn("component_id", F.coalesce("component_id", "_id"))
-    return out.select(F.col("_id").alias(id_col), "n_shingles", "component_id", F.col("_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    return out.select("_id", "_text_key", "n_shingles", "component_id", F.col("_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
+    """One row per row of ``docs``: its id, n_shingles, component_id and kept."""
+    return _linked(docs, id_col, text_col, width).select(F.col("_id").alias(id_col), "n_shingles", "component_id", "kept")
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
     """The rows of ``docs`` that stay: of each component the row (rows, if repeated) with its
-    smallest id.  Rows with a null id stay only if their component has no other id."""
-    flags = link(docs.select(id_col, text_col), id_col, text_col, width).where("kept").select(F.col(id_col).alias("_kept_id")).distinct()
-    return docs.join(flags, docs[id_col].eqNullSafe(flags["_kept_id"]), "left_semi")
+    smallest id.  Rows with a null id stay only if their component has no other id.  The verdict
+    goes by id and text, so it holds for rows whose id is null or belongs to other texts too."""
+    stay = _linked(docs.select(id_col, text_col), id_col, text_col, width).where("kept").select(F.col("_id").alias("_kept_id"), F.col("_text_key").alias("_kept_key")).distinct()
+    return docs.join(stay, (_text_key(text_col) == stay["_kept_key"]) & docs[id_col].eqNullSafe(stay["_kept_id"]), "left_semi")

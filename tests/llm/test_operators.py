@@ -103,6 +103,17 @@ def test_near_dedup_odd_rows(odd, none):
     assert near_dedup.link(none).count() == 0
 
 
+def test_near_dedup_decides_by_row(spark, odd):
+    got = near_dedup.deduplicate(odd).collect()
+    cat = [r.doc_id for r in got if lower(r.text).startswith("the cat")]
+    assert cat == [1]
+    assert sorted((str(r.doc_id), lower(r.text)[:5]) for r in got) == sorted([("1", "the c"), ("3", ""), ("None", ""), ("4", ""), ("5", "lorem"), ("6", "12 34"), ("7", "eins "), ("7", "drei ")])
+    base = " ".join(f"w{i}" for i in range(60))
+    reused = [(3, base), (5, f"{base} end"), (5, "another text of six whole words"), (None, f"{base} stop"), (None, "alone in its own small group")]
+    got = near_dedup.deduplicate(spark.createDataFrame(reused, "doc_id long, text string")).collect()
+    assert sorted(r.text for r in got) == sorted(reused[k][1] for k in (0, 2, 4))
+
+
 def test_estimate_is_close_to_the_true_similarity():
     rng = np.random.default_rng(1)
     a = rng.integers(0, 2**63, 400, dtype=np.uint64)
