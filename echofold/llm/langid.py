@@ -223,10 +223,14 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", where
     return fit(*training_sample(docs, text_col, lang_col, F.lit(True) if where is None else where))
 
 
+def has_letter(text_col: str = "text") -> Column:
+    """Whether a text has a letter; false for a null text."""
+    return F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
+
+
 def identify(docs: DataFrame, net: Network, text_col: str = "text") -> DataFrame:
     """Every row with lang_pred and score."""
     predict = F.pandas_udf(_predictor(net), "lang_pred string, score double")
     rest = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    has_letter = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
-    out = docs.select(*rest, has_letter.alias("_letter"), predict(F.col(text_col)).alias("_p"))
+    out = docs.select(*rest, has_letter(text_col).alias("_letter"), predict(F.col(text_col)).alias("_p"))
     return out.select(*rest, F.when(F.col("_letter"), F.col("_p.lang_pred")).otherwise("und").alias("lang_pred"), F.when(F.col("_letter") & (F.col("_p.lang_pred") != "und"), F.col("_p.score")).otherwise(0.0).alias("score"))

@@ -383,3 +383,12 @@ def test_pipeline_stages(spark, sf):
             assert sorted(r.doc_id for r in docs.select("doc_id").collect()) == sorted({c for _, _, c in classes([(r.doc_id, r.text) for r in before.collect()])})
     assert isinstance(docs.schema["doc_id"].dataType, T.LongType)
     assert corpus_pipeline.run(spark, sf).count() > docs.count()
+
+
+def test_pipeline_language_without_a_network(spark, odd):
+    import corpus_pipeline
+
+    for docs in (odd.withColumn("lang", F.lit(None).cast("string")), odd.where(F.length("text") > langid.SAMPLE_CHARS)):
+        got = corpus_pipeline.language(spark, docs, "").collect()
+        want = [(r.doc_id, r.text, r.lang or "und") for r in docs.collect() if re.search(r"[^\W\d_]", r.text or "")]
+        assert want and sorted(map(str, [(r.doc_id, r.text, r.lang) for r in got])) == sorted(map(str, want))
