@@ -139,13 +139,26 @@ def change_keeper(members: DataFrame, choices: DataFrame, file_columns: list[str
     return set_aside(out) if o.cross_folder_only else out
 
 
+#: Columns that a duplicate takes over from its keeper, and those it takes only where it has none.
+VISUAL, OWN_FIRST = ("width", "height", "phash", "dhash", "sharpness", "pixel_hash", "richness"), ("taken_at", "camera_key", "latitude", "longitude")
+
+
 def copy_visual(duplicates: DataFrame, analysed: DataFrame) -> DataFrame:
     """Duplicates take over the visual columns of their keeper (keeper_id); dates, camera and
     place only where they have none of their own."""
-    taken, kept = ("width", "height", "phash", "dhash", "sharpness", "pixel_hash"), ("taken_at", "camera_key", "latitude", "longitude")
+    taken, kept = VISUAL, OWN_FIRST
     k = analysed.select(F.col("file_id").alias("keeper_id"), *[F.col(c).alias(f"_k_{c}") for c in (*taken, *kept)])
     joined = duplicates.join(k, "keeper_id", "left")
     return joined.withColumns({c: F.col(f"_k_{c}") for c in taken} | {c: F.coalesce(c, f"_k_{c}") for c in kept}).drop(*[f"_k_{c}" for c in (*taken, *kept)])
 
 
-__all__ = ["against_keeper", "change_keeper", "copy_visual", "exact_groups", "exact_reason", "names", "number", "score_pairs", "set_aside", "similarity_groups", "summarise"]
+def inherit(exact: DataFrame, analysed: DataFrame) -> DataFrame:
+    """Members of exact sets after analysis: keepers with their analysed columns, duplicates with
+    those of their keeper.  A keeper that was not analysed (a video) hands on what it has."""
+    cols = ["file_id", *VISUAL, *OWN_FIRST]
+    rest = exact.where("rank = 1").select(cols).join(analysed.select("file_id"), "file_id", "left_anti")
+    own = exact.withColumns({c: F.when(F.col("rank") > 1, F.col(c)) for c in OWN_FIRST})
+    return copy_visual(own, analysed.select(cols).unionByName(rest))
+
+
+__all__ = ["against_keeper", "change_keeper", "copy_visual", "exact_groups", "exact_reason", "inherit", "names", "number", "score_pairs", "set_aside", "similarity_groups", "summarise"]

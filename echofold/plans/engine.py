@@ -16,6 +16,7 @@ FILE_COLUMNS = {
     "file_id": "long", "path": "string", "size": "long", "root": "string", "is_video": "boolean", "normalized": "string", "has_copy": "boolean", "has_edit": "boolean",
     "last_write": "timestamp_ntz", "full_hash": "string", "sample_hash": "string", "pixel_hash": "string", "width": "int", "height": "int", "phash": "array<bigint>", "dhash": "bigint",
     "sharpness": "double", "embedding": "array<double>", "taken_at": "timestamp_ntz", "camera_key": "string", "latitude": "double", "longitude": "double", "richness": "int", "error": "string",
+    "device": "long", "inode": "long",
 }
 
 
@@ -37,16 +38,19 @@ def run(files: DataFrame, analyse=None, options: Options | None = None) -> Resul
     """Finds, scores and groups duplicates of ``files`` (file columns and ``content``).
 
     ``analyse`` maps files with content to their visual columns by file_id; only representatives
-    (photos without error that are no hidden exact duplicate) reach it.
+    (photos without error that are no hidden exact duplicate) reach it; exact duplicates take over
+    their keeper's.  Further names of one file (device, inode) in an exact set leave the inventory.
     """
     o = options or Options()
     scratch = Scratch(files.sparkSession, "engine")
     base = complete(files).drop("full_hash", "sample_hash")
     sets = blocking.exact_sets(base.join(files.select("file_id", "content"), "file_id"), options=o)
-    sets = scratch.cut(sets.select(*base.columns, "full_hash", "sample_hash", "set_key"), "sets")
-    exact = scratch.cut(groups.exact_groups(sets, o), "exact")
-    hashed = sets.select("file_id", "full_hash", "sample_hash")
-    known = base.join(hashed, "file_id", "left")
+    named = scratch.cut(sets.select(*base.columns, "full_hash", "sample_hash", "set_key"), "named")
+    sets = scratch.cut(blocking.remove_aliases(named), "sets")
+    aliases = named.select("file_id").join(sets.select("file_id"), "file_id", "left_anti")
+    exact = scratch.cut(groups.exact_groups(blocking.with_peers(sets, "set_key"), o), "exact")
+    hashed = named.select("file_id", "full_hash", "sample_hash")
+    known = base.join(aliases, "file_id", "left_anti").join(hashed, "file_id", "left")
     hidden = exact.where("rank > 1").select("file_id")
     seen = known.where(~F.col("is_video") & F.col("error").isNull()).join(hidden, "file_id", "left_anti")
     if analyse is not None:
@@ -59,7 +63,7 @@ def run(files: DataFrame, analyse=None, options: Options | None = None) -> Resul
     edges = scratch.cut(groups.score_pairs(blocking.union_pairs(*parts), seen, o), "scored")
     alike = groups.similarity_groups(edges, seen, o, scratch)
     wide = ["group_key", "rank", "keeper_id", "keeper_reason", "kind", "confidence", "reason", *FILE_COLUMNS]
-    members = exact.withColumn("group_key", F.concat(F.lit("x"), F.col("group_key")))
+    members = groups.inherit(exact, seen).withColumn("group_key", F.concat(F.lit("x"), F.col("group_key")))
     members = complete(members).join(members.select("file_id", "group_key", "rank", "keeper_id", "keeper_reason", "kind", "confidence", "reason"), "file_id").select(wide)
     members = members.unionByName(alike.withColumn("group_key", F.concat(F.lit("s"), F.col("group_key").cast("string"))).select(wide))
     if o.cross_folder_only:

@@ -114,6 +114,21 @@ def test_pictures_end_to_end(spark):
     assert got and result.groups.where("kind = 'ExactBytes'").count() == 3
 
 
+def test_engine_drops_aliases_and_copies_visual_columns(spark):
+    ids = spark.createDataFrame([(10,), (20,), (30,)], "doc_id long")
+    inode = F.when(F.col("file_id").isin(80, 81), 7).when(F.col("file_id") >= 240, 0).otherwise(F.col("file_id")).cast("long")
+    drawn = pictures.draw(ids).withColumns({"device": F.lit(1).cast("long"), "inode": inode, "richness": F.when(F.col("path").contains("(1)"), 1).otherwise(3)})
+    result = engine.run(drawn, analyse=lambda f: imaging.analyse(f, ppm.decode))
+    exact = {r.file_id: r for r in result.members.where("group_kind = 'ExactBytes'").collect()}
+    assert sorted(exact) == [160, 161, 240, 241]
+    assert result.files.where("file_id = 81").count() == 0 and result.members.where("file_id = 81").count() == 0
+    assert result.files.where("file_id = 80").count() == 1
+    seen = {r.file_id: r for r in result.files.collect()}
+    for k in (160, 240):
+        for c in ("width", "height", "phash", "dhash", "sharpness", "richness"):
+            assert exact[k][c] == exact[k + 1][c] == seen[k][c] is not None, c
+
+
 def test_cross_folder_keeps_one_root(spark):
     kinds = engine.FILE_COLUMNS
     rows = [shot(1, path="/a/mare.jpg", root="/a"), shot(2, path="/a/mare (1).jpg", root="/a", has_copy=True), shot(3, path="/b/x.jpg", root="/b"), shot(4, path="/b/y.jpg", root="/b"), shot(5, path="/b/z.jpg", root="/b"), shot(6, path="/b/z2.jpg", root="/b")]
