@@ -392,3 +392,44 @@ def test_pipeline_language_without_a_network(spark, odd):
         got = corpus_pipeline.language(spark, docs, "").collect()
         want = [(r.doc_id, r.text, r.lang or "und") for r in docs.collect() if re.search(r"[^\W\d_]", r.text or "")]
         assert want and sorted(map(str, [(r.doc_id, r.text, r.lang) for r in got])) == sorted(map(str, want))
+
+
+def chain(docs, encode):
+    """The whole pipeline by brute force: id -> repeats, and id -> its pieces (start, length, crc)."""
+    best = {}
+    for d in docs:
+        if re.search(r"[^\W\d_]", d.text or ""):
+            key = lower(d.text)
+            best[key] = max(best.get(key, d), d, key=lambda r: r.doc_id)
+    left = {d.doc_id: d for d in best.values()}
+    left = {i: left[i] for i in {c for _, _, c in classes([(i, d.text) for i, d in left.items()])}}
+    size, sizes = {i: len(WORD.findall(d.text)) for i, d in left.items()}, collections.Counter()
+    for i, d in left.items():
+        sizes[d.source] += size[i]
+    order = sorted(s for s in sizes if s is not None) + [s for s in sizes if s is None]
+    target = filled(sizes, {s: (3, 1, 2)[k % 3] for k, s in enumerate(order)})
+    repeats, before = {}, collections.Counter()
+    for i in sorted(left, key=lambda i: (hashlib.md5(f"mix-1:{i}".encode()).hexdigest()[:12], i)):
+        s = left[i].source
+        whole = int(target[s] // sizes[s])
+        repeats[i] = min(2, whole + (before[s] + size[i] / 2 <= target[s] - whole * sizes[s]))
+        before[s] += size[i]
+    pieces = {}
+    for i, n in repeats.items():
+        ids, at, own = np.array(encode(left[i].text), "<u4"), 0, []
+        for k in packing.binary_lengths(len(ids), 2048):
+            own.append((at, k, zlib.crc32(ids[at : at + k])))
+            at += k
+        pieces[i] = own * n
+    return repeats, pieces
+
+
+def test_pipeline_equals_brute_force(spark, sf, reference_ids):
+    import corpus_pipeline
+
+    repeats, pieces = chain(spark.read.parquet(f"{sf}/documents.parquet").collect(), reference_ids)
+    got = collections.defaultdict(list)
+    for r in corpus_pipeline.run(spark, sf).collect():
+        got[r.doc_id].append((r.start, r.length, r.ids_crc32))
+    assert {i: sum(p[0] == 0 for p in own) for i, own in got.items()} == {i: n for i, n in repeats.items() if n}
+    assert {i: sorted(own) for i, own in got.items()} == {i: sorted(own) for i, own in pieces.items() if own}
