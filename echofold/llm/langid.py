@@ -1,23 +1,28 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
-A text is read as windows of ``WINDOW`` bytes.  In each, one gated recurrent layer runs forwards
-and one backwards; at every position their states give a softmax over the languages, and a
-document's probabilities are the mean over all its positions.  Every byte of every text is
-labelled; windows only bound the recurrence so that thousands of them run side by side in numpy.
+One gated recurrent layer runs over a text's bytes forwards and one backwards; at every position
+their states give a softmax over the languages, and a document's probabilities are the mean over
+all its positions.  Every byte of every text is labelled.
+
+Long texts are read in windows of ``WINDOW`` bytes, so that a thousand run side by side in numpy.
+Each direction first runs over the ``MARGIN`` bytes on its side of a window, whose positions are
+labelled in the window they belong to: a state is carried into every window, and texts of any
+length are read alike.
 
 The network is trained in numpy by backpropagation through time on a bounded sample of labelled
-documents (``SAMPLE`` per language, chosen by a hash of the text, so extra rows elsewhere do not
-shift it; ``SAMPLE_WINDOWS`` windows spread over each).  Its weights are a few kB in the closure.
+documents: ``SAMPLE`` distinct texts of a language, those least in a hash of the text, and
+``SAMPLE_ROWS`` in all (with more labels than that, the most frequent ones).  ``SAMPLE_WINDOWS``
+windows are spread over the whole of each text, however long, and only they reach the driver.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0; repeated rows get
-equal results; other columns pass through and columns named lang_pred or score are replaced; a
-null label is never learned; with no labelled row at all every text is ``und``; an empty table
-gives an empty result.
+equal results and count once in the sample; other columns pass through and columns named like a
+result are replaced; a null label is never learned; with no labelled row at all every text is
+``und``; with one label that has every text with a letter; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,25 +32,33 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import textvec
+from .columns import unused
 
-WINDOW = 64
-HIDDEN = 4
-#: Bounds of the training sample: documents per language, languages, windows per document.
+WINDOW, MARGIN = 128, 16
+HIDDEN = 8
+#: Bounds of the training sample: texts per language, texts in all, windows per text.
 SAMPLE = 300
-LANGUAGES = 64
+SAMPLE_ROWS = 20_000
 SAMPLE_WINDOWS = 12
-#: Longest text in the training sample, in characters (a bound on what reaches the driver).
-SAMPLE_CHARS = 20_000
-STEPS = 300
+#: Labelled bytes of a training window.
+TRAIN_WINDOW = 48
+STEPS = 180
 BATCH = 128
 RATE = 0.01
-LANES = 2048
+LANES = 1024
 
 #: Input classes: small and capital letters of ASCII are one, bytes from 128 on stand for
 #: themselves, and digits, white space and other signs have one class each.
-_CLASS = np.zeros(256, np.int64)
+_CLASS = np.zeros(256, np.int32)
 for _c in range(256):
-    _CLASS[_c] = 1 + ord(chr(_c).lower()) - 97 if chr(_c).isalpha() and _c < 128 else 27 if 48 <= _c < 58 else 28 if _c > 32 and _c < 128 else _c - 128 + 29 if _c >= 128 else 0
+    if _c >= 128:
+        _CLASS[_c] = _c - 128 + 29
+    elif chr(_c).isalpha():
+        _CLASS[_c] = 1 + ord(chr(_c).lower()) - 97
+    elif 48 <= _c < 58:
+        _CLASS[_c] = 27
+    elif _c > 32:
+        _CLASS[_c] = 28
 CLASSES = 29 + 128
 
 
@@ -65,18 +78,20 @@ def _bend(x: np.ndarray) -> None:
     x /= below
 
 
-def _direction(w: dict[str, np.ndarray], d: str, x: np.ndarray, keep: list | None = None) -> np.ndarray:
+def _direction(w: dict[str, np.ndarray], d: str, x: np.ndarray, inside: np.ndarray, margin: int = 0, keep: list | None = None) -> np.ndarray:
     """Hidden states (time x H x lanes) of one direction over classes x (time x lanes).
 
     r, z = (1 + s(E[x] + U h)) / 2; c = s(E[x] + V (r h)); h = (1 - z) h + z c, where s bends
-    as in ``_bend``.  Lanes are the inner dimension, so all operations run over long rows.
+    as in ``_bend``, and h = 0 where ``inside`` (time x lanes) is 0.  The last ``margin`` steps of
+    the direction's way are left out: no label is asked there.  Lanes are the inner dimension, so
+    all operations run over long rows.
     """
     table, u, v = w[f"E{d}"], w[f"U{d}"], w[f"V{d}"]
     n = len(v)
     h = np.zeros((n, x.shape[1]), np.float32)
-    out = np.empty((len(x), *h.shape), np.float32)
+    out = np.zeros((len(x), *h.shape), np.float32)
     half = np.float32(0.5)
-    for t in range(len(x)) if d == "f" else range(len(x) - 1, -1, -1):
+    for t in range(len(x) - margin) if d == "f" else range(len(x) - 1, margin - 1, -1):
         e = table.take(x[t], 1, mode="clip")
         gates = u @ h
         gates += e[: 2 * n]
@@ -89,7 +104,11 @@ def _direction(w: dict[str, np.ndarray], d: str, x: np.ndarray, keep: list | Non
         _bend(c)
         if keep is not None:
             keep.append((t, h, r, z, c))
-        h = np.add(h, z * (c - h), out=out[t])
+        new = np.subtract(c, h, out=out[t])
+        new *= z
+        new += h
+        new *= inside[t]
+        h = new
     return out
 
 
@@ -101,13 +120,17 @@ def _softmax(a: np.ndarray) -> np.ndarray:
     return a
 
 
-def _gradients(w: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, mask: np.ndarray) -> dict[str, np.ndarray]:
-    """Of the mean cross-entropy over all positions, by backpropagation through time."""
+def _gradients(w: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, inside: np.ndarray, margin: int = 0) -> dict[str, np.ndarray]:
+    """Of the mean cross-entropy over all positions inside and between the margins, by
+    backpropagation through time."""
     kept: dict[str, list] = {"f": [], "b": []}
-    states = {d: _direction(w, d, x, kept[d]) for d in "fb"}
+    states = {d: _direction(w, d, x, inside, margin, kept[d]) for d in "fb"}
     p = _softmax(w["Of"] @ states["f"] + w["Ob"] @ states["b"] + w["o"][:, None])
     p[:, y, np.arange(x.shape[1])] -= 1
-    p *= (mask / mask.sum())[:, None, :]
+    asked = inside.copy()
+    if margin:
+        asked[:margin] = asked[-margin:] = 0
+    p *= (asked / max(asked.sum(), 1))[:, None, :]
     g = {k: np.zeros_like(a) for k, a in w.items()}
     g["o"] = p.sum((0, 2))
     lanes = np.arange(x.shape[1])
@@ -117,7 +140,7 @@ def _gradients(w: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, mask: np.
         back, u, v = w[f"O{d}"].T @ p, w[f"U{d}"], w[f"V{d}"]
         dh = np.zeros(states[d].shape[1:], np.float32)
         for t, h, r, z, c in reversed(kept[d]):
-            dh = dh + back[t]
+            dh = (dh + back[t]) * inside[t]
             dc = dh * z * (1 - np.abs(c)) ** 2
             drh = v.T @ dc
             dgates = np.concatenate((drh * h * slope(r), dh * (c - h) * slope(z)))
@@ -130,32 +153,42 @@ def _gradients(w: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, mask: np.
     return g
 
 
-def fit(texts: list[str], labels: list[str], seed: int = 7, steps: int = STEPS, hidden: int = HIDDEN) -> Network:
-    """A network trained with Adam on windows spread over the texts."""
+def cut(text: str) -> list[tuple[str, str]]:
+    """The training windows of a text: what lies before each (``MARGIN`` characters at most), and
+    the window with what follows."""
+    reach = TRAIN_WINDOW + MARGIN
+    last = max(0, len(text) - reach)
+    places = sorted({last * k // (SAMPLE_WINDOWS - 1) for k in range(SAMPLE_WINDOWS)})
+    return [(text[max(0, s - MARGIN) : s], text[s : s + reach]) for s in places] if text else []
+
+
+def fit(windows: Sequence[tuple[str, str]], labels: Sequence[str], seed: int = 7, steps: int = STEPS, hidden: int = HIDDEN) -> Network:
+    """A network trained with Adam on windows as ``cut`` gives them."""
     languages = sorted(set(labels))
+    number = {name: k for k, name in enumerate(languages)}
     rng = np.random.default_rng(seed)
-    x, y = [], []
-    for text, label in zip(texts, labels, strict=True):
-        data = _CLASS[np.frombuffer(text.encode("utf-8", "replace"), np.uint8)]
-        last = max(0, len(data) - WINDOW)
-        for at in sorted({int(v) for v in np.linspace(0, last, SAMPLE_WINDOWS)}) if len(data) else []:
-            own = data[at : at + WINDOW]
-            x.append(np.concatenate((own, np.full(WINDOW - len(own), -1))))
-            y.append(languages.index(label))
+    x = np.full((len(windows), TRAIN_WINDOW + 2 * MARGIN), -1, np.int32)
+    for row, (before, own) in zip(x, windows, strict=True):
+        lead = np.frombuffer(before.encode("utf-8", "replace")[-MARGIN:], np.uint8)
+        body = np.frombuffer(own.encode("utf-8", "replace")[: TRAIN_WINDOW + MARGIN], np.uint8)
+        row[MARGIN - len(lead) : MARGIN] = _CLASS[lead]
+        row[MARGIN : MARGIN + len(body)] = _CLASS[body]
+    y = np.array([number[name] for name in labels], np.int64)
     shape = {"o": (len(languages),)}
     for d in "fb":
         shape |= {f"E{d}": (3 * hidden, CLASSES), f"U{d}": (2 * hidden, hidden), f"V{d}": (hidden, hidden), f"O{d}": (len(languages), hidden)}
     w = {k: (rng.standard_normal(s) * (0 if k == "o" else 0.3)).astype(np.float32) for k, s in shape.items()}
-    if len(languages) < 2 or not x:
+    if len(languages) < 2:
         return Network(languages, w)
-    xs, ys = np.array(x), np.array(y)
-    by = [np.flatnonzero(ys == k) for k in range(len(languages))]
-    by = [b for b in by if len(b)]
+    by = [np.flatnonzero(y == k) for k in range(len(languages))]
     m, s = ({k: np.zeros_like(a) for k, a in w.items()} for _ in range(2))
     for step in range(1, steps + 1):
-        pick = np.concatenate([rng.choice(b, max(1, BATCH // len(by))) for b in by])
-        batch = xs[pick].T
-        g = _gradients(w, np.where(batch < 0, 0, batch), ys[pick], (batch >= 0).astype(np.float32))
+        if len(by) <= BATCH:
+            pick = np.concatenate([rng.choice(b, BATCH // len(by)) for b in by])
+        else:
+            pick = np.array([rng.choice(by[k]) for k in rng.choice(len(by), BATCH, replace=False)])
+        batch = x[pick].T
+        g = _gradients(w, np.maximum(batch, 0), y[pick], (batch >= 0).astype(np.float32), MARGIN)
         rate = RATE * min(1.0, step / 20) * (1 - 0.9 * step / steps)
         for k in w:
             m[k] += 0.1 * (g[k] - m[k])
@@ -174,18 +207,20 @@ def probabilities(net: Network, data: np.ndarray, offsets: np.ndarray) -> np.nda
     count = -(-size // WINDOW)
     row = np.repeat(np.arange(len(size)), count)
     nth = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-    start, own = offsets[row] + nth * WINDOW, np.minimum(size[row] - nth * WINDOW, WINDOW)
-    classes = _CLASS.astype(np.int32)[data]
-    reach = np.arange(WINDOW)[:, None]
-    for lo in range(0, len(row), LANES):
-        s, k = start[lo : lo + LANES], own[lo : lo + LANES]
-        inside = reach < k
-        x = np.where(inside, classes.take(np.minimum(s + reach, len(data) - 1)), 0)
-        a = w["Of"] @ _direction(w, "f", x)
-        a += w["Ob"] @ _direction(w, "b", x)
+    start = offsets[row] + nth * WINDOW
+    reach = np.arange(-MARGIN, WINDOW + MARGIN)[:, None]
+    lanes = max(32, min(LANES, (1 << 22) // (WINDOW * n_lang)))
+    own = slice(MARGIN, MARGIN + WINDOW)
+    for lo in range(0, len(row), lanes):
+        r = row[lo : lo + lanes]
+        at = start[lo : lo + lanes] + reach
+        inside = ((at >= offsets[r]) & (at < offsets[r + 1])).astype(np.float32)
+        x = _CLASS[data[np.clip(at, 0, len(data) - 1)]]
+        a = w["Of"] @ _direction(w, "f", x, inside, MARGIN)[own]
+        a += w["Ob"] @ _direction(w, "b", x, inside, MARGIN)[own]
         a += w["o"][:, None]
-        p = np.einsum("tkl,tl->lk", _softmax(a), inside.astype(np.float32))
-        np.add.at(total, row[lo : lo + LANES], p)
+        p = np.einsum("tkl,tl->lk", _softmax(a), inside[own])
+        np.add.at(total, r, p)
     return total / np.maximum(size, 1)[:, None]
 
 
@@ -206,16 +241,38 @@ def _predictor(net: Network) -> Callable:
     return run
 
 
-def training_sample(docs: DataFrame, text_col: str, lang_col: str, where: Column, per_language: int = SAMPLE) -> tuple[list[str], list[str]]:
-    """At most ``per_language`` texts of each of at most ``LANGUAGES`` labels: those least in a
-    hash of the text, among texts with a letter.  Ranks are limited on the map side first."""
-    own = docs.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where(where & F.col(lang_col).isNotNull())
-    own = own.where(F.col("text").rlike(r"\p{L}") & (F.length("text") <= SAMPLE_CHARS)).withColumn("k", F.xxhash64("text"))
-    counts = own.groupBy("lang").count()
-    names = [r["lang"] for r in counts.orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
-    ranked = own.where(F.col("lang").isin(names)).withColumn("n", F.row_number().over(W.partitionBy("lang").orderBy("k", "text"))).where(F.col("n") <= per_language)
-    rows = sorted((r["lang"], r["k"], r["text"]) for r in ranked.collect())
-    return [r[2] for r in rows], [r[0] for r in rows]
+def _windows(text: Column) -> Column:
+    """What ``cut`` gives, as an array of (before, own)."""
+    reach = TRAIN_WINDOW + MARGIN
+    last = F.greatest(F.length(text) - reach, F.lit(0)).cast("long")
+    places = F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(SAMPLE_WINDOWS - 1)), lambda k: F.floor(last * k / (SAMPLE_WINDOWS - 1)).cast("int")))
+    before = lambda s: F.substring(text, F.greatest(s - MARGIN, F.lit(0)) + 1, F.least(s, F.lit(MARGIN)))
+    return F.transform(places, lambda s: F.struct(before(s).alias("before"), F.substring(text, s + 1, F.lit(reach)).alias("own")))
+
+
+def training_sample(docs: DataFrame, text_col: str, lang_col: str, where: Column, per_language: int = SAMPLE, rows: int = SAMPLE_ROWS) -> tuple[list[tuple[str, str]], list[str]]:
+    """Windows and labels of the sample: of each label the distinct texts least in a hash.
+
+    Distinct texts of each label are counted first (a sketch, combined on the map side); then only
+    hashes below a bound that lets a few times the sample through are ranked, so the rows of a
+    frequent language never meet in one task.
+    """
+    lang = F.col(lang_col).cast("string")
+    own = docs.where(where & lang.isNotNull() & has_letter(text_col)).select(lang.alias("lang"), F.xxhash64(text_col).alias("k"), F.col(text_col).alias("text"))
+    counts = own.groupBy("lang").agg(F.approx_count_distinct("k").alias("n")).orderBy(F.desc("n"), "lang").limit(rows).collect()
+    if not counts:
+        return [], []
+    each = max(1, min(per_language, rows // len(counts)))
+    bound = lambda n: int(-(2**63) + min(1.0, (4 * each + 40) / max(n, 1)) * (2**64 - 1025))
+    limits = docs.sparkSession.createDataFrame([(r["lang"], min(bound(r["n"]), 2**63 - 1)) for r in counts], "lang string, most long")
+    few = own.join(F.broadcast(limits), "lang").where("k <= most").select("lang", "k", _windows(F.col("text")).alias("windows"))
+    one = few.groupBy("lang", "k").agg(F.min("windows").alias("windows"))
+    ranked = one.withColumn("n", F.row_number().over(W.partitionBy("lang").orderBy("k"))).where(F.col("n") <= each)
+    windows, labels = [], []
+    for r in sorted(ranked.collect(), key=lambda r: (r["lang"], r["k"])):
+        windows += [(x["before"], x["own"]) for x in r["windows"]]
+        labels += [r["lang"]] * len(r["windows"])
+    return windows, labels
 
 
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", where: Column | None = None) -> Network:
@@ -228,9 +285,11 @@ def has_letter(text_col: str = "text") -> Column:
     return F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
 
 
-def identify(docs: DataFrame, net: Network, text_col: str = "text") -> DataFrame:
-    """Every row with lang_pred and score."""
+def identify(docs: DataFrame, net: Network, text_col: str = "text", into: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """Every row with its language and score, in the columns named by ``into``."""
     predict = F.pandas_udf(_predictor(net), "lang_pred string, score double")
-    rest = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    out = docs.select(*rest, has_letter(text_col).alias("_letter"), predict(F.col(text_col)).alias("_p"))
-    return out.select(*rest, F.when(F.col("_letter"), F.col("_p.lang_pred")).otherwise("und").alias("lang_pred"), F.when(F.col("_letter") & (F.col("_p.lang_pred") != "und"), F.col("_p.score")).otherwise(0.0).alias("score"))
+    rest = [c for c in docs.columns if c not in into]
+    letter, found = unused(docs.columns, "_letter", "_found")
+    out = docs.select(*rest, has_letter(text_col).alias(letter), predict(F.col(text_col)).alias(found))
+    lang, known = F.col(f"{found}.lang_pred"), F.col(letter) & (F.col(f"{found}.lang_pred") != "und")
+    return out.select(*rest, F.when(F.col(letter), lang).otherwise("und").alias(into[0]), F.when(known, F.col(f"{found}.score")).otherwise(0.0).alias(into[1]))
