@@ -8,6 +8,10 @@ sequence crosses documents.
 The plan is one scan and one Arrow map: no shuffle, memory bounded by a batch, and a lost
 executor costs its running tasks only.
 
+Ids are those of the ``tokenizers`` file, special tokens of its own in a text included: such a
+token's string becomes its id.  Texts are encoded in parts at which its pattern always splits; a
+worker remembers the ids of parts, since most come again.
+
 Defined results: null text counts as empty; an empty text is one piece of one id (the end id);
 repeated rows and equal or null doc_ids are packed each on its own; other columns are not
 carried; an empty table gives an empty result.
@@ -15,9 +19,10 @@ carried; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import base64
+import os
+import re
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -33,16 +38,16 @@ MAX_LEN = 2048
 REMEMBER = 800_000
 
 
-def vocabulary() -> tuple[str, str]:
-    """Place of the ranks of the public byte-level vocabulary, and its splitting pattern."""
+def vocabulary() -> str:
+    """Place of the public byte-level vocabulary."""
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def part_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Places where the vocabulary's pattern always splits: the starts of rows, and white space
-    in ASCII after a character that is not white space.
+def part_starts(data: np.ndarray, offsets: np.ndarray, special: Sequence[bytes] = ()) -> np.ndarray:
+    """Places where the vocabulary always splits: the starts of rows, both ends of a special token,
+    and white space in ASCII after a character that is not white space.
 
     No token of the pattern goes on from a visible character into white space, and its only
     look-ahead is within a run of white space, so encoding the parts alone gives the same ids.
@@ -57,6 +62,11 @@ def part_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         wide[2:] |= lead[:-1]
     cut = np.zeros(len(data) + 1, bool)
     cut[1:-1] = white[1:] & ~white[:-1] & ~wide[:-1]
+    raw = data.tobytes() if special else b""
+    found = [m.span(1) for t in special if t in raw for m in re.finditer(b"(?=(" + re.escape(t) + b"))", raw)]
+    for lo, hi in found:
+        if np.searchsorted(offsets, lo, "right") == np.searchsorted(offsets, hi, "left"):  # in one row
+            cut[lo] = cut[hi] = True
     cut[offsets] = True
     return np.flatnonzero(cut[:-1])
 
@@ -64,14 +74,17 @@ def part_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 class Encoder:
     """Ids of whole texts, with a memory of parts by a 64-bit hash and length."""
 
-    def __init__(self, ranks_path: str, pattern: str) -> None:
-        import tiktoken
+    def __init__(self, path: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        from tokenizers import Tokenizer
 
-        with open(ranks_path, "rb") as lines:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        self.encode = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.tokenizer = Tokenizer.from_file(path)
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.clear()
 
+    def encode(self, parts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
+
     def clear(self) -> None:
         self.place: dict[int, int] = {}
         self.ids = np.zeros(1 << 20, np.int32)
@@ -93,32 +106,42 @@ class Encoder:
             return np.zeros(0, np.int32), np.zeros(len(offsets), np.int64)
         if len(self.place) > REMEMBER:
             self.clear()
-        starts = part_starts(data, offsets)
+        starts = part_starts(data, offsets, self.special)
         ends = np.append(starts[1:], len(data))
         up, down = textvec._power(len(data) + 1)
         sums = np.zeros(len(data) + 1, np.uint64)
         np.cumsum(textvec._BYTE[data] * up[: len(data)], out=sums[1:])
         keys = textvec.mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
         distinct, where, back = np.unique(keys, return_index=True, return_inverse=True)
-        raw, known, get = data.tobytes(), np.empty(len(distinct), np.int64), self.place.get
-        had, new, counts = len(self.place), [], []
-        froms, tos, encode, place = starts[where].tolist(), ends[where].tolist(), self.encode, self.place
-        for j, key in enumerate(distinct.tolist()):
-            k = get(key)
-            if k is None:
-                got = encode(raw[froms[j] : tos[j]].decode("utf-8", "replace"))
-                new += got
-                counts.append(len(got))
-                k = place[key] = had + len(counts) - 1
-            known[j] = k
-        if counts:
-            self._add(new, counts, had)
+        known = np.array([self.place.get(key, -1) for key in distinct.tolist()], np.int64)
+        new = np.flatnonzero(known < 0)
+        if len(new):
+            raw, had = data.tobytes(), len(self.place)
+            found = self.encode([raw[a:b].decode("utf-8", "replace") for a, b in zip(starts[where[new]].tolist(), ends[where[new]].tolist(), strict=True)])
+            self._add([i for ids in found for i in ids], [len(ids) for ids in found], had)
+            known[new] = np.arange(had, had + len(new))
+            self.place.update(zip(distinct[new].tolist(), known[new].tolist(), strict=True))
         part = known[back]
         begin, count = self.at[part], self.at[part + 1] - self.at[part]
         total = np.concatenate(([0], np.cumsum(count)))
         ids = self.ids[np.arange(total[-1]) + np.repeat(begin - total[:-1], count)]
         return ids, total[np.searchsorted(starts, offsets)]
 
+    def whole(self, data: np.ndarray) -> np.ndarray:
+        """All ids of one long text, a block of parts at a time."""
+        out, lo, size = [], 0, textvec.CHUNK
+        while lo < len(data):
+            block = data[lo : lo + size]
+            hi = len(block)
+            if lo + hi < len(data):
+                hi = int(part_starts(block, np.array([0, len(block)]), self.special)[-1])
+                if not hi:  # one part fills the block
+                    size *= 2
+                    continue
+            out.append(self.batch(block[:hi], np.array([0, hi]))[0])
+            lo, size = lo + hi, textvec.CHUNK
+        return np.concatenate(out) if out else np.zeros(0, np.int32)
+
 
 def binary_lengths(n: int, max_len: int) -> list[int]:
     """Piece lengths of n ids: whole ``max_len`` pieces, then the set bits of the rest."""
@@ -132,20 +155,23 @@ def binary_lengths(n: int, max_len: int) -> list[int]:
     return out
 
 
-_encoders: dict[tuple[str, str], Encoder] = {}
+_encoders: dict[str, Encoder] = {}
 
 
-def _packer(ranks_path: str, pattern: str, max_len: int, with_ids: bool) -> Callable:
+def _packer(path: str, max_len: int, with_ids: bool) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = (ranks_path, pattern)
-        if key not in _encoders:
-            _encoders[key] = Encoder(*key)
-        encoder = _encoders[key]
+        if path not in _encoders:
+            _encoders[path] = Encoder(path)
+        encoder = _encoders[path]
         for batch in batches:
-            data, offsets = textvec.buffer_of(batch.column(1))
+            data, offsets = textvec.buffer_of(batch.column(2))
             for lo, hi in textvec.chunks(offsets):
                 part, off = data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
-                ids, first = encoder.batch(part, off)
+                if len(part) > 2 * textvec.CHUNK:  # one long text
+                    ids = encoder.whole(part)
+                    first = np.array([0, len(ids)])
+                else:
+                    ids, first = encoder.batch(part, off)
                 rows, start, length, crc, whole, out = [], [], [], [], [], []
                 for r in range(hi - lo):
                     own = np.append(ids[first[r] : first[r + 1]], END_ID).astype("<u4")
@@ -160,8 +186,8 @@ def _packer(ranks_path: str, pattern: str, max_len: int, with_ids: bool) -> Call
                         if with_ids:
                             out.append(piece)
                         at += n
-                columns = [batch.column(0).take(pa.array(rows, pa.int64())), *(pa.array(x, pa.int64()) for x in (start, length, crc, whole))]
-                names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
+                columns = [*(batch.column(k).take(pa.array(rows, pa.int64())) for k in (0, 1)), *(pa.array(x, pa.int64()) for x in (start, length, crc, whole))]
+                names = ["row", "doc_id", "start", "length", "ids_crc32", "doc_tokens"]
                 if with_ids:
                     flat = np.concatenate(out).astype(np.int32) if out else np.zeros(0, np.int32)
                     ends = np.concatenate(([0], np.cumsum(length))).astype(np.int32)
@@ -172,20 +198,20 @@ def _packer(ranks_path: str, pattern: str, max_len: int, with_ids: bool) -> Call
     return run
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_len: int = MAX_LEN, with_ids: bool = True, vocabulary_at: tuple[str, str] | None = None) -> DataFrame:
-    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, ids (if asked for),
-    bucket (log2 of the length), sequence_id and offset (0: a piece is a sequence).
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_len: int = MAX_LEN, with_ids: bool = True, vocabulary_at: str | None = None) -> DataFrame:
+    """One row per piece: row (a number of the packed row: copies of a document have their own),
+    doc_id, start, length, ids_crc32, doc_tokens, ids (if asked for), bucket (log2 of the length),
+    sequence_id and offset (0: a piece is a sequence).
 
     ``max_len`` must be a power of two.  ``sequence_id`` numbers the pieces by partition, so no
     global sort is needed; it is the same on a rerun over the same files.
     """
     if max_len < 1 or max_len & (max_len - 1):
         raise ValueError("max_len must be a power of two")
-    ranks_path, pattern = vocabulary_at or vocabulary()
-    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    schema = T.StructType([slim.schema["doc_id"], *(T.StructField(n, T.LongType()) for n in ("start", "length", "ids_crc32", "doc_tokens"))])
+    slim = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    schema = T.StructType([slim.schema["row"], slim.schema["doc_id"], *(T.StructField(n, T.LongType()) for n in ("start", "length", "ids_crc32", "doc_tokens"))])
     if with_ids:
         schema = schema.add("ids", T.ArrayType(T.IntegerType()))
-    pieces = slim.mapInArrow(_packer(ranks_path, pattern, max_len, with_ids), schema)
+    pieces = slim.mapInArrow(_packer(vocabulary_at or vocabulary(), max_len, with_ids), schema)
     bucket = F.log2(F.col("length")).cast("int")
     return pieces.withColumns({"bucket": bucket, "sequence_id": F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})

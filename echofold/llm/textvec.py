@@ -1,9 +1,8 @@
 """Vectorised word handling over Arrow text columns.
 
 A batch of texts is one byte buffer with row offsets.  Word boundaries and 64-bit word hashes
-are found with whole-buffer numpy operations; there is no loop over words.  Work goes in chunks
-of whole rows of about ``CHUNK`` bytes, so memory is about 60 times the larger of that and the
-longest single text.
+are found with numpy operations over blocks of ``CHUNK`` bytes; there is no loop over words.  Memory
+is about 60 times a block, and some 16 bytes for each word of the longest single text.
 """
 
 from __future__ import annotations
@@ -79,22 +78,46 @@ def chunks(offsets: np.ndarray, size: int = CHUNK) -> Iterator[tuple[int, int]]:
         lo = min(hi, n)
 
 
-def words(data: np.ndarray, offsets: np.ndarray, apart: np.ndarray = WHITE) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of some rows in order, and per row the number of its first word (one
-    more entry than rows).  ASCII capitals count as small letters."""
-    if not len(data):
-        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
+def _block(data: np.ndarray, edge: np.ndarray, apart: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and polynomial hashes of the runs of visible bytes in a block; ``edge`` marks
+    where a row begins (one more entry than bytes)."""
     inside = ~apart[data]
-    edge = np.zeros(len(data) + 1, bool)
-    edge[offsets] = True
     starts = np.flatnonzero(inside & np.concatenate(([True], ~inside[:-1] | edge[1:-1])))
     ends = np.flatnonzero(inside & np.concatenate((~inside[1:] | edge[1:-1], [True]))) + 1
     up, down = _power(len(data) + 1)
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_BYTE_LOWER[data] * up[: len(data)], out=sums[1:])
-    raw = (sums[ends] - sums[starts]) * down[starts]
-    hashes = mix(raw + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-    return hashes, np.searchsorted(starts, offsets)
+    return starts, ends, (sums[ends] - sums[starts]) * down[starts]
+
+
+def words(data: np.ndarray, offsets: np.ndarray, apart: np.ndarray = WHITE) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of some rows in order, and per row the number of its first word (one
+    more entry than rows).  ASCII capitals count as small letters.
+
+    Blocks cut through words: the parts of such a word are joined by the power of the first's
+    length, so its hash does not depend on where blocks end.
+    """
+    if not len(data):
+        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
+    begin, raw, size = [], [], []
+    for lo in range(0, len(data), CHUNK):
+        hi = min(lo + CHUNK, len(data))
+        edge = np.zeros(hi - lo + 1, bool)
+        edge[offsets[np.searchsorted(offsets, lo) : np.searchsorted(offsets, hi, "right")] - lo] = True
+        starts, ends, hashes = _block(data[lo:hi], edge, apart)
+        length = ends - starts
+        if len(starts) and starts[0] == 0 and not edge[0] and size and len(size[-1]) and begin[-1][-1] + size[-1][-1] == lo:
+            joined = int(raw[-1][-1]) + pow(int(_BASE), int(size[-1][-1]), 1 << 64) * int(hashes[0])
+            raw[-1][-1] = np.uint64(joined % (1 << 64))
+            size[-1][-1] += length[0]
+            starts, hashes, length = starts[1:], hashes[1:], length[1:]
+        if len(starts) or not size:
+            begin.append(starts + lo)
+            raw.append(hashes)
+            size.append(length)
+    first, lengths = np.concatenate(begin), np.concatenate(size)
+    hashes = mix(np.concatenate(raw) + lengths.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    return hashes, np.searchsorted(first, offsets)
 
 
 def rows_of(first: np.ndarray) -> np.ndarray:
