@@ -2,8 +2,9 @@
 
 Features of a text are its distinct words, word pairs and pairs with one word between, lower-cased
 and hashed into 2^``DIM_BITS`` places.  Training runs over a bounded sample of labelled documents
-(``SAMPLE`` per class, least in a hash of the id) with a rate per coordinate and an L1 term that
-leaves most weights at exactly zero; the few others travel in the closure as index and value.
+(``SAMPLE`` per class, least in a hash of the id, and of these as many as have ``SAMPLE_PLACES``
+features together) with a rate per coordinate and an L1 term that leaves most weights at exactly
+zero; the few others travel in the closure as index and value.
 
 Defined results: null and empty texts score the prior (the bias alone); repeated rows get equal
 scores; other columns pass through and columns named score or predicted are replaced; labels
@@ -20,12 +21,15 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import textvec
 
 DIM_BITS = 20
 SAMPLE = 4_000
+#: Most features of the sample of a class (4 bytes each): a bound on what reaches the driver.
+SAMPLE_PLACES = 16_000_000
 PASSES = 5
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 20.0, 1.0
 _KIND = textvec.mix(np.arange(1, 4, dtype=np.uint64))
@@ -62,11 +66,13 @@ def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Label, order and the distinct feature places of each text."""
     for batch in batches:
         data, offsets = textvec.buffer_of(batch.column(2))
-        at, row = features(data, offsets)
-        order = np.argsort(row, kind="stable")
-        bounds = np.searchsorted(row[order], np.arange(batch.num_rows + 1))
-        own = [np.unique(at[order[lo:hi]]).astype(np.int32) for lo, hi in zip(bounds[:-1], bounds[1:], strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(own, pa.list_(pa.int32()))], ["label", "k", "at"])
+        for lo, hi in textvec.chunks(offsets):
+            at, row = features(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+            order = np.argsort(row, kind="stable")
+            bounds = np.searchsorted(row[order], np.arange(hi - lo + 1))
+            own = [np.unique(at[order[a:b]]).astype(np.int32) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+            columns = [batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(own, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(columns, ["label", "k", "at"])
 
 
 def fit(samples: list[tuple[int, np.ndarray]], passes: int = PASSES, alpha: float = ALPHA, beta: float = BETA, l1: float = L1, l2: float = L2) -> Model:
@@ -107,7 +113,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     parts = [own.where(F.col("label") == y).orderBy("k", "_i").limit(sample) for y in (0, 1)]
     chosen = parts[0].unionByName(parts[1])
     texts = docs.select(F.col(id_col).alias("_i"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "_i").select("label", "k", "text")
-    rows = texts.mapInArrow(_distinct, "label int, k long, at array<int>").toPandas()
+    places = texts.mapInArrow(_distinct, "label int, k long, at array<int>")
+    so_far = F.sum(F.size("at")).over(W.partitionBy("label").orderBy("k", "at").rowsBetween(W.unboundedPreceding, 0))
+    rows = places.withColumn("so_far", so_far).where(F.col("so_far") <= SAMPLE_PLACES).select("label", "k", "at").toPandas()
     rows = sorted(((int(y), int(k), a) for y, k, a in zip(rows["label"], rows["k"], rows["at"], strict=True)), key=lambda r: (r[1], r[0], bytes(np.asarray(r[2], np.int32))))
     return fit([(y, np.asarray(a, np.int64)) for y, _, a in rows])
 
