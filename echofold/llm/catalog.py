@@ -2,21 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..runtime import table
+from ..runtime import Scratch, table
 from . import chat, exact_dedup, langid, mixing, near_dedup, packing, quality, toxicity, url_filters, warc
 
 
-def _remainder(of: str, by: int):
-    """crc32 of an id as text, modulo ``by``; null ids give null."""
-    return F.crc32(F.col(of).cast("string")) % by
+def _fold(of: str, by: int, rest: int) -> Column:
+    """Whether the crc32 of an id as text has this remainder; false for a null id."""
+    return F.coalesce(F.crc32(F.col(of).cast("string")) % by == rest, F.lit(False))
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    held = _remainder("doc_id", 3) == 1
+    held = _fold("doc_id", 3, 1)
     net = langid.train(docs, where=~held)
     return langid.identify(docs.select("doc_id", "text", held.alias("held_out")), net).select("doc_id", "held_out", "lang_pred", "score")
 
@@ -27,8 +27,7 @@ def op2_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     last = F.concat(F.expr("substr(html, 1, length(html) - 1)"), F.lit("~"))
     damaged = pages.where("page_id is null or page_id % 997 <> 13").withColumn("html", F.when(F.col("page_id") % 101 == 7, last).otherwise(F.col("html")))
-    found = warc.audit(warc.records(pages), warc.records(damaged))
-    return found.withColumn("page_id", F.coalesce("left_page", "right_page")).drop("left_page", "right_page")
+    return warc.audit(warc.records(pages), warc.records(damaged))
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,14 +67,15 @@ def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    segments = chat.transcripts(table(spark, sf_dir, "conversations"))
-    model = chat.train(segments.where(_remainder("conv_id", 5) != 0))
-    return chat.parse(chat.raw(segments), model)
+    """All conversations written raw, with some markers lost, and parsed again by a model counted
+    on four fifths of them."""
+    segments = Scratch(spark, "segments").cut(chat.transcripts(table(spark, sf_dir, "conversations")), "segments")
+    return chat.parse(chat.raw(segments), chat.train(segments.where(~_fold("conv_id", 5, 0))))
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    held = _remainder("doc_id", 5) == 0
+    held = _fold("doc_id", 5, 0)
     labels = table(spark, sf_dir, "labels").where(~held)
     model = toxicity.train(docs, labels)
     scored = toxicity.score(docs.withColumn("held_out", held), model)
@@ -107,8 +107,8 @@ ORACLES = {
         WITH {_side("a", "SELECT page_id, url, coalesce(html, '') AS h FROM pages")},
         {_side("b", "SELECT page_id, url, CASE WHEN page_id % 101 = 7 AND html IS NOT NULL THEN substr(html, 1, length(html) - 1) || '~' ELSE coalesce(html, '') END AS h FROM pages WHERE page_id % 997 <> 13")}
         SELECT coalesce(a.file_no, b.file_no) AS file_no, coalesce(a.at, b.at) AS "offset", coalesce(a.page_id, b.page_id) AS page_id,
-            CASE WHEN b.hash IS NULL THEN 'missing' WHEN a.hash IS NULL THEN 'extra' ELSE 'altered' END AS damage, a.hash AS left_hash, b.hash AS right_hash
-        FROM a_l a FULL JOIN b_l b ON a.file_no = b.file_no AND a.at = b.at WHERE a.hash IS DISTINCT FROM b.hash""",
+            CASE WHEN b.hash IS NULL THEN 'missing' WHEN a.hash IS NULL THEN 'extra' ELSE 'altered' END AS damage, 1::BIGINT AS copies, a.hash AS left_hash, b.hash AS right_hash
+        FROM a_l a FULL JOIN b_l b ON a.page_id = b.page_id WHERE a.hash IS DISTINCT FROM b.hash""",
     "op3_quality_rules": rf"""
         WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, [x FOR x IN string_split(coalesce(text, ''), chr(10)) IF regexp_matches(x, '[^\x20\x09-\x0D]')] AS ls FROM documents),
         runs AS (SELECT doc_id, i, w[i:i + 4] AS r FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d)),

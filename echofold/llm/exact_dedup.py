@@ -12,7 +12,8 @@ Defined results: null text counts as empty; texts are equal when the same after
 A-Z; rows with a null id are counted and dropped for any row with an id, and if a group has only
 null ids its keep_id is null and ``assign`` flags all its rows kept; a repeated row (same id and
 text) is flagged kept on each of its copies by ``assign``; ``deduplicate`` leaves one row of each
-text in both cases; other columns pass through; an empty table gives an empty result.
+text in both cases; other columns pass through, and columns named like a result of ``assign`` are
+replaced; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .columns import unused
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -43,15 +46,15 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep
 def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min", carry: list[str] | None = None) -> DataFrame:
     """Every row with keep_id, group_size, kept and text_sha256; ``carry`` names the columns to
     pass through (all by default)."""
-    clash = {"_h", "_sha", "keep_id", "group_size", "kept", "text_sha256"} & set(docs.columns)
-    if clash:
-        docs = docs.withColumnsRenamed({c: f"{c}_in" for c in clash})
-    carry = [f"{c}_in" if c in clash else c for c in carry] if carry is not None else docs.columns
+    results = ("keep_id", "group_size", "kept", "text_sha256")
+    carry = [c for c in (docs.columns if carry is None else carry) if c not in results or c == id_col]
+    own, h, sha, keep_id = unused(docs.columns, "_id", "_h", "_sha", "_keep")
     text = normalised(F.col(text_col))
-    rows = docs.select(*carry, F.md5(text).alias("_h"), F.sha2(text, 256).alias("_sha"))
-    joined = rows.join(groups(docs, id_col, text_col, keep), ["_h", "_sha"], "left")
-    kept = F.col(id_col).eqNullSafe(F.col("keep_id"))
-    return joined.select(*carry, "keep_id", "group_size", kept.alias("kept"), F.col("_sha").alias("text_sha256"))
+    rows = docs.select(*carry, F.col(id_col).alias(own), F.md5(text).alias(h), F.sha2(text, 256).alias(sha))
+    one = groups(docs, id_col, text_col, keep).select(F.col("_h").alias(h), F.col("_sha").alias(sha), F.col("keep_id").alias(keep_id), "group_size")
+    joined = rows.join(one, [h, sha], "left")
+    kept = F.col(own).eqNullSafe(F.col(keep_id))
+    return joined.select(*carry, F.col(keep_id).alias("keep_id"), "group_size", kept.alias("kept"), F.col(sha).alias("text_sha256"))
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min") -> DataFrame:
@@ -60,4 +63,4 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     text, own, known = normalised(F.col(text_col)), F.col(id_col), F.col(id_col).isNotNull()
     pick, first = {"min": (F.min_by, ~known), "max": (F.max_by, known)}[keep]
     row = pick(F.struct(*docs.columns), F.struct(first, own, F.xxhash64(text_col))).alias("_row")
-    return docs.groupBy(F.md5(text).alias("_h"), text.alias("_text")).agg(row).select("_row.*")
+    return docs.groupBy(F.md5(text).alias("_h"), text.alias("_text")).agg(row).select("_row").select("_row.*")

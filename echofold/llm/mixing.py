@@ -108,3 +108,13 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     repeats = F.least(F.col("_whole") + F.col("_more").cast("long"), F.lit(int(max_epochs)).cast("long") if max_epochs == int(max_epochs) else F.lit(int(max_epochs) + 1).cast("long"))
     back = [F.col(f"_c_{c}").alias(c) for c in carry]
     return clear.unionByName(edge).select("doc_id", "source", "size", "source_size", "target", repeats.alias("repeats"), (F.col("size") * repeats).alias("taken"), *back)
+
+
+def repeat(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
+    """The rows of ``docs``, each as often as the mix takes it."""
+    names = {c: f"_row_{k}" for k, c in enumerate(docs.columns)}
+    whole = [F.col(c).alias(n) for c, n in names.items()]
+    given = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(source_col).alias("source"), *whole)
+    taken = mix(given, carry=list(names.values()), **how).where("repeats > 0")
+    copies = taken.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("repeats"))))
+    return copies.select(*[F.col(n).alias(c) for c, n in names.items()])

@@ -45,6 +45,7 @@ from pyspark.sql import functions as F
 from ..operators.cluster import components
 from ..runtime import Scratch
 from . import textvec
+from .columns import unused
 
 WIDTH = 5
 NUMERATOR, DENOMINATOR = 3, 4  # linked at similarity 3/4 or more
@@ -348,5 +349,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """The rows of ``docs`` that stay: of each component the row (rows, if repeated) with its
     smallest id.  Rows with a null id stay only if their component has no other id.  The verdict
     goes by id and text, so it holds for rows whose id is null or belongs to other texts too."""
-    stay = _linked(docs.select(id_col, text_col), id_col, text_col, width).where("kept").select(F.col("_id").alias("_kept_id"), F.col("_text_key").alias("_kept_key")).distinct()
-    return docs.join(stay, (_text_key(text_col) == stay["_kept_key"]) & docs[id_col].eqNullSafe(stay["_kept_id"]), "left_semi")
+    kept_id, kept_key = unused(docs.columns, "_kept_id", "_kept_key")
+    rows = _linked(docs.select(id_col, text_col), id_col, text_col, width).where("kept")
+    stay = rows.select(F.col("_id").alias(kept_id), F.col("_text_key").alias(kept_key)).distinct()
+    return docs.join(stay, (_text_key(text_col) == F.col(kept_key)) & F.col(id_col).eqNullSafe(F.col(kept_id)), "left_semi")

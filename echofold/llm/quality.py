@@ -19,6 +19,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .columns import unused
+
 WINDOW = 5
 SEPARATORS = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
@@ -114,6 +116,7 @@ def compile_rules(thresholds: Sequence[tuple[str, float | None, float | None]] =
 def apply(docs: DataFrame, text_col: str = "text", thresholds: Sequence[tuple[str, float | None, float | None]] = THRESHOLDS) -> DataFrame:
     """Every row with its measures, base_failed and kept."""
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "mean_word_length", "symbol_ratio", "stop_ratio", "dup_line_ratio", "short_line_ratio", "upper_ratio"]
-    rest = [c for c in docs.columns if c not in (*names, "base_failed", "kept", "_m")]
-    measured = docs.select(*rest, measures(F.col(text_col)).alias("_m")).select(*rest, *[F.col("_m")[n].alias(n) for n in names])
+    rest = [c for c in docs.columns if c not in (*names, "base_failed", "kept")]
+    (m,) = unused(docs.columns, "_m")
+    measured = docs.select(*rest, measures(F.col(text_col)).alias(m)).select(*rest, *[F.col(m)[n].alias(n) for n in names])
     return measured.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & compile_rules(thresholds))

@@ -23,6 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .columns import unused
+
 SALTS = 16
 FOREVER = "9999-12-31 00:00:00"
 
@@ -48,20 +50,27 @@ def intervals(entries: DataFrame) -> DataFrame:
     return one.select("domain", "action", "since", F.coalesce(until, F.to_timestamp_ntz(F.lit(FOREVER))).alias("until"))
 
 
+def rules_of(hosts: DataFrame, entries: DataFrame, salts: int = SALTS) -> DataFrame:
+    """(host, rules): the intervals of each host and its parent domains.
+
+    A parent domain may hold a great share of the hosts, so hosts are salted and the intervals
+    replicated.  A host's rules are the entries of one list for its few domains."""
+    pairs = hosts.select("host", F.explode(suffixes(F.col("host"))).alias("domain"))
+    dealt = pairs.withColumn("salt", F.pmod(F.xxhash64("host"), F.lit(salts)).cast("int"))
+    listed = intervals(entries).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    rule = F.struct(F.length("domain").alias("depth"), "since", "until", "domain", "action")
+    return dealt.join(listed, ["domain", "salt"]).groupBy("host").agg(F.collect_list(rule).alias("rules"))
+
+
 def judge(captures: DataFrame, entries: DataFrame, url_col: str = "url", time_col: str = "fetched_at", salts: int = SALTS) -> DataFrame:
     """Every capture with host, matched_domain, action, active_since and kept."""
-    own = ("host", "matched_domain", "action", "active_since", "kept", "_salt", "_rules")
-    rest = [c for c in captures.columns if c not in own]
+    rest = [c for c in captures.columns if c not in ("host", "matched_domain", "action", "active_since", "kept")]
+    salt, rules, top = unused(captures.columns, "_salt", "_rules", "_top")
     rows = captures.select(*rest, host_of(F.col(url_col)).alias("host"))
-    hosts = rows.select("host").where("host is not null").distinct()
-    pairs = hosts.select("host", F.explode(suffixes(F.col("host"))).alias("domain"))
-    rule = F.struct(F.length("domain").alias("depth"), "since", "until", "domain", "action")
-    rules = pairs.join(intervals(entries), "domain").groupBy("host").agg(F.collect_list(rule).alias("_rules"))
-    spread = rules.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    salt = F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int")
-    joined = rows.withColumn("_salt", salt).join(spread, ["host", "_salt"], "left")
-    active = F.filter("_rules", lambda r: (r["since"] <= F.col(time_col)) & (F.col(time_col) < r["until"]))
-    top = F.array_max(active)
-    found = joined.withColumn("_top", top)
-    blocked = F.coalesce(F.col("_top.action") == "block", F.lit(False))
-    return found.select(*rest, "host", F.col("_top.domain").alias("matched_domain"), F.col("_top.action").alias("action"), F.col("_top.since").alias("active_since"), (~blocked).alias("kept"))
+    by_host = rules_of(rows.select("host").where("host is not null").distinct(), entries).withColumnRenamed("rules", rules)
+    spread = by_host.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    joined = rows.withColumn(salt, F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int")).join(spread, ["host", salt], "left")
+    active = F.filter(rules, lambda r: (r["since"] <= F.col(time_col)) & (F.col(time_col) < r["until"]))
+    found = joined.withColumn(top, F.array_max(active))
+    blocked = F.coalesce(F.col(f"{top}.action") == "block", F.lit(False))
+    return found.select(*rest, "host", F.col(f"{top}.domain").alias("matched_domain"), F.col(f"{top}.action").alias("action"), F.col(f"{top}.since").alias("active_since"), (~blocked).alias("kept"))
