@@ -6,13 +6,15 @@ Hashes are 64-bit patterns in signed longs.  A picture is row-major; grids are f
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 SIDE, LOW = 32, 8
 
@@ -109,24 +111,44 @@ def mean_colour(rgb: np.ndarray) -> np.ndarray:
     return v / max(np.linalg.norm(v), 1e-12)
 
 
-def text_raster(text: str | None) -> np.ndarray:
-    """A 32 x 32 picture of a text: distinct two-word shingles counted in cells by their md5."""
-    words = re.findall(r"\S+", (text or "").lower())
-    grid = np.zeros(SIDE * SIDE)
-    for s in {f"{a} {b}" for a, b in zip(words, words[1:], strict=False)}:
-        grid[int(hashlib.md5(s.encode()).hexdigest()[:6], 16) % (SIDE * SIDE)] += 1
-    return grid.reshape(SIDE, SIDE)
+def text_cells(text: Column) -> Column:
+    """The cells of a text's picture: of each distinct two-word shingle one of ``SIDE`` x ``SIDE``, by
+    its md5."""
+    words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"(\S+)"), 1)
+    pairs = F.transform(F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda b, i: F.concat(F.get(words, i), F.lit(" "), b))
+    cell = lambda s: (F.conv(F.substring(F.md5(s), 1, 6), 16, 10).cast("int") % (SIDE * SIDE)).cast("int")
+    return F.transform(F.array_distinct(pairs), cell)
+
+
+def many_variants(grids: np.ndarray) -> np.ndarray:
+    """``variants`` of many pictures (pictures x SIDE x SIDE) at once."""
+    c, out = np.round(_COS @ grids @ _COS.T, 6), []
+    for k in range(8):
+        t = c.transpose(0, 2, 1) if k & 4 else c
+        t = t * _SIGN[None, None, :] if k & 1 else t
+        t = (t * _SIGN[None, :, None] if k & 2 else t).reshape(len(c), -1)
+        bits = t > np.median(t, axis=1, keepdims=True)
+        out.append(np.packbits(bits, axis=1, bitorder="little").view("<i8")[:, 0])
+    return np.stack(out, 1)
 
 
 def text_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, phash array<bigint>) of the texts' rasters, in Arrow batches."""
+    """(id, phash array<bigint>) of the texts' pictures: cells in Spark, transforms in batches."""
     kind = docs.schema[id_col].dataType.simpleString()
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            yield pd.DataFrame({id_col: f[id_col], "phash": [variants(text_raster(t)) for t in f[text_col]]})
-
-    return docs.select(id_col, text_col).mapInPandas(run, f"{id_col} {kind}, phash array<bigint>")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 1024):
+                part = batch.slice(lo, 1024)
+                cells = part.column(1)
+                row = np.repeat(np.arange(part.num_rows), pc.list_value_length(cells).to_numpy(zero_copy_only=False))
+                flat = pc.list_flatten(cells).to_numpy(zero_copy_only=False).astype(np.int64)
+                grids = np.bincount(row * SIDE * SIDE + flat, minlength=part.num_rows * SIDE * SIDE).reshape(-1, SIDE, SIDE).astype(float)
+                hashes = many_variants(grids)
+                ends = pa.array(np.arange(part.num_rows + 1, dtype=np.int32) * 8)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(ends, pa.array(hashes.ravel()))], [id_col, "phash"])
+
+    return docs.select(id_col, text_cells(F.col(text_col)).alias("cells")).mapInArrow(run, f"{id_col} {kind}, phash array<bigint>")
 
 
 def analyse(files: DataFrame, decode, thumbnail_side: int = 256) -> DataFrame:

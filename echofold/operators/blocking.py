@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from ..functions import hashing
 from ..functions.text import micros
 from ..options import Options
+from ..runtime import Scratch
+from .ranking import numbered
 
 
 def with_peers(rows: DataFrame, *keys: str) -> DataFrame:
@@ -19,20 +21,30 @@ def with_peers(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.join(shared, list(keys), "left_semi")
 
 
-def exact_sets(files: DataFrame, content: str = "content", options: Options | None = None) -> DataFrame:
+def exact_sets(files: DataFrame, content: str = "content", options: Options | None = None, scratch: Scratch | None = None) -> DataFrame:
     """Files in sets of equal content, with partial_hash, full_hash, sample_hash and set_key.
 
     Cheapest test first: only files that share size and kind are hashed in part, only those that
-    still share are hashed whole (or by sampled blocks, for videos on a quick check).
+    still share are hashed whole (or by sampled blocks, for videos on a quick check); a hash that
+    is known already is taken.  Each level's hashes are written with the file's id, so contents
+    are read once a level, by the files that reach it, and peers are found among slim rows.
     """
     o = options or Options()
-    near = with_peers(files.where("size > 0"), "size", "is_video")
-    near = with_peers(near.withColumn("partial_hash", hashing.partial_hash(F.col(content), o.partial_hash_bytes)), "size", "is_video", "partial_hash")
+    scratch = scratch or Scratch(files.sparkSession, "exact")
+    by = ["size", "is_video"]
+    known = lambda c: F.col(c) if c in files.columns else F.lit(None).cast("string")
+    sizes = files.where("size > 0").groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(*by)
+    partial = F.coalesce(known("partial_hash"), hashing.partial_hash(F.col(content), o.partial_hash_bytes))
+    first = scratch.cut(files.join(sizes, by, "left_semi").select("file_id", *by, partial.alias("_partial")), "partial")
+    near = with_peers(first, *by, "_partial").select("file_id", "_partial")
     quick = F.col("is_video") & F.lit(o.quick_video_check)
-    whole = F.when(~quick, hashing.full_hash(F.col(content)))
-    sample = F.when(quick, hashing.sample_hash(F.col(content), o.partial_hash_bytes, o.video_sample_blocks))
-    keyed = near.withColumns({"full_hash": whole, "sample_hash": sample}).withColumn("set_key", F.concat_ws(":", F.coalesce("full_hash", "sample_hash"), F.col("size").cast("string"), F.col("is_video").cast("string")))
-    return with_peers(keyed, "set_key")
+    whole = F.when(~quick, F.coalesce(known("full_hash"), hashing.full_hash(F.col(content))))
+    sample = F.when(quick, F.coalesce(known("sample_hash"), hashing.sample_hash(F.col(content), o.partial_hash_bytes, o.video_sample_blocks)))
+    read = files.join(near, "file_id").select("file_id", *by, "_partial", whole.alias("_full"), sample.alias("_sample"))
+    key = F.concat_ws(":", F.coalesce("_full", "_sample"), F.col("size").cast("string"), F.col("is_video").cast("string"))
+    keyed = scratch.cut(read.select("file_id", F.col("_partial").alias("partial_hash"), F.col("_full").alias("full_hash"), F.col("_sample").alias("sample_hash"), key.alias("set_key")), "full")
+    found = with_peers(keyed, "set_key")
+    return files.select(*[c for c in files.columns if c == "file_id" or c not in found.columns]).join(found, "file_id")
 
 
 def remove_aliases(members: DataFrame, set_key: str = "set_key", device: str = "device", inode: str = "inode", order: str = "file_id") -> DataFrame:
@@ -50,7 +62,7 @@ def _bands(distance: int) -> list[tuple[int, int]]:
     return [(lo, hi - lo) for lo, hi in zip(edges[:-1], edges[1:], strict=True)]
 
 
-def hamming_pairs(left: DataFrame, distance: int, id_col: str = "file_id", hash_col: str = "hash", variants_col: str | None = None, options: Options | None = None) -> DataFrame:
+def hamming_pairs(left: DataFrame, distance: int, id_col: str = "file_id", hash_col: str = "hash", variants_col: str | None = None, options: Options | None = None, scratch: Scratch | None = None) -> DataFrame:
     """(a, b, distance) with a < b whose hashes (or, with variants, one's hash and the other's
     variants, either way round) differ in at most ``distance`` bits.
 
@@ -60,6 +72,7 @@ def hamming_pairs(left: DataFrame, distance: int, id_col: str = "file_id", hash_
     """
     o = options or Options()
     own = left.where(F.col(hash_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(hash_col).alias("h"), (F.array_distinct(F.col(variants_col)) if variants_col else F.array(F.col(hash_col))).alias("v"))
+    own = (scratch or Scratch(left.sparkSession, "hamming")).cut(own, "hashes")  # read three times
     probes = own.select(F.col("id").alias("qid"), F.explode("v").alias("qh"))
     count = own.count()
     if count <= o.brute_force_hashes or distance > 9:
@@ -96,20 +109,18 @@ def burst_pairs(files: DataFrame, window_seconds: float, id_col: str = "file_id"
     return kept.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b"), "delta_us")
 
 
-def burst_pairs_capped(files: DataFrame, window_seconds: float, neighbours: int = 60, id_col: str = "file_id", time_col: str = "taken_at", camera_col: str = "camera_key") -> DataFrame:
+def burst_pairs_capped(files: DataFrame, window_seconds: float, neighbours: int = 60, id_col: str = "file_id", time_col: str = "taken_at", camera_col: str = "camera_key", scratch: Scratch | None = None) -> DataFrame:
     """As ``burst_pairs``, but only among the next ``neighbours`` captures of any camera in time.
 
-    The cap counts positions in global time order: rows are numbered within days and day offsets
-    are added, so no single task sorts everything.
+    Captures are numbered in global time order.  A row looks into its own block of ``neighbours``
+    numbers and the next, so it meets twice that many rows at most, however many share a time.
     """
     width = int(window_seconds * 1_000_000)
-    day = 86_400_000_000
-    own = files.where(F.col(time_col).isNotNull()).select(F.col(id_col).alias("id"), micros(F.col(time_col)).alias("us"), F.coalesce(F.col(camera_col).cast("string"), F.lit("")).alias("camera")).withColumn("day", F.floor(F.col("us") / day).cast("long"))
-    before = own.groupBy("day").count().withColumn("_before", F.coalesce(F.sum("count").over(W.orderBy("day").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).select("day", "_before")
-    numbered = own.withColumn("_n", F.row_number().over(W.partitionBy("day").orderBy("us", "id"))).join(before, "day").withColumn("n", F.col("_n") + F.col("_before"))
-    bucketed = numbered.withColumn("bucket", F.floor(F.col("us") / width).cast("long")).select("id", "us", "camera", "n", "bucket")
-    later = bucketed.select(F.col("id").alias("id2"), F.col("us").alias("us2"), "camera", F.col("n").alias("n2"), F.explode(F.array(F.col("bucket"), F.col("bucket") - 1)).alias("bucket"))
-    met = bucketed.join(later, ["camera", "bucket"]).where((F.col("n2") > F.col("n")) & (F.col("n2") - F.col("n") <= neighbours) & (F.col("us2") - F.col("us") <= width))
+    own = files.where(F.col(time_col).isNotNull()).select(F.col(id_col).alias("id"), micros(F.col(time_col)).alias("us"), F.coalesce(F.col(camera_col).cast("string"), F.lit("")).alias("camera"))
+    scratch = scratch or Scratch(files.sparkSession, "bursts")
+    placed = scratch.cut(numbered(own, ["us", "id"], "n", scratch), "numbered").withColumn("block", F.floor(F.col("n") / neighbours).cast("long"))
+    later = placed.select(F.col("id").alias("id2"), F.col("us").alias("us2"), "camera", F.col("n").alias("n2"), F.explode(F.array(F.col("block"), F.col("block") - 1)).alias("block"))
+    met = placed.join(later, ["camera", "block"]).where((F.col("n2") > F.col("n")) & (F.col("n2") - F.col("n") <= neighbours) & (F.col("us2") - F.col("us") <= width))
     return met.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b"), (F.col("us2") - F.col("us")).alias("delta_us"))
 
 

@@ -17,11 +17,13 @@ from ..runtime import Scratch
 
 def _jump(pointers: DataFrame, scratch: Scratch) -> DataFrame:
     """Pointers (node, root) with every node at its final root; roots point to themselves."""
+    held = pointers
     while True:
         up = pointers.select(F.col("node").alias("root"), F.col("root").alias("_next"))
         moved = scratch.cut(pointers.join(up, "root").select("node", F.col("_next").alias("root"), (F.col("_next") != F.col("root")).alias("_moved")), "jump")
         again = moved.where("_moved").limit(1).count()
-        pointers = moved.select("node", "root")
+        scratch.drop(held)
+        held, pointers = moved, moved.select("node", "root")
         if not again:
             return pointers
 
@@ -44,10 +46,12 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", scratch: Scratch |
         roots = _jump(scratch.cut(first, "first"), scratch)
         ru, rv = roots.select(F.col("node").alias("u"), F.col("root").alias("ru")), roots.select(F.col("node").alias("v"), F.col("root").alias("rv"))
         moved = rest.join(ru, "u").join(rv, "v").where("ru <> rv").select(F.least("ru", "rv").alias("u"), F.greatest("ru", "rv").alias("v")).distinct()
-        rest = scratch.cut(moved, "edges")
+        done, rest = rest, scratch.cut(moved, "edges")
+        scratch.drop(done)
         if total is None:
             total = roots
         else:
             again = roots.select(F.col("node").alias("root"), F.col("root").alias("_next"))
-            total = scratch.cut(total.join(again, "root", "left").select("node", F.coalesce("_next", "root").alias("root")), "roots")
+            past, total = total, scratch.cut(total.join(again, "root", "left").select("node", F.coalesce("_next", "root").alias("root")), "roots")
+            scratch.drop(past)
     return total if total is not None else rest.select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -7,11 +7,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import options as K
-from ..functions import names
 from ..options import Options
 from ..runtime import Scratch
 from . import keeper, score
 from .cluster import components
+from .ranking import numbered
 
 
 def exact_reason(member_name: Column, keeper_name: Column, member_copy: Column) -> Column:
@@ -115,14 +115,11 @@ def summarise(members: DataFrame, by: str = "group_key") -> DataFrame:
     ).withColumn("kind", kind_name(F.col("kind_ord")))
 
 
-def number(groups: DataFrame) -> DataFrame:
+def number(groups: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """Groups with group_id 1..n: kind, then the surest, then the largest; the keeper's path and
-    id end every tie.  Numbers are counted within (kind, confidence) and offset by the counts
-    before, so no task sorts all groups unless all share kind and confidence."""
-    key = ["kind_ord", "confidence"]
-    before = groups.groupBy(*key).count().withColumn("_before", F.coalesce(F.sum("count").over(W.orderBy("kind_ord", F.desc("confidence")).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).select(*key, "_before")
-    within = F.row_number().over(W.partitionBy(*key).orderBy(F.desc("reclaimable_bytes"), F.upper("keeper_path"), "keeper_id"))
-    return groups.withColumn("_n", within).join(before, key).withColumn("group_id", (F.col("_n") + F.col("_before")).cast("long")).drop("_n", "_before")
+    id end every tie."""
+    order = [F.asc("kind_ord"), F.desc("confidence"), F.desc("reclaimable_bytes"), F.upper("keeper_path").asc(), F.asc("keeper_id")]
+    return numbered(groups, order, "group_id", scratch)
 
 
 def change_keeper(members: DataFrame, choices: DataFrame, file_columns: list[str], options: Options | None = None) -> DataFrame:
@@ -161,4 +158,4 @@ def inherit(exact: DataFrame, analysed: DataFrame) -> DataFrame:
     return copy_visual(own, analysed.select(cols).unionByName(rest))
 
 
-__all__ = ["against_keeper", "change_keeper", "copy_visual", "exact_groups", "exact_reason", "inherit", "names", "number", "score_pairs", "set_aside", "similarity_groups", "summarise"]
+__all__ = ["against_keeper", "change_keeper", "copy_visual", "exact_groups", "exact_reason", "inherit", "number", "score_pairs", "set_aside", "similarity_groups", "summarise"]

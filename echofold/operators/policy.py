@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from .. import options as K
 from ..functions.text import drive
 from ..options import Options
+from .ranking import running
 
 
 def is_automatic(kind: Column, confidence: Column, options: Options) -> Column:
@@ -59,14 +60,11 @@ def move_plan(members: DataFrame, options: Options, journal: DataFrame | None =
 
 def space_guard(plan: DataFrame, free: int, total: int) -> DataFrame:
     """The planned moves with QuarantineFull from the first that would leave too little space on:
-    after it everything waits.  Sizes are summed per group, then within, so groups can lie in
-    different tasks; only the sums per group run through one ordered window."""
+    after it everything waits."""
     planned = plan.where("outcome = 'Planned'")
-    per_group = planned.groupBy("group_id").agg(F.sum("size").alias("_g")).withColumn("_before", F.coalesce(F.sum("_g").over(W.orderBy("group_id").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).select("group_id", "_before")
-    run = F.sum("size").over(W.partitionBy("group_id").orderBy("seq").rowsBetween(W.unboundedPreceding, 0))
-    used = planned.withColumn("_run", run).join(per_group, "group_id").withColumn("used_after", (F.col("_run") + F.col("_before")).cast("long"))
+    used = running(planned, ["group_id", "seq"], F.col("size"), "used_after")
     full = is_low(F.lit(free).cast("long"), F.lit(total).cast("long"), F.col("used_after"))
-    return used.withColumn("outcome", F.when(full, "QuarantineFull").otherwise("Moved")).drop("_run", "_before")
+    return used.withColumn("outcome", F.when(full, "QuarantineFull").otherwise("Moved"))
 
 
 def summary(plan: DataFrame) -> DataFrame:

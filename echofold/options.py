@@ -42,7 +42,7 @@ class Options:
     cross_folder_only: bool = False
     quarantine: str = "/.quarantine"
     #: Beyond so many hashes the similarity join uses bands instead of comparing all pairs.
-    brute_force_hashes: int = 20_000
+    brute_force_hashes: int = 2_000
 
     @property
     def effective_threshold(self) -> float:

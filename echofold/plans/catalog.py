@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import hashing, imaging, names, text, vectors
 from ..operators import blocking, cache, cluster, groups, keeper, policy, report, score
 from ..options import Options
-from ..runtime import table
+from ..runtime import Scratch, spread, table
 from .inputs import BLOCKS, CHUNK, FILES_SQL, files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,12 +41,17 @@ _SETS = f"""{_KEYED}, sized AS (SELECT *, full_hash || ':' || size || ':' || is_
 _RANKED = f"""{_SETS}, ranked AS (SELECT *, row_number() OVER (PARTITION BY set_key ORDER BY width::BIGINT * height DESC, richness DESC, has_copy, has_edit, last_write, length(path), upper(path), file_id) AS rank FROM sets)"""
 
 
+def _once(df: DataFrame, name: str) -> DataFrame:
+    """A frame that is read several times, evaluated once."""
+    return Scratch(df.sparkSession, name).cut(df, name)
+
+
 def _sets(spark: SparkSession, d: str, options: Options = FULL) -> DataFrame:
     return blocking.exact_sets(files(spark, d), options=options)
 
 
 def _ranked(spark: SparkSession, d: str) -> DataFrame:
-    return groups.exact_groups(_sets(spark, d), FULL)
+    return _once(groups.exact_groups(_sets(spark, d).drop("content"), FULL), "ranked")
 
 
 # --- exact sets -----------------------------------------------------------------------------
@@ -204,12 +209,12 @@ _PAIRS = """near AS (SELECT least(a.file_id, b.file_id) AS a, greatest(a.file_id
 
 @query(f"WITH {_TOKENS} SELECT file_id, hash FROM hashes WHERE variant = 0")
 def document_phash(spark: SparkSession, d: str) -> DataFrame:
-    return imaging.text_features(table(spark, d, "documents")).select(F.col("doc_id").alias("file_id"), F.get("phash", F.lit(0)).alias("hash"))
+    return imaging.text_features(spread(table(spark, d, "documents"))).select(F.col("doc_id").alias("file_id"), F.get("phash", F.lit(0)).alias("hash"))
 
 
 @query(f"WITH {_TOKENS} SELECT file_id, CAST(variant AS INTEGER) AS variant, hash FROM hashes")
 def orientation_variants(spark: SparkSession, d: str) -> DataFrame:
-    return imaging.text_features(table(spark, d, "documents")).select(F.col("doc_id").alias("file_id"), F.posexplode("phash").alias("variant", "hash"))
+    return imaging.text_features(spread(table(spark, d, "documents"))).select(F.col("doc_id").alias("file_id"), F.posexplode("phash").alias("variant", "hash"))
 
 
 @query("""WITH g AS (SELECT vec_id, embedding AS e FROM embeddings) SELECT vec_id, CAST(list_sum([CASE WHEN e[y * 8 + x + 1] < e[y * 8 + x + 2] THEN (1::HUGEINT << (y * 7 + x)) ELSE 0::HUGEINT END FOR y IN range(8) FOR x IN range(7)]) AS BIGINT) AS hash FROM g""".replace("FOR y IN range(8) FOR x IN range(7)", "FOR p IN range(56)").replace("y * 8 + x + 1", "p // 7 * 8 + p % 7 + 1").replace("y * 8 + x + 2", "p // 7 * 8 + p % 7 + 2").replace("(y * 7 + x)", "CAST(p AS INTEGER)"))
@@ -232,10 +237,13 @@ def l2_normalize(spark: SparkSession, d: str) -> DataFrame:
     return own.select("vec_id", F.round(vectors.total(F.transform("v", lambda x: x * x)), 6).alias("norm"), F.round(F.element_at("v", 1), 6).alias("first"))
 
 
-@query("SELECT vec_id, round(0.299 * embedding[1]::DOUBLE + 0.587 * embedding[2]::DOUBLE + 0.114 * embedding[3]::DOUBLE, 6) AS luma FROM embeddings")
+@query("SELECT vec_id, CAST(p AS INTEGER) AS pixel, round(0.299 * e[3 * p + 1] + 0.587 * e[3 * p + 2] + 0.114 * e[3 * p + 3], 6) AS luma FROM (SELECT vec_id, [x::DOUBLE FOR x IN embedding] AS e FROM embeddings), range(21) t(p)")
 def luma_rec601(spark: SparkSession, d: str) -> DataFrame:
-    at = lambda i: F.element_at("embedding", i).cast("double")
-    return table(spark, d, "embeddings").select("vec_id", F.round(vectors.luma(at(1), at(2), at(3)), 6).alias("luma"))
+    """The vectors as rows of pixels, three values each."""
+    at = lambda p, k: F.get("embedding", 3 * p + k).cast("double")
+    pixels = F.transform(F.sequence(F.lit(0), F.lit(20)), lambda p: vectors.luma(at(p, 0), at(p, 1), at(p, 2)))
+    own = table(spark, d, "embeddings").select("vec_id", F.posexplode(pixels).alias("pixel", "luma"))
+    return own.select("vec_id", "pixel", F.round("luma", 6).alias("luma"))
 
 
 @query("SELECT vec_id, CAST(p AS INTEGER) AS cell, round((e[p // 4 * 16 + p % 4 * 2 + 1] + e[p // 4 * 16 + p % 4 * 2 + 2] + e[p // 4 * 16 + p % 4 * 2 + 9] + e[p // 4 * 16 + p % 4 * 2 + 10]) / 4, 6) AS mean FROM (SELECT vec_id, [x::DOUBLE FOR x IN embedding] AS e FROM embeddings), range(16) t(p)")
@@ -271,7 +279,7 @@ def hamming_pairs_banded(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _text_hashes(spark: SparkSession, d: str) -> DataFrame:
-    return imaging.text_features(table(spark, d, "documents")).select(F.col("doc_id").alias("file_id"), "phash", F.get("phash", F.lit(0)).alias("hash"))
+    return _once(imaging.text_features(spread(table(spark, d, "documents"))).select(F.col("doc_id").alias("file_id"), "phash", F.get("phash", F.lit(0)).alias("hash")), "hashes")
 
 
 @query(f"WITH {_TOKENS}, {_PAIRS} SELECT a, b, distance FROM near")
@@ -301,12 +309,13 @@ def burst_pairs_capped(spark: SparkSession, d: str) -> DataFrame:
     return blocking.burst_pairs_capped(_captures(spark, d), 1800, 5)
 
 
-_SHOTS = f"""bursts AS (SELECT least(a.file_id, b.file_id) AS a, greatest(a.file_id, b.file_id) AS b FROM files a JOIN files b ON a.file_id < b.file_id AND a.camera_key = b.camera_key AND abs(epoch_us(a.taken_at) - epoch_us(b.taken_at)) <= 10000000)"""
+_SHOTS = """shots AS (SELECT file_id, taken_at, camera_key, row_number() OVER (ORDER BY taken_at, file_id) AS n FROM files WHERE taken_at IS NOT NULL),
+    bursts AS (SELECT least(a.file_id, b.file_id) AS a, greatest(a.file_id, b.file_id) AS b FROM shots a JOIN shots b ON b.n > a.n AND b.n - a.n <= 60 AND a.camera_key = b.camera_key AND epoch_us(b.taken_at) - epoch_us(a.taken_at) <= 10000000)"""
 
 
-def _candidates(spark: SparkSession, d: str) -> DataFrame:
-    near = blocking.hamming_pairs(_text_hashes(spark, d), 8, variants_col="phash")
-    return blocking.union_pairs(near, blocking.burst_pairs(files(spark, d), 10.0))
+def _candidates(spark: SparkSession, d: str, hashes: DataFrame | None = None) -> DataFrame:
+    near = blocking.hamming_pairs(_text_hashes(spark, d) if hashes is None else hashes, 8, variants_col="phash")
+    return blocking.union_pairs(near, blocking.burst_pairs_capped(files(spark, d), 10.0))
 
 
 @query(f"WITH {FILES_SQL}, {_TOKENS}, {_PAIRS}, {_SHOTS} SELECT a, b FROM near UNION SELECT a, b FROM bursts")
@@ -342,11 +351,11 @@ def haversine_pairs(spark: SparkSession, d: str) -> DataFrame:
 # --- scores and groups ----------------------------------------------------------------------
 
 
-def _analysed(spark: SparkSession, d: str) -> DataFrame:
+def _analysed(spark: SparkSession, d: str, hashes: DataFrame) -> DataFrame:
     """Files with document hashes; no whole hash, so every visual rule is reached."""
     from .engine import complete
 
-    return complete(files(spark, d).join(_text_hashes(spark, d).select("file_id", "phash"), "file_id").where("not is_video"))
+    return complete(files(spark, d).join(hashes.select("file_id", "phash"), "file_id").where("not is_video"))
 
 
 _BOTH = """both_files AS (SELECT p.a, p.b, x.width AS wa, x.height AS ha, y.width AS wb, y.height AS hb, x.normalized = y.normalized AS named, x.has_edit OR y.has_edit AS edited,
@@ -365,8 +374,9 @@ _SCORED = f"{FILES_SQL}, {_TOKENS}, {_PAIRS}, {_SHOTS}, cand AS (SELECT a, b FRO
 
 
 def _scored(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    own = _analysed(spark, d)
-    return groups.score_pairs(_candidates(spark, d), own), own
+    hashes = _text_hashes(spark, d)
+    own = _once(_analysed(spark, d, hashes), "analysed")
+    return _once(groups.score_pairs(_candidates(spark, d, hashes), own), "scored"), own
 
 
 @query(f"WITH {_SCORED} SELECT a, b, kind, round(confidence, 4) AS confidence FROM scored")
@@ -384,7 +394,7 @@ def score_burst(spark: SparkSession, d: str) -> DataFrame:
     return _scored(spark, d)[0].where("kind = 'Burst'").select("a", "b", F.round("confidence", 4).alias("confidence"))
 
 
-@query(f"WITH {_SCORED} SELECT s.a, s.b, s.kind FROM scored s JOIN chosen c ON c.a = s.a AND c.b = s.b WHERE c.edited AND s.confidence = 80")
+@query(f"WITH {_SCORED} SELECT s.a, s.b, s.kind FROM scored s JOIN chosen c ON c.a = s.a AND c.b = s.b WHERE c.edited AND c.c > 80")
 def edited_cap(spark: SparkSession, d: str) -> DataFrame:
     return _scored(spark, d)[0].where(F.col("reason").endswith("one of the two is an edited version")).select("a", "b", "kind")
 
@@ -428,6 +438,10 @@ _MEMBERS = _SIM.replace("WITH RECURSIVE", "WITH RECURSIVE", 1) + """,
 )
 
 
+#: The same with the second member as the new keeper.
+_CHANGED = _MEMBERS.replace("k.rank = 1 WHERE m.rank > 1", "k.rank = 2 WHERE m.rank <> 2")
+
+
 @query(f"{_MEMBERS} SELECT kp.b AS file_id, kp.a AS keeper_id, coalesce(k.kind, 'Burst') AS kind, round(coalesce(k.confidence, 50.0), 4) AS confidence FROM kp LEFT JOIN k_scored k ON k.a = kp.a AND k.b = kp.b")
 def member_confidence(spark: SparkSession, d: str) -> DataFrame:
     return _similar(spark, d).where("rank > 1").select("file_id", "keeper_id", "kind", F.round("confidence", 4).alias("confidence"))
@@ -451,13 +465,13 @@ def group_rank(spark: SparkSession, d: str) -> DataFrame:
     return _numbered(spark, d).select("group_id", "kind", "confidence", "reclaimable_bytes", "duplicates", "keeper_path", "keeper_id")
 
 
-@query(f"{_SIM} SELECT group_key, file_id, rank = 2 AS is_keeper FROM ranked")
+@query(f"{_CHANGED} SELECT r.group_key, r.file_id, r.rank = 2 AS is_keeper, CASE WHEN r.rank <> 2 THEN coalesce(k.kind, 'Burst') END AS kind, round(CASE WHEN r.rank <> 2 THEN coalesce(k.confidence, 50.0) END, 4) AS confidence FROM ranked r LEFT JOIN kp ON kp.b = r.file_id LEFT JOIN k_scored k ON k.a = kp.a AND k.b = kp.b")
 def change_keeper(spark: SparkSession, d: str) -> DataFrame:
     from .engine import FILE_COLUMNS
 
     members = _similar(spark, d)
     changed = groups.change_keeper(members, members.where("rank = 2").select("group_key", "file_id"), list(FILE_COLUMNS))
-    return changed.select("group_key", "file_id", (F.col("rank") == 1).alias("is_keeper"))
+    return changed.select("group_key", "file_id", (F.col("rank") == 1).alias("is_keeper"), "kind", F.round("confidence", 4).alias("confidence"))
 
 
 _CROSS = f"""{_SETS}, wide AS (SELECT set_key FROM sets GROUP BY set_key HAVING count(DISTINCT upper(root)) > 1),
@@ -487,13 +501,15 @@ def automatic_rule(spark: SparkSession, d: str) -> DataFrame:
 
 def _members(spark: SparkSession, d: str) -> DataFrame:
     own = _ranked(spark, d)
-    return own.join(_numbered(spark, d).select("group_key", "group_id", F.col("kind").alias("group_kind")), "group_key")
+    ids = groups.number(groups.summarise(own)).select("group_key", "group_id", F.col("kind").alias("group_kind"))
+    return _once(own.join(ids, "group_key"), "members")
 
 
 def _plan(spark: SparkSession, d: str) -> DataFrame:
     flags = {"unchanged": F.col("file_id") % 11 != 0, "keeper_unchanged": F.col("keeper_id") % 13 != 0, "same_file": F.col("file_id") % 17 == 0}
-    journal = _members(spark, d).where("rank > 1 and file_id % 7 = 0").select("file_id")
-    return policy.move_plan(_members(spark, d).withColumns(flags), Options(mode="SemiAutomatic"), journal)
+    members = _members(spark, d)
+    journal = members.where("rank > 1 and file_id % 7 = 0").select("file_id")
+    return policy.move_plan(members.withColumns(flags), Options(mode="SemiAutomatic"), journal)
 
 
 _PLAN = f"""{_GROUPS}, dups AS (SELECT n.group_id, r.file_id, n.keeper_id, r.size, r.rank FROM ranked r JOIN numbered n ON n.group_key = r.set_key WHERE r.rank > 1), moved AS (SELECT file_id FROM dups WHERE file_id % 7 = 0),
@@ -592,11 +608,10 @@ def kind_stats_with_zeros(spark: SparkSession, d: str) -> DataFrame:
     return report.kind_stats(_kinds(spark, d))
 
 
-@query(f"WITH {FILES_SQL} SELECT count(*) FILTER (NOT is_video) AS photos, count(*) FILTER (is_video) AS videos, 0::BIGINT AS unreadable, CAST(sum(size) AS BIGINT) AS bytes_to_hash FROM files")
+@query(f"WITH {FILES_SQL} SELECT count(*) FILTER (NOT is_video) AS photos, count(*) FILTER (is_video) AS videos, count(*) FILTER (file_id % 9 = 4) AS unreadable, CAST(sum(size) FILTER (file_id % 3 <> 0) AS BIGINT) AS bytes_to_hash FROM files")
 def media_counts(spark: SparkSession, d: str) -> DataFrame:
-    return report.media_counts(files(spark, d).withColumns({"error": F.lit(None).cast("string"), "full_hash": F.lit(None).cast("string")}))
-
-
+    i = F.col("file_id")
+    return report.media_counts(files(spark, d).withColumns({"error": F.when(i % 9 == 4, "not readable"), "full_hash": F.when(i % 3 == 0, F.md5("content"))}))
 
 
 @query("""WITH t AS (SELECT l_orderkey, l_linenumber, CAST(floor(l_extendedprice) AS BIGINT) * (CASE l_linenumber % 4 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 64 ELSE 65536 END) AS n FROM lineitem)

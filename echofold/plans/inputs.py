@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import names
-from ..runtime import table
+from ..runtime import spread, table
 
 CHUNK = 64
 BLOCKS = 16
@@ -38,7 +38,7 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     ext = F.when(i % 7 == 4, "cr2").when(i % 7 == 5, "png").when(i % 7 == 6, "mp4").otherwise("jpg")
     base = F.when(i % 5 == 0, F.concat(F.lit("IMG_"), k)).when(i % 5 == 1, F.concat(F.lit("IMG_"), k, F.lit(" (1)"))).when(i % 5 == 2, F.concat(F.lit("Copy of IMG_"), k)).when(i % 5 == 3, F.concat(F.lit("IMG_"), k, F.lit("-edited"))).otherwise(F.concat(F.lit("IMG_"), k, F.lit("_1")))
     at = lambda day, seconds: F.expr(f"timestamp_ntz'{day} 00:00:00'") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), seconds)
-    rows = table(spark, sf_dir, "documents").select(
+    rows = spread(table(spark, sf_dir, "documents")).select(
         i.alias("file_id"), F.coalesce("text", F.lit("")).alias("content"), F.length(F.coalesce("text", F.lit(""))).cast("long").alias("size"), F.concat(F.lit("/"), "source").alias("root"), ext.alias("ext"), base.alias("base"),
         F.concat(F.lit("/"), "source", F.when(i % 3 == 0, "/sub/").otherwise("/"), base, F.lit("."), ext).alias("path"),
         at("2024-01-01", (i * 37 % 1000 * 3600).cast("decimal(18,6)")).alias("last_write"),

@@ -19,6 +19,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Inputs of so many bytes a core, or less, may lie in fewer blocks than there are cores.
+SMALL_SHARE = 4 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small input dealt out to all cores, since a single block of a file is read by one task;
+    a larger one as it lies."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size <= cores * SMALL_SHARE else df
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The shared scratch folder of the session.
 
@@ -49,19 +61,18 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
         self._n = 0
-        self._paths: dict[int, str] = {}
 
     def cut(self, df: DataFrame, name: str) -> DataFrame:
         self._n += 1
         path = f"{self.root}/{self._n:03d}-{name}"
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self._paths[id(out)] = path
+        out.scratch_path = path
         return out
 
     def drop(self, *frames: DataFrame) -> None:
         for frame in frames:
-            path = self._paths.pop(id(frame), None)
+            path = getattr(frame, "scratch_path", None)
             if path:
                 jvm = self.spark._jvm
                 where = jvm.org.apache.hadoop.fs.Path(path)
