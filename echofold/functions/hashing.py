@@ -45,8 +45,17 @@ def blocks_identical(a: Column, b: Column, chunk: int, blocks: int) -> Column:
     return F.coalesce((F.length(a) == F.length(b)) & (sampled(a, chunk, blocks) == sampled(b, chunk, blocks)), F.lit(False))
 
 
-def pixel_hash(width: Column, height: Column, pixels: Column) -> Column:
-    return F.md5(F.concat_ws(":", width.cast("string"), height.cast("string"), F.hex(pixels)))
+def ends_identical(a: Column, b: Column, chunk: int) -> Column:
+    """Whether two contents agree in length, head and tail; null never agrees."""
+    return F.coalesce((F.length(a) == F.length(b)) & (head_tail(a, chunk) == head_tail(b, chunk)), F.lit(False))
+
+
+def still_identical(a: Column, b: Column, is_video: Column, chunk: int, blocks: int, whole: bool = False) -> Column:
+    """The check before a duplicate is moved: whole contents if asked for, else a video's sampled
+    blocks and the ends of other files."""
+    if whole:
+        return F.coalesce(a == b, F.lit(False))
+    return F.when(is_video, blocks_identical(a, b, chunk, blocks)).otherwise(ends_identical(a, b, chunk))
 
 
 def hamming(a: Column, b: Column) -> Column:

@@ -105,12 +105,6 @@ def preprocess(rgb: np.ndarray, side: int, mean: tuple = (0.485, 0.456, 0.406),
     return ((out - np.array(mean)) / np.array(std)).transpose(2, 0, 1)
 
 
-def mean_colour(rgb: np.ndarray) -> np.ndarray:
-    """The default embedding: unit vector of the mean colour."""
-    v = rgb.reshape(-1, 3).mean(0)
-    return v / max(np.linalg.norm(v), 1e-12)
-
-
 def text_cells(text: Column) -> Column:
     """The cells of a text's picture: of each distinct two-word shingle one of ``SIDE`` x ``SIDE``, by
     its md5."""
@@ -151,18 +145,44 @@ def text_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return docs.select(id_col, text_cells(F.col(text_col)).alias("cells")).mapInArrow(run, f"{id_col} {kind}, phash array<bigint>")
 
 
+def oriented(rgb: np.ndarray, orientation: int) -> np.ndarray:
+    """A picture turned upright by its EXIF orientation (1 to 8)."""
+    if orientation >= 5:
+        rgb = rgb.transpose(1, 0, 2)
+    if orientation in (2, 3, 6, 7):
+        rgb = rgb[:, ::-1]
+    return rgb[::-1] if orientation in (3, 4, 7, 8) else rgb
+
+
+def upright_size(width: int, height: int, seen_width: int, seen_height: int) -> tuple[int, int]:
+    """Sides of a file as its upright picture has them: swapped where the shapes disagree."""
+    return (height, width) if width != height and (width > height) != (seen_width > seen_height) else (width, height)
+
+
+def thumbnail(rgb: np.ndarray, side: int) -> np.ndarray:
+    """Brightness of a picture, shrunk to ``side`` at most."""
+    grid, (h, w) = luma(rgb), rgb.shape[:2]
+    if max(h, w) > side:
+        grid = resize_area(grid, max(1, round(w * side / max(h, w))), max(1, round(h * side / max(h, w))))
+    return grid
+
+
 def analyse(files: DataFrame, decode, thumbnail_side: int = 256) -> DataFrame:
-    """(file_id, width, height, phash, dhash, sharpness, pixel_hash, embedding, error) of files
-    with ``content`` bytes.  ``decode`` turns bytes into (height, width, 3) or raises; an error is a
-    row with its text, so one bad file never stops the run."""
+    """(file_id, width, height, phash, dhash, sharpness, error, and the fields of EXIF but make,
+    model and orientation, with camera_key) of files with ``content`` bytes.  ``decode`` turns bytes
+    into (height, width, 3) or raises; an error is a row with its text, so one bad file never stops
+    the run."""
+    from ..sources import exif
+
+    columns = ["file_id", "width", "height", "phash", "dhash", "sharpness", "error", "taken_at", "camera_key", "latitude", "longitude", "richness"]
+
     def one(content: bytes) -> tuple:
-        rgb = decode(content)
-        h, w = rgb.shape[:2]
-        grid, most = luma(rgb), max(h, w)
-        if most > thumbnail_side:
-            grid = resize_area(grid, max(1, round(w * thumbnail_side / most)), max(1, round(h * thumbnail_side / most)))
-        pixels = hashlib.md5(w.to_bytes(4, "little") + h.to_bytes(4, "little") + rgb.tobytes()).hexdigest()
-        return w, h, phash_variants(grid), dhash(grid), sharpness(grid), pixels, [float(x) for x in mean_colour(rgb)], None
+        meta, rgb = exif.read(content), decode(content)
+        seen = oriented(rgb, meta["orientation"])
+        w, h = upright_size(rgb.shape[1], rgb.shape[0], seen.shape[1], seen.shape[0])
+        grid = thumbnail(seen, thumbnail_side)
+        camera = f"{meta['make'] or ''}|{meta['model'] or ''}".strip("|")
+        return w, h, phash_variants(grid), dhash(grid), sharpness(grid), None, meta["taken_at"], camera, meta["latitude"], meta["longitude"], meta["richness"]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -171,7 +191,48 @@ def analyse(files: DataFrame, decode, thumbnail_side: int = 256) -> DataFrame:
                 try:
                     rows.append((file_id, *one(content)))
                 except Exception as error:  # noqa: BLE001  any decoder error marks its file
-                    rows.append((file_id, None, None, None, None, None, None, None, str(error)[:200]))
-            yield pd.DataFrame(rows, columns=["file_id", "width", "height", "phash", "dhash", "sharpness", "pixel_hash", "embedding", "error"]).astype({"width": "Int32", "height": "Int32", "dhash": "Int64"})
+                    rows.append((file_id, *[None] * 5, str(error)[:200], *[None] * 5))
+            kinds = {"width": "Int32", "height": "Int32", "dhash": "Int64", "richness": "Int32", "taken_at": "datetime64[us]", "latitude": "float64", "longitude": "float64", "sharpness": "float64"}
+            yield pd.DataFrame(rows, columns=columns).astype(kinds)
+
+    schema = "file_id long, width int, height int, phash array<bigint>, dhash bigint, sharpness double, error string, taken_at timestamp_ntz, camera_key string, latitude double, longitude double, richness int"
+    return files.select("file_id", "content").mapInPandas(run, schema)
 
-    return files.select("file_id", "content").mapInPandas(run, "file_id long, width int, height int, phash array<bigint>, dhash bigint, sharpness double, pixel_hash string, embedding array<double>, error string")
+
+def pixel_hashes(files: DataFrame, decode) -> DataFrame:
+    """(file_id, pixel_hash) of the sides and pixels at full size; null where decoding fails."""
+
+    def hashed(content: bytes) -> str | None:
+        try:
+            rgb = decode(content)
+        except Exception:  # noqa: BLE001  without a pixel hash the file counts as perceptual
+            return None
+        return hashlib.md5(rgb.shape[1].to_bytes(4, "little") + rgb.shape[0].to_bytes(4, "little") + rgb.tobytes()).hexdigest()
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            yield pd.DataFrame({"file_id": f["file_id"], "pixel_hash": [hashed(c) for c in f["content"]]})
+
+    return files.select("file_id", "content").mapInPandas(run, "file_id long, pixel_hash string")
+
+
+def embeddings(files: DataFrame, decode, embed, side: int = 224, batch: int = 8) -> DataFrame:
+    """(file_id, embedding) by a given network: ``embed`` maps (pictures, 3, side, side) to vectors,
+    which are brought to unit length.  A picture that can't be decoded has none."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for lo in range(0, len(f), batch):
+                ids, inputs = [], []
+                for file_id, content in zip(f["file_id"][lo : lo + batch], f["content"][lo : lo + batch], strict=True):
+                    try:
+                        inputs.append(preprocess(decode(content), side))
+                        ids.append(file_id)
+                    except Exception:  # noqa: BLE001, S112
+                        continue
+                if ids:
+                    v = np.asarray(embed(np.stack(inputs)), float)
+                    unit = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+                    yield pd.DataFrame({"file_id": ids, "embedding": unit.tolist()})
+
+    return files.select("file_id", "content").mapInPandas(run, "file_id long, embedding array<double>")

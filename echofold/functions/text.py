@@ -47,8 +47,9 @@ def with_subseconds(taken: Column, subsec: Column) -> Column:
 
 
 def quarantine_path(session_root: str, path: Column) -> Column:
-    """Place of a moved file: the session folder, then the original path without its drive."""
-    return F.concat(F.lit(session_root.rstrip("/")), F.regexp_replace(path, r"^(?:[A-Za-z]:)?[/\\]*", "/"))
+    """Place of a moved file: the session folder, then the original path, its drive's letter as a
+    folder."""
+    return F.concat(F.lit(session_root.rstrip("/") + "/"), F.regexp_replace(F.replace(path, F.lit(":"), F.lit("")), r"^[/\\]+", ""))
 
 
 def drive(path: Column) -> Column:

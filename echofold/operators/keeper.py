@@ -45,6 +45,7 @@ def choose(members: DataFrame, group: str = "group_key", burst: str | None = Non
         "_max_sharp": others(F.max, "sharpness"), "_max_pixels": others(F.max, "_pixels"), "_max_rich": others(F.max, "richness"), "_any_copy": others(F.bool_or, "has_copy"),
         "_min_write": others(F.min, "last_write"), "_all_pref": others(F.bool_and, "_preferred"), "_n": F.count(F.lit(1)).over(by),
     })
+    # The reasons are texts of the report.
     reason = (
         F.when(F.col("_n") == 1, "")
         .when(is_burst & (F.col("sharpness") > F.col("_max_sharp")), "the sharpest shot")

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import options as K
-from ..functions.text import drive
+from ..functions.text import drive, quarantine_path
 from ..options import Options
-from .ranking import running
+from ..runtime import Scratch
+from .ranking import numbered, running
 
 
 def is_automatic(kind: Column, confidence: Column, options: Options) -> Column:
@@ -67,10 +70,98 @@ def space_guard(plan: DataFrame, free: int, total: int) -> DataFrame:
     return used.withColumn("outcome", F.when(full, "QuarantineFull").otherwise("Moved"))
 
 
+def _asked(members: DataFrame, decisions: DataFrame, options: Options) -> DataFrame:
+    """``members`` with automatic, and choice: what was answered for those that need a question.
+
+    Answers (group_id, choice: Apply, ApplyToAllOfThisKind, Skip, Quit) count in group order: after
+    an ApplyToAllOfThisKind groups of its kind whose questions are all sure enough are taken without
+    one, and from a Quit on nothing is done."""
+    automatic = is_automatic(F.col("kind"), F.col("confidence"), options)
+    least = F.min(F.when(~F.col("automatic"), F.col("confidence"))).over(W.partitionBy("group_id"))
+    marked = members.withColumn("automatic", automatic).withColumn("_least", least).join(decisions.select("group_id", F.col("choice").alias("_own")), "group_id", "left")
+    kinds = marked.where("_own = 'ApplyToAllOfThisKind' and _least is not null").groupBy(F.col("group_kind").alias("_kind")).agg(F.min("group_id").alias("_from"))
+    joined = marked.join(F.broadcast(kinds), F.col("group_kind") == F.col("_kind"), "left")  # a row a kind
+    approved = F.coalesce((F.col("_from") < F.col("group_id")) & (F.col("_least") >= K.SAME_KIND_FLOOR), F.lit(False))
+    quit_at = joined.where((F.col("_own") == "Quit") & F.col("_least").isNotNull() & ~approved).agg(F.min("group_id")).first()[0]
+    late = F.lit(False) if quit_at is None else (F.col("group_id") > quit_at) | ((F.col("group_id") == quit_at) & ~F.col("automatic"))
+    own = F.when(F.col("_own") == "ApplyToAllOfThisKind", "Apply").otherwise(F.col("_own"))
+    choice = F.when(late, "Wait").when(F.col("automatic") | approved, "Apply").otherwise(F.coalesce(own, F.lit("Wait")))
+    return joined.withColumn("choice", choice).drop("_own", "_kind", "_from", "_least")
+
+
+def execute(members: DataFrame, options: Options, decisions: DataFrame | None = None, space: tuple[int, int] | None = None) -> DataFrame:
+    """What a run does to every duplicate, as an ordered fold over groups and members: columns
+    group_id, position, file_id, keeper_id, kind, size, automatic, outcome.
+
+    Columns used: group_id, group_kind, rank, file_id, keeper_id, kind, confidence, size, unchanged,
+    keeper_unchanged, same_file, still_identical, cross_drive.  Automatic members of a group come
+    before those that were asked.  A file moved by an earlier group can neither be moved again
+    (AlreadyHandled) nor be kept in its place (KeeperUnavailable).  ``space`` is (free, total) of the
+    quarantine's disk: the first file from another drive that would leave too little suspends the
+    run (QuarantineFull), and all after it wait.
+
+    A position depends on earlier ones only, through files that are a member of several groups.  So
+    the fold is a fixed point: all that may move by themselves are taken as moved, then those that
+    an earlier move rules out are taken back, until nothing changes; the rounds are the length of
+    the longest chain of groups, not their number.
+    """
+    scratch = Scratch(members.sparkSession, "fold")
+    dups = members.where("rank > 1")
+    if options.mode == "ReadOnly":
+        done = dups.withColumns({"automatic": F.lit(False), "outcome": F.lit("ReportOnly")})
+        return numbered(done, ["group_id", "rank", "file_id"], "position", scratch).select(*FOLD)
+    none = members.sparkSession.createDataFrame([], "group_id long, choice string")
+    asked = _asked(dups, none if decisions is None else decisions, options)
+    order = ["group_id", F.desc("automatic"), "rank", "file_id"]
+    rows = scratch.cut(numbered(asked, order, "position", scratch), "order")
+    may = (F.col("choice") == "Apply") & F.col("unchanged") & F.col("keeper_unchanged") & ~F.col("same_file") & F.col("still_identical")
+    moved = scratch.cut(rows.where(may).select("file_id", "keeper_id", "position"), "may")
+    every, left = moved, moved.count()
+    while True:
+        gone = moved.groupBy("file_id").agg(F.min("position").alias("_at"))
+        keeper_gone = gone.select(F.col("file_id").alias("keeper_id"), F.col("_at").alias("_keeper_at"))
+        met = every.join(gone, "file_id", "left").join(keeper_gone, "keeper_id", "left")
+        free = (F.col("_at").isNull() | (F.col("_at") >= F.col("position"))) & (F.col("_keeper_at").isNull() | (F.col("_keeper_at") > F.col("position")))
+        before, moved = moved, scratch.cut(met.where(free).select("file_id", "keeper_id", "position"), "moved")
+        was, left = left, moved.count()
+        if was == left and not moved.join(before, "position", "left_anti").limit(1).count():
+            break
+    gone = moved.groupBy("file_id").agg(F.min("position").alias("_at"))
+    keeper_gone = gone.select(F.col("file_id").alias("keeper_id"), F.col("_at").alias("_keeper_at"))
+    told = rows.join(gone, "file_id", "left").join(keeper_gone, "keeper_id", "left")
+    before = lambda c: F.coalesce(F.col(c) < F.col("position"), F.lit(False))
+    outcome = (
+        F.when(F.col("choice") == "Skip", "Skipped")
+        .when(F.col("choice") != "Apply", "AwaitingReview")
+        .when(before("_keeper_at") | ~F.col("keeper_unchanged"), "KeeperUnavailable")
+        .when(before("_at"), "AlreadyHandled")
+        .when(~F.col("unchanged"), "ChangedSinceScan")
+        .when(F.col("same_file"), "SameFile")
+        .when(~F.col("still_identical"), "ByteCheckFailed")
+        .otherwise("Moved")
+    )
+    told = scratch.cut(told.withColumn("outcome", outcome).drop("_at", "_keeper_at"), "told")
+    if space is None:
+        return told.select(*FOLD)
+    # the disk is looked at before the byte check, so a file that fails it can be the first too
+    weighed = F.col("outcome").isin("Moved", "ByteCheckFailed") & F.col("cross_drive")
+    used = running(told, ["position"], F.when(F.col("cross_drive") & (F.col("outcome") == "Moved"), F.col("size")).otherwise(0), "_used", scratch)
+    adding = F.col("_used") + F.when(F.col("outcome") == "Moved", 0).otherwise(F.col("size"))
+    full = used.where(weighed & is_low(F.lit(space[0]).cast("long"), F.lit(space[1]).cast("long"), adding)).agg(F.min("position")).first()[0]
+    if full is None:
+        return told.select(*FOLD)
+    stopped = F.when(F.col("position") == full, "QuarantineFull").when(F.col("position") > full, "AwaitingReview").otherwise(F.col("outcome"))
+    return told.withColumn("outcome", stopped).select(*FOLD)
+
+
+#: Columns of ``execute``.
+FOLD = ("group_id", "position", "file_id", "keeper_id", "kind", "size", "automatic", "outcome")
+
+
 def summary(plan: DataFrame) -> DataFrame:
     """Counters of one run."""
     is_ = lambda s: F.col("outcome") == s
-    return plan.agg(F.count_if(is_("Planned") | is_("Moved")).alias("moved"), F.coalesce(F.sum(F.when(is_("Planned") | is_("Moved"), F.col("size"))), F.lit(0)).cast("long").alias("moved_bytes"), F.count_if(is_("AwaitingReview")).alias("awaiting"), F.count_if(~F.col("outcome").isin("Planned", "Moved", "AwaitingReview")).alias("blocked"))
+    return plan.agg(F.count_if(is_("Planned") | is_("Moved")).alias("moved"), F.coalesce(F.sum(F.when(is_("Planned") | is_("Moved"), F.col("size"))), F.lit(0)).cast("long").alias("moved_bytes"), F.count_if(F.col("outcome").isin("AwaitingReview", "QuarantineFull")).alias("awaiting"), F.count_if(~F.col("outcome").isin("Planned", "Moved", "AwaitingReview", "QuarantineFull")).alias("blocked"))
 
 
 def undo_plan(journal: DataFrame, present: DataFrame) -> DataFrame:
@@ -90,9 +181,25 @@ def undo_plan(journal: DataFrame, present: DataFrame) -> DataFrame:
 
 
 def crosses_drives(quarantine: Column, path: Column) -> Column:
+    """Whether a move is a copy between two drives."""
     return drive(quarantine) != drive(path)
 
 
+def has_bin(path: Column, fixed_drives: Sequence[str]) -> Column:
+    """Whether deleted files of this path go to a recycle bin: on fixed drives with a letter only."""
+    return F.coalesce(drive(path).isin(*[d.upper() for d in fixed_drives if not d.startswith("\\\\") and d != "/"]), F.lit(False))
+
+
+def destinations(moves: DataFrame, session_root: str, order: str = "position") -> DataFrame:
+    """``moves`` (path) with moved_to: the place in the quarantine; further files of one place, in
+    any case, get " ~2", " ~3" ... before the extension."""
+    place = quarantine_path(session_root, F.col("path"))
+    nth = F.row_number().over(W.partitionBy(F.upper(place)).orderBy(order, "path"))
+    split = r"^(.*?)(\.[^./\\]*)?$"
+    again = F.concat(F.regexp_extract(place, split, 1), F.lit(" ~"), F.col("_nth").cast("string"), F.regexp_extract(place, split, 2))
+    return moves.withColumn("_nth", nth).withColumn("moved_to", F.when(F.col("_nth") == 1, place).otherwise(again)).drop("_nth")
+
+
 def review_rows(members: DataFrame, options: Options) -> DataFrame:
     """One review row per duplicate; in read-only mode they are only reported."""
     status = "ReportOnly" if options.mode == "ReadOnly" else "Pending"

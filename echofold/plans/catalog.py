@@ -532,6 +532,58 @@ def space_guard(spark: SparkSession, d: str) -> DataFrame:
     return policy.space_guard(_plan(spark, d), 60_000, 400_000).select("group_id", "seq", "used_after", "outcome")
 
 
+_FOLD = f"""{_GROUPS}, d AS (SELECT n.group_id, r.file_id, n.keeper_id, r.size, row_number() OVER (ORDER BY n.group_id, r.rank, r.file_id) AS position,
+        CASE WHEN n.group_id >= 7 OR n.group_id % 5 = 0 THEN 'Apply' WHEN n.group_id % 5 = 1 THEN 'Skip' ELSE 'Wait' END AS choice FROM ranked r JOIN numbered n ON n.group_key = r.set_key WHERE r.rank > 1),
+    o AS (SELECT *, CASE WHEN choice = 'Skip' THEN 'Skipped' WHEN choice = 'Wait' THEN 'AwaitingReview' WHEN keeper_id % 13 = 0 THEN 'KeeperUnavailable' WHEN file_id % 11 = 0 THEN 'ChangedSinceScan'
+        WHEN file_id % 17 = 0 THEN 'SameFile' WHEN file_id % 19 = 0 THEN 'ByteCheckFailed' ELSE 'Moved' END AS outcome FROM d),
+    u AS (SELECT *, sum(CASE WHEN outcome = 'Moved' AND file_id % 2 = 0 THEN size ELSE 0 END) OVER (ORDER BY position) AS used FROM o),
+    f AS (SELECT min(position) AS full_at FROM u WHERE outcome IN ('Moved', 'ByteCheckFailed') AND file_id % 2 = 0 AND 60000 - (used + CASE WHEN outcome = 'Moved' THEN 0 ELSE size END) < 40000)"""
+
+
+@query(f"WITH {_FOLD} SELECT group_id, position, file_id, CASE WHEN position = full_at THEN 'QuarantineFull' WHEN position > full_at THEN 'AwaitingReview' ELSE outcome END AS outcome FROM u, f")
+def action_fold(spark: SparkSession, d: str) -> DataFrame:
+    """A run with answers: every fifth group is taken, the ones after those skipped, and from the
+    seventh on all of its kind are taken, until the quarantine's disk is nearly full."""
+    i, g = F.col("file_id"), F.col("group_id")
+    members = _members(spark, d).withColumns({"unchanged": i % 11 != 0, "keeper_unchanged": F.col("keeper_id") % 13 != 0, "same_file": i % 17 == 0, "still_identical": i % 19 != 0, "cross_drive": i % 2 == 0})
+    choice = F.when(g == 7, "ApplyToAllOfThisKind").when(g % 5 == 0, "Apply").when(g % 5 == 1, "Skip")
+    decisions = members.select("group_id").distinct().withColumn("choice", choice).where("choice is not null")
+    return policy.execute(members, Options(mode="Assisted"), decisions, (60_000, 400_000)).select("group_id", "position", "file_id", "outcome")
+
+
+@query(f"""WITH {FILES_SQL}, p AS (SELECT file_id, CASE WHEN file_id % 2 = 0 THEN 'C:' ELSE '' END || '/pics/' || (file_id // 3) || CASE WHEN file_id % 3 = 1 THEN '.JPG' WHEN file_id % 4 = 1 THEN '' ELSE '.jpg' END AS path FROM files),
+    q AS (SELECT *, '/q/s1/' || ltrim(replace(path, ':', ''), '/') AS place FROM p), n AS (SELECT *, row_number() OVER (PARTITION BY upper(place) ORDER BY file_id) AS nth FROM q)
+    SELECT file_id, CASE WHEN nth = 1 THEN place ELSE regexp_extract(place, '^(.*?)(\\.[^./]*)?$', 1) || ' ~' || nth || regexp_extract(place, '^(.*?)(\\.[^./]*)?$', 2) END AS moved_to FROM n""")
+def quarantine_places(spark: SparkSession, d: str) -> DataFrame:
+    i = F.col("file_id")
+    drive, ending = F.when(i % 2 == 0, "C:").otherwise(""), F.when(i % 3 == 1, ".JPG").when(i % 4 == 1, "").otherwise(".jpg")
+    moves = files(spark, d).select("file_id", F.concat(drive, F.lit("/pics/"), F.floor(i / 3).cast("string"), ending).alias("path"))
+    return policy.destinations(moves, "/q/s1", "file_id").select("file_id", "moved_to")
+
+
+@query("""SELECT doc_id AS file_id, TIMESTAMP '2024-05-01 10:00:00' + to_seconds(doc_id % 3600) + to_milliseconds(CASE WHEN doc_id % 2 = 0 THEN 250 ELSE 0 END) AS taken_at, CASE WHEN doc_id % 7 <> 0 THEN 'Maker' END AS make, 'Model ' || doc_id % 3 AS model,
+    CASE WHEN doc_id % 4 <> 0 THEN (CASE WHEN doc_id % 3 = 0 THEN -1 ELSE 1 END) * (doc_id % 80 + 0.5::DOUBLE) END AS latitude, CASE WHEN doc_id % 4 <> 0 THEN -(doc_id % 170 + 0.25::DOUBLE) END AS longitude,
+    CAST(4 + CASE WHEN doc_id % 4 <> 0 THEN 2 ELSE 0 END + CASE WHEN doc_id % 5 = 0 THEN 2 ELSE 0 END AS INTEGER) AS richness, CAST(doc_id % 8 + 1 AS INTEGER) AS orientation FROM documents WHERE doc_id % 6 <> 5
+    UNION ALL SELECT doc_id, NULL, NULL, NULL, NULL, NULL, 0, 1 FROM documents WHERE doc_id % 6 = 5""")
+def exif_fields(spark: SparkSession, d: str) -> DataFrame:
+    """Headers written from the documents' ids, every sixth no picture at all, read again."""
+    from ..sources import exif
+
+    @F.pandas_udf("binary")
+    def header(ids: pd.Series) -> pd.Series:
+        def one(i: int) -> bytes:
+            if i % 6 == 5:
+                return b"\xff\xd8\xff\xe0\0\x04ab\xff\xda" if i % 2 else b"no picture"
+            main = {exif.MODEL: f"Model {i % 3}", exif.ORIENTATION: i % 8 + 1} | ({exif.MAKE: "Maker"} if i % 7 else {})
+            own = {exif.TAKEN: f"2024:05:01 10:{i % 3600 // 60:02d}:{i % 60:02d}"} | ({0xC000 + k: k for k in range(60)} if i % 5 == 0 else {}) | ({exif.SUBSECONDS: "25"} if i % 2 == 0 else {})
+            gps = {exif.LATITUDE_REF: "S" if i % 3 == 0 else "N", exif.LATITUDE: [i % 80, 30, 0], exif.LONGITUDE_REF: "W", exif.LONGITUDE: [i % 170, 15, 0]} if i % 4 else {}
+            return exif.write(main, own, gps, jpeg=i % 2 == 1)
+
+        return ids.map(one)
+
+    return exif.metadata(table(spark, d, "documents").select(F.col("doc_id").alias("file_id"), header("doc_id").alias("content")))
+
+
 @query(f"WITH {FILES_SQL} SELECT file_id, file_id % 10 <> 3 AND file_id % 9 <> 2 AND file_id % 8 <> 1 AS unchanged FROM files")
 def changed_since_scan(spark: SparkSession, d: str) -> DataFrame:
     key = F.concat("path", F.lit("#"), F.col("file_id").cast("string"))

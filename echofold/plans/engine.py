@@ -7,7 +7,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import hashing
 from ..operators import blocking, groups
+from ..operators import cache as cached
 from ..options import Options
 from ..runtime import Scratch
 
@@ -16,17 +18,25 @@ FILE_COLUMNS = {
     "file_id": "long", "path": "string", "size": "long", "root": "string", "is_video": "boolean", "normalized": "string", "has_copy": "boolean", "has_edit": "boolean",
     "last_write": "timestamp_ntz", "full_hash": "string", "sample_hash": "string", "pixel_hash": "string", "width": "int", "height": "int", "phash": "array<bigint>", "dhash": "bigint",
     "sharpness": "double", "embedding": "array<double>", "taken_at": "timestamp_ntz", "camera_key": "string", "latitude": "double", "longitude": "double", "richness": "int", "error": "string",
-    "device": "long", "inode": "long",
+    "device": "long", "inode": "long", "mtime_ticks": "long",
 }
 
 
+#: What the cache keeps of a file, valid for its path, size and time.
+CACHED = (
+    "full_hash", "sample_hash", "pixel_hash", "width", "height", "phash", "dhash", "sharpness", "embedding", "taken_at", "camera_key", "latitude", "longitude", "richness",
+)
+
+
 @dataclass
 class Result:
-    """``files`` after analysis, ``members`` of all groups, and one row per group."""
+    """``files`` after analysis, ``members`` of all groups, one row per group, and the cache to
+    store for the next run."""
 
     files: DataFrame
     members: DataFrame
     groups: DataFrame
+    cache: DataFrame
 
 
 def complete(files: DataFrame) -> DataFrame:
@@ -34,33 +44,76 @@ def complete(files: DataFrame) -> DataFrame:
     return files.select(*[(F.col(c).cast(t) if c in files.columns else F.lit(None).cast(t)).alias(c) for c, t in FILE_COLUMNS.items()])
 
 
-def run(files: DataFrame, analyse=None, options: Options | None = None) -> Result:
+def filled(files: DataFrame, found: DataFrame) -> DataFrame:
+    """``files`` with the columns of ``found`` (by file_id) where they have none of their own."""
+    new = [c for c in found.columns if c != "file_id"]
+    joined = files.join(found.select("file_id", *[F.col(c).alias(f"_{c}") for c in new]), "file_id", "left")
+    return joined.withColumns({c: F.coalesce(c, f"_{c}") for c in new}).select(files.columns)
+
+
+def pixel_candidates(pairs: DataFrame, files: DataFrame) -> DataFrame:
+    """Ids of files without a pixel hash in a pair that agrees in its upright hashes and sides:
+    only these are worth a full decode."""
+    own = files.select("file_id", "phash", "width", "height", "pixel_hash")
+    a, b = (own.select(*[F.col(c).alias(f"{c}_{side}") for c in own.columns]) for side in "ab")
+    both = pairs.select("a", "b").join(a, F.col("a") == F.col("file_id_a")).join(b, F.col("b") == F.col("file_id_b"))
+    upright = hashing.best_orientation(F.get("phash_a", F.lit(0)), F.col("phash_b"))
+    alike = both.where((upright["distance"] == 0) & (upright["variant"] == 0) & (F.col("width_a") == F.col("width_b")) & (F.col("height_a") == F.col("height_b")))
+    ends = F.array(F.struct(F.col("a").alias("id"), F.col("pixel_hash_a").alias("p")), F.struct(F.col("b").alias("id"), F.col("pixel_hash_b").alias("p")))
+    return alike.select(F.explode(ends).alias("e")).where("e.p is null").select(F.col("e.id").alias("file_id")).distinct()
+
+
+def run(files: DataFrame, analyse=None, options: Options | None = None, pixels=None, embed=None, cache: DataFrame | None = None) -> Result:
     """Finds, scores and groups duplicates of ``files`` (file columns and ``content``).
 
-    ``analyse`` maps files with content to their visual columns by file_id; only representatives
-    (photos without error that are no hidden exact duplicate) reach it; exact duplicates take over
-    their keeper's.  Further names of one file (device, inode) in an exact set leave the inventory.
+    Three functions map files with content to columns by file_id, each for the files that need it:
+    ``analyse`` for the visual columns of representatives (photos without error that are no hidden
+    exact duplicate) that have none; ``pixels`` for the pixel hashes of ``pixel_candidates``; ``embed``
+    for the vectors of files in a candidate pair (without it there are none).  ``cache`` is the
+    result's cache of an earlier run: files unchanged since are not analysed again.  Exact
+    duplicates take over their keeper's columns.  Further names of one file (device, inode) in an
+    exact set leave the inventory.
     """
     o = options or Options()
     scratch = Scratch(files.sparkSession, "engine")
-    base = complete(files).drop("full_hash", "sample_hash")
-    sets = blocking.exact_sets(base.join(files.select("file_id", "content"), "file_id"), options=o)
-    named = scratch.cut(sets.select(*base.columns, "full_hash", "sample_hash", "set_key"), "named")
-    sets = scratch.cut(blocking.remove_aliases(named), "sets")
-    aliases = named.select("file_id").join(sets.select("file_id"), "file_id", "left_anti")
+    contents = files.select("file_id", "content")
+    base = complete(files)
+    base = base.withColumn("mtime_ticks", F.coalesce("mtime_ticks", F.unix_micros(F.col("last_write").cast("timestamp")) * 10))
+    if cache is not None:
+        hits = cached.apply(base.select("file_id", "path", "size", "mtime_ticks"), cache, list(CACHED)).where("cache_hit").select("file_id", *CACHED)
+        base = scratch.cut(filled(base, hits), "base")
+
+    # level 1: equal contents, without further names of one file
+    found = scratch.cut(blocking.exact_sets(base.join(contents, "file_id"), options=o, scratch=scratch).select(*FILE_COLUMNS, "set_key"), "named")
+    sets = scratch.cut(blocking.remove_aliases(found), "sets")
+    aliases = found.select("file_id").join(sets.select("file_id"), "file_id", "left_anti")
     exact = scratch.cut(groups.exact_groups(blocking.with_peers(sets, "set_key"), o), "exact")
-    hashed = named.select("file_id", "full_hash", "sample_hash")
-    known = base.join(aliases, "file_id", "left_anti").join(hashed, "file_id", "left")
+    known = filled(base.join(aliases, "file_id", "left_anti"), found.select("file_id", "full_hash", "sample_hash"))
+
+    # visual analysis of representatives
     hidden = exact.where("rank > 1").select("file_id")
-    seen = known.where(~F.col("is_video") & F.col("error").isNull()).join(hidden, "file_id", "left_anti")
+    seen = scratch.cut(known.where(~F.col("is_video") & F.col("error").isNull()).join(hidden, "file_id", "left_anti"), "representatives")
     if analyse is not None:
-        visual = analyse(seen.select("file_id").join(files.select("file_id", "content"), "file_id"))
-        seen = seen.drop(*[c for c in visual.columns if c != "file_id"]).join(visual, "file_id", "left")
-    seen = scratch.cut(complete(seen).where("error is null"), "analysed")
+        seen = filled(seen, analyse(contents.join(seen.where("phash is null").select("file_id"), "file_id")))
+    seen = scratch.cut(complete(seen), "analysed")
+    bad = seen.where("error is not null")
+    seen = seen.where("error is null")
+
+    # candidates, and what only they need
     hashes = seen.where("phash is not null").select("file_id", F.get("phash", F.lit(0)).alias("hash"), "phash")
-    near = blocking.hamming_pairs(hashes, o.perceptual_max_distance, variants_col="phash", options=o)
-    parts = [near] + ([blocking.burst_pairs_capped(seen, o.burst_window_seconds, o.burst_neighbours)] if o.detect_bursts else [])
-    edges = scratch.cut(groups.score_pairs(blocking.union_pairs(*parts), seen, o), "scored")
+    near = blocking.hamming_pairs(hashes, o.perceptual_max_distance, variants_col="phash", options=o, scratch=scratch)
+    parts = [near] + ([blocking.burst_pairs_capped(seen, o.burst_window_seconds, o.burst_neighbours, scratch=scratch)] if o.detect_bursts else [])
+    pairs = scratch.cut(blocking.union_pairs(*parts), "pairs")
+    if pixels is not None:
+        seen = filled(seen, pixels(contents.join(pixel_candidates(pairs, seen), "file_id")))
+    if embed is not None:
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("file_id")).distinct()
+        missing = ends.join(seen.where("embedding is null").select("file_id"), "file_id")
+        seen = filled(seen, embed(contents.join(missing, "file_id")))
+    seen = scratch.cut(seen, "seen")
+
+    # scores, groups, numbers
+    edges = scratch.cut(groups.score_pairs(pairs, seen, o), "scored")
     alike = groups.similarity_groups(edges, seen, o, scratch)
     wide = ["group_key", "rank", "keeper_id", "keeper_reason", "kind", "confidence", "reason", *FILE_COLUMNS]
     members = groups.inherit(exact, seen).withColumn("group_key", F.concat(F.lit("x"), F.col("group_key")))
@@ -69,5 +122,13 @@ def run(files: DataFrame, analyse=None, options: Options | None = None) -> Resul
     if o.cross_folder_only:
         members = groups.set_aside(members)
     members = scratch.cut(members, "members")
-    ranked = scratch.cut(groups.number(groups.summarise(members)), "groups")
-    return Result(seen, members.join(ranked.select("group_key", "group_id", F.col("kind").alias("group_kind")), "group_key"), ranked)
+    ranked = scratch.cut(groups.number(groups.summarise(members), scratch), "groups")
+
+    # every file that was hashed or analysed is worth keeping for the next run
+    rest = known.join(seen.select("file_id").unionByName(bad.select("file_id")), "file_id", "left_anti")
+    kept = seen.unionByName(rest.select(seen.columns)).where("full_hash is not null or sample_hash is not null or phash is not null")
+    fresh = kept.select("path", "size", "mtime_ticks", *CACHED)
+    if cache is not None:
+        roots = [r["root"] for r in base.where("root is not null").select("root").distinct().limit(10_000).collect()]
+        fresh = cached.prune(cached.store(cache.select(fresh.columns), fresh), roots, base)
+    return Result(seen.unionByName(bad), members.join(ranked.select("group_key", "group_id", F.col("kind").alias("group_kind")), "group_key"), ranked, fresh)

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import options as K
@@ -19,7 +20,9 @@ BIN_FOLDER, QUARANTINE_NAME = "$RECYCLE.BIN", ".QUARANTINE"
 
 
 def wanted(files: DataFrame, options: Options) -> DataFrame:
-    """Files of a wanted extension, in no bin or quarantine, not empty, each path once."""
+    """Files of a wanted extension, in no bin or quarantine, not empty, each path once (in any case;
+    the first in order).  Folders hidden below the file's root count as hidden, the root's own path
+    does not."""
     ext, upper = names.extension(F.col("path")), F.upper("path")
     kind = ext.isin(*K.PHOTO_EXTENSIONS)
     if options.include_videos:
@@ -27,8 +30,10 @@ def wanted(files: DataFrame, options: Options) -> DataFrame:
     apart = F.contains(upper, F.lit(BIN_FOLDER)) | F.contains(upper, F.lit(f"/{QUARANTINE_NAME}")) | F.coalesce(names.is_under(F.col("path"), F.lit(options.quarantine)), F.lit(False))
     out = files.where(kind & ~apart & (F.col("size") > 0))
     if not options.include_hidden:
-        out = out.where(~F.col("path").rlike(r"/\.[^/]+"))
-    return out.withColumn("_p", upper).dropDuplicates(["_p"]).drop("_p")
+        below = F.substr("path", F.length(F.coalesce("root", F.lit(""))) + 1) if "root" in files.columns else F.col("path")
+        out = out.where(~below.rlike(r"(^|/)\.[^/]+"))
+    first = F.row_number().over(W.partitionBy(upper).orderBy("path", *(["file_id"] if "file_id" in files.columns else [])))
+    return out.withColumn("_nth", first).where("_nth = 1").drop("_nth")
 
 
 def attribute_roots(files: DataFrame, roots: Sequence[str]) -> DataFrame:
@@ -44,11 +49,12 @@ def with_names(files: DataFrame) -> DataFrame:
 
 
 def from_reader(spark: SparkSession, roots: Sequence[str], options: Options, with_content: bool = False) -> DataFrame:
-    """Inventory by the binary reader; without contents the files are listed but not read."""
+    """Inventory by the binary reader; without contents the files are listed but not read.  Spark
+    itself leaves out names that begin with a point or an underscore; ``from_walk`` does not."""
     read = spark.read.format("binaryFile").option("recursiveFileLookup", str(options.recursive).lower())
     rows = read.load(list(roots)).select(F.regexp_replace("path", r"^[a-z]+:/+", "/").alias("path"), F.col("length").alias("size"), F.col("modificationTime").cast("timestamp_ntz").alias("last_write"), *(["content"] if with_content else []))
     rows = rows.withColumns({"file_id": F.xxhash64("path"), "mtime_ticks": F.unix_micros(F.col("last_write").cast("timestamp")) * 10, "device": F.lit(None).cast("long"), "inode": F.lit(None).cast("long")})
-    return with_names(attribute_roots(wanted(rows, options), roots))
+    return with_names(wanted(attribute_roots(rows, roots), options))
 
 
 def from_walk(spark: SparkSession, roots: Sequence[str], options: Options) -> DataFrame:
@@ -65,4 +71,4 @@ def from_walk(spark: SparkSession, roots: Sequence[str], options: Options) -> Da
                 seen.add(path)
                 s = os.stat(path)
                 rows.append((len(rows), path, s.st_size, s.st_mtime_ns // 100, datetime.fromtimestamp(s.st_mtime, timezone.utc).replace(tzinfo=None), s.st_dev, s.st_ino))
-    return with_names(attribute_roots(wanted(spark.createDataFrame(rows, SCHEMA), options), roots))
+    return with_names(wanted(attribute_roots(spark.createDataFrame(rows, SCHEMA), roots), options))

@@ -99,7 +99,7 @@ def test_image_hashes():
 
 def test_pictures_end_to_end(spark):
     ids = spark.createDataFrame([(10,), (20,), (30,)], "doc_id long")
-    result = engine.run(pictures.draw(ids), analyse=lambda f: imaging.analyse(f, ppm.decode))
+    result = engine.run(pictures.draw(ids), analyse=lambda f: imaging.analyse(f, ppm.decode), pixels=lambda f: imaging.pixel_hashes(f, ppm.decode))
     got = {(r.file_id // 8 * 10, r.file_id % 8): r for r in result.members.where("rank > 1").collect()}
     for r in result.members.collect():
         assert r.group_id >= 1
@@ -182,7 +182,7 @@ def test_journal_and_reports(spark, tmp_path, sf):
 def test_texts(spark):
     one = spark.range(1)
     show = lambda c: one.select(c).first()[0]
-    assert show(text.format_bytes(F.lit(3 << 29))) == "1.50 GB" and show(text.quarantine_path("/q/s", F.lit("C:\\x\\y"))) == "/q/s/x\\y" and show(text.drive(F.lit("e:\\a"))) == "E:"
+    assert show(text.format_bytes(F.lit(3 << 29))) == "1.50 GB" and show(text.quarantine_path("/q/s", F.lit("C:\\x\\y"))) == "/q/s/C\\x\\y" and show(text.drive(F.lit("e:\\a"))) == "E:"
     assert show(text.csv_quote(F.lit('a"b'))) == '"a""b"' and abs(show(vectors.haversine(F.lit(0.0), F.lit(0.0), F.lit(0.0), F.lit(1.0))) - 111_194.9) < 1
     assert show(text.with_subseconds(F.expr("timestamp_ntz'2024-01-01 00:00:00'"), F.lit("25"))).microsecond == 250_000
 
@@ -196,3 +196,209 @@ def test_stream_of_arrivals(spark, tmp_path):
     seen = []
     incremental.upsert(lambda df, _: seen.extend(r.k for r in df.collect()), incremental.first_arrivals(stream, "k", "ts"), str(tmp_path / "cp")).awaitTermination()
     assert sorted(seen) == ["a", "b"]
+
+
+def test_running_sums_over_ranges(spark):
+    from echofold.operators import ranking
+
+    rows = [(k, 7 if k % 3 else k, k % 11) for k in range(500)]
+    got = {r.i: (r.total, r.n) for r in ranking.numbered(ranking.running(spark.createDataFrame(rows, "i long, a long, b long"), [F.desc("a"), "i"], F.col("b"), "total"), [F.desc("a"), "i"], "n").collect()}
+    total = 0
+    for n, (i, _, b) in enumerate(sorted(rows, key=lambda r: (-r[1], r[0])), 1):
+        total += b
+        assert got[i] == (total, n)
+
+
+MEMBER = "group_id long, group_kind string, rank int, file_id long, keeper_id long, kind string, confidence double, size long, unchanged boolean, keeper_unchanged boolean, same_file boolean, still_identical boolean, cross_drive boolean"
+
+
+def fold_by_hand(rows, mode, choices, space):
+    """The run as a loop over groups, one member after the other."""
+    sure = {"SemiAutomatic": lambda m: m[5] == "ExactBytes", "Automatic": lambda m: m[6] >= 99 and m[5] != "Burst", "Assisted": lambda m: False}[mode]
+    out, removed, approved, quit_, stopped, free = [], set(), set(), False, False, space and space[0]
+    by = {}
+    for r in rows:
+        if r[2] > 1:
+            by.setdefault(r[0], []).append(r)
+    for g in sorted(by):
+        own = sorted(by[g], key=lambda m: (m[2], m[3]))
+        auto, ask = [m for m in own if sure(m)], [m for m in own if not sure(m)]
+        for part, asked in ((auto, False), (ask, True)):
+            if not part:
+                continue
+            if quit_ or stopped:
+                out += [(g, m[3], "AwaitingReview") for m in part]
+                continue
+            if asked and not (part[0][1] in approved and all(m[6] >= 60 for m in part)):
+                choice = choices.get(g)
+                if choice == "Quit":
+                    quit_ = True
+                if choice == "Skip":
+                    out += [(g, m[3], "Skipped") for m in part]
+                    continue
+                if choice in (None, "Quit"):
+                    out += [(g, m[3], "AwaitingReview") for m in part]
+                    continue
+                if choice == "ApplyToAllOfThisKind":
+                    approved.add(part[0][1])
+            for m in part:
+                if stopped:
+                    out.append((g, m[3], "AwaitingReview"))
+                elif m[4] in removed or not m[9]:
+                    out.append((g, m[3], "KeeperUnavailable"))
+                elif m[3] in removed:
+                    out.append((g, m[3], "AlreadyHandled"))
+                elif not m[8]:
+                    out.append((g, m[3], "ChangedSinceScan"))
+                elif m[10]:
+                    out.append((g, m[3], "SameFile"))
+                elif space and m[12] and free - m[7] < space[1] * 0.1:
+                    stopped = True
+                    out.append((g, m[3], "QuarantineFull"))
+                elif not m[11]:
+                    out.append((g, m[3], "ByteCheckFailed"))
+                else:
+                    removed.add(m[3])
+                    free = free - m[7] if space and m[12] else free
+                    out.append((g, m[3], "Moved"))
+    return out
+
+
+@pytest.mark.parametrize(("mode", "space", "seed"), [("Automatic", None, 1), ("Assisted", (9000, 60_000), 2), ("SemiAutomatic", (12_000, 60_000), 3)])
+def test_fold_equals_a_loop(spark, mode, space, seed):
+    rng = random.Random(seed)
+    rows = []
+    for g in range(1, 60):
+        kind = rng.choice(["ExactBytes", "Perceptual", "Burst"])
+        files = rng.sample(range(45), rng.randrange(2, 5))
+        whole = rng.random() > 0.1
+        for rank, f in enumerate(files, 1):
+            rows.append((g, kind, rank, f, files[0], kind, float(rng.choice([100, 99, 80, 50])), rng.randrange(1, 400), rng.random() > 0.1, whole, rng.random() < 0.05, rng.random() > 0.1, rng.random() < 0.5))
+    choices = {g: rng.choice(["Apply", "Skip", "Apply"]) for g in range(1, 60) if rng.random() < 0.6} | {20: "ApplyToAllOfThisKind", 55: "Quit"}
+    decisions = spark.createDataFrame(list(choices.items()), "group_id long, choice string")
+    got = policy.execute(spark.createDataFrame(rows, MEMBER), Options(mode=mode), decisions, space).orderBy("position").collect()
+    want = fold_by_hand(rows, mode, choices, space)
+    assert [(r.group_id, r.file_id, r.outcome) for r in got] == want and len({x[2] for x in want}) >= 6
+
+
+@pytest.mark.parametrize(("turned", "moved"), [(False, 6), (True, 4)])
+def test_fold_never_moves_the_last_copy(spark, turned, moved):
+    """Three copies of a picture (1, 2, 3), three of its small version (4, 5, 6), and one with the
+    same pixels (7); the small version that is kept is itself a duplicate of the picture."""
+    parts = [("ExactBytes", 100.0, [1, 2, 3]), ("ExactBytes", 100.0, [4, 5, 6]), ("IdenticalPixels", 99.0, [1, 7, 4])]
+    rows = [(g, kind, rank, f, files[0], kind, c, 1, True, True, False, True, False) for g, (kind, c, files) in enumerate(parts[::-1] if turned else parts, 1) for rank, f in enumerate(files, 1)]
+    got = policy.execute(spark.createDataFrame(rows, MEMBER), Options(mode="Automatic", auto_threshold=90)).collect()
+    kept = {r.file_id: r.keeper_id for r in got if r.outcome == "Moved"}
+    assert len(kept) == moved
+    for f in kept:
+        for _ in kept:
+            f = kept.get(f, f)
+        assert f not in kept
+    assert {r.outcome for r in policy.execute(spark.createDataFrame(rows, MEMBER), Options()).collect()} == {"ReportOnly"}
+
+
+def test_second_scan_uses_the_cache(spark, tmp_path):
+    from echofold.operators import cache
+    from echofold.runtime import Scratch
+
+    drawn = Scratch(spark, "t").cut(pictures.draw(spark.createDataFrame([(10,), (20,)], "doc_id long")), "drawn")
+    asked = {"analyse": [], "pixels": [], "embed": []}
+    network = lambda x: np.stack([x.mean((2, 3))[:, k % 3] for k in range(6)], 1)
+    steps = {
+        "analyse": lambda f: imaging.analyse(f, ppm.decode), "pixels": lambda f: imaging.pixel_hashes(f, ppm.decode), "embed": lambda f: imaging.embeddings(f, ppm.decode, network, 16),
+    }
+
+    def scan(known):
+        for seen in asked.values():
+            seen.clear()
+        told = lambda name: lambda f: (asked[name].append(sorted(r.file_id for r in f.select("file_id").collect())), steps[name](f))[1]
+        out = engine.run(drawn, told("analyse"), None, told("pixels"), told("embed"), known)
+        return sorted(((r.file_id, r.kind, round(r.confidence or 0, 6), r.rank, r.group_id) for r in out.members.collect()), key=str), out
+
+    first, result = scan(None)
+    assert len(asked["analyse"][0]) == 8 and asked["pixels"][0] == [80, 82, 160, 162] and set(asked["embed"][0]) >= {80, 82, 83}
+    assert {r.file_id: r.embedding for r in result.files.collect()}[80] is not None
+    plain = engine.run(drawn, steps["analyse"])
+    assert all(r.embedding is None and r.pixel_hash is None for r in plain.files.collect())
+    place, kinds = str(tmp_path / "cache"), ", ".join(f"{c} {engine.FILE_COLUMNS[c]}" for c in ("path", "size", "mtime_ticks", *engine.CACHED))
+    assert cache.load(spark, place, kinds).count() == 0
+    cache.save(result.cache, place)
+    cache.save(cache.load(spark, place, kinds), place)
+    again, second = scan(cache.load(spark, place, kinds))
+    assert again == first and asked == {"analyse": [[]], "pixels": [[]], "embed": [[]]}
+    assert second.cache.count() == result.cache.count() == 8 + 2
+    (tmp_path / "bad").mkdir()
+    (tmp_path / "bad" / "part-0.parquet").write_bytes(b"not parquet at all")
+    assert cache.load(spark, str(tmp_path / "bad"), kinds).count() == 0
+
+
+def test_known_hashes_are_taken(spark):
+    rows = [(1, b"abc", 3, "same"), (2, b"abd", 3, "same"), (3, b"abe", 3, None)]
+    files = spark.createDataFrame([(i, c, s, False, h, h) for i, c, s, h in rows], "file_id long, content binary, size long, is_video boolean, partial_hash string, full_hash string")
+    assert sorted(r.file_id for r in blocking.exact_sets(files).collect()) == [1, 2]
+
+
+def test_exif(spark):
+    from datetime import datetime
+
+    from echofold.sources import exif
+
+    at = {exif.TAKEN: "2024:05:01 10:20:30", exif.SUBSECONDS: "25"}
+    place = {exif.LATITUDE_REF: "N", exif.LATITUDE: [45, 27, 51.12], exif.LONGITUDE_REF: "W", exif.LONGITUDE: [9, 11, 24]}
+    m = exif.read(exif.write({exif.MAKE: "Google", exif.MODEL: "Pixel 9", exif.ORIENTATION: 6}, at, place, jpeg=True))
+    assert m["taken_at"] == datetime(2024, 5, 1, 10, 20, 30, 250_000) and (m["make"], m["model"], m["orientation"]) == ("Google", "Pixel 9", 6)
+    assert abs(m["latitude"] - 45.4642) < 1e-3 and abs(m["longitude"] + 9.19) < 1e-3 and m["richness"] == 6
+    whole = exif.write({exif.MODEL: "x" * 40}, at, place)
+    for cut in range(len(whole)):
+        exif.read(whole[:cut])
+    for content in (None, b"", b"\xff\xd8\xff\xe1\0\x10Exif\0\0II*\0", b"no picture", b"II*\0\xff\xff\xff\x7f"):
+        assert exif.read(content) == exif.EMPTY
+    grid = np.arange(24).reshape(2, 4, 3)
+    assert [imaging.oriented(grid, k).shape[:2] for k in (1, 3, 6, 8)] == [(2, 4), (2, 4), (4, 2), (4, 2)]
+    assert (imaging.oriented(grid, 6) == np.rot90(grid, -1)).all() and (imaging.oriented(grid, 8) == np.rot90(grid)).all() and (imaging.oriented(grid, 3) == np.rot90(grid, 2)).all()
+    assert imaging.upright_size(4000, 3000, 192, 256) == (3000, 4000) and imaging.upright_size(4000, 3000, 256, 192) == (4000, 3000)
+
+
+def test_bins_and_drives(spark):
+    rows = spark.createDataFrame([("C:\\a",), ("E:\\a",), ("\\\\nas\\p\\a",), ("/a",), (None,)], "path string")
+    assert [r[0] for r in rows.select(policy.has_bin(F.col("path"), ["c:", "/", "\\\\nas\\p"])).collect()] == [True, False, False, False, False]
+    assert [r[0] for r in rows.limit(2).select(policy.crosses_drives(F.lit("C:\\q"), F.col("path"))).collect()] == [False, True]
+
+
+def test_hidden_folders_count_below_the_root_only(spark, tmp_path):
+    base = tmp_path / ".sync" / "photos"
+    for name in ("a.jpg", ".x/b.jpg", ".c.jpg"):
+        (base / name).parent.mkdir(exist_ok=True, parents=True)
+        (base / name).write_bytes(b"x")
+    for read in (inventory.from_walk, inventory.from_reader):
+        assert [r.path.rsplit("/", 1)[1] for r in read(spark, [str(base)], Options()).collect()] == ["a.jpg"]
+    assert inventory.from_walk(spark, [str(base)], Options(include_hidden=True)).count() == 3
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from echofold import cli
+
+    got = cli.parse(["/a", "/b", "--modo", "auto", "--soglia", "95,5", "--raffica", "3.5", "--solo-tra-cartelle", "--preferisci", "/a", "--video-rapido"])
+    assert got.roots == ("/a", "/b") and got.options == Options(mode="Automatic", auto_threshold=95.5, burst_window_seconds=3.5, cross_folder_only=True, preferred_folders=("/a",), include_videos=True, quick_video_check=True)
+    for wrong in ([], ["/a", "--threshold", "89"], ["/a", "--burst", "x"], ["/a", "--across-folders"], ["/a", "--mode", "assisted", "--non-interactive"], ["/a", "--what"], ["/a", "--mode", "fast"]):
+        with pytest.raises(SystemExit):
+            cli.parse(wrong)
+    for name, seed in (("a.jpg", 1), ("b.jpg", 1), ("c.jpg", 2)):
+        (tmp_path / name).write_bytes(ppm.encode(pictures.scene(seed)))
+    size = (tmp_path / "a.jpg").stat().st_size
+    report, cache = str(tmp_path / "out" / "report"), str(tmp_path / "out" / "cache")
+    (tmp_path / "out").mkdir()
+    assert cli.main([str(tmp_path), "--report", report, "--cache", cache]) == {"total": size, "ExactBytes": size}
+    assert "KEEP" in (tmp_path / "out" / "report.csv").read_text() and (tmp_path / "out" / "report.html").exists()
+    assert cli.main([str(tmp_path), "--cache", cache]) == {"total": size, "ExactBytes": size}
+
+
+def test_sessions(spark, tmp_path):
+    from echofold.streaming import incremental
+
+    rows = [("a", "2024-01-01 00:00:00"), ("a", "2024-01-01 00:00:08"), ("a", "2024-01-01 00:01:00"), ("b", "2024-01-01 00:00:01"), ("z", "2024-01-01 02:00:00")]
+    spark.createDataFrame(rows, "k string, t string").select("k", F.to_timestamp("t").alias("ts")).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("k string, ts timestamp").parquet(str(tmp_path / "in"))
+    seen = []
+    incremental.upsert(lambda df, _: seen.extend((r.k, r.n) for r in df.collect()), incremental.sessions(stream, "ts", "k"), str(tmp_path / "cp")).awaitTermination()
+    assert sorted(seen) == [("a", 1), ("a", 2), ("b", 1)]
