@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import options as K
+from ..functions import hashing
 from ..functions.text import drive, quarantine_path
 from ..options import Options
 from ..runtime import Scratch
@@ -154,6 +155,18 @@ def execute(members: DataFrame, options: Options, decisions: DataFrame | None =
     return told.withColumn("outcome", stopped).select(*FOLD)
 
 
+def recheck(members: DataFrame, contents: DataFrame, options: Options) -> DataFrame:
+    """``members`` with still_identical: whether a byte-identical duplicate and its keeper still are,
+    by their present ``contents`` (file_id, content).  Ends are compared, a video's sampled blocks,
+    or with ``verify_before_move`` everything; other kinds are not held against their bytes."""
+    own = contents.select("file_id", F.col("content").alias("_own"))
+    kept = contents.select(F.col("file_id").alias("keeper_id"), F.col("content").alias("_kept"))
+    pairs = members.where((F.col("rank") > 1) & F.col("kind").isin("ExactBytes", "VideoSampled")).select("file_id", "keeper_id", "is_video")
+    same = hashing.still_identical(F.col("_own"), F.col("_kept"), F.col("is_video"), options.partial_hash_bytes, options.video_sample_blocks, options.verify_before_move)
+    checked = pairs.join(own, "file_id", "left").join(kept, "keeper_id", "left").select("file_id", "keeper_id", same.alias("_same"))
+    return members.join(checked, ["file_id", "keeper_id"], "left").withColumn("still_identical", F.coalesce("_same", F.lit(True))).drop("_same")
+
+
 #: Columns of ``execute``.
 FOLD = ("group_id", "position", "file_id", "keeper_id", "kind", "size", "automatic", "outcome")
 

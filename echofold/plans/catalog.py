@@ -118,15 +118,14 @@ def copy_edit_flags(spark: SparkSession, d: str) -> DataFrame:
     return files(spark, d).groupBy("ext").agg(F.count_if("has_copy").alias("copies"), F.count_if("has_edit").alias("edits"))
 
 
-_NAME_SQL = """SELECT a.page_id AS a, b.page_id AS b, round(CASE WHEN a.h = b.h THEN 1.0 WHEN length(a.h) = 0 OR length(b.h) = 0 THEN 0.0 ELSE 1.0 - levenshtein(a.h, b.h)::DOUBLE / greatest(length(a.h), length(b.h)) END, 6) AS similarity
-    FROM (SELECT page_id, regexp_extract(url, '[^/]*$') AS h FROM pages) a JOIN (SELECT page_id, regexp_extract(url, '[^/]*$') AS h FROM pages) b ON b.page_id = a.page_id + 1"""
-
-
-@query(_NAME_SQL)
+@query(f"""WITH {_RANKED}, n AS (SELECT m.file_id, k.file_id AS keeper_id, m.base AS x, k.base AS y FROM ranked m JOIN ranked k ON k.set_key = m.set_key AND k.rank = 1 WHERE m.rank > 1)
+    SELECT file_id, keeper_id, round(CASE WHEN x = y THEN 1.0 WHEN length(x) = 0 OR length(y) = 0 THEN 0.0 ELSE 1.0 - levenshtein(x, y)::DOUBLE / greatest(length(x), length(y)) END, 6) AS similarity FROM n""")
 def name_similarity(spark: SparkSession, d: str) -> DataFrame:
-    own = table(spark, d, "pages").select("page_id", names.file_name(F.col("url")).alias("h"))
-    a, b = own.toDF("a", "ha"), own.toDF("b", "hb")
-    return a.join(b, F.col("b") == F.col("a") + 1).select("a", "b", F.round(names.similarity(F.col("ha"), F.col("hb")), 6).alias("similarity"))
+    """Names of exact duplicates against their keeper's."""
+    own = _ranked(spark, d)
+    keepers = own.where("rank = 1").select("group_key", F.col("base").alias("kept"))
+    similar = F.round(names.similarity(F.col("base"), F.col("kept")), 6).alias("similarity")
+    return own.where("rank > 1").join(keepers, "group_key").select("file_id", "keeper_id", similar)
 
 
 @query(f"WITH {FILES_SQL} SELECT file_id, starts_with(upper(path), '/SRC1/') AS in_src1, starts_with(upper(path), '/SRC1/SUB/') AS in_sub, upper(root) = '/SRC1' AS is_src1 FROM files")
@@ -287,12 +286,14 @@ def oriented_pairs(spark: SparkSession, d: str) -> DataFrame:
     return blocking.hamming_pairs(_text_hashes(spark, d), 8, variants_col="phash")
 
 
-@query(f"WITH {_TOKENS}, r AS (SELECT a.file_id AS a, b.file_id AS b, b.variant, CAST(bit_count(xor(a.hash, b.hash)) AS INTEGER) AS distance FROM hashes a JOIN hashes b ON b.file_id = a.file_id + 1 WHERE a.variant = 0) SELECT a, b, min(distance) AS distance, CAST(arg_min(variant, distance * 8 + variant) AS INTEGER) AS variant FROM r GROUP BY ALL")
+@query(f"WITH {_TOKENS}, {_PAIRS}, r AS (SELECT p.a, p.b, g.variant, CAST(bit_count(xor(h.hash, g.hash)) AS INTEGER) AS distance FROM near p JOIN hashes h ON h.file_id = p.a AND h.variant = 0 JOIN hashes g ON g.file_id = p.b) SELECT a, b, min(distance) AS distance, CAST(arg_min(variant, distance * 8 + variant) AS INTEGER) AS variant FROM r GROUP BY ALL")
 def best_orientation(spark: SparkSession, d: str) -> DataFrame:
+    """The orientation in which the pairs of ``oriented_pairs`` agree best, first to second."""
     own = _text_hashes(spark, d)
+    pairs = blocking.hamming_pairs(own, 8, variants_col="phash").select("a", "b")
     a, b = own.select(F.col("file_id").alias("a"), "hash"), own.select(F.col("file_id").alias("b"), "phash")
     best = hashing.best_orientation(F.col("hash"), F.col("phash"))
-    return a.join(b, F.col("b") == F.col("a") + 1).select("a", "b", best.alias("m")).select("a", "b", "m.distance", "m.variant")
+    return pairs.join(a, "a").join(b, "b").select("a", "b", best.alias("m")).select("a", "b", "m.distance", "m.variant")
 
 
 def _captures(spark: SparkSession, d: str) -> DataFrame:
@@ -326,26 +327,31 @@ def candidate_union(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {FILES_SQL}, p AS (SELECT file_id, '/p/' || (file_id // 2) || '.' || ext AS path, ext = 'cr2' AS raw FROM files)
     SELECT a.file_id AS a, b.file_id AS b, a.raw <> b.raw AS excluded FROM p a JOIN p b ON b.file_id = a.file_id + 1 AND a.file_id % 2 = 0""")
 def raw_jpeg_excluded(spark: SparkSession, d: str) -> DataFrame:
-    own = files(spark, d).select("file_id", F.concat(F.lit("/p/"), F.floor(F.col("file_id") / 2).cast("string"), F.lit("."), "ext").alias("path"))
-    a, b = own.select(F.col("file_id").alias("a"), F.struct("path").alias("fa")), own.select(F.col("file_id").alias("b"), F.struct("path").alias("fb"))
-    return a.where("a % 2 = 0").join(b, F.col("b") == F.col("a") + 1).select("a", "b", score.raw_sibling(F.col("fa"), F.col("fb")).alias("excluded"))
+    """Files of one folder and base name (made-up paths), and whether the pair is RAW and not."""
+    path = F.concat(F.lit("/p/"), F.floor(F.col("file_id") / 2).cast("string"), F.lit("."), "ext")
+    own = files(spark, d).select("file_id", path.alias("path")).withColumns({"folder": F.upper(names.directory(F.col("path"))), "base": F.upper(names.base_name(F.col("path")))})
+    a, b = (own.select("folder", "base", F.col("file_id").alias(x), F.struct("path").alias(f"f{x}")) for x in "ab")
+    return a.join(b, ["folder", "base"]).where("a < b").select("a", "b", score.raw_sibling(F.col("fa"), F.col("fb")).alias("excluded"))
 
 
-@query("SELECT a.vec_id AS a, b.vec_id AS b, round(list_sum([a.embedding[i]::DOUBLE * b.embedding[i]::DOUBLE FOR i IN range(1, 65)]), 5) AS cosine FROM embeddings a JOIN embeddings b ON b.vec_id > a.vec_id AND b.vec_id <= a.vec_id + 3")
+@query(f"WITH {_EHASH} SELECT a.id AS a, b.id AS b, round(list_sum([x.embedding[i]::DOUBLE * y.embedding[i]::DOUBLE FOR i IN range(1, 65)]), 5) AS cosine FROM e a JOIN e b ON a.id < b.id AND bit_count(xor(a.h, b.h)) <= 20 JOIN embeddings x ON x.vec_id = a.id JOIN embeddings y ON y.vec_id = b.id")
 def cosine_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Cosine of the pairs of ``hamming_pairs``."""
     own = table(spark, d, "embeddings").select("vec_id", "embedding")
-    a = own.select(F.col("vec_id").alias("a"), F.col("embedding").alias("x"), F.explode(F.array(*[F.col("vec_id") + k for k in (1, 2, 3)])).alias("b"))
-    return a.join(own.toDF("b", "y"), "b").select("a", "b", F.round(vectors.cosine(F.col("x"), F.col("y")), 5).alias("cosine"))
+    pairs = hamming_pairs(spark, d).select("a", "b")
+    return pairs.join(own.toDF("a", "x"), "a").join(own.toDF("b", "y"), "b").select("a", "b", F.round(vectors.cosine(F.col("x"), F.col("y")), 5).alias("cosine"))
 
 
 _HAV = "CASE WHEN a.latitude IS NOT NULL AND b.latitude IS NOT NULL THEN 2 * 6371000 * asin(least(1, sqrt(pow(sin(radians(b.latitude - a.latitude) / 2), 2) + cos(radians(a.latitude)) * cos(radians(b.latitude)) * pow(sin(radians(b.longitude - a.longitude) / 2), 2)))) END"
 
 
-@query(f"WITH {FILES_SQL} SELECT a.file_id AS a, b.file_id AS b, round({_HAV}, 3) AS metres FROM files a JOIN files b ON b.file_id = a.file_id + 1")
+@query(f"WITH {FILES_SQL}, {_SHOTS} SELECT p.a, p.b, round({_HAV}, 3) AS metres FROM bursts p JOIN files a ON a.file_id = p.a JOIN files b ON b.file_id = p.b")
 def haversine_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """How far apart the captures of a burst's pairs are."""
     own = files(spark, d).select("file_id", "latitude", "longitude")
-    a, b = own.toDF("a", "la", "lo"), own.toDF("b", "lb", "lp")
-    return a.join(b, F.col("b") == F.col("a") + 1).select("a", "b", F.round(vectors.haversine(F.col("la"), F.col("lo"), F.col("lb"), F.col("lp")), 3).alias("metres"))
+    pairs = blocking.burst_pairs_capped(files(spark, d), 10.0).select("a", "b")
+    met = pairs.join(own.toDF("a", "la", "lo"), "a").join(own.toDF("b", "lb", "lp"), "b")
+    return met.select("a", "b", F.round(vectors.haversine(F.col("la"), F.col("lo"), F.col("lb"), F.col("lp")), 3).alias("metres"))
 
 
 # --- scores and groups ----------------------------------------------------------------------
@@ -621,6 +627,39 @@ def review_counters(spark: SparkSession, d: str) -> DataFrame:
     return policy.review_counters(_review(spark, d))
 
 
+@query(f"WITH {_REVIEW} SELECT count(*) FILTER (status = 'Pending') AS same_kind FROM review")
+def same_kind(spark: SparkSession, d: str) -> DataFrame:
+    return policy.same_kind_count(_review(spark, d), "ExactBytes")
+
+
+_EDIT = "CASE file_id % 4 WHEN 1 THEN left(content, size - 1) || '~' WHEN 2 THEN left(content, size // 2) || '~' || substr(content, size // 2 + 2) WHEN 3 THEN content || '~' ELSE content END"
+_SIDE = _SAMPLED.replace("content", "{0}").replace("size", "length({0})")
+
+
+@query(f"""WITH {_RANKED}, fresh AS (SELECT file_id, {_EDIT} AS content FROM files),
+    p AS (SELECT m.file_id, m.is_video, f.content AS x, k.content AS y FROM ranked m JOIN ranked g ON g.set_key = m.set_key AND g.rank = 1 JOIN fresh f ON f.file_id = m.file_id JOIN fresh k ON k.file_id = g.file_id WHERE m.rank > 1)
+    SELECT file_id, length(x) = length(y) AND CASE WHEN is_video THEN {_SIDE.format('x')} = {_SIDE.format('y')} WHEN length(x) <= {2 * CHUNK} THEN x = y ELSE left(x, {CHUNK}) = left(y, {CHUNK}) AND right(x, {CHUNK}) = right(y, {CHUNK}) END AS quick, x = y AS whole FROM p""")
+def recheck_members(spark: SparkSession, d: str) -> DataFrame:
+    """Duplicates whose contents were edited since the scan: at the end, in the middle, or made longer."""
+    from dataclasses import replace
+
+    c, n = F.col("content"), F.col("size").cast("int")
+    half = F.floor(n / 2).cast("int")
+    cut = lambda at, length: F.substr(c, at, length)
+    edited = (
+        F.when(F.col("file_id") % 4 == 1, F.concat(cut(F.lit(1), n - 1), F.lit("~")))
+        .when(F.col("file_id") % 4 == 2, F.concat(cut(F.lit(1), half), F.lit("~"), cut(half + 2, n)))
+        .when(F.col("file_id") % 4 == 3, F.concat(c, F.lit("~")))
+        .otherwise(c)
+    )
+    fresh = _once(files(spark, d).select("file_id", edited.alias("content")), "fresh")
+    members = _ranked(spark, d).where("rank > 1")
+    options = replace(FULL, video_sample_blocks=BLOCKS)
+    quick = policy.recheck(members, fresh, options).select("file_id", F.col("still_identical").alias("quick"))
+    whole = policy.recheck(members, fresh, replace(options, verify_before_move=True)).select("file_id", F.col("still_identical").alias("whole"))
+    return quick.join(whole, "file_id")
+
+
 @query(f"WITH {_REVIEW} SELECT file_id, CASE status WHEN 'Pending' THEN 'ReportOnly' ELSE status END AS status FROM review")
 def mode_switch(spark: SparkSession, d: str) -> DataFrame:
     return policy.switch_mode(_review(spark, d), read_only=True).select("file_id", "status")
