@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import math
+from itertools import combinations, pairwise
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -55,11 +56,31 @@ def remove_aliases(members: DataFrame, set_key: str = "set_key", device: str = "
     return members.withColumn("_same", identity).withColumn("_nth", F.row_number().over(W.partitionBy(set_key, "_same").orderBy(order))).where("_nth = 1").drop("_same", "_nth")
 
 
-def _bands(distance: int) -> list[tuple[int, int]]:
-    """(shift, width) of bands such that hashes within ``distance`` agree up to one bit in one."""
-    n = distance // 2 + 1
-    edges = [round(64 * k / n) for k in range(n + 1)]
-    return [(lo, hi - lo) for lo, hi in zip(edges[:-1], edges[1:], strict=True)]
+#: Most probes of a band.
+PROBES = 5_000
+
+
+def bands(distance: int, count: int) -> list[tuple[int, int, list[int]]]:
+    """(shift, width, masks) of bands such that two hashes within ``distance`` agree in one of them
+    after one of its masks.
+
+    With m bands some band differs in at most distance / m bits, so the masks are all changes of so
+    many bits.  Few wide bands ask for more masks but meet fewer strangers; the number with the
+    least work for ``count`` hashes is taken, so a bucket's rows stay few as hashes get many.
+    """
+    best = None
+    for m in range(1, distance + 2):
+        edges = [round(64 * k / m) for k in range(m + 1)]
+        widths, most = [hi - lo for lo, hi in pairwise(edges)], distance // m
+        probes = sum(sum(math.comb(w, k) for k in range(most + 1)) for w in widths)
+        if probes > PROBES * m:
+            continue
+        work = sum(sum(math.comb(w, k) for k in range(most + 1)) * (1 + count / 2.0**w) for w in widths) + m
+        if best is None or work < best[0]:
+            best = (work, edges, most)
+    _, edges, most = best
+    masks = lambda w: [sum(1 << i for i in bits) for k in range(most + 1) for bits in combinations(range(w), k)]
+    return [(lo, hi - lo, masks(hi - lo)) for lo, hi in pairwise(edges)]
 
 
 def hamming_pairs(left: DataFrame, distance: int, id_col: str = "file_id", hash_col: str = "hash", variants_col: str | None = None, options: Options | None = None, scratch: Scratch | None = None) -> DataFrame:
@@ -68,7 +89,7 @@ def hamming_pairs(left: DataFrame, distance: int, id_col: str = "file_id", hash_
 
     Few hashes, or a distance too wide for bands, are compared in blocks: each row goes to the
     pairs of blocks it belongs to, so a task holds two blocks.  Else hashes meet where they agree
-    in a band up to one bit: equal or one-bit-changed band values, an ordinary equi-join.
+    in a band up to a few bits (``bands``): an ordinary equi-join of band values.
     """
     o = options or Options()
     own = left.where(F.col(hash_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(hash_col).alias("h"), (F.array_distinct(F.col(variants_col)) if variants_col else F.array(F.col(hash_col))).alias("v"))
@@ -82,12 +103,17 @@ def hamming_pairs(left: DataFrame, distance: int, id_col: str = "file_id", hash_
         asked = probes.withColumn("_col", block("qid")).withColumn("_row", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
         met = rows.join(asked, ["_row", "_col"])
     else:
-        bands = _bands(distance)
-        part = lambda c, s, w: F.shiftrightunsigned(c, s).bitwiseAND(F.lit((1 << w) - 1))
-        keys = F.array(*[F.struct(F.lit(k).alias("band"), part(F.col("h"), s, w).alias("value")) for k, (s, w) in enumerate(bands)])
-        asked_keys = F.array(*[F.struct(F.lit(k).alias("band"), part(F.col("qh"), s, w).bitwiseXOR(F.lit(flip)).alias("value")) for k, (s, w) in enumerate(bands) for flip in (0, *[1 << i for i in range(w)])])
-        rows = own.select("id", "h", F.explode(keys).alias("k")).select("id", "h", "k.band", "k.value")
-        asked = probes.select("qid", "qh", F.explode(asked_keys).alias("k")).select("qid", "qh", "k.band", "k.value")
+        # masks go on the side with one hash a row, not on the variants
+        part = lambda c, shift, w: F.shiftrightunsigned(c, shift).bitwiseAND(F.lit((1 << w) - 1))
+        plan = bands(distance, count)
+
+        def changed(k: int, shift: int, w: int, masks: list[int]) -> Column:
+            return F.transform(F.lit(masks), lambda m: F.struct(F.lit(k).alias("band"), part(F.col("h"), shift, w).bitwiseXOR(m.cast("long")).alias("value")))
+
+        every = F.concat(*[changed(k, *band) for k, band in enumerate(plan)])
+        rows = own.select("id", "h", F.explode(every).alias("k")).select("id", "h", "k.band", "k.value")
+        keys = F.array(*[F.struct(F.lit(k).alias("band"), part(F.col("qh"), s, w).alias("value")) for k, (s, w, _) in enumerate(plan)])
+        asked = probes.select("qid", "qh", F.explode(keys).alias("k")).select("qid", "qh", "k.band", "k.value")
         met = rows.hint("merge").join(asked, ["band", "value"])
     d = hashing.hamming(F.col("h"), F.col("qh"))
     found = met.where((F.col("id") != F.col("qid")) & (d <= distance)).select(F.least("id", "qid").alias("a"), F.greatest("id", "qid").alias("b"), d.alias("distance"))

@@ -71,6 +71,18 @@ def test_hamming_join_equals_brute_force(spark, brute):
     assert {(r.a, r.b) for r in got.collect()} == want
 
 
+@pytest.mark.parametrize("count", [10, 10**5, 10**7, 10**10])
+@pytest.mark.parametrize("distance", [0, 3, 8, 9])
+def test_bands_lose_no_pair(distance, count):
+    rng, plan = random.Random(distance), blocking.bands(distance, count)
+    assert sum(w for _, w, _ in plan) == 64 and sum(len(m) for _, _, m in plan) <= blocking.PROBES * len(plan)
+    for _ in range(300):
+        a = rng.getrandbits(64)
+        b = a ^ sum(1 << i for i in rng.sample(range(64), distance))
+        assert any((a >> s ^ m) & (1 << w) - 1 == b >> s & (1 << w) - 1 for s, w, masks in plan for m in masks)
+    assert len(blocking.bands(8, 10**10)) < len(blocking.bands(8, 10**4))
+
+
 def test_components_of_paths_and_stars(spark):
     edges = [(i, i + 1) for i in range(200)] + [(1000, k) for k in range(1001, 1050)] + [(7000, 7000), (None, 3)]
     got = {r.node: r.root for r in cluster.components(spark.createDataFrame(edges, "a long, b long")).collect()}
