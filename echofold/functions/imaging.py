@@ -109,9 +109,10 @@ def text_cells(text: Column) -> Column:
     """The cells of a text's picture: of each distinct two-word shingle one of ``SIDE`` x ``SIDE``, by
     its md5."""
     words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"(\S+)"), 1)
-    pairs = F.transform(F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda b, i: F.concat(F.get(words, i), F.lit(" "), b))
+    pairs = lambda w: F.transform(F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))), lambda b, i: F.concat(F.get(w, i), F.lit(" "), b))
     cell = lambda s: (F.conv(F.substring(F.md5(s), 1, 6), 16, 10).cast("int") % (SIDE * SIDE)).cast("int")
-    return F.transform(F.array_distinct(pairs), cell)
+    # the words are bound once a row; named twice they would be found again for every pair
+    return F.element_at(F.transform(F.array(words), lambda w: F.transform(F.array_distinct(pairs(w)), cell)), 1)
 
 
 def many_variants(grids: np.ndarray) -> np.ndarray:
