@@ -29,7 +29,7 @@ from . import textvec
 DIM_BITS = 20
 SAMPLE = 4_000
 #: Most features of the sample of a class (4 bytes each): a bound on what reaches the driver.
-SAMPLE_PLACES = 16_000_000
+SAMPLE_PLACES = 8_000_000
 PASSES = 5
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 20.0, 1.0
 _KIND = textvec.mix(np.arange(1, 4, dtype=np.uint64))
@@ -63,15 +63,15 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Label, order and the distinct feature places of each text."""
+    """Label, order and the distinct feature places of each text, 4 bytes each."""
     for batch in batches:
         data, offsets = textvec.buffer_of(batch.column(2))
         for lo, hi in textvec.chunks(offsets):
             at, row = features(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
             order = np.argsort(row, kind="stable")
             bounds = np.searchsorted(row[order], np.arange(hi - lo + 1))
-            own = [np.unique(at[order[a:b]]).astype(np.int32) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-            columns = [batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(own, pa.list_(pa.int32()))]
+            own = [np.unique(at[order[a:b]]).astype("<i4").tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+            columns = [batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(own, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["label", "k", "at"])
 
 
@@ -113,11 +113,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     parts = [own.where(F.col("label") == y).orderBy("k", "_i").limit(sample) for y in (0, 1)]
     chosen = parts[0].unionByName(parts[1])
     texts = docs.select(F.col(id_col).alias("_i"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "_i").select("label", "k", "text")
-    places = texts.mapInArrow(_distinct, "label int, k long, at array<int>")
-    so_far = F.sum(F.size("at")).over(W.partitionBy("label").orderBy("k", "at").rowsBetween(W.unboundedPreceding, 0))
-    rows = places.withColumn("so_far", so_far).where(F.col("so_far") <= SAMPLE_PLACES).select("label", "k", "at").toPandas()
-    rows = sorted(((int(y), int(k), a) for y, k, a in zip(rows["label"], rows["k"], rows["at"], strict=True)), key=lambda r: (r[1], r[0], bytes(np.asarray(r[2], np.int32))))
-    return fit([(y, np.asarray(a, np.int64)) for y, _, a in rows])
+    places = texts.mapInArrow(_distinct, "label int, k long, at binary")
+    so_far = F.sum(F.length("at") / 4).over(W.partitionBy("label").orderBy("k", "at").rowsBetween(W.unboundedPreceding, 0))
+    few = places.withColumn("so_far", so_far).where(F.col("so_far") <= SAMPLE_PLACES).select("label", "k", "at")
+    rows = sorted(((r["k"], r["label"], bytes(r["at"])) for r in few.toLocalIterator()))
+    return fit([(y, np.frombuffer(at, "<i4")) for _, y, at in rows])
 
 
 def margins(model: Model, dense: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
