@@ -23,6 +23,7 @@ import os
 import re
 import zlib
 from collections.abc import Callable, Iterator, Sequence
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +35,9 @@ from . import textvec
 
 END_ID = 1
 MAX_LEN = 2048
-#: Encoded parts that a worker remembers; the memory is cleared beyond it (a speed matter only).
-REMEMBER = 800_000
+#: Encoded parts that a worker remembers, about 50 bytes each; the memory is cleared beyond it (a
+#: speed matter only).  Newer ones are kept apart and merged into the others ``RECENT`` at a time.
+REMEMBER, RECENT = 2_500_000, 1 << 18
 
 
 def vocabulary() -> str:
@@ -86,25 +88,51 @@ class Encoder:
         return [e.ids for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
 
     def clear(self) -> None:
-        self.place: dict[int, int] = {}
+        none = (np.zeros(0, np.uint64), np.zeros(0, np.int32))
+        self.older, self.newer = none, none  # keys in order, and the numbers of their parts
+        self.parts = 0
         self.ids = np.zeros(1 << 20, np.int32)
         self.at = np.zeros(1 << 16, np.int64)  # at[k], at[k + 1]: where the ids of part k are
 
-    def _add(self, ids: list[int], counts: list[int], had: int) -> None:
-        """Appends the ids of new parts, numbered from ``had`` on."""
-        ends = self.at[had] + np.cumsum(counts)
-        while had + len(counts) + 1 > len(self.at):
+    def _find(self, keys: np.ndarray) -> np.ndarray:
+        """Numbers of the parts with these keys, -1 for new ones."""
+        out = np.full(len(keys), -1, np.int64)
+        for have, number in (self.older, self.newer):
+            if len(have):
+                place = np.minimum(np.searchsorted(have, keys), len(have) - 1)
+                hit = have[place] == keys
+                out[hit] = number[place[hit]]
+        return out
+
+    @staticmethod
+    def _merged(table: tuple[np.ndarray, np.ndarray], more: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        place = np.searchsorted(table[0], more[0])
+        return np.insert(table[0], place, more[0]), np.insert(table[1], place, more[1])
+
+    def _add(self, keys: np.ndarray, found: list[list[int]]) -> np.ndarray:
+        """Remembers the ids of new parts; their numbers."""
+        counts = np.fromiter(map(len, found), np.int64, len(found))
+        numbers = np.arange(self.parts, self.parts + len(found), dtype=np.int32)
+        begin = self.at[self.parts]
+        ends = begin + np.cumsum(counts)
+        while self.parts + len(found) + 1 > len(self.at):
             self.at = np.concatenate((self.at, np.zeros(len(self.at), np.int64)))
         while ends[-1] > len(self.ids):
             self.ids = np.concatenate((self.ids, np.zeros(len(self.ids), np.int32)))
-        self.ids[self.at[had] : ends[-1]] = ids
-        self.at[had + 1 : had + 1 + len(counts)] = ends
+        self.ids[begin : ends[-1]] = np.fromiter(chain.from_iterable(found), np.int32, int(counts.sum()))
+        self.at[self.parts + 1 : self.parts + 1 + len(found)] = ends
+        self.parts += len(found)
+        self.newer = self._merged(self.newer, (keys, numbers))
+        if len(self.newer[0]) > RECENT:
+            self.older = self._merged(self.older, self.newer)
+            self.newer = (self.newer[0][:0], self.newer[1][:0])
+        return numbers
 
     def batch(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of some rows in order, and where each row's ids begin (one more entry)."""
         if not len(data):
             return np.zeros(0, np.int32), np.zeros(len(offsets), np.int64)
-        if len(self.place) > REMEMBER:
+        if self.parts > REMEMBER:
             self.clear()
         starts = part_starts(data, offsets, self.special)
         ends = np.append(starts[1:], len(data))
@@ -113,14 +141,12 @@ class Encoder:
         np.cumsum(textvec._BYTE[data] * up[: len(data)], out=sums[1:])
         keys = textvec.mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
         distinct, where, back = np.unique(keys, return_index=True, return_inverse=True)
-        known = np.array([self.place.get(key, -1) for key in distinct.tolist()], np.int64)
+        known = self._find(distinct)
         new = np.flatnonzero(known < 0)
         if len(new):
-            raw, had = data.tobytes(), len(self.place)
+            raw = data.tobytes()
             found = self.encode([raw[a:b].decode("utf-8", "replace") for a, b in zip(starts[where[new]].tolist(), ends[where[new]].tolist(), strict=True)])
-            self._add([i for ids in found for i in ids], [len(ids) for ids in found], had)
-            known[new] = np.arange(had, had + len(new))
-            self.place.update(zip(distinct[new].tolist(), known[new].tolist(), strict=True))
+            known[new] = self._add(distinct[new], found)
         part = known[back]
         begin, count = self.at[part], self.at[part + 1] - self.at[part]
         total = np.concatenate(([0], np.cumsum(count)))
