@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..runtime import Scratch, table
+from ..runtime import Scratch, spread, table
 from . import chat, exact_dedup, langid, mixing, near_dedup, packing, quality, toxicity, url_filters, warc
 
 
@@ -15,7 +15,7 @@ def _fold(of: str, by: int, rest: int) -> Column:
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     held = _fold("doc_id", 3, 1)
     net = langid.train(docs, where=~held)
     return langid.identify(docs.select("doc_id", "text", held.alias("held_out")), net).select("doc_id", "held_out", "lang_pred", "score")
@@ -31,7 +31,7 @@ def op2_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return quality.apply(docs).drop("text")
 
 
@@ -59,11 +59,11 @@ def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.link(table(spark, sf_dir, "documents"))
+    return near_dedup.link(spread(table(spark, sf_dir, "documents")))
 
 
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "source", "size", "source_size", "target", "repeats", "taken")
+    return mixing.mix(spread(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))).select("doc_id", "source", "size", "source_size", "target", "repeats", "taken")
 
 
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,7 +74,7 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     held = _fold("doc_id", 5, 0)
     labels = table(spark, sf_dir, "labels").where(~held)
     model = toxicity.train(docs, labels)
@@ -83,7 +83,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), with_ids=False)
+    return packing.pack(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), with_ids=False)
 
 
 QUERIES = {f.__name__: f for f in (op1_language_id, op2_merkle_fixity, op3_quality_rules, op4_exact_dedup, op5_url_filters, op6_near_dedup, op7_source_mixing, op8_chat_format, op9_toxicity, op10_packing)}
