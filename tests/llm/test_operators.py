@@ -620,6 +620,26 @@ def test_pipeline_stages(spark, sf):
     assert corpus_pipeline.run(spark, sf).count() > docs.count()
 
 
+def test_pipeline_stages_on_odd_rows(spark, odd, none, sf):
+    import corpus_pipeline
+
+    stage = dict(corpus_pipeline.STAGES)
+    docs = stage["language"](spark, odd, sf)
+    assert sorted(str(r.doc_id) for r in docs.collect()) == sorted(["1", "2", "2", "None", "5", "7", "7"]) and docs.where("lang is null").count() == 0
+    docs = stage["exact_dedup"](spark, docs, sf)
+    assert sorted((str(r.doc_id), lower(r.text)[:4]) for r in docs.collect()) == [("2", "the "), ("5", "lore"), ("7", "drei"), ("7", "eins")]
+    docs = stage["near_dedup"](spark, docs, sf)
+    assert docs.count() == 4 and docs.columns == odd.columns
+    docs = stage["mixing"](spark, docs, sf).cache()
+    assert docs.columns == odd.columns and {r.doc_id for r in docs.collect()} <= {2, 5, 7}
+    pieces = stage["packing"](spark, docs, sf).collect()
+    assert len({r.row for r in pieces}) == docs.count() and sum(r.length for r in pieces if r.start == 0) <= sum(r.length for r in pieces)
+    left = none
+    for _, run in corpus_pipeline.STAGES:
+        left = run(spark, left, sf)
+        assert left.count() == 0
+
+
 def test_pipeline_language_without_a_network(spark, odd):
     import corpus_pipeline
 
