@@ -54,13 +54,15 @@ class Scratch:
     """Written tables of one operator run, below one folder of the shared scratch space.
 
     ``cut`` writes a frame and returns it reread: lost executors then never trigger a recompute
-    past this point.  ``drop`` removes a table that no later step reads.
+    past this point.  ``drop`` removes tables that no later step reads, ``keep_only`` all but those
+    a result still reads.
     """
 
     def __init__(self, spark: SparkSession, label: str) -> None:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
         self._n = 0
+        self._held: set[str] = set()
 
     def cut(self, df: DataFrame, name: str) -> DataFrame:
         self._n += 1
@@ -68,6 +70,7 @@ class Scratch:
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out.scratch_path = path
+        self._held.add(path)
         return out
 
     def drop(self, *frames: DataFrame) -> None:
@@ -77,6 +80,14 @@ class Scratch:
                 jvm = self.spark._jvm
                 where = jvm.org.apache.hadoop.fs.Path(path)
                 where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+                self._held.discard(path)
+
+    def keep_only(self, *frames: DataFrame) -> None:
+        stay = {frame.scratch_path for frame in frames}
+        for path in self._held - stay:
+            where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+        self._held &= stay
 
 
 _shipped: set[str] = set()
