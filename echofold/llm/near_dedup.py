@@ -263,7 +263,9 @@ def _merge(place: DataFrame, linked: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, root) after the linked pairs (a, b) have joined their components."""
     ra, rb = place.select(F.col("node").alias("a"), F.col("root").alias("ra")), place.select(F.col("node").alias("b"), F.col("root").alias("rb"))
     moved = components(linked.join(ra, "a").join(rb, "b").select("ra", "rb"), "ra", "rb", scratch)
-    return scratch.cut(place.join(moved.select(F.col("node").alias("root"), F.col("root").alias("_to")), "root", "left").select("node", F.coalesce("_to", "root").alias("root")), "place")
+    out = scratch.cut(place.join(moved.select(F.col("node").alias("root"), F.col("root").alias("_to")), "root", "left").select("node", F.coalesce("_to", "root").alias("root")), "place")
+    scratch.drop(place, linked)
+    return out
 
 
 def _text_key(text_col: str) -> Column:
@@ -301,9 +303,11 @@ def _linked(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFram
     sets = scratch.cut(wanted.join(found, "digest").select("node", "shingles"), "sets")
 
     # rounds: every component tries its best pair with a bucket's centre, until none links
-    joined = buckets.join(place, "node")
+    joined, past = buckets.join(place, "node"), buckets
     for turn in range(ROUNDS):
         rows = scratch.cut(_open(joined).join(traits, "node"), f"open{turn}")
+        scratch.drop(past)
+        joined = past = rows
         best = _best_with_centres(rows, turn)
         linked = scratch.cut(_confirm(best, sets), f"linked{turn}")
         if not linked.limit(1).count():
@@ -335,6 +339,7 @@ def _linked(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFram
     owned = classes.select("node", "digest", "least_id").join(place, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = owned.groupBy("root").agg(F.min("least_id").alias("component_id"))
     of_digest = scratch.cut(owned.join(least, "root").select("digest", "component_id"), "named")
+    scratch.keep_only(described, of_digest)
     base = described.select("_id", "_text_key", "n_shingles", "digest")
     out = base.join(of_digest, "digest", "left").withColumn("component_id", F.coalesce("component_id", "_id"))
     return out.select("_id", "_text_key", "n_shingles", "component_id", F.col("_id").eqNullSafe(F.col("component_id")).alias("kept"))
