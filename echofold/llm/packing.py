@@ -10,7 +10,8 @@ executor costs its running tasks only.
 
 Ids are those of the ``tokenizers`` file, special tokens of its own in a text included: such a
 token's string becomes its id.  Texts are encoded in parts at which its pattern always splits; a
-worker remembers the ids of parts, since most come again.
+worker remembers the ids of parts, since most come again; a part is known again by a hash and then
+by its bytes.
 
 Defined results: null text counts as empty; an empty text is one piece of one id (the end id);
 repeated rows and equal or null doc_ids are packed each on its own; other columns are not
@@ -35,7 +36,7 @@ from . import textvec
 
 END_ID = 1
 MAX_LEN = 2048
-#: Encoded parts that a worker remembers, about 50 bytes each; the memory is cleared beyond it (a
+#: Encoded parts that a worker remembers, about 60 bytes each; the memory is cleared beyond it (a
 #: speed matter only).  Newer ones are kept apart and merged into the others ``RECENT`` at a time.
 REMEMBER, RECENT = 2_500_000, 1 << 18
 
@@ -74,7 +75,7 @@ def part_starts(data: np.ndarray, offsets: np.ndarray, special: Sequence[bytes]
 
 
 class Encoder:
-    """Ids of whole texts, with a memory of parts by a 64-bit hash and length."""
+    """Ids of whole texts, with a memory of parts: found by a hash, and compared byte by byte."""
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
@@ -93,6 +94,8 @@ class Encoder:
         self.parts = 0
         self.ids = np.zeros(1 << 20, np.int32)
         self.at = np.zeros(1 << 16, np.int64)  # at[k], at[k + 1]: where the ids of part k are
+        self.bytes = np.zeros(1 << 20, np.uint8)
+        self.bytes_at = np.zeros(1 << 16, np.int64)  # likewise its bytes
 
     def _find(self, keys: np.ndarray) -> np.ndarray:
         """Numbers of the parts with these keys, -1 for new ones."""
@@ -109,24 +112,44 @@ class Encoder:
         place = np.searchsorted(table[0], more[0])
         return np.insert(table[0], place, more[0]), np.insert(table[1], place, more[1])
 
-    def _add(self, keys: np.ndarray, found: list[list[int]]) -> np.ndarray:
-        """Remembers the ids of new parts; their numbers."""
+    @staticmethod
+    def _stored(store: np.ndarray, at: np.ndarray, parts: int, flat: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Both arrays with the values of further parts, grown to twice their size where full."""
+        ends = at[parts] + np.cumsum(counts)
+        while parts + len(counts) + 1 > len(at):
+            at = np.concatenate((at, np.zeros(len(at), at.dtype)))
+        while ends[-1] > len(store):
+            store = np.concatenate((store, np.zeros(len(store), store.dtype)))
+        store[at[parts] : ends[-1]] = flat
+        at[parts + 1 : parts + 1 + len(counts)] = ends
+        return store, at
+
+    def _encoded(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Encodes these parts and stores their ids and bytes; their numbers."""
+        raw = [data[a:b].tobytes() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+        found = self.encode([x.decode("utf-8", "replace") for x in raw])
         counts = np.fromiter(map(len, found), np.int64, len(found))
-        numbers = np.arange(self.parts, self.parts + len(found), dtype=np.int32)
-        begin = self.at[self.parts]
-        ends = begin + np.cumsum(counts)
-        while self.parts + len(found) + 1 > len(self.at):
-            self.at = np.concatenate((self.at, np.zeros(len(self.at), np.int64)))
-        while ends[-1] > len(self.ids):
-            self.ids = np.concatenate((self.ids, np.zeros(len(self.ids), np.int32)))
-        self.ids[begin : ends[-1]] = np.fromiter(chain.from_iterable(found), np.int32, int(counts.sum()))
-        self.at[self.parts + 1 : self.parts + 1 + len(found)] = ends
+        flat = np.fromiter(chain.from_iterable(found), np.int32, int(counts.sum()))
+        self.ids, self.at = self._stored(self.ids, self.at, self.parts, flat, counts)
+        self.bytes, self.bytes_at = self._stored(self.bytes, self.bytes_at, self.parts, np.frombuffer(b"".join(raw), np.uint8), ends - starts)
         self.parts += len(found)
+        return np.arange(self.parts - len(found), self.parts, dtype=np.int32)
+
+    def _remember(self, keys: np.ndarray, numbers: np.ndarray) -> None:
         self.newer = self._merged(self.newer, (keys, numbers))
         if len(self.newer[0]) > RECENT:
             self.older = self._merged(self.older, self.newer)
             self.newer = (self.newer[0][:0], self.newer[1][:0])
-        return numbers
+
+    def _unlike(self, part: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Which parts of ``data``, that lie on end, differ from the stored ones of these numbers."""
+        size, begin = ends - starts, self.bytes_at[part]
+        differ = self.bytes_at[part + 1] - begin != size
+        begin = np.where(differ, 0, begin)  # any place: these differ already
+        at = np.arange(len(data)) + np.repeat(begin - starts, size)
+        wrong = np.flatnonzero(self.bytes.take(at, mode="clip") != data)
+        differ[np.searchsorted(starts, wrong, "right") - 1] = True
+        return np.flatnonzero(differ)
 
     def batch(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of some rows in order, and where each row's ids begin (one more entry)."""
@@ -136,18 +159,17 @@ class Encoder:
             self.clear()
         starts = part_starts(data, offsets, self.special)
         ends = np.append(starts[1:], len(data))
-        up, down = textvec._power(len(data) + 1)
-        sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(textvec._BYTE[data] * up[: len(data)], out=sums[1:])
-        keys = textvec.mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        keys = textvec.finished(textvec.run_hashes(data, *textvec.places(ends - starts)), ends - starts)
         distinct, where, back = np.unique(keys, return_index=True, return_inverse=True)
         known = self._find(distinct)
         new = np.flatnonzero(known < 0)
         if len(new):
-            raw = data.tobytes()
-            found = self.encode([raw[a:b].decode("utf-8", "replace") for a, b in zip(starts[where[new]].tolist(), ends[where[new]].tolist(), strict=True)])
-            known[new] = self._add(distinct[new], found)
+            known[new] = self._encoded(data, starts[where[new]], ends[where[new]])
+            self._remember(distinct[new], known[new].astype(np.int32))
         part = known[back]
+        other = self._unlike(part, data, starts, ends)  # parts that share another one's hash
+        if len(other):
+            part[other] = self._encoded(data, starts[other], ends[other])
         begin, count = self.at[part], self.at[part + 1] - self.at[part]
         total = np.concatenate(([0], np.cumsum(count)))
         ids = self.ids[np.arange(total[-1]) + np.repeat(begin - total[:-1], count)]

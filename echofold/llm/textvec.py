@@ -16,35 +16,17 @@ CHUNK = 1 << 20
 
 _rng = np.random.default_rng(20240607)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_BASE_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
+#: What a byte's place in its word adds to its value before both are mixed.
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 #: Odd multipliers of the words of a shingle, by place.
 PLACE = _rng.integers(1, 2**63, 8, dtype=np.uint64) | np.uint64(1)
 
-_lower = np.arange(256)
-_lower[65:91] += 32
-_BYTE_LOWER = _BYTE[_lower]
-
 #: Separators of the contract's words: space and the controls 09 to 0D.
 WHITE = np.zeros(256, bool)
 WHITE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 #: Separators of plain words: everything in ASCII that is neither letter nor digit.
 NOT_ALNUM = np.array([c < 128 and not chr(c).isalnum() for c in range(256)])
 
-_powers: dict[str, np.ndarray] = {}
-
-
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2^64, n at least."""
-    if not _powers or len(_powers["up"]) < n:
-        size = max(n, CHUNK + 1)
-        for key, base in (("up", _BASE), ("down", _BASE_INV)):
-            p = np.full(size, base, np.uint64)
-            p[0] = 1
-            _powers[key] = np.multiply.accumulate(p)
-    return _powers["up"], _powers["down"]
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser."""
     h = h ^ (h >> np.uint64(33))
@@ -55,6 +37,39 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+
+#: Mixed values of all bytes in the first places, which most words don't go beyond.
+_NEAR = 64
+_TABLE = mix(_BYTE[None, :] + np.arange(_NEAR, dtype=np.uint64)[:, None] * _STEP).ravel()
+
+
+def run_hashes(data: np.ndarray, begins: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Sums over runs of bytes, which lie on end and begin at ``begins``, of a mixed value of each
+    byte and its place.
+
+    A byte's value at one place tells nothing about that at another, so no pattern of bytes makes
+    runs alike (sums of powers of a base do that, whatever the base).
+    """
+    values = _TABLE.take(np.minimum(place, _NEAR - 1) * 256 + data)
+    if len(place) and place.max() >= _NEAR:
+        far = np.flatnonzero(place >= _NEAR)
+        values[far] = mix(_BYTE[data[far]] + place[far].astype(np.uint64) * _STEP)
+    return np.add.reduceat(values, begins) if len(begins) else np.zeros(0, np.uint64)
+
+
+def places(length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of these lengths begin when they lie on end, and each byte's place in its run."""
+    begins = np.cumsum(length) - length
+    return begins, np.arange(int(length.sum()), dtype=np.int32) - np.repeat(begins.astype(np.int32), length)
+
+
+def finished(sums: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Hashes of runs from their sums and lengths."""
+    return mix(sums + length.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
 def buffer_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and row offsets (one more than rows) of a string column; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -78,24 +93,21 @@ def chunks(offsets: np.ndarray, size: int = CHUNK) -> Iterator[tuple[int, int]]:
         lo = min(hi, n)
 
 
-def _block(data: np.ndarray, edge: np.ndarray, apart: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends and polynomial hashes of the runs of visible bytes in a block; ``edge`` marks
-    where a row begins (one more entry than bytes)."""
+def runs(data: np.ndarray, edge: np.ndarray, apart: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of visible bytes in a block, and which bytes those are; ``edge``
+    marks where a row begins (one more entry than bytes)."""
     inside = ~apart[data]
     starts = np.flatnonzero(inside & np.concatenate(([True], ~inside[:-1] | edge[1:-1])))
     ends = np.flatnonzero(inside & np.concatenate((~inside[1:] | edge[1:-1], [True]))) + 1
-    up, down = _power(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE_LOWER[data] * up[: len(data)], out=sums[1:])
-    return starts, ends, (sums[ends] - sums[starts]) * down[starts]
+    return starts, ends, inside
 
 
 def words(data: np.ndarray, offsets: np.ndarray, apart: np.ndarray = WHITE) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of some rows in order, and per row the number of its first word (one
     more entry than rows).  ASCII capitals count as small letters.
 
-    Blocks cut through words: the parts of such a word are joined by the power of the first's
-    length, so its hash does not depend on where blocks end.
+    Blocks cut through words: places in the second part of such a word go on from the first, and
+    their sums add up, so its hash does not depend on where blocks end.
     """
     if not len(data):
         return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
@@ -104,11 +116,16 @@ def words(data: np.ndarray, offsets: np.ndarray, apart: np.ndarray = WHITE) -> t
         hi = min(lo + CHUNK, len(data))
         edge = np.zeros(hi - lo + 1, bool)
         edge[offsets[np.searchsorted(offsets, lo) : np.searchsorted(offsets, hi, "right")] - lo] = True
-        starts, ends, hashes = _block(data[lo:hi], edge, apart)
+        starts, ends, inside = runs(data[lo:hi], edge, apart)
         length = ends - starts
-        if len(starts) and starts[0] == 0 and not edge[0] and size and len(size[-1]) and begin[-1][-1] + size[-1][-1] == lo:
-            joined = int(raw[-1][-1]) + pow(int(_BASE), int(size[-1][-1]), 1 << 64) * int(hashes[0])
-            raw[-1][-1] = np.uint64(joined % (1 << 64))
+        begins, place = places(length)
+        goes_on = bool(len(starts) and starts[0] == 0 and not edge[0] and size and len(size[-1]) and begin[-1][-1] + size[-1][-1] == lo)
+        if goes_on:
+            place = place.astype(np.int64)
+            place[: length[0]] += size[-1][-1]
+        hashes = run_hashes(_LOWER[data[lo:hi][inside]], begins, place)
+        if goes_on:
+            raw[-1][-1:] += hashes[:1]
             size[-1][-1] += length[0]
             starts, hashes, length = starts[1:], hashes[1:], length[1:]
         if len(starts) or not size:
@@ -116,8 +133,7 @@ def words(data: np.ndarray, offsets: np.ndarray, apart: np.ndarray = WHITE) -> t
             raw.append(hashes)
             size.append(length)
     first, lengths = np.concatenate(begin), np.concatenate(size)
-    hashes = mix(np.concatenate(raw) + lengths.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-    return hashes, np.searchsorted(first, offsets)
+    return finished(np.concatenate(raw), lengths), np.searchsorted(first, offsets)
 
 
 def rows_of(first: np.ndarray) -> np.ndarray:

@@ -688,3 +688,31 @@ def test_pipeline_equals_brute_force(spark, sf, reference_ids):
         got[r.doc_id].append((r.start, r.length, r.ids_crc32))
     assert {i: sum(p[0] == 0 for p in own) for i, own in got.items()} == {i: n for i, n in repeats.items() if n}
     assert {i: sorted(own) for i, own in got.items()} == {i: sorted(own) for i, own in pieces.items() if own}
+
+
+def patterned(letters, length=1024):
+    """Two words of a pattern and its complement, which every sum of powers of a base maps to one value."""
+    turn = [bin(i).count("1") % 2 for i in range(length)]
+    return "".join(letters[t] for t in turn), "".join(letters[1 - t] for t in turn)
+
+
+def test_patterned_words_differ(spark, reference_ids):
+    for length in (64, 512, 1024, 2048, 4096):
+        a, b = patterned("ab", length)
+        rows = [(1, a), (2, b), (3, f"{a} {a} x y z"), (4, f"{b} {a} x y z"), (5, a)]
+        docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+        assert sorted((r.doc_id, r.component_id) for r in near_dedup.link(docs).collect()) == [(1, 1), (2, 2), (3, 3), (4, 4), (5, 1)]
+        pieces = packing.pack(docs).orderBy("row", "start").collect()
+        assert {d: [i for r in pieces if r.doc_id == d for i in r.ids] for d, _ in rows} == {d: reference_ids(t) for d, t in rows}
+
+
+@pytest.mark.parametrize("bits", [0, 3])
+def test_parts_that_share_a_hash_keep_their_ids(monkeypatch, reference_ids, bits):
+    monkeypatch.setattr(textvec, "finished", lambda sums, length: sums & np.uint64((1 << bits) - 1))
+    monkeypatch.setattr(packing, "RECENT", 4)
+    encoder, rng = packing.Encoder(packing.vocabulary()), random.Random(2)
+    for _ in range(6):
+        texts = [" ".join(rng.choice(["a", "bb", "longer", "the", "end", "<|endoftext|>", "ü"]) for _ in range(rng.randrange(12))) for _ in range(20)]
+        raw = [t.encode() for t in texts]
+        ids, first = encoder.batch(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+        assert [[*ids[a:b].tolist(), 1] for a, b in zip(first[:-1], first[1:], strict=True)] == [reference_ids(t) for t in texts]
