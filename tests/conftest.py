@@ -34,13 +34,14 @@ def sf():
 def agree(spark, sf):
     """Compares a query with its SQL on the smallest tables."""
     import duckdb
+    import pandas as pd
 
     con = duckdb.connect()
-    for t in "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split():
+    for t in "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations clicks sales sale_lines clients client_changes vendors items stamps".split():
         con.execute(f"create view {t} as select * from read_parquet('{sf}/{t}.parquet')")
 
     def shown(x):
-        if x is None or x != x:
+        if x is None or x is pd.NA or x != x:
             return "null"
         return f"{x:.6g}" if isinstance(x, float) else str(x)
 
