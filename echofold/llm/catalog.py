@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import Scratch, spread, table
-from . import chat, exact_dedup, langid, mixing, near_dedup, packing, quality, toxicity, url_filters, warc
+from . import chat, exact_dedup, importance, langid, mixing, name_join, near_dedup, packing, quality, quality_model, toxicity, url_filters, warc
 
 
 def _fold(of: str, by: int, rest: int) -> Column:
@@ -86,7 +86,35 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), with_ids=False)
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_merkle_fixity, op3_quality_rules, op4_exact_dedup, op5_url_filters, op6_near_dedup, op7_source_mixing, op8_chat_format, op9_toxicity, op10_packing)}
+def op11_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    held = _fold("doc_id", 5, 0)
+    net = quality_model.train(docs, table(spark, sf_dir, "labels").where(~held))
+    return quality_model.score(docs.withColumn("held_out", held), net).select("doc_id", "held_out", "score", "predicted")
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return importance.resample(docs, table(spark, sf_dir, "benchmark"))
+
+
+def misspelt(vendors: DataFrame) -> DataFrame:
+    """``vendors`` with two adjacent letters of about half the names exchanged, by the id's crc32."""
+    h, size = F.crc32(F.col("vendor_id").cast("string")), F.char_length("name")
+    at = (h % (size - 1)).cast("int")
+    turned = F.concat(F.substring("name", F.lit(1), at), F.substring("name", at + 2, F.lit(1)), F.substring("name", at + 1, F.lit(1)), F.substring("name", at + 3, size))
+    return vendors.withColumn("name", F.when((h % 2 == 0) & (size >= 2), turned).otherwise(F.col("name")))
+
+
+def op13_name_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clients whose names are at most one edit from a vendor's misspelt name."""
+    clients = table(spark, sf_dir, "clients").select(F.col("client_id").alias("id"), name_join.normal(F.col("name")).alias("name"))
+    vendors = misspelt(table(spark, sf_dir, "vendors")).select(F.col("vendor_id").alias("id"), name_join.normal(F.col("name")).alias("name"))
+    found = name_join.matches(clients, vendors)
+    return found.select(F.col("id").alias("vendor_id"), "distance", F.col("n").alias("n_clients"), F.col("first_id").alias("first_client_id"), F.col("ids_crc").alias("clients_crc"))
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_merkle_fixity, op3_quality_rules, op4_exact_dedup, op5_url_filters, op6_near_dedup, op7_source_mixing, op8_chat_format, op9_toxicity, op10_packing, op11_quality_model, op12_importance_resampling, op13_name_join)}
 
 _STOPS = ", ".join(f"'{w}'" for s in quality.STOP_WORDS for w in (s, s.capitalize()))
 _RECORD = r"""'WARC/1.1' || e || 'WARC-Type: resource' || e || 'WARC-Record-ID: <urn:page:' || page_id || '>' || e || 'WARC-Target-URI: ' || coalesce(url, '') || e || 'Content-Type: text/html' || e || 'Content-Length: ' || strlen(h) || e || e || h || e || e"""
@@ -102,6 +130,17 @@ def _side(name: str, rows: str) -> str:
 _DIGIT = "('0x' || substr(md5(domain), {0}, 2))::INTEGER"
 _HOST = r"regexp_replace(regexp_extract(lower(url), '^[a-z][a-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1), '\.+$', '')"
 
+#: The byte table of crc32 as a list ``t``, and the crc32 of a list of bytes by it.
+_CRC_TABLE = "crc AS (SELECT list(list_reduce(range(8), lambda x, k: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END, i) ORDER BY i) AS t FROM range(256) r(i))"
+_LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _crc(text: str) -> str:
+    """crc32 of a text's UTF-8 bytes in SQL, beside ``crc``."""
+    listed = f"list_transform(regexp_extract_all(hex({text}), '..'), lambda h: ('0x' || h)::BIGINT)"
+    return f"xor(list_reduce({listed}, lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295), 4294967295)"
+
+
 ORACLES = {
     "op2_merkle_fixity": f"""
         WITH {_side("a", "SELECT page_id, url, coalesce(html, '') AS h FROM pages")},
@@ -146,4 +185,30 @@ ORACLES = {
         e AS (SELECT *, floor(target / source_size)::BIGINT AS whole, target - floor(target / source_size) * source_size AS need FROM t),
         r AS (SELECT d.*, e.source_size, e.target, e.whole, e.need, coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY place, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source)
         SELECT doc_id, source, size, source_size, target, least(2, whole + (before + size / 2.0::DOUBLE <= need)::BIGINT)::BIGINT AS repeats, size * least(2, whole + (before + size / 2.0::DOUBLE <= need)::BIGINT)::BIGINT AS taken FROM r""",
+    "op12_importance_resampling": rf"""
+        WITH {_CRC_TABLE},
+        d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+        b AS (SELECT regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+        fd AS (SELECT r, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS f FROM d),
+        fb AS (SELECT unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS f FROM b),
+        k AS MATERIALIZED (SELECT f, {_crc("f")} % 10000 AS bucket FROM (SELECT f FROM fd UNION SELECT f FROM fb), crc),
+        s AS (SELECT bucket, count(*) AS n FROM fd JOIN k USING (f) GROUP BY bucket),
+        t AS (SELECT bucket, count(*) AS n FROM fb JOIN k USING (f) GROUP BY bucket),
+        g AS (SELECT i AS bucket, floor(1000 * ln(((coalesce(t.n, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(n), 0) FROM s) + 10000)::DOUBLE) / ((coalesce(s.n, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(n), 0) FROM t) + 10000)::DOUBLE)))::BIGINT AS gain
+            FROM range(10000) x(i) LEFT JOIN s ON s.bucket = i LEFT JOIN t ON t.bucket = i),
+        m AS (SELECT r, count(*) AS n, floor(sum(gain) / count(*))::BIGINT AS weight FROM fd JOIN k USING (f) JOIN g USING (bucket) GROUP BY r),
+        e AS (SELECT d.r, doc_id, coalesce(n, 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight, len(w) >= 20 AS asked,
+            coalesce(weight, 0)::BIGINT + floor(-1000 * ln(-ln((('0x' || substr(sha256('7:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score FROM d LEFT JOIN m ON m.r = d.r),
+        o AS (SELECT *, row_number() OVER (PARTITION BY asked ORDER BY score DESC, doc_id) AS nth FROM e)
+        SELECT doc_id, n_features, weight, score, CASE WHEN asked AND nth <= (SELECT count(*) FROM e WHERE asked) * 25 // 100 THEN nth END AS rank FROM o""",
+    "op13_name_join": rf"""
+        WITH {_CRC_TABLE},
+        c AS (SELECT client_id, {_crc("client_id::VARCHAR")} AS crc, regexp_replace({_LOWER.format("name")}, '[\x20\x09-\x0D]', '', 'g') AS a FROM clients, crc),
+        h AS (SELECT vendor_id, name, {_crc("vendor_id::VARCHAR")} AS h FROM vendors, crc),
+        p AS (SELECT vendor_id, name, CASE WHEN h % 2 = 0 AND length(name) >= 2 THEN h % (length(name) - 1) END AS p FROM h),
+        v AS (SELECT vendor_id, regexp_replace({_LOWER.format("CASE WHEN p IS NULL THEN name ELSE left(name, p) || substr(name, p + 2, 1) || substr(name, p + 1, 1) || substr(name, p + 3) END")}, '[\x20\x09-\x0D]', '', 'g') AS b FROM p),
+        met AS (SELECT vendor_id, client_id, crc, a, b FROM c JOIN v ON abs(length(a) - length(b)) <= 1 WHERE a <> '' AND b <> ''),
+        near AS (SELECT *, a <> b AS far, length(list_filter(range(length(b) + 1), lambda i: left(a, i) = left(b, i) AND (substr(a, i + 2) = substr(b, i + 2) AND length(a) = length(b) OR substr(a, i + 2) = substr(b, i + 1) OR substr(a, i + 1) = substr(b, i + 2)
+            OR substr(a, i + 3) = substr(b, i + 3) AND substr(a, i + 1, 1) = substr(b, i + 2, 1) AND substr(a, i + 2, 1) = substr(b, i + 1, 1)))) AS ways FROM met)
+        SELECT vendor_id, far::INTEGER AS distance, count(*) AS n_clients, min(client_id) AS first_client_id, sum(crc)::BIGINT AS clients_crc FROM near WHERE NOT far OR ways > 0 GROUP BY vendor_id, far""",
 }

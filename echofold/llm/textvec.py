@@ -84,9 +84,9 @@ def buffer_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[off[0] : off[-1]], off - off[0]
 
 
-def chunks(offsets: np.ndarray, size: int = CHUNK) -> Iterator[tuple[int, int]]:
-    """Row ranges of at most about ``size`` bytes, one row at least."""
-    n, lo = len(offsets) - 1, 0
+def chunks(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Row ranges of at most about ``CHUNK`` bytes, one row at least."""
+    n, lo, size = len(offsets) - 1, 0, CHUNK
     while lo < n:
         hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + size, "right")) - 1)
         yield lo, min(hi, n)

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from echofold.llm import catalog, chat, exact_dedup, langid, mixing, near_dedup, packing, quality, textvec, toxicity, url_filters, warc
+from echofold.llm import catalog, chat, exact_dedup, importance, langid, mixing, name_join, near_dedup, packing, quality, quality_model, textvec, toxicity, url_filters, warc
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
@@ -716,3 +716,179 @@ def test_parts_that_share_a_hash_keep_their_ids(monkeypatch, reference_ids, bits
         raw = [t.encode() for t in texts]
         ids, first = encoder.batch(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
         assert [[*ids[a:b].tolist(), 1] for a, b in zip(first[:-1], first[1:], strict=True)] == [reference_ids(t) for t in texts]
+
+
+def edit_distance(a, b):
+    """Unrestricted Damerau-Levenshtein distance over whole strings."""
+    last, far = {}, len(a) + len(b)
+    d = [[far] * (len(b) + 2) for _ in range(len(a) + 2)]
+    for i in range(len(a) + 1):
+        d[i + 1][1] = i
+    for j in range(len(b) + 1):
+        d[1][j + 1] = j
+    for i in range(1, len(a) + 1):
+        match = 0
+        for j in range(1, len(b) + 1):
+            k, m = last.get(b[j - 1], 0), match
+            if a[i - 1] == b[j - 1]:
+                match = j
+            d[i + 1][j + 1] = min(d[i][j] + (a[i - 1] != b[j - 1]), d[i + 1][j] + 1, d[i][j + 1] + 1, d[k][m] + i - k - 1 + 1 + j - m - 1)
+        last[a[i - 1]] = i
+    return d[-1][-1]
+
+
+def misspellings(seed, count, letters, longest):
+    """Names, and others that are some edits away from them."""
+    rng = random.Random(seed)
+    names = ["".join(rng.choice(letters) for _ in range(rng.randrange(1, longest))) for _ in range(count)]
+
+    def edited(x):
+        for _ in range(rng.randrange(4)):
+            p, kind = rng.randrange(len(x) + 1), rng.randrange(4)
+            x = {0: x[:p] + rng.choice(letters) + x[p:], 1: x[:p] + x[p + 1 :], 2: x[:p] + rng.choice(letters) + x[p + 1 :], 3: x[:p] + x[p + 1 : p + 2] + x[p : p + 1] + x[p + 2 :]}[kind]
+        return x
+
+    return names, [edited(rng.choice(names)) for _ in range(count)]
+
+
+@pytest.mark.parametrize(("edits", "q", "letters", "longest"), [(1, 3, "abcdeé日", 14), (1, 2, "ab", 12), (2, 2, "abc", 16), (3, 1, "abcdefgh", 10), (0, 3, "ab", 6), (2, 3, "xyzüw", 20)])
+def test_name_join_equals_brute_force(spark, monkeypatch, edits, q, letters, longest):
+    monkeypatch.setattr(name_join, "HOT", 4)
+    monkeypatch.setattr(name_join, "BLOCK", 16)
+    monkeypatch.setattr(name_join, "CELLS", 256)
+    a, b = misspellings(edits * 10 + q, 150, letters, longest)
+    frame = lambda names: spark.createDataFrame([(n,) for n in names], "name string")
+    got = [tuple(r) for r in name_join.join(frame(a), frame(b), edits, q).collect()]
+    want = {(x, y, d) for x in set(a) for y in set(b) if x and y and (d := edit_distance(x, y)) <= edits}
+    assert len(got) == len(want) and set(got) == want
+
+
+def test_distances_equal_whole_tables():
+    import pyarrow as pa
+
+    for edits in (0, 1, 2, 3, 4):
+        a, b = misspellings(edits, 300, "abc", 9)
+        every = np.arange(300)
+        got = name_join._close(*name_join.code_points(pa.array(a)), every, *name_join.code_points(pa.array(b)), every, edits, 3)
+        assert got.tolist() == [min(edit_distance(x, y), edits + 1) for x, y in zip(a, b, strict=True)]
+
+
+def test_name_join_odd_rows(spark):
+    pairs = lambda rows: spark.createDataFrame(rows, "id long, name string").withColumn("distance", F.lit("x")).withColumn("n", F.lit(None).cast("string"))
+    long = "n" * 30_000
+    left = pairs([(1, "Ann"), (2, "Ann"), (2, "Ann"), (3, None), (4, ""), (None, "Anne"), (5, long), (6, "\U0001f600x")])
+    right = pairs([(10, "Ann"), (10, "Ann"), (11, None), (12, ""), (13, long + "n"), (14, "x\U0001f600"), (None, "Bob")])
+    got = {(r.id, r.distance): (r.n, r.first_id, r.ids_crc) for r in name_join.matches(left, right).collect()}
+    crc = lambda *ids: sum(zlib.crc32(str(i).encode()) for i in ids)
+    assert got == {(10, 0): (6, 1, 2 * crc(1, 2, 2)), (10, 1): (2, None, None), (13, 1): (1, 5, crc(5)), (14, 1): (1, 6, crc(6))}
+    empty = left.limit(0)
+    assert name_join.matches(empty, right).count() == name_join.matches(left, empty).count() == 0
+
+
+def test_name_join_of_one_hot_name(spark):
+    """A third of all rows has one name, and many names are one edit from it."""
+    rows = [(i, "joelma dalmaberber") for i in range(3000)] + [(3000 + i, "joelma dalmaberber"[:p] + c + "joelma dalmaberber"[p:]) for i, (p, c) in enumerate((p, c) for p in range(18) for c in "xyzqwv")]
+    frame = spark.createDataFrame(rows, "id long, name string")
+    got = {(r.id, r.distance): r.n for r in name_join.matches(frame, spark.createDataFrame([(1, "joelma dalmaberber"), (2, "joelma dalmabrber")], "id long, name string")).collect()}
+    assert got == {(1, 0): 3000, (1, 1): 108, (2, 1): 3000}
+
+
+def plain_features(text):
+    w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(text))
+    return len(w), [zlib.crc32(f.encode()) % 10_000 for f in [*w, *(f"{a} {b}" for a, b in zip(w, w[1:]))]]
+
+
+def test_streams_equal_plain_features(monkeypatch):
+    import pyarrow as pa
+
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice(["Ab", "é", "x1", "--", "w" * 40, "日本", "Q" * 33, "z" * 32, "t"]) for _ in range(rng.randrange(90))) for _ in range(60)] + ["", "one", "!!"]
+    for chunk in (1 << 20, 64, 5):
+        monkeypatch.setattr(textvec, "CHUNK", chunk)
+        batch = pa.RecordBatch.from_arrays([pa.array(range(63)), pa.array(range(63)), pa.array(texts)], ["row", "id", "text"])
+        got = collections.defaultdict(list)
+        for b in importance._streams(10_000, 2)(iter([batch])):
+            own, rows, at = np.frombuffer(b.column(0)[0].as_py(), np.uint16), b.column(1)[0].as_py(), b.column(3)[0].as_py()
+            for r, lo, hi in zip(rows, at[:-1], at[1:], strict=True):
+                got[r] += own[lo:hi].tolist()
+        assert {r: sorted(x) for r, x in got.items()} == {r: sorted(plain_features(t)[1]) for r, t in enumerate(texts)}
+
+
+@pytest.mark.parametrize("runs", [1, 3])
+def test_streams_of_other_runs(monkeypatch, runs):
+    rng = random.Random(runs)
+    w = [rng.choice(["a", "bb", "ccc", "é"]) for _ in range(200)]
+    data = np.frombuffer(" ".join(w).encode(), np.uint8)
+    want = sorted(zlib.crc32(" ".join(w[i : i + k]).encode()) % 10_000 for k in range(1, runs + 1) for i in range(len(w) - k + 1))
+    assert sorted(importance.stream(data, np.array([0, len(data)]), runs=runs)[0].tolist()) == want
+    monkeypatch.setattr(textvec, "CHUNK", 7)
+    assert sorted(np.concatenate(list(importance._long_stream(data, 10_000, runs))).tolist()) == want
+
+
+def test_importance_odd_rows(spark, odd, none):
+    target = spark.createDataFrame([("the cat and the dog",), (None,)], "text string")
+    got = importance.resample(odd, target, share=50, least_words=3).collect()
+    assert len(got) == odd.count()
+    assert all(r.n_features == r.weight == 0 and r["rank"] is None for r in got if r.doc_id in (3, 4))
+    assert sorted(r["rank"] for r in got if r["rank"] is not None) == [1, 2, 3]  # half of 7 rows with three words
+    assert len({(r.weight, r.score) for r in got if r.doc_id == 2}) == 1
+    assert importance.resample(none, target).count() == 0
+    assert all(r["rank"] is None for r in importance.resample(odd, none, share=0).collect())
+
+
+def test_quality_model_held_out(spark):
+    sf = "/root/testdata/sf0.01"
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    rows = [r for r in catalog.op11_quality_model(spark, sf).collect() if r.held_out and r.doc_id in labels]
+    assert len(rows) > 60 and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in rows)
+    assert np.mean([r.predicted for r in rows if labels[r.doc_id]]) > 0.97
+    assert np.mean([1 - r.predicted for r in rows if not labels[r.doc_id]]) > 0.8
+
+
+def test_context_sums_equal_plain_windows(spark):
+    texts = ["the cat THE the!! dog cat cat", "", "a -- b", "dog"] * 3
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    number = lambda t: quality_model.tokens(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]))[0].tolist()
+    of = np.zeros((quality_model.WORDS, quality_model.DIM))
+    for k in range(2 * quality_model.ONES):
+        of[np.arange(quality_model.WORDS), quality_model._PLACES[:, k]] += quality_model._SIGN[:, k]
+    want = np.zeros_like(of)
+    for t in texts:
+        n = number(t)
+        for i, a in enumerate(n):
+            for j in range(max(0, i - quality_model.REACH), min(len(n), i + quality_model.REACH + 1)):
+                want[a] += of[n[j]]
+    want /= np.maximum(np.sqrt((want * want).sum(1, keepdims=True)), 1)
+    assert np.allclose(quality_model.word_vectors(docs), want, atol=1e-6)
+    n = number("the cat THE the!! dog cat cat")
+    assert len(n) == 10 and n[0] == n[3] != n[2] and n[1] == n[7] == n[8] and n[4] == n[9] == quality_model._REPEAT and len(set(n)) == 6
+
+
+def test_quality_gradients_and_temperature():
+    rng = np.random.default_rng(3)
+    x, y = rng.normal(size=(20, 5)), rng.integers(0, 2, 20).astype(float)
+    layers = tuple(rng.normal(size=s) for s in ((5, 4), 4, 4, 1))
+    for k, g in enumerate(quality_model.gradients(layers, x, y)):
+        for at in np.ndindex(g.shape):
+            near = []
+            for h in (1e-5, -1e-5):
+                moved = [p.copy() for p in layers]
+                moved[k][at] += h
+                near.append(quality_model.loss(quality_model.output(tuple(moved), x), y))
+            assert abs((near[0] - near[1]) / 2e-5 - g[at]) < 1e-6
+    z = rng.normal(size=4000) * 2
+    y = (rng.random(4000) < 1 / (1 + np.exp(-z))).astype(float)
+    assert abs(quality_model.best_temperature(3 * z, y) - 3) < 0.4
+
+
+def test_quality_model_odd_rows(spark, odd, none):
+    labels = spark.createDataFrame([(1, 1), (1, 1), (5, 0), (6, None), (7, 3), (None, 1), (2, 0), (2, 1), (3, 0)], "doc_id long, quality int")
+    net = quality_model.train(odd, labels)
+    got = quality_model.score(odd, net).collect()
+    assert len(got) == odd.count() and all(0 <= r.score <= 1 for r in got)
+    assert {r.score for r in got if not r.text} == {net.share}
+    assert "kept" in got[0] and len({r.score for r in got if r.doc_id == 2}) == 1
+    assert {r.score for r in quality_model.score(odd, quality_model.train(odd, labels.limit(0))).collect()} == {0.5}
+    one = quality_model.train(odd, labels.where("quality = 1"))
+    assert {r.score for r in quality_model.score(odd, one).collect()} == {1.0}
+    assert quality_model.score(none, quality_model.train(none, labels)).count() == 0
