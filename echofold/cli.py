@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import argparse
 import json
+import shutil
+import time
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from pathlib import Path
@@ -27,7 +29,8 @@ class Request:
     options: Options
     report: str | None
     cache: str | None
-    interactive: bool
+    answers: str | None
+    fixed_drives: tuple[str, ...]
 
 
 def number(least: float, most: float) -> Callable[[str], float]:
@@ -76,35 +79,48 @@ def parse(arguments: Sequence[str]) -> Request:
     p.add_argument("--keep", "--prefer", "--preferisci", type=folder, action="append", default=[])
     p.add_argument("--across-folders", "--solo-tra-cartelle", action="store_true")
     p.add_argument("--non-interactive", "--non-interattivo", action="store_true")
+    p.add_argument("--answers", type=folder)
+    p.add_argument("--fixed-drive", action="append", default=[])
     a = p.parse_args(arguments)
     if a.across_folders and len(a.roots) < 2:
         p.error("--across-folders compares different folders: give at least two")
     if a.mode == "Assisted" and a.non_interactive:
         p.error("the assisted mode asks questions: leave --non-interactive out")
+    if a.answers and a.non_interactive:
+        p.error("answers are not read with --non-interactive")
     options = Options(
         recursive=not a.no_subfolders, include_hidden=a.hidden, include_videos=a.videos or a.videos_quick, quick_video_check=a.videos_quick, burst_window_seconds=a.burst, detect_bursts=not a.no_bursts,
         mode=a.mode, auto_threshold=a.threshold, disposal=a.action, verify_before_move=a.full_check, preferred_folders=tuple(a.keep), cross_folder_only=a.across_folders, quarantine=a.quarantine,
     )
-    return Request(tuple(a.roots), options, a.report, a.cache, not a.non_interactive)
+    return Request(tuple(a.roots), options, a.report, a.cache, a.answers, tuple(a.fixed_drive))
 
 
 def main(arguments: Sequence[str]) -> dict[str, int]:
-    """Scans, writes the report (CSV and HTML) and the cache if asked for, and prints the groups and
-    bytes of each kind.  Pictures in the built-in format are looked into, others by their bytes."""
+    """Scans, writes the report (CSV and HTML) and the cache if asked for, decides what each duplicate's
+    fate is, and prints the bytes of each kind and the number of each outcome.
+
+    In all modes but the read-only one the plan goes to ``plan-<time>`` in the quarantine folder and
+    its moves to ``journal`` beside it.  Files themselves stay where they are: moving them is left to
+    whoever reads the plan.  Questions of the assisted modes have their answers in ``--answers``, a
+    JSON file with group_id and choice; without an answer a group awaits its review.
+    """
     from pyspark.sql import SparkSession
 
     from .functions import imaging
     from .operators import cache as cached
     from .operators import report
-    from .plans import engine
-    from .sources import inventory, ppm, report_files
+    from .operators.contents import ByPath
+    from .plans import actions, engine
+    from .runtime import Scratch
+    from .sources import inventory, journal, ppm, report_files
 
     request = parse(arguments)
     spark = SparkSession.builder.appName("echofold").getOrCreate()
-    files = inventory.from_reader(spark, request.roots, request.options, with_content=True)
+    files = Scratch(spark, "scan").cut(inventory.from_listing(spark, request.roots, request.options), "files")
     kinds = ", ".join(f"{c} {engine.FILE_COLUMNS[c]}" for c in ("path", "size", "mtime_ticks", *engine.CACHED))
     known = cached.load(spark, request.cache, kinds) if request.cache else None
-    result = engine.run(files, lambda f: imaging.analyse(f, ppm.decode), request.options, lambda f: imaging.pixel_hashes(f, ppm.decode), cache=known)
+    reader = ByPath(files, request.options)
+    result = engine.run(files, lambda f: imaging.analyse(f, ppm.decode), request.options, lambda f: imaging.pixel_hashes(f, ppm.decode), cache=known, reader=reader)
     if request.report:
         rows = report.report_rows(result.members)
         report_files.write_csv(rows, f"{request.report}.csv")
@@ -112,5 +128,23 @@ def main(arguments: Sequence[str]) -> dict[str, int]:
     if request.cache:
         cached.save(result.cache, request.cache)
     found = {r["kind"] or "total": int(r["bytes"] or 0) for r in report.kind_summary(result.groups).collect()}
+    quarantine, stamp = request.options.quarantine, time.strftime("%Y%m%d-%H%M%S", time.gmtime())
+    answers = spark.read.schema("group_id long, choice string").json(request.answers) if request.answers else None
+    fresh = inventory.from_listing(spark, request.roots, request.options)
+    plan = actions.decide(result.members, fresh, reader, request.options, f"{quarantine}/{stamp}", answers, _space(quarantine), request.fixed_drives)
+    plan = Scratch(spark, "plan").cut(plan, "plan")
+    if request.options.mode != "ReadOnly":
+        plan.orderBy("position").write.json(f"{quarantine}/plan-{stamp}")
+        journal.append(actions.entries(plan), f"{quarantine}/journal")
+    found |= {r["outcome"]: r["count"] for r in plan.groupBy("outcome").count().collect()}
     print(json.dumps(found))
     return found
+
+
+def _space(folder: str) -> tuple[int, int]:
+    """Free and all bytes of the disk of a folder, or of the nearest one above it that exists."""
+    place = Path(folder)
+    while not place.exists() and place != place.parent:
+        place = place.parent
+    disk = shutil.disk_usage(place)
+    return disk.free, disk.total

@@ -13,6 +13,7 @@ from ..functions import hashing
 from ..functions.text import micros
 from ..options import Options
 from ..runtime import Scratch
+from .contents import FULL, PARTIAL, SAMPLE, ByPath, InColumn
 from .ranking import numbered
 
 
@@ -22,30 +23,44 @@ def with_peers(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.join(shared, list(keys), "left_semi")
 
 
-def exact_sets(files: DataFrame, content: str = "content", options: Options | None = None, scratch: Scratch | None = None) -> DataFrame:
-    """Files in sets of equal content, with partial_hash, full_hash, sample_hash and set_key.
+def exact_levels(files: DataFrame, content: str = "content", options: Options | None = None, scratch: Scratch | None = None, reader: InColumn | ByPath | None = None) -> tuple[DataFrame, DataFrame]:
+    """Files in sets of equal content, with partial_hash, full_hash, sample_hash and set_key, and
+    (file_id, error) of the files that could not be read.
 
     Cheapest test first: only files that share size and kind are hashed in part, only those that
     still share are hashed whole (or by sampled blocks, for videos on a quick check); a hash that
-    is known already is taken.  Each level's hashes are written with the file's id, so contents
-    are read once a level, by the files that reach it, and peers are found among slim rows.
+    is known already is taken.  The levels shuffle ids, sizes and hashes; contents are read by
+    ``reader`` (by default from the column ``content``) where they lie, and are not in the result.
     """
     o = options or Options()
     scratch = scratch or Scratch(files.sparkSession, "exact")
+    reader = reader or InColumn(files, content, o)
     by = ["size", "is_video"]
-    known = lambda c: F.col(c) if c in files.columns else F.lit(None).cast("string")
-    sizes = files.where("size > 0").groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(*by)
-    partial = F.coalesce(known("partial_hash"), hashing.partial_hash(F.col(content), o.partial_hash_bytes))
-    first = scratch.cut(files.join(sizes, by, "left_semi").select("file_id", *by, partial.alias("_partial")), "partial")
-    near = with_peers(first, *by, "_partial").select("file_id", "_partial")
+    known = lambda c: F.col(c).alias(f"_{c}") if c in files.columns else F.lit(None).cast("string").alias(f"_{c}")
+    slim = files.where("size > 0").select("file_id", *by, *[known(c) for c in ("partial_hash", "full_hash", "sample_hash")])
+    slim = scratch.cut(with_peers(slim, *by), "sized")
+
+    def hashed(rows: DataFrame, how: Column, taken: Column, name: str) -> DataFrame:
+        """``rows`` with hash and error: the hash that is known, else one that is read."""
+        asked = rows.select("file_id", how.alias("how"), taken.alias("_taken"))
+        missing = scratch.cut(asked.where("_taken is null").select("file_id", "how"), f"{name}-asked")
+        read = scratch.cut(reader.hashes(missing).select("file_id", "hash", "error"), name)
+        return rows.join(read, "file_id", "left").withColumn("hash", F.coalesce(taken, "hash"))
+
+    first = hashed(slim, F.lit(PARTIAL), F.col("_partial_hash"), "partial")
+    near = scratch.cut(with_peers(first.where("hash is not null").drop("error"), *by, "hash").withColumnRenamed("hash", "_partial"), "near")
     quick = F.col("is_video") & F.lit(o.quick_video_check)
-    whole = F.when(~quick, F.coalesce(known("full_hash"), hashing.full_hash(F.col(content))))
-    sample = F.when(quick, F.coalesce(known("sample_hash"), hashing.sample_hash(F.col(content), o.partial_hash_bytes, o.video_sample_blocks)))
-    read = files.join(near, "file_id").select("file_id", *by, "_partial", whole.alias("_full"), sample.alias("_sample"))
-    key = F.concat_ws(":", F.coalesce("_full", "_sample"), F.col("size").cast("string"), F.col("is_video").cast("string"))
-    keyed = scratch.cut(read.select("file_id", F.col("_partial").alias("partial_hash"), F.col("_full").alias("full_hash"), F.col("_sample").alias("sample_hash"), key.alias("set_key")), "full")
-    found = with_peers(keyed, "set_key")
-    return files.select(*[c for c in files.columns if c == "file_id" or c not in found.columns]).join(found, "file_id")
+    second = hashed(near, F.when(quick, SAMPLE).otherwise(FULL), F.when(quick, F.col("_sample_hash")).otherwise(F.col("_full_hash")), "full")
+    key = F.concat_ws(":", "hash", F.col("size").cast("string"), F.col("is_video").cast("string"))
+    keyed = second.where("hash is not null").select("file_id", F.col("_partial").alias("partial_hash"), F.when(~quick, F.col("hash")).alias("full_hash"), F.when(quick, F.col("hash")).alias("sample_hash"), key.alias("set_key"))
+    found = scratch.cut(with_peers(keyed, "set_key"), "sets")
+    errors = first.unionByName(second, allowMissingColumns=True).where("error is not null").select("file_id", "error")
+    return files.select(*[c for c in files.columns if c == "file_id" or c not in (*found.columns, content)]).join(found, "file_id"), errors
+
+
+def exact_sets(files: DataFrame, content: str = "content", options: Options | None = None, scratch: Scratch | None = None, reader: InColumn | ByPath | None = None) -> DataFrame:
+    """The sets of ``exact_levels``."""
+    return exact_levels(files, content, options, scratch, reader)[0]
 
 
 def remove_aliases(members: DataFrame, set_key: str = "set_key", device: str = "device", inode: str = "inode", order: str = "file_id") -> DataFrame:

@@ -54,8 +54,8 @@ def exact_groups(sets: DataFrame, options: Options | None = None) -> DataFrame:
 
 
 def as_struct(files: DataFrame, name: str, id_as: str) -> DataFrame:
-    """(id, struct of all columns) of a files table, for scoring."""
-    return files.select(F.col("file_id").alias(id_as), F.struct(*[F.col(c) for c in files.columns]).alias(name))
+    """(id, struct of the columns that scoring reads) of a files table."""
+    return files.select(F.col("file_id").alias(id_as), F.struct(*score.READ).alias(name))
 
 
 def score_pairs(pairs: DataFrame, files: DataFrame, options: Options | None = None) -> DataFrame:
@@ -65,13 +65,10 @@ def score_pairs(pairs: DataFrame, files: DataFrame, options: Options | None = No
     return joined.select("a", "b", score.compare(F.col("fa"), F.col("fb"), options).alias("m")).where("m is not null").select("a", "b", "m.*")
 
 
-def similarity_groups(edges: DataFrame, files: DataFrame, options: Options | None = None, scratch: Scratch | None = None) -> DataFrame:
-    """Members of the components of scored edges (a, b, kind): group_key, rank, is_burst,
-    keeper_id, and kind, confidence, reason against the keeper.
-
-    One burst edge makes the whole component rank as a burst.  A member that does not match the
-    keeper directly belongs to the group through others: Burst at a low confidence.
-    """
+def ranked_components(edges: DataFrame, files: DataFrame, options: Options | None = None, scratch: Scratch | None = None) -> DataFrame:
+    """Members of the components of scored edges (a, b, kind), the keeper first: the columns of
+    ``files`` with group_key, rank, is_burst and keeper_reason.  One burst edge makes the whole
+    component rank as a burst."""
     o = options or Options()
     scratch = scratch or Scratch(files.sparkSession, "groups")
     if o.cross_folder_only:
@@ -80,17 +77,25 @@ def similarity_groups(edges: DataFrame, files: DataFrame, options: Options | Non
     edges = scratch.cut(edges.select("a", "b", "kind"), "edges")
     root = components(edges, scratch=scratch)
     bursts = edges.join(root.withColumnRenamed("node", "a"), "a").groupBy("root").agg(F.bool_or(F.col("kind") == "Burst").alias("is_burst"))
-    members = files.join(root.select(F.col("node").alias("file_id"), F.col("root").alias("group_key")), "file_id").join(bursts.withColumnRenamed("root", "group_key"), "group_key")
-    ranked = scratch.cut(keeper.choose(members, burst="is_burst", preferred=o.preferred_folders), "ranked")
-    return against_keeper(ranked, files.columns, o)
+    placed = root.join(bursts, "root").select(F.col("node").alias("file_id"), F.col("root").alias("group_key"), "is_burst")
+    return scratch.cut(keeper.choose(files.join(placed, "file_id"), burst="is_burst", preferred=o.preferred_folders), "ranked")
+
+
+def similarity_groups(edges: DataFrame, files: DataFrame, options: Options | None = None, scratch: Scratch | None = None) -> DataFrame:
+    """``ranked_components`` with keeper_id, and kind, confidence and reason against the keeper.
+
+    A member that does not match the keeper directly belongs to the group through others: Burst at a
+    low confidence.
+    """
+    return against_keeper(ranked_components(edges, files, options, scratch), options)
 
 
-def against_keeper(ranked: DataFrame, file_columns: list[str], options: Options | None = None) -> DataFrame:
+def against_keeper(ranked: DataFrame, options: Options | None = None) -> DataFrame:
     """Ranked members with keeper_id and their match against the keeper of the group."""
-    whole = lambda prefix: F.struct(*[F.col(c) for c in file_columns]).alias(prefix)
-    keepers = ranked.where("rank = 1").select("group_key", F.col("file_id").alias("keeper_id"), whole("_k"))
+    whole = F.struct(*score.READ)
+    keepers = ranked.where("rank = 1").select("group_key", F.col("file_id").alias("keeper_id"), whole.alias("_k"))
     m = F.coalesce(score.compare(F.col("_k"), F.col("_f"), options), F.struct(F.lit("Burst").alias("kind"), F.lit(K.INDIRECT_CONFIDENCE).alias("confidence"), F.lit("linked through other members").alias("reason")))
-    joined = ranked.withColumn("_f", F.struct(*[F.col(c) for c in file_columns])).join(keepers, "group_key")
+    joined = ranked.withColumn("_f", whole).join(keepers, "group_key")
     return joined.withColumn("_m", F.when(F.col("rank") > 1, m)).select(*ranked.columns, "keeper_id", F.col("_m.kind").alias("kind"), F.col("_m.confidence").alias("confidence"), F.col("_m.reason").alias("reason"))
 
 
@@ -122,17 +127,17 @@ def number(groups: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     return numbered(groups, order, "group_id", scratch)
 
 
-def change_keeper(members: DataFrame, choices: DataFrame, file_columns: list[str], options: Options | None = None) -> DataFrame:
+def change_keeper(members: DataFrame, choices: DataFrame, options: Options | None = None) -> DataFrame:
     """Members re-scored against newly chosen keepers (group_key, file_id); a choice that is not a
     member of its group raises when evaluated."""
     o = options or Options()
     chosen = choices.select("group_key", F.col("file_id").alias("_chosen"))
-    joined = members.join(chosen, "group_key")
-    is_member = F.bool_or(F.col("file_id") == F.col("_chosen")).over(W.partitionBy("group_key"))
-    checked = joined.withColumn("_member", is_member).where(F.when(F.col("_member"), True).otherwise(F.raise_error(F.lit("the chosen file is not in the group")).cast("boolean"))).drop("_member")
-    new = checked.withColumn("rank", F.when(F.col("file_id") == F.col("_chosen"), 1).otherwise(F.row_number().over(W.partitionBy("group_key").orderBy(F.when(F.col("file_id") == F.col("_chosen"), 0).otherwise(1), "rank"))))
-    new = new.withColumn("keeper_reason", F.when(F.col("rank") == 1, "chosen by you")).drop("_chosen", "kind", "confidence", "reason", "keeper_id", "aside")
-    out = against_keeper(new, file_columns, o)
+    joined = members.drop("kind", "confidence", "reason", "keeper_id", "aside").join(chosen, "group_key")
+    by, is_it = W.partitionBy("group_key"), F.col("file_id") == F.col("_chosen")
+    checked = joined.withColumn("_member", F.bool_or(is_it).over(by)).where(F.when(F.col("_member"), True).otherwise(F.raise_error(F.lit("the chosen file is not in the group")).cast("boolean")))
+    new = checked.withColumn("rank", F.row_number().over(by.orderBy((~is_it).cast("int"), "rank")))
+    new = new.withColumn("keeper_reason", F.when(F.col("rank") == 1, "chosen by you")).drop("_chosen", "_member")
+    out = against_keeper(new, o)
     return set_aside(out) if o.cross_folder_only else out
 
 
@@ -158,4 +163,4 @@ def inherit(exact: DataFrame, analysed: DataFrame) -> DataFrame:
     return copy_visual(own, analysed.select(cols).unionByName(rest))
 
 
-__all__ = ["against_keeper", "change_keeper", "copy_visual", "exact_groups", "exact_reason", "inherit", "number", "score_pairs", "set_aside", "similarity_groups", "summarise"]
+__all__ = ["against_keeper", "change_keeper", "copy_visual", "exact_groups", "exact_reason", "inherit", "number", "ranked_components", "score_pairs", "set_aside", "similarity_groups", "summarise"]

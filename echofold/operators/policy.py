@@ -9,10 +9,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import options as K
-from ..functions import hashing
 from ..functions.text import drive, quarantine_path
 from ..options import Options
 from ..runtime import Scratch
+from .contents import FULL, PARTIAL, SAMPLE, ByPath, InColumn
 from .ranking import numbered, running
 
 
@@ -155,16 +155,20 @@ def execute(members: DataFrame, options: Options, decisions: DataFrame | None =
     return told.withColumn("outcome", stopped).select(*FOLD)
 
 
-def recheck(members: DataFrame, contents: DataFrame, options: Options) -> DataFrame:
+def recheck(members: DataFrame, contents: DataFrame | InColumn | ByPath, options: Options) -> DataFrame:
     """``members`` with still_identical: whether a byte-identical duplicate and its keeper still are,
-    by their present ``contents`` (file_id, content).  Ends are compared, a video's sampled blocks,
-    or with ``verify_before_move`` everything; other kinds are not held against their bytes."""
-    own = contents.select("file_id", F.col("content").alias("_own"))
-    kept = contents.select(F.col("file_id").alias("keeper_id"), F.col("content").alias("_kept"))
+    by their present ``contents`` (a reader of them, or a table of file_id and content).  Ends are
+    compared by their hash, a video's sampled blocks, or with ``verify_before_move`` everything;
+    other kinds are not held against their bytes, and a file that can't be read is not identical."""
+    scratch = Scratch(members.sparkSession, "recheck")
+    reader = InColumn(contents, options=options) if isinstance(contents, DataFrame) else contents
     pairs = members.where((F.col("rank") > 1) & F.col("kind").isin("ExactBytes", "VideoSampled")).select("file_id", "keeper_id", "is_video")
-    same = hashing.still_identical(F.col("_own"), F.col("_kept"), F.col("is_video"), options.partial_hash_bytes, options.video_sample_blocks, options.verify_before_move)
-    checked = pairs.join(own, "file_id", "left").join(kept, "keeper_id", "left").select("file_id", "keeper_id", same.alias("_same"))
-    return members.join(checked, ["file_id", "keeper_id"], "left").withColumn("still_identical", F.coalesce("_same", F.lit(True))).drop("_same")
+    how = F.lit(FULL) if options.verify_before_move else F.when(F.col("is_video"), SAMPLE).otherwise(PARTIAL)
+    ends = pairs.select(F.explode(F.array("file_id", "keeper_id")).alias("file_id"), how.alias("how")).distinct()
+    read = scratch.cut(reader.hashes(scratch.cut(ends, "asked")).select("file_id", "how", F.concat_ws(":", "hash", F.col("size").cast("string")).alias("_h")).where("hash is not null"), "read")
+    own, kept = read.toDF("file_id", "_how", "_own"), read.toDF("keeper_id", "_how", "_kept")
+    checked = pairs.select("file_id", "keeper_id", how.alias("_how")).join(own, ["file_id", "_how"], "left").join(kept, ["keeper_id", "_how"], "left").select("file_id", "keeper_id", F.coalesce(F.col("_own") == F.col("_kept"), F.lit(False)).alias("_same"))
+    return members.join(checked.distinct(), ["file_id", "keeper_id"], "left").withColumn("still_identical", F.coalesce("_same", F.lit(True))).drop("_same")
 
 
 #: Columns of ``execute``.

@@ -364,19 +364,24 @@ def _analysed(spark: SparkSession, d: str, hashes: DataFrame) -> DataFrame:
     return complete(files(spark, d).join(hashes.select("file_id", "phash"), "file_id").where("not is_video"))
 
 
-_BOTH = """both_files AS (SELECT p.a, p.b, x.width AS wa, x.height AS ha, y.width AS wb, y.height AS hb, x.normalized = y.normalized AS named, x.has_edit OR y.has_edit AS edited,
-        abs(epoch_us(x.taken_at) - epoch_us(y.taken_at)) AS dus, x.camera_key = y.camera_key AS same_cam, x.ext AS ea, y.ext AS eb, x.path AS pa, y.path AS pb, HAVERSINE AS metres
-        FROM cand p JOIN files x ON x.file_id = p.a JOIN files y ON y.file_id = p.b WHERE NOT x.is_video AND NOT y.is_video),
-    dist AS (SELECT p.a, p.b, min(bit_count(xor(h.hash, g.hash))) AS d, arg_min(g.variant, bit_count(xor(h.hash, g.hash))::BIGINT * 8 + g.variant) AS v FROM cand p JOIN hashes h ON h.file_id = p.a AND h.variant = 0 JOIN hashes g ON g.file_id = p.b GROUP BY ALL),
-    ratio AS (SELECT f.*, d.d, d.v, wa / ha::DOUBLE AS ra, CASE WHEN d.v >= 4 THEN hb / wb::DOUBLE ELSE wb / hb::DOUBLE END AS rb FROM both_files f JOIN dist d ON f.a = d.a AND f.b = d.b
+def _scorer_sql(pairs: str, out: str) -> str:
+    """CTEs that score the pairs (a, b) of the CTE ``pairs``: ``{out}_rated`` has both matches' surer one,
+    ``out`` what is left of it after the cap for edited files."""
+    metres = _HAV.replace("a.l", "x.l").replace("b.l", "y.l")
+    return f"""{out}_both AS MATERIALIZED (SELECT p.a, p.b, x.width AS wa, x.height AS ha, y.width AS wb, y.height AS hb, x.normalized = y.normalized AS named, x.has_edit OR y.has_edit AS edited,
+        abs(epoch_us(x.taken_at) - epoch_us(y.taken_at)) AS dus, x.camera_key = y.camera_key AS same_cam, x.ext AS ea, y.ext AS eb, x.path AS pa, y.path AS pb, {metres} AS metres
+        FROM {pairs} p JOIN files x ON x.file_id = p.a JOIN files y ON y.file_id = p.b WHERE NOT x.is_video AND NOT y.is_video),
+    {out}_dist AS MATERIALIZED (SELECT p.a, p.b, min(bit_count(xor(h.hash, g.hash))) AS d, arg_min(g.variant, bit_count(xor(h.hash, g.hash))::BIGINT * 8 + g.variant) AS v
+        FROM {pairs} p JOIN hashes h ON h.file_id = p.a AND h.variant = 0 JOIN hashes g ON g.file_id = p.b GROUP BY ALL),
+    {out}_ratio AS (SELECT f.*, d.d, d.v, wa / ha::DOUBLE AS ra, CASE WHEN d.v >= 4 THEN hb / wb::DOUBLE ELSE wb / hb::DOUBLE END AS rb FROM {out}_both f JOIN {out}_dist d ON f.a = d.a AND f.b = d.b
         WHERE NOT ((ea = 'cr2') <> (eb = 'cr2') AND regexp_replace(pa, '\\.[^.]*$', '') = regexp_replace(pb, '\\.[^.]*$', ''))),
-    ruled AS (SELECT *, CASE WHEN d <= 8 AND NOT coalesce(dus > 50000, false) THEN greatest(50.0, least(98.0, 98.0 - d - (v <> 0)::INT - 10 * (abs(ra - rb) / greatest(ra, rb) > 0.02)::INT + named::INT)) END AS p,
-        CASE WHEN same_cam AND dus <= 10000000 AND NOT coalesce(metres > 200, false) AND d <= 22 THEN 60 + 22 * greatest(0.0, least(1.0, 1 - d / 22.0::DOUBLE)) + 7 * (1 - dus / 10000000.0::DOUBLE) END AS s FROM ratio),
-    chosen AS (SELECT a, b, edited, CASE WHEN s IS NOT NULL AND (p IS NULL OR s > p) THEN 'Burst' WHEN p IS NOT NULL THEN 'Perceptual' END AS kind, CASE WHEN s IS NOT NULL AND (p IS NULL OR s > p) THEN least(s, 89.0) ELSE p END AS c FROM ruled),
-    scored AS (SELECT a, b, kind, CASE WHEN edited AND c > 80 THEN 80.0 ELSE c END::DOUBLE AS confidence FROM chosen WHERE kind IS NOT NULL)""".replace(
-    "HAVERSINE", _HAV.replace("a.l", "x.l").replace("b.l", "y.l")
-)
-_SCORED = f"{FILES_SQL}, {_TOKENS}, {_PAIRS}, {_SHOTS}, cand AS (SELECT a, b FROM near UNION SELECT a, b FROM bursts), {_BOTH}"
+    {out}_ruled AS (SELECT *, CASE WHEN d <= 8 AND NOT coalesce(dus > 50000, false) THEN greatest(50.0, least(98.0, 98.0 - d - (v <> 0)::INT - 10 * (abs(ra - rb) / greatest(ra, rb) > 0.02)::INT + named::INT)) END AS p,
+        CASE WHEN same_cam AND dus <= 10000000 AND NOT coalesce(metres > 200, false) AND d <= 22 THEN 60 + 22 * greatest(0.0, least(1.0, 1 - d / 22.0::DOUBLE)) + 7 * (1 - dus / 10000000.0::DOUBLE) END AS s FROM {out}_ratio),
+    {out}_rated AS (SELECT a, b, edited, CASE WHEN s IS NOT NULL AND (p IS NULL OR s > p) THEN 'Burst' WHEN p IS NOT NULL THEN 'Perceptual' END AS kind, CASE WHEN s IS NOT NULL AND (p IS NULL OR s > p) THEN least(s, 89.0) ELSE p END AS c FROM {out}_ruled),
+    {out} AS MATERIALIZED (SELECT a, b, kind, CASE WHEN edited AND c > 80 THEN 80.0 ELSE c END::DOUBLE AS confidence FROM {out}_rated WHERE kind IS NOT NULL)"""
+
+
+_SCORED = f"{FILES_SQL}, {_TOKENS}, {_PAIRS}, {_SHOTS}, cand AS MATERIALIZED (SELECT a, b FROM near UNION SELECT a, b FROM bursts), {_scorer_sql('cand', 'scored')}"
 
 
 def _scored(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -400,7 +405,7 @@ def score_burst(spark: SparkSession, d: str) -> DataFrame:
     return _scored(spark, d)[0].where("kind = 'Burst'").select("a", "b", F.round("confidence", 4).alias("confidence"))
 
 
-@query(f"WITH {_SCORED} SELECT s.a, s.b, s.kind FROM scored s JOIN chosen c ON c.a = s.a AND c.b = s.b WHERE c.edited AND c.c > 80")
+@query(f"WITH {_SCORED} SELECT s.a, s.b, s.kind FROM scored s JOIN scored_rated c ON c.a = s.a AND c.b = s.b WHERE c.edited AND c.c > 80")
 def edited_cap(spark: SparkSession, d: str) -> DataFrame:
     return _scored(spark, d)[0].where(F.col("reason").endswith("one of the two is an edited version")).select("a", "b", "kind")
 
@@ -417,7 +422,7 @@ def components(spark: SparkSession, d: str) -> DataFrame:
 
 _SIM = f"""WITH RECURSIVE {_SCORED}, sym AS (SELECT a AS u, b AS v FROM scored UNION ALL SELECT b, a FROM scored), reach(node, root) AS (SELECT u, u FROM sym UNION SELECT s.v, r.root FROM reach r JOIN sym s ON s.u = r.node),
     comp AS (SELECT node, min(root) AS group_key FROM reach GROUP BY node), burst_of AS (SELECT group_key, bool_or(kind = 'Burst') AS is_burst FROM scored JOIN comp ON node = a GROUP BY ALL),
-    ranked AS (SELECT c.group_key, f.*, is_burst, CASE WHEN is_burst THEN row_number() OVER (PARTITION BY c.group_key ORDER BY sharpness DESC, width::BIGINT * height DESC, richness DESC, upper(path), file_id)
+    ranked AS MATERIALIZED (SELECT c.group_key, f.*, is_burst, CASE WHEN is_burst THEN row_number() OVER (PARTITION BY c.group_key ORDER BY sharpness DESC, width::BIGINT * height DESC, richness DESC, upper(path), file_id)
         ELSE row_number() OVER (PARTITION BY c.group_key ORDER BY width::BIGINT * height DESC, richness DESC, has_copy, has_edit, last_write, length(path), upper(path), file_id) END AS rank FROM comp c JOIN files f ON f.file_id = c.node JOIN burst_of b ON b.group_key = c.group_key)"""
 
 
@@ -428,24 +433,20 @@ def _similar(spark: SparkSession, d: str, options: Options | None = None) -> Dat
 
 @query(f"{_SIM} SELECT group_key, file_id, is_burst, rank FROM ranked")
 def similarity_groups(spark: SparkSession, d: str) -> DataFrame:
-    return _similar(spark, d).select("group_key", "file_id", "is_burst", F.col("rank").cast("long").alias("rank"))
+    return groups.ranked_components(*_scored(spark, d)).select("group_key", "file_id", "is_burst", F.col("rank").cast("long").alias("rank"))
 
 
 @query(f"{_SIM} SELECT group_key, file_id AS keeper_id, sharpness FROM ranked WHERE rank = 1 AND is_burst")
 def burst_keeper(spark: SparkSession, d: str) -> DataFrame:
-    return _similar(spark, d).where("rank = 1 and is_burst").select("group_key", F.col("file_id").alias("keeper_id"), "sharpness")
+    return groups.ranked_components(*_scored(spark, d)).where("rank = 1 and is_burst").select("group_key", F.col("file_id").alias("keeper_id"), "sharpness")
 
 
-#: Members against their keeper, keeper first: the pairs of the scorer's SQL in that direction.
-_MEMBERS = _SIM.replace("WITH RECURSIVE", "WITH RECURSIVE", 1) + """,
-    kp AS (SELECT m.group_key, k.file_id AS a, m.file_id AS b FROM ranked m JOIN ranked k ON k.group_key = m.group_key AND k.rank = 1 WHERE m.rank > 1), """ + (
-    _BOTH.replace("cand p", "kp p").replace("both_files", "k_files").replace("dist ", "k_dist ").replace("JOIN dist", "JOIN k_dist").replace("dist AS", "k_dist AS").replace("k_k_dist", "k_dist")
-    .replace("ratio AS", "k_ratio AS").replace("FROM ratio", "FROM k_ratio").replace("ruled AS", "k_ruled AS").replace("FROM ruled", "FROM k_ruled").replace("chosen AS", "k_chosen AS").replace("FROM chosen", "FROM k_chosen").replace("scored AS", "k_scored AS")
-)
+def _against_sql(rank: int) -> str:
+    """The members' SQL with each scored against the member of that rank, the keeper first."""
+    return f"""{_SIM}, kp AS MATERIALIZED (SELECT m.group_key, k.file_id AS a, m.file_id AS b FROM ranked m JOIN ranked k ON k.group_key = m.group_key AND k.rank = {rank} WHERE m.rank <> {rank}), {_scorer_sql("kp", "k_scored")}"""
 
 
-#: The same with the second member as the new keeper.
-_CHANGED = _MEMBERS.replace("k.rank = 1 WHERE m.rank > 1", "k.rank = 2 WHERE m.rank <> 2")
+_MEMBERS = _against_sql(1)
 
 
 @query(f"{_MEMBERS} SELECT kp.b AS file_id, kp.a AS keeper_id, coalesce(k.kind, 'Burst') AS kind, round(coalesce(k.confidence, 50.0), 4) AS confidence FROM kp LEFT JOIN k_scored k ON k.a = kp.a AND k.b = kp.b")
@@ -471,12 +472,11 @@ def group_rank(spark: SparkSession, d: str) -> DataFrame:
     return _numbered(spark, d).select("group_id", "kind", "confidence", "reclaimable_bytes", "duplicates", "keeper_path", "keeper_id")
 
 
-@query(f"{_CHANGED} SELECT r.group_key, r.file_id, r.rank = 2 AS is_keeper, CASE WHEN r.rank <> 2 THEN coalesce(k.kind, 'Burst') END AS kind, round(CASE WHEN r.rank <> 2 THEN coalesce(k.confidence, 50.0) END, 4) AS confidence FROM ranked r LEFT JOIN kp ON kp.b = r.file_id LEFT JOIN k_scored k ON k.a = kp.a AND k.b = kp.b")
+@query(f"{_against_sql(2)} SELECT r.group_key, r.file_id, r.rank = 2 AS is_keeper, CASE WHEN r.rank <> 2 THEN coalesce(k.kind, 'Burst') END AS kind, round(CASE WHEN r.rank <> 2 THEN coalesce(k.confidence, 50.0) END, 4) AS confidence FROM ranked r LEFT JOIN kp ON kp.b = r.file_id LEFT JOIN k_scored k ON k.a = kp.a AND k.b = kp.b")
 def change_keeper(spark: SparkSession, d: str) -> DataFrame:
-    from .engine import FILE_COLUMNS
-
-    members = _similar(spark, d)
-    changed = groups.change_keeper(members, members.where("rank = 2").select("group_key", "file_id"), list(FILE_COLUMNS))
+    """The second member of each group as its keeper."""
+    members = groups.ranked_components(*_scored(spark, d))
+    changed = groups.change_keeper(members, members.where("rank = 2").select("group_key", "file_id"))
     return changed.select("group_key", "file_id", (F.col("rank") == 1).alias("is_keeper"), "kind", F.round("confidence", 4).alias("confidence"))
 
 

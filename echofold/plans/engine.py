@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import hashing
 from ..operators import blocking, groups
 from ..operators import cache as cached
+from ..operators.contents import ByPath, InColumn
 from ..options import Options
 from ..runtime import Scratch
 
@@ -22,10 +23,9 @@ FILE_COLUMNS = {
 }
 
 
-#: What the cache keeps of a file, valid for its path, size and time.
-CACHED = (
-    "full_hash", "sample_hash", "pixel_hash", "width", "height", "phash", "dhash", "sharpness", "embedding", "taken_at", "camera_key", "latitude", "longitude", "richness",
-)
+#: What the cache keeps of a file, valid for its path, size and time.  Values that depend on options
+#: or on the network too (sampled hashes, vectors) are not kept.
+CACHED = ("full_hash", "pixel_hash", "width", "height", "phash", "dhash", "sharpness", "taken_at", "camera_key", "latitude", "longitude", "richness")
 
 
 @dataclass
@@ -63,8 +63,9 @@ def pixel_candidates(pairs: DataFrame, files: DataFrame) -> DataFrame:
     return alike.select(F.explode(ends).alias("e")).where("e.p is null").select(F.col("e.id").alias("file_id")).distinct()
 
 
-def run(files: DataFrame, analyse=None, options: Options | None = None, pixels=None, embed=None, cache: DataFrame | None = None) -> Result:
-    """Finds, scores and groups duplicates of ``files`` (file columns and ``content``).
+def run(files: DataFrame, analyse=None, options: Options | None = None, pixels=None, embed=None, cache: DataFrame | None = None, reader: InColumn | ByPath | None = None) -> Result:
+    """Finds, scores and groups duplicates of ``files`` (file columns).  Contents come from ``reader``,
+    by default from a column ``content`` of ``files``; no level shuffles them.
 
     Three functions map files with content to columns by file_id, each for the files that need it:
     ``analyse`` for the visual columns of representatives (photos without error that are no hidden
@@ -76,7 +77,7 @@ def run(files: DataFrame, analyse=None, options: Options | None = None, pixels=N
     """
     o = options or Options()
     scratch = Scratch(files.sparkSession, "engine")
-    contents = files.select("file_id", "content")
+    reader = reader or InColumn(files, options=o)
     base = complete(files)
     base = base.withColumn("mtime_ticks", F.coalesce("mtime_ticks", F.unix_micros(F.col("last_write").cast("timestamp")) * 10))
     if cache is not None:
@@ -84,19 +85,22 @@ def run(files: DataFrame, analyse=None, options: Options | None = None, pixels=N
         base = scratch.cut(filled(base, hits), "base")
 
     # level 1: equal contents, without further names of one file
-    found = scratch.cut(blocking.exact_sets(base.join(contents, "file_id"), options=o, scratch=scratch).select(*FILE_COLUMNS, "set_key"), "named")
+    base = scratch.cut(base, "files") if cache is None else base
+    found, failed = blocking.exact_levels(base, options=o, scratch=scratch, reader=reader)
+    found, failed = scratch.cut(found.select(*FILE_COLUMNS, "set_key"), "named"), scratch.cut(failed.groupBy("file_id").agg(F.min("error").alias("error")), "failed")
     sets = scratch.cut(blocking.remove_aliases(found), "sets")
     aliases = found.select("file_id").join(sets.select("file_id"), "file_id", "left_anti")
     exact = scratch.cut(groups.exact_groups(blocking.with_peers(sets, "set_key"), o), "exact")
-    known = filled(base.join(aliases, "file_id", "left_anti"), found.select("file_id", "full_hash", "sample_hash"))
+    known = filled(filled(base.join(aliases, "file_id", "left_anti"), found.select("file_id", "full_hash", "sample_hash")), failed)
 
     # visual analysis of representatives
     hidden = exact.where("rank > 1").select("file_id")
+    unread = known.where("error is not null")
     seen = scratch.cut(known.where(~F.col("is_video") & F.col("error").isNull()).join(hidden, "file_id", "left_anti"), "representatives")
     if analyse is not None:
-        seen = filled(seen, analyse(contents.join(seen.where("phash is null").select("file_id"), "file_id")))
+        seen = filled(seen, analyse(reader.of(seen.where("phash is null").select("file_id"))))
     seen = scratch.cut(complete(seen), "analysed")
-    bad = seen.where("error is not null")
+    bad = scratch.cut(seen.where("error is not null").unionByName(unread.select(seen.columns)), "bad")
     seen = seen.where("error is null")
 
     # candidates, and what only they need
@@ -105,11 +109,11 @@ def run(files: DataFrame, analyse=None, options: Options | None = None, pixels=N
     parts = [near] + ([blocking.burst_pairs_capped(seen, o.burst_window_seconds, o.burst_neighbours, scratch=scratch)] if o.detect_bursts else [])
     pairs = scratch.cut(blocking.union_pairs(*parts), "pairs")
     if pixels is not None:
-        seen = filled(seen, pixels(contents.join(pixel_candidates(pairs, seen), "file_id")))
+        seen = filled(seen, pixels(reader.of(pixel_candidates(pairs, seen))))
     if embed is not None:
         ends = pairs.select(F.explode(F.array("a", "b")).alias("file_id")).distinct()
         missing = ends.join(seen.where("embedding is null").select("file_id"), "file_id")
-        seen = filled(seen, embed(contents.join(missing, "file_id")))
+        seen = filled(seen, embed(reader.of(missing)))
     seen = scratch.cut(seen, "seen")
 
     # scores, groups, numbers
@@ -126,9 +130,8 @@ def run(files: DataFrame, analyse=None, options: Options | None = None, pixels=N
 
     # every file that was hashed or analysed is worth keeping for the next run
     rest = known.join(seen.select("file_id").unionByName(bad.select("file_id")), "file_id", "left_anti")
-    kept = seen.unionByName(rest.select(seen.columns)).where("full_hash is not null or sample_hash is not null or phash is not null")
+    kept = seen.unionByName(rest.select(seen.columns)).where("full_hash is not null or phash is not null")
     fresh = kept.select("path", "size", "mtime_ticks", *CACHED)
     if cache is not None:
-        roots = [r["root"] for r in base.where("root is not null").select("root").distinct().limit(10_000).collect()]
-        fresh = cached.prune(cached.store(cache.select(fresh.columns), fresh), roots, base)
+        fresh = cached.prune(cached.store(cache.select(fresh.columns), fresh), base.select("root"), base)
     return Result(seen.unionByName(bad), members.join(ranked.select("group_key", "group_id", F.col("kind").alias("group_kind")), "group_key"), ranked, fresh)

@@ -1,10 +1,10 @@
-"""Inventory of files: Spark's binary reader without contents, or a walk of local folders."""
+"""Inventory of files: a listing of folders in parallel, or Spark's binary reader for remote stores."""
 
 from __future__ import annotations
 
-import os
+import json
+import re
 from collections.abc import Sequence
-from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from .. import options as K
 from ..functions import names
 from ..options import Options
+from . import listing
 
-SCHEMA = "file_id long, path string, size long, mtime_ticks long, last_write timestamp_ntz, device long, inode long"
 #: Folder names that are never scanned.
 BIN_FOLDER, QUARANTINE_NAME = "$RECYCLE.BIN", ".QUARANTINE"
 
@@ -48,27 +48,26 @@ def with_names(files: DataFrame) -> DataFrame:
     return files.withColumn("_n", n).withColumns({"is_video": names.extension(F.col("path")).isin(*K.VIDEO_EXTENSIONS), "normalized": F.col("_n.normalized"), "has_copy": F.col("_n.has_copy"), "has_edit": F.col("_n.has_edit")}).drop("_n")
 
 
+#: The scheme of an address (of two letters or more: a single one is a drive).
+SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]+:/+"
+
+
 def from_reader(spark: SparkSession, roots: Sequence[str], options: Options, with_content: bool = False) -> DataFrame:
-    """Inventory by the binary reader; without contents the files are listed but not read.  Spark
-    itself leaves out names that begin with a point or an underscore; ``from_walk`` does not."""
+    """Inventory by the binary reader, for any store Spark reads; without contents the files are
+    listed but not read.  Paths and roots are told without the scheme, ``uri`` has it.  Spark itself
+    follows links, tells no hard links, and leaves out names that begin with a point or an
+    underscore; ``from_listing`` does not."""
     read = spark.read.format("binaryFile").option("recursiveFileLookup", str(options.recursive).lower())
-    rows = read.load(list(roots)).select(F.regexp_replace("path", r"^[a-z]+:/+", "/").alias("path"), F.col("length").alias("size"), F.col("modificationTime").cast("timestamp_ntz").alias("last_write"), *(["content"] if with_content else []))
+    rows = read.load(list(roots)).select(F.col("path").alias("uri"), F.regexp_replace("path", SCHEME, "/").alias("path"), F.col("length").alias("size"), F.col("modificationTime").cast("timestamp_ntz").alias("last_write"), *(["content"] if with_content else []))
     rows = rows.withColumns({"file_id": F.xxhash64("path"), "mtime_ticks": F.unix_micros(F.col("last_write").cast("timestamp")) * 10, "device": F.lit(None).cast("long"), "inode": F.lit(None).cast("long")})
-    return with_names(wanted(attribute_roots(rows, roots), options))
+    return with_names(wanted(attribute_roots(rows, [re.sub(SCHEME, "/", r) for r in roots]), options))
 
 
-def from_walk(spark: SparkSession, roots: Sequence[str], options: Options) -> DataFrame:
-    """Inventory by a walk on the driver, for local folders only: links are neither listed nor
-    followed, and device and inode tell hard links."""
-    rows, seen = [], set()
-    for root in roots:
-        for folder, inner, found in os.walk(root, followlinks=False):
-            inner[:] = sorted(d for d in inner if not os.path.islink(os.path.join(folder, d))) if options.recursive else []
-            for name in sorted(found):
-                path = os.path.join(folder, name)
-                if os.path.islink(path) or path in seen:
-                    continue
-                seen.add(path)
-                s = os.stat(path)
-                rows.append((len(rows), path, s.st_size, s.st_mtime_ns // 100, datetime.fromtimestamp(s.st_mtime, timezone.utc).replace(tzinfo=None), s.st_dev, s.st_ino))
-    return with_names(wanted(attribute_roots(spark.createDataFrame(rows, SCHEMA), roots), options))
+def from_listing(spark: SparkSession, roots: Sequence[str], options: Options) -> DataFrame:
+    """Inventory of folders that every executor can reach (see ``listing``): links are neither listed
+    nor followed, and device and inode tell hard links."""
+    listing.register(spark)
+    rows = spark.read.format(listing.NAME).options(roots=json.dumps(list(roots)), recursive=str(options.recursive).lower()).load()
+    micros = F.floor(F.col("mtime_ticks") / 10)
+    rows = rows.withColumns({"file_id": F.xxhash64("path"), "last_write": F.timestamp_micros(micros).cast("timestamp_ntz")})
+    return with_names(wanted(attribute_roots(rows, roots), options))
