@@ -21,7 +21,8 @@ exchanges of adjacent code points (unrestricted Damerau-Levenshtein distance) ar
    length buckets, in blocks of ``BLOCK`` names on either side, inside the tasks.
 
 Keys with more than ``HOT`` left names are split by a hash of the name, and only right names that ask
-for such a key are repeated for its parts.  To the driver go the gram counts (a constant size) and
+for such a key are repeated for its parts.  All joins of names are by sort and merge, so that no table
+that grows is broadcast.  To the driver go the gram counts (a constant size) and
 the counts of short names by length.
 
 Defined results: null and empty names take no part; repeated names count once in ``join`` and
@@ -305,7 +306,7 @@ def join(left: DataFrame, right: DataFrame, edits: int = 1, q: int = GRAM, scrat
     alike = F.bit_count(F.col("bits_a").bitwiseXOR(F.col("bits_b"))) <= 2 * edits
     met = x.hint("merge").join(y, (x["key"] == y["key"]) & (x["part"] == y["part"]) & alike).select("a", "b").distinct()
     indexed = F.greatest(F.char_length("left"), F.char_length("right")) > most_short(edits, q)  # the others are compared below
-    met = met.join(a.toDF("a", "left"), "a").join(b.toDF("b", "right"), "b").where(indexed).select("left", "right")
+    met = met.hint("merge").join(a.toDF("a", "left"), "a").join(b.toDF("b", "right").hint("merge"), "b").where(indexed).select("left", "right")
     found = met.mapInArrow(_verify(edits, q), "left string, right string, distance int")
     short = _short_pairs(a, b, edits, q)
     return found if short is None else found.unionByName(short)
@@ -319,8 +320,8 @@ def matches(left: DataFrame, right: DataFrame, edits: int = 1, q: int = GRAM, sc
     held = left.where("name <> ''").groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"), F.sum(F.crc32(F.col("id").cast("string"))).alias("ids_crc"))
     held = scratch.cut(held, "left")
     pairs = join(held, right, edits, q, scratch)
-    summed = pairs.join(held.withColumnRenamed("name", "left"), "left").groupBy("right", "distance").agg(F.sum("n").alias("n"), F.min("first_id").alias("first_id"), F.sum("ids_crc").alias("ids_crc"))
+    summed = pairs.hint("merge").join(held.withColumnRenamed("name", "left"), "left").groupBy("right", "distance").agg(F.sum("n").alias("n"), F.min("first_id").alias("first_id"), F.sum("ids_crc").alias("ids_crc"))
     salted = summed.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     rows = right.select("id", F.col("name").alias("right"), F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("_part"))
-    met = rows.join(salted, ["right", "_part"]).groupBy("id", "distance").agg(F.sum("n").alias("n"), F.min("first_id").alias("first_id"), F.sum("ids_crc").alias("ids_crc"))
+    met = rows.join(salted.hint("merge"), ["right", "_part"]).groupBy("id", "distance").agg(F.sum("n").alias("n"), F.min("first_id").alias("first_id"), F.sum("ids_crc").alias("ids_crc"))
     return met.select("id", "distance", "n", "first_id", "ids_crc")
