@@ -1,4 +1,4 @@
-"""Candidate generation: exact sets, Hamming similarity pairs, temporal pairs and their union."""
+"""Candidate generation: exact sets, bands of hashes, temporal pairs and their union."""
 
 from __future__ import annotations
 
@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import hashing
 from ..functions.text import micros
 from ..options import Options
 from ..runtime import Scratch
@@ -98,43 +97,6 @@ def bands(distance: int, count: int) -> list[tuple[int, int, list[int]]]:
     return [(lo, hi - lo, masks(hi - lo)) for lo, hi in pairwise(edges)]
 
 
-def hamming_pairs(left: DataFrame, distance: int, id_col: str = "file_id", hash_col: str = "hash", variants_col: str | None = None, options: Options | None = None, scratch: Scratch | None = None) -> DataFrame:
-    """(a, b, distance) with a < b whose hashes (or, with variants, one's hash and the other's
-    variants, either way round) differ in at most ``distance`` bits.
-
-    Few hashes, or a distance too wide for bands, are compared in blocks: each row goes to the
-    pairs of blocks it belongs to, so a task holds two blocks.  Else hashes meet where they agree
-    in a band up to a few bits (``bands``): an ordinary equi-join of band values.
-    """
-    o = options or Options()
-    own = left.where(F.col(hash_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(hash_col).alias("h"), (F.array_distinct(F.col(variants_col)) if variants_col else F.array(F.col(hash_col))).alias("v"))
-    own = (scratch or Scratch(left.sparkSession, "hamming")).cut(own, "hashes")  # read three times
-    probes = own.select(F.col("id").alias("qid"), F.explode("v").alias("qh"))
-    count = own.count()
-    if count <= o.brute_force_hashes or distance > 9:
-        blocks = max(1, math.ceil(count / 4_000))
-        block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int")
-        rows = own.withColumn("_row", block("id")).withColumn("_col", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select("id", "h", "_row", "_col")
-        asked = probes.withColumn("_col", block("qid")).withColumn("_row", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-        met = rows.join(asked, ["_row", "_col"])
-    else:
-        # masks go on the side with one hash a row, not on the variants
-        part = lambda c, shift, w: F.shiftrightunsigned(c, shift).bitwiseAND(F.lit((1 << w) - 1))
-        plan = bands(distance, count)
-
-        def changed(k: int, shift: int, w: int, masks: list[int]) -> Column:
-            return F.transform(F.lit(masks), lambda m: F.struct(F.lit(k).alias("band"), part(F.col("h"), shift, w).bitwiseXOR(m.cast("long")).alias("value")))
-
-        every = F.concat(*[changed(k, *band) for k, band in enumerate(plan)])
-        rows = own.select("id", "h", F.explode(every).alias("k")).select("id", "h", "k.band", "k.value")
-        keys = F.array(*[F.struct(F.lit(k).alias("band"), part(F.col("qh"), s, w).alias("value")) for k, (s, w, _) in enumerate(plan)])
-        asked = probes.select("qid", "qh", F.explode(keys).alias("k")).select("qid", "qh", "k.band", "k.value")
-        met = rows.hint("merge").join(asked, ["band", "value"])
-    d = hashing.hamming(F.col("h"), F.col("qh"))
-    found = met.where((F.col("id") != F.col("qid")) & (d <= distance)).select(F.least("id", "qid").alias("a"), F.greatest("id", "qid").alias("b"), d.alias("distance"))
-    return found.groupBy("a", "b").agg(F.min("distance").alias("distance"))
-
-
 def burst_pairs(files: DataFrame, window_seconds: float, id_col: str = "file_id", time_col: str = "taken_at", camera_col: str = "camera_key") -> DataFrame:
     """(a, b, delta_us) with a < b of one camera at most ``window_seconds`` apart.
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import hashing, imaging, names, text, vectors
-from ..operators import blocking, cache, cluster, groups, keeper, policy, report, score
+from ..operators import blocking, cache, cluster, groups, keeper, policy, report, score, similarity
 from ..options import Options
 from ..runtime import Scratch, spread, table
 from .inputs import BLOCKS, CHUNK, FILES_SQL, files
@@ -266,7 +266,7 @@ def _ehash(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {_EHASH} SELECT a.id AS a, b.id AS b, CAST(bit_count(xor(a.h, b.h)) AS INTEGER) AS distance FROM e a JOIN e b ON a.id < b.id AND bit_count(xor(a.h, b.h)) <= 20")
 def hamming_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return blocking.hamming_pairs(_ehash(spark, d), 20)
+    return similarity.hamming_pairs(_ehash(spark, d), 20)
 
 
 @query("""WITH t AS (SELECT file_id, hash FROM (SELECT doc_id AS file_id, ('0x' || substr(md5(coalesce(text, '')), 2, 15))::BIGINT AS h0, doc_id FROM documents), LATERAL (SELECT xor(h0, 1::BIGINT << CAST(doc_id % 50 AS INTEGER)) AS hash))
@@ -274,7 +274,7 @@ def hamming_pairs(spark: SparkSession, d: str) -> DataFrame:
 def hamming_pairs_banded(spark: SparkSession, d: str) -> DataFrame:
     h = F.conv(F.substring(F.md5(F.coalesce("text", F.lit(""))), 2, 15), 16, 10).cast("long")
     own = table(spark, d, "documents").select(F.col("doc_id").alias("file_id"), h.bitwiseXOR(F.expr("shiftleft(1L, cast(doc_id % 50 as int))")).alias("hash"))
-    return blocking.hamming_pairs(own, 8, options=Options(brute_force_hashes=0))
+    return similarity.hamming_pairs(own, 8, options=Options(brute_force_hashes=0))
 
 
 def _text_hashes(spark: SparkSession, d: str) -> DataFrame:
@@ -283,14 +283,14 @@ def _text_hashes(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {_TOKENS}, {_PAIRS} SELECT a, b, distance FROM near")
 def oriented_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return blocking.hamming_pairs(_text_hashes(spark, d), 8, variants_col="phash")
+    return similarity.hamming_pairs(_text_hashes(spark, d), 8, variants_col="phash")
 
 
 @query(f"WITH {_TOKENS}, {_PAIRS}, r AS (SELECT p.a, p.b, g.variant, CAST(bit_count(xor(h.hash, g.hash)) AS INTEGER) AS distance FROM near p JOIN hashes h ON h.file_id = p.a AND h.variant = 0 JOIN hashes g ON g.file_id = p.b) SELECT a, b, min(distance) AS distance, CAST(arg_min(variant, distance * 8 + variant) AS INTEGER) AS variant FROM r GROUP BY ALL")
 def best_orientation(spark: SparkSession, d: str) -> DataFrame:
     """The orientation in which the pairs of ``oriented_pairs`` agree best, first to second."""
     own = _text_hashes(spark, d)
-    pairs = blocking.hamming_pairs(own, 8, variants_col="phash").select("a", "b")
+    pairs = similarity.hamming_pairs(own, 8, variants_col="phash").select("a", "b")
     a, b = own.select(F.col("file_id").alias("a"), "hash"), own.select(F.col("file_id").alias("b"), "phash")
     best = hashing.best_orientation(F.col("hash"), F.col("phash"))
     return pairs.join(a, "a").join(b, "b").select("a", "b", best.alias("m")).select("a", "b", "m.distance", "m.variant")
@@ -315,7 +315,7 @@ _SHOTS = """shots AS (SELECT file_id, taken_at, camera_key, row_number() OVER (O
 
 
 def _candidates(spark: SparkSession, d: str, hashes: DataFrame | None = None) -> DataFrame:
-    near = blocking.hamming_pairs(_text_hashes(spark, d) if hashes is None else hashes, 8, variants_col="phash")
+    near = similarity.hamming_pairs(_text_hashes(spark, d) if hashes is None else hashes, 8, variants_col="phash")
     return blocking.union_pairs(near, blocking.burst_pairs_capped(files(spark, d), 10.0))
 
 

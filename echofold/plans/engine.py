@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import hashing
-from ..operators import blocking, groups
+from ..operators import blocking, groups, similarity
 from ..operators import cache as cached
 from ..operators.contents import ByPath, InColumn
 from ..options import Options
@@ -63,6 +63,14 @@ def pixel_candidates(pairs: DataFrame, files: DataFrame) -> DataFrame:
     return alike.select(F.explode(ends).alias("e")).where("e.p is null").select(F.col("e.id").alias("file_id")).distinct()
 
 
+def crowded_twins(crowded: DataFrame, files: DataFrame) -> DataFrame:
+    """Ids without a pixel hash in large classes of equal hashes, whose sides occur twice there: such
+    pictures may be the same whenever they were taken, and not all their pairs are candidates."""
+    own = crowded.join(files.select("file_id", "width", "height", "pixel_hash"), "file_id")
+    shared = own.groupBy("group", "width", "height").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    return own.where("pixel_hash is null").join(shared, ["group", "width", "height"], "left_semi").select("file_id").distinct()
+
+
 def run(files: DataFrame, analyse=None, options: Options | None = None, pixels=None, embed=None, cache: DataFrame | None = None, reader: InColumn | ByPath | None = None) -> Result:
     """Finds, scores and groups duplicates of ``files`` (file columns).  Contents come from ``reader``,
     by default from a column ``content`` of ``files``; no level shuffles them.
@@ -104,12 +112,15 @@ def run(files: DataFrame, analyse=None, options: Options | None = None, pixels=N
     seen = seen.where("error is null")
 
     # candidates, and what only they need
-    hashes = seen.where("phash is not null").select("file_id", F.get("phash", F.lit(0)).alias("hash"), "phash")
-    near = blocking.hamming_pairs(hashes, o.perceptual_max_distance, variants_col="phash", options=o, scratch=scratch)
+    near, crowded = similarity.candidates(seen, o.perceptual_max_distance, o, scratch)
     parts = [near] + ([blocking.burst_pairs_capped(seen, o.burst_window_seconds, o.burst_neighbours, scratch=scratch)] if o.detect_bursts else [])
     pairs = scratch.cut(blocking.union_pairs(*parts), "pairs")
     if pixels is not None:
-        seen = filled(seen, pixels(reader.of(pixel_candidates(pairs, seen))))
+        asked = pixel_candidates(pairs, seen).unionByName(crowded_twins(crowded, seen)).distinct()
+        seen = scratch.cut(filled(seen, pixels(reader.of(asked))), "pixels")
+        alike = seen.where("pixel_hash is not null").join(crowded.select("file_id").distinct(), "file_id", "left_semi")
+        timeless = similarity.captures(alike.withColumn("taken_at", F.lit(None).cast("timestamp_ntz")), F.col("pixel_hash"))
+        pairs = scratch.cut(blocking.union_pairs(pairs, similarity.capture_links(timeless, scratch=scratch)), "pairs")
     if embed is not None:
         ends = pairs.select(F.explode(F.array("a", "b")).alias("file_id")).distinct()
         missing = ends.join(seen.where("embedding is null").select("file_id"), "file_id")

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from echofold.functions import imaging, names, text, vectors
-from echofold.operators import blocking, cluster, groups, keeper, policy
+from echofold.operators import blocking, cluster, groups, keeper, policy, similarity
 from echofold.options import Options
 from echofold.plans import catalog, engine, pictures
 from echofold.sources import inventory, journal, ppm, report_files
@@ -68,7 +68,7 @@ def test_hamming_join_equals_brute_force(spark, brute):
     hashes += [h ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(0, 12))) for h in hashes]
     signed = [h - (1 << 64) if h >> 63 else h for h in hashes]
     want = {(i, j) for j in range(len(hashes)) for i in range(j) if bin(hashes[i] ^ hashes[j]).count("1") <= 8}
-    got = blocking.hamming_pairs(spark.createDataFrame(list(enumerate(signed)), "file_id long, hash long"), 8, options=Options(brute_force_hashes=brute))
+    got = similarity.hamming_pairs(spark.createDataFrame(list(enumerate(signed)), "file_id long, hash long"), 8, options=Options(brute_force_hashes=brute))
     assert {(r.a, r.b) for r in got.collect()} == want
 
 
