@@ -96,7 +96,7 @@ def parse(arguments: Sequence[str]) -> Request:
 
 
 def main(arguments: Sequence[str]) -> dict[str, int]:
-    """Scans, writes the report (CSV and HTML) and the cache if asked for, decides what each duplicate's
+    """Scans, writes the report (one CSV file, and a folder of pages) and the cache if asked for, decides what each duplicate's
     fate is, and prints the bytes of each kind and the number of each outcome.
 
     In all modes but the read-only one the plan goes to ``plan-<time>`` in the quarantine folder and
@@ -123,8 +123,9 @@ def main(arguments: Sequence[str]) -> dict[str, int]:
     result = engine.run(files, lambda f: imaging.analyse(f, ppm.decode), request.options, lambda f: imaging.pixel_hashes(f, ppm.decode), cache=known, reader=reader)
     if request.report:
         rows = report.report_rows(result.members)
-        report_files.write_csv(rows, f"{request.report}.csv")
-        report_files.write_html(rows, report.kind_stats(result.groups), f"{request.report}.html")
+        report_files.write_csv(rows, f"{request.report}-parts")
+        report_files.join_parts(f"{request.report}-parts", f"{request.report}.csv")
+        report_files.write_html(rows, report.kind_stats(result.groups), f"{request.report}-html")
     if request.cache:
         cached.save(result.cache, request.cache)
     found = {r["kind"] or "total": int(r["bytes"] or 0) for r in report.kind_summary(result.groups).collect()}

@@ -217,23 +217,54 @@ def pixel_hashes(files: DataFrame, decode) -> DataFrame:
     return files.select("file_id", "content").mapInPandas(run, "file_id long, pixel_hash string")
 
 
-def embeddings(files: DataFrame, decode, embed, side: int = 224, batch: int = 8) -> DataFrame:
+#: Pictures on which a network fails in a row, with none in between that it takes, before it is not
+#: asked again in a task.
+GIVE_UP = 8
+
+
+def isolated(embed, inputs: np.ndarray) -> tuple[list[np.ndarray | None], list[str | None]]:
+    """Vectors and errors of a batch: a batch that fails is halved until what fails is alone.  A vector
+    that is not finite counts as failed."""
+    try:
+        v = np.asarray(embed(inputs), float)
+        if v.ndim != 2 or len(v) != len(inputs):
+            raise ValueError(f"{len(inputs)} pictures gave vectors of shape {v.shape}")  # noqa: TRY301
+        bad = ~np.isfinite(v).all(1)
+        return [None if b else x for x, b in zip(v, bad, strict=True)], ["not finite" if b else None for b in bad]
+    except Exception as error:  # noqa: BLE001  a picture or network that fails stops vectors, not the run
+        if len(inputs) == 1:
+            return [None], [f"{type(error).__name__}: {error}"[:200]]
+    half = len(inputs) // 2
+    (v, e), (w, f) = isolated(embed, inputs[:half]), isolated(embed, inputs[half:])
+    return v + w, e + f
+
+
+def embeddings(files: DataFrame, decode, embed, side: int = 224, batch: int = 8, with_errors: bool = False) -> DataFrame:
     """(file_id, embedding) by a given network: ``embed`` maps (pictures, 3, side, side) to vectors,
-    which are brought to unit length.  A picture that can't be decoded has none."""
+    which are brought to unit length.  A picture that can't be decoded or that the network fails on
+    has none, and the others of its batch have theirs.  A network that fails on ``GIVE_UP`` pictures in
+    a row is not asked again in that task: vectors stop, the run does not.  ``with_errors`` adds
+    vector_error and a row for each picture without a vector."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        failed = 0
         for f in frames:
             for lo in range(0, len(f), batch):
-                ids, inputs = [], []
+                ids, inputs, rows = [], [], []
                 for file_id, content in zip(f["file_id"][lo : lo + batch], f["content"][lo : lo + batch], strict=True):
                     try:
                         inputs.append(preprocess(decode(content), side))
                         ids.append(file_id)
-                    except Exception:  # noqa: BLE001, S112
-                        continue
-                if ids:
-                    v = np.asarray(embed(np.stack(inputs)), float)
-                    unit = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
-                    yield pd.DataFrame({"file_id": ids, "embedding": unit.tolist()})
-
-    return files.select("file_id", "content").mapInPandas(run, "file_id long, embedding array<double>")
+                    except Exception as error:  # noqa: BLE001
+                        rows.append((file_id, None, f"{type(error).__name__}: {error}"[:200]))
+                if ids and failed >= GIVE_UP:
+                    rows += [(i, None, "the network failed before") for i in ids]
+                elif ids:
+                    for file_id, v, error in zip(ids, *isolated(embed, np.stack(inputs)), strict=True):
+                        failed = failed + 1 if v is None else 0
+                        rows.append((file_id, None if v is None else (v / max(np.linalg.norm(v), 1e-12)).tolist(), error))
+                kept = rows if with_errors else [r for r in rows if r[1] is not None]
+                if kept:
+                    yield pd.DataFrame([r if with_errors else r[:2] for r in kept], columns=["file_id", "embedding", "vector_error"][: 3 if with_errors else 2])
+
+    return files.select("file_id", "content").mapInPandas(run, "file_id long, embedding array<double>" + (", vector_error string" if with_errors else ""))

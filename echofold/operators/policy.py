@@ -13,7 +13,8 @@ from ..functions.text import drive, quarantine_path
 from ..options import Options
 from ..runtime import Scratch
 from .contents import FULL, PARTIAL, SAMPLE, ByPath, InColumn
-from .ranking import numbered, running
+from .groups import change_keeper
+from .ranking import beside, numbered, running
 
 
 def is_automatic(kind: Column, confidence: Column, options: Options) -> Column:
@@ -257,3 +258,43 @@ def rebuild_review(old: DataFrame, new: DataFrame) -> DataFrame:
 def same_kind_count(review: DataFrame, kind: str) -> DataFrame:
     """Pending rows of a kind that a "yes to all of this kind" would cover."""
     return review.agg(F.count_if((F.col("status") == "Pending") & (F.col("kind") == kind) & (F.col("confidence") >= K.SAME_KIND_FLOOR)).alias("same_kind"))
+
+
+def review_cursor(review: DataFrame, order: Sequence[str | Column], read_only: bool = False) -> DataFrame:
+    """``review`` with its place in the list and where a review goes from each row: position, and the
+    positions after_decision (the next pending row, else the first before it, else null), forward and
+    back (the pending row to either side, round the ends of the list; with none pending, or in
+    read-only mode, the row beside)."""
+    rows = beside(review, order, F.col("status") == "Pending")
+    sized = rows.withColumn("_count", F.lit(review.count()))
+    near = F.lit(read_only) | F.col("_first").isNull()
+    ahead = F.when(near, F.col("position") % F.col("_count") + 1).otherwise(F.coalesce("_next", "_first"))
+    behind = F.when(near, (F.col("position") + F.col("_count") - 2) % F.col("_count") + 1).otherwise(F.coalesce("_last", "_final"))
+    decided = F.coalesce("_next", F.when(F.col("_first") < F.col("position"), F.col("_first")))
+    return sized.withColumns({"after_decision": decided, "forward": ahead, "back": behind}).drop("_next", "_last", "_first", "_final", "_count")
+
+
+def keep_both(review: DataFrame, chosen: DataFrame) -> DataFrame:
+    """``review`` with the pending rows of ``chosen`` (group_id, file_id) skipped."""
+    mine = chosen.select("group_id", "file_id").distinct().withColumn("_chosen", F.lit(True))
+    done = F.coalesce("_chosen", F.lit(False)) & (F.col("status") == "Pending")
+    return review.join(mine, ["group_id", "file_id"], "left").withColumn("status", F.when(done, "Skipped").otherwise(F.col("status"))).select(review.columns)
+
+
+def all_of_kind(review: DataFrame, kind: str) -> DataFrame:
+    """``review`` with the rows that a "yes to all of this kind" covers as chosen to be moved (column
+    chosen): pending ones that are sure enough; the others are decided one by one."""
+    return review.withColumn("chosen", F.coalesce((F.col("status") == "Pending") & (F.col("kind") == kind) & (F.col("confidence") >= K.SAME_KIND_FLOOR), F.lit(False)))
+
+
+def swap(review: DataFrame, members: DataFrame, choices: DataFrame, options: Options) -> DataFrame:
+    """``review`` after the files of ``choices`` (group_key, file_id) have become the keepers of their
+    groups: the groups' rows are made again from ``members``, and only moved rows keep their status.
+    Columns of ``review`` are those of its members and status."""
+    changed = change_keeper(members, choices, options)
+    keys = choices.select("group_key").distinct()
+    fresh = review_rows(changed, options)
+    columns = [c for c in review.columns if c in fresh.columns]
+    old = review.select(columns)
+    again = rebuild_review(old.join(keys, "group_key", "left_semi"), fresh.select(columns))
+    return old.join(keys, "group_key", "left_anti").unionByName(again.select(columns))

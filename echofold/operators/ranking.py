@@ -31,3 +31,24 @@ def running(rows: DataFrame, order: Sequence[str | Column], value: Column, name:
 def numbered(rows: DataFrame, order: Sequence[str | Column], name: str, scratch: Scratch | None = None) -> DataFrame:
     """``rows`` with ``name``: 1, 2, ... in an order without ties."""
     return running(rows, order, F.lit(1).cast("long"), name, scratch)
+
+
+def beside(rows: DataFrame, order: Sequence[str | Column], marked: Column, scratch: Scratch | None = None) -> DataFrame:
+    """``rows`` with position (1, 2, ... in an order without ties) and the positions of the marked rows
+    around each: _next and _last strictly after and before it, _first and _final of all (null where there
+    is none).
+
+    Carried across ranges: within a range by a window, past its ends by the first and last marked
+    position of each range, of which there are as many as tasks.
+    """
+    scratch = scratch or Scratch(rows.sparkSession, "beside")
+    dealt = numbered(rows.withColumn("_marked", F.coalesce(marked, F.lit(False))), order, "position", scratch)
+    dealt = dealt.withColumn("_at", F.when(F.col("_marked"), F.col("position"))).repartitionByRange("position").withColumn("_range", F.spark_partition_id())
+    placed = scratch.cut(dealt, "beside")
+    ranges = placed.groupBy("_range").agg(F.min("_at").alias("_lo"), F.max("_at").alias("_hi"))
+    later, sooner = W.orderBy("_range").rowsBetween(1, W.unboundedFollowing), W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    every = W.partitionBy()
+    ends = ranges.select("_range", F.min("_lo").over(later).alias("_after"), F.max("_hi").over(sooner).alias("_before"), F.min("_lo").over(every).alias("_first"), F.max("_hi").over(every).alias("_final"))
+    own = W.partitionBy("_range").orderBy("position")
+    told = placed.withColumn("_in_after", F.min("_at").over(own.rowsBetween(1, W.unboundedFollowing))).withColumn("_in_before", F.max("_at").over(own.rowsBetween(W.unboundedPreceding, -1))).join(ends, "_range")
+    return told.withColumns({"_next": F.coalesce("_in_after", "_after"), "_last": F.coalesce("_in_before", "_before")}).drop("_range", "_at", "_marked", "_in_after", "_in_before", "_after", "_before")

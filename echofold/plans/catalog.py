@@ -417,7 +417,17 @@ _COMPONENTS = """WITH RECURSIVE pairs AS (SELECT least(a.event_id, b.event_id) A
 
 @query(_COMPONENTS)
 def components(spark: SparkSession, d: str) -> DataFrame:
-    return cluster.components(blocking.burst_pairs(_captures(spark, d), 1800))
+    """Components of the pairs of captures, by links between neighbours in time."""
+    own = _captures(spark, d).select(F.col("camera_key").cast("string").alias("group"), F.col("file_id").alias("id"), text.micros(F.col("taken_at")).alias("us"), F.col("file_id").cast("string").alias("base"), F.lit(False).alias("raw"))
+    return cluster.components(similarity.capture_links(own, 1_800_000_000))
+
+
+@query(f"""WITH {_TOKENS}, c AS (SELECT list(hash ORDER BY variant) AS v, file_id FROM hashes GROUP BY file_id) SELECT min(file_id) AS node, v[1] AS hash, count(*) AS files FROM c GROUP BY v""")
+def hash_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Documents of one hash and equal variants, which the similarity join compares once."""
+    own = _text_hashes(spark, d).select(F.col("file_id").alias("id"), F.col("hash").alias("h"), F.col("phash").alias("v"))
+    classes, _ = similarity.class_pairs(own, 8, True, Options(), Scratch(spark, "classes"))
+    return classes.select("node", F.col("h").alias("hash"), F.col("n").alias("files"))
 
 
 _SIM = f"""WITH RECURSIVE {_SCORED}, sym AS (SELECT a AS u, b AS v FROM scored UNION ALL SELECT b, a FROM scored), reach(node, root) AS (SELECT u, u FROM sym UNION SELECT s.v, r.root FROM reach r JOIN sym s ON s.u = r.node),
@@ -627,6 +637,27 @@ def review_counters(spark: SparkSession, d: str) -> DataFrame:
     return policy.review_counters(_review(spark, d))
 
 
+@query(f"""WITH {_REVIEW}, r AS (SELECT *, row_number() OVER (ORDER BY file_id) AS position, count(*) OVER () AS n FROM review), p AS (SELECT *, CASE WHEN status = 'Pending' THEN position END AS mark FROM r),
+    q AS (SELECT *, min(mark) OVER (ORDER BY position ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS following, max(mark) OVER (ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS preceding, min(mark) OVER () AS first_mark, max(mark) OVER () AS last_mark FROM p)
+    SELECT file_id, position, coalesce(following, CASE WHEN first_mark < position THEN first_mark END) AS after_decision, coalesce(following, first_mark, position % n + 1) AS forward, coalesce(preceding, last_mark, (position + n - 2) % n + 1) AS back FROM q""")
+def review_cursor(spark: SparkSession, d: str) -> DataFrame:
+    """Where a review of all duplicates goes from each row."""
+    rows = policy.review_cursor(_review(spark, d), ["file_id"])
+    return rows.select("file_id", "position", "after_decision", "forward", "back")
+
+
+@query(f"WITH {_REVIEW} SELECT file_id, status = 'Pending' AS chosen FROM review")
+def all_of_kind(spark: SparkSession, d: str) -> DataFrame:
+    return policy.all_of_kind(_review(spark, d), "ExactBytes").select("file_id", "chosen")
+
+
+@query(f"WITH {_REVIEW} SELECT file_id, CASE WHEN status = 'Pending' AND file_id % 2 = 0 THEN 'Skipped' ELSE status END AS status FROM review")
+def keep_both(spark: SparkSession, d: str) -> DataFrame:
+    """Pending rows with an even id are skipped."""
+    review = _review(spark, d).withColumn("group_id", F.lit(1).cast("long"))
+    return policy.keep_both(review, review.where("file_id % 2 = 0")).select("file_id", "status")
+
+
 @query(f"WITH {_REVIEW} SELECT count(*) FILTER (status = 'Pending') AS same_kind FROM review")
 def same_kind(spark: SparkSession, d: str) -> DataFrame:
     return policy.same_kind_count(_review(spark, d), "ExactBytes")

@@ -185,11 +185,20 @@ def test_journal_and_reports(spark, tmp_path, sf):
     (tmp_path / "j" / "bad.json").write_text("{broken\n\n" + json.dumps({"OriginalPath": "/b"}) + "\n")
     assert sorted(r.OriginalPath for r in journal.read(spark, path).collect()) == ["/a", "/a", "/b"]
     rows = catalog.report.report_rows(catalog._members(spark, sf))
-    report_files.write_csv(rows, str(tmp_path / "r.csv"))
+    report_files.write_csv(rows, str(tmp_path / "r"), parts=3)
+    report_files.join_parts(str(tmp_path / "r"), str(tmp_path / "r.csv"))
     lines = (tmp_path / "r.csv").read_bytes().decode("utf-8-sig").splitlines()
     assert lines[0] == report_files.HEADERS["en"] and len(lines) == rows.count() + 1 and lines[1].split(";")[1] == "KEEP"
-    report_files.write_html(rows, catalog.kind_stats_with_zeros(spark, sf), str(tmp_path / "r.html"))
-    assert "<h2>1</h2>" in (tmp_path / "r.html").read_text()
+    order = [(int(x.split(";")[0]), x.split(";")[1] != "KEEP") for x in lines[1:]]
+    assert order == sorted(order) and len(list((tmp_path / "r").glob("part-*.csv"))) == 4 and len(list((tmp_path / "r").iterdir())) == 4
+    report_files.write_html(rows, catalog.kind_stats_with_zeros(spark, sf), str(tmp_path / "h"), parts=2)
+    pages = [p.read_text() for p in sorted((tmp_path / "h").glob("part-*.html"))]
+    assert len(pages) == 2 and "<h2>1</h2>" in pages[0] and "part-00002.html" in (tmp_path / "h" / "index.html").read_text()
+    assert sum(p.count("<h2>") for p in pages) == len({g for g, _ in order})
+    with pytest.raises(Exception, match="no such group"):
+        report_files.write_csv(rows.withColumn("reason", F.when(F.col("group") > 3, F.raise_error(F.lit("no such group"))).otherwise(F.col("reason"))), str(tmp_path / "f"), parts=3)
+    assert not (tmp_path / "f").exists() or not [p for p in (tmp_path / "f").iterdir() if p.name.startswith("part-")]
+    assert report_files.link("/a b/ü%.jpg") == "file:///a%20b/%C3%BC%25.jpg" and report_files.link("C:\\x y\\z.jpg") == "file:///C:/x%20y/z.jpg" and report_files.link("\\\\nas\\p q") == "file://nas/p%20q"
 
 
 def test_texts(spark):
@@ -402,7 +411,7 @@ def test_command_line(spark, tmp_path, capsys):
     report, cache = str(tmp_path / "out" / "report"), str(tmp_path / "out" / "cache")
     (tmp_path / "out").mkdir()
     assert cli.main([str(tmp_path), "--report", report, "--cache", cache]) == {"total": size, "ExactBytes": size, "ReportOnly": 1}
-    assert "KEEP" in (tmp_path / "out" / "report.csv").read_text() and (tmp_path / "out" / "report.html").exists()
+    assert "KEEP" in (tmp_path / "out" / "report.csv").read_text() and (tmp_path / "out" / "report-html" / "index.html").exists()
     os.link(tmp_path / "a.jpg", tmp_path / "d.jpg")
     away = tmp_path.parent / f"{tmp_path.name}-away"
     assert cli.main([str(tmp_path), "--cache", cache, "--mode", "auto", "--non-interactive", "--quarantine", str(away)]) == {"total": size, "ExactBytes": size, "Moved": 1}
@@ -427,3 +436,79 @@ def test_sessions(spark, tmp_path):
     seen = []
     incremental.upsert(lambda df, _: seen.extend((r.k, r.n) for r in df.collect()), incremental.sessions(stream, "ts", "k"), str(tmp_path / "cp")).awaitTermination()
     assert sorted(seen) == [("a", 1), ("a", 2), ("b", 1)]
+
+
+def test_review_cursor_goes_round(spark):
+    def step(states, read_only=False):
+        rows = spark.createDataFrame([(k, s) for k, s in enumerate(states)], "file_id long, status string").repartition(3)
+        return [(r.after_decision, r.forward, r.back) for r in policy.review_cursor(rows, ["file_id"], read_only).orderBy("position").collect()]
+
+    p, m = "Pending", "Moved"
+    assert step([m, p, m, p, m]) == [(2, 2, 4), (4, 4, 4), (4, 4, 2), (2, 2, 2), (2, 2, 4)]
+    assert step([p]) == [(None, 1, 1)] and step([m, m, m]) == [(None, 2, 3), (None, 3, 1), (None, 1, 2)]
+    assert [x[1:] for x in step([p, m, p], True)] == [(2, 3), (3, 1), (1, 2)] and step([]) == []
+    rng, states = random.Random(2), []
+    for _ in range(3):
+        states += [rng.choice([p, m, "Skipped"]) for _ in range(60)]
+    pend = [k for k, s in enumerate(states, 1) if s == p]
+    assert step(states) == [(next((x for x in pend if x > k), next((x for x in pend if x < k), None)), next((x for x in pend if x > k), pend[0]), next((x for x in pend[::-1] if x < k), pend[-1])) for k in range(1, len(states) + 1)]
+
+
+def test_review_actions(spark):
+    rows = [(1, 11, "ExactBytes", 100.0, "Pending"), (1, 12, "Burst", 59.0, "Pending"), (2, 21, "ExactBytes", 55.0, "Pending"), (2, 22, "ExactBytes", 99.0, "Moved")]
+    review = spark.createDataFrame(rows, "group_id long, file_id long, kind string, confidence double, status string")
+    kept = policy.keep_both(review, spark.createDataFrame([(1, 12), (2, 22), (1, 12)], "group_id long, file_id long"))
+    assert {r.file_id: r.status for r in kept.collect()} == {11: "Pending", 12: "Skipped", 21: "Pending", 22: "Moved"}
+    assert {r.file_id for r in policy.all_of_kind(review, "ExactBytes").where("chosen").collect()} == {11}
+
+
+def test_swap_makes_the_group_again(spark):
+    kinds = engine.FILE_COLUMNS
+    base = {"size": 5, "is_video": False, "normalized": "x", "has_copy": False, "has_edit": False, "full_hash": "h"}
+    rows = [(f"g{i // 10}", n, *({**base, "file_id": i, "path": f"/{i}"}.get(c) for c in kinds)) for n, i in [(1, 10), (2, 11), (3, 12), (1, 20), (2, 21)]]
+    members = spark.createDataFrame(rows, "group_key string, rank int, " + ", ".join(f"{c} {t}" for c, t in kinds.items())).withColumn("keeper_reason", F.lit("best"))
+    old = groups.against_keeper(members)
+    options = Options(mode="Assisted")
+    review = policy.review_rows(old, options).withColumn("status", F.when(F.col("file_id") == 12, "Moved").otherwise("Skipped")).select("group_key", "file_id", "keeper_id", "kind", "confidence", "status")
+    got = policy.swap(review, members, spark.createDataFrame([("g1", 11)], "group_key string, file_id long"), options).collect()
+    assert {(r.group_key, r.file_id, r.keeper_id, r.status) for r in got} == {("g1", 10, 11, "Pending"), ("g1", 12, 11, "Moved"), ("g2", 21, 20, "Skipped")}
+
+
+def test_a_network_that_fails_on_one_picture(spark):
+    drawn = spark.createDataFrame([(k, ppm.encode(pictures.scene(k, 16, 12))) for k in range(20)] + [(20, b"no picture")], "file_id long, content binary").coalesce(1)
+    bad = imaging.preprocess(ppm.decode(ppm.encode(pictures.scene(7, 16, 12))), 8)
+
+    def network(x):
+        if any(np.allclose(p, bad) for p in x):
+            raise RuntimeError("out of range")
+        return x.mean((2, 3))
+
+    got = {r.file_id: r for r in imaging.embeddings(drawn, ppm.decode, network, 8, 8, with_errors=True).collect()}
+    assert got.keys() == set(range(21)) and {k for k, r in got.items() if r.embedding is None} == {7, 20}
+    assert got[7].vector_error == "RuntimeError: out of range" and abs(sum(x * x for x in got[3].embedding) - 1) < 1e-9
+    assert sorted(r.file_id for r in imaging.embeddings(drawn, ppm.decode, network, 8, 8).collect()) == [k for k in range(20) if k != 7]
+    asked = spark.sparkContext.accumulator(0)
+
+    def broken(x):
+        asked.add(1)
+        raise OSError("no device")
+
+    none = imaging.embeddings(drawn, ppm.decode, broken, 8, 4, with_errors=True).collect()
+    assert len(none) == 21 and all(r.embedding is None for r in none) and asked.value == 14  # two batches of four, halved to the end
+    values, errors = imaging.isolated(lambda x: np.where(x.sum((1, 2, 3))[:, None] > 2, np.nan, x.sum((1, 2, 3))[:, None]), np.ones((2, 1, 1, 1)) * np.array([1, 3])[:, None, None, None])
+    assert values[0].tolist() == [1] and values[1] is None and errors == [None, "not finite"]
+
+
+def test_progress(spark):
+    from echofold import progress
+
+    now, told = [0.0], []
+    counter = progress.Counter(100_000, lambda *x: told.append(x), clock=lambda: now[0])
+    for _ in range(100_000):
+        now[0] += 40e-6  # four seconds in all
+        counter.step(1, 10)
+    assert len(told) < 20 and told[-1] == (100_000, 100_000, 1_000_000) and [t[0] for t in told] == sorted(t[0] for t in told)
+    seen = []
+    with progress.watched(spark, lambda *x: seen.append(x), spacing=0.05):
+        spark.range(0, 4000, 1, 40).repartition(7).selectExpr("sum(id)").collect()
+    assert seen and seen[-1][1] == seen[-1][2] >= 40 and all(a[1] <= b[1] for a, b in zip(seen, seen[1:], strict=False))
