@@ -112,7 +112,7 @@ def main(arguments: Sequence[str]) -> dict[str, int]:
     from .operators.contents import ByPath
     from .plans import actions, engine
     from .runtime import Scratch
-    from .sources import inventory, journal, ppm, report_files
+    from .sources import decoders, inventory, journal, report_files
 
     request = parse(arguments)
     spark = SparkSession.builder.appName("echofold").getOrCreate()
@@ -120,7 +120,9 @@ def main(arguments: Sequence[str]) -> dict[str, int]:
     kinds = ", ".join(f"{c} {engine.FILE_COLUMNS[c]}" for c in ("path", "size", "mtime_ticks", *engine.CACHED))
     known = cached.load(spark, request.cache, kinds) if request.cache else None
     reader = ByPath(files, request.options)
-    result = engine.run(files, lambda f: imaging.analyse(f, ppm.decode), request.options, lambda f: imaging.pixel_hashes(f, ppm.decode), cache=known, reader=reader)
+    side = request.options.thumbnail_side
+    small = lambda content: decoders.reduced(content, side)
+    result = engine.run(files, lambda f: imaging.analyse(f, small, side), request.options, lambda f: imaging.pixel_hashes(f, decoders.decode), cache=known, reader=reader)
     if request.report:
         rows = report.report_rows(result.members)
         report_files.write_csv(rows, f"{request.report}-parts")

@@ -171,7 +171,7 @@ def thumbnail(rgb: np.ndarray, side: int) -> np.ndarray:
 def analyse(files: DataFrame, decode, thumbnail_side: int = 256) -> DataFrame:
     """(file_id, width, height, phash, dhash, sharpness, error, and the fields of EXIF but make,
     model and orientation, with camera_key) of files with ``content`` bytes.  ``decode`` turns bytes
-    into (height, width, 3) or raises; an error is a row with its text, so one bad file never stops
+    into (height, width, 3), or into a smaller picture and the full (width, height), or raises; an error is a row with its text, so one bad file never stops
     the run."""
     from ..sources import exif
 
@@ -179,8 +179,9 @@ def analyse(files: DataFrame, decode, thumbnail_side: int = 256) -> DataFrame:
 
     def one(content: bytes) -> tuple:
         meta, rgb = exif.read(content), decode(content)
+        rgb, (width, height) = rgb if isinstance(rgb, tuple) else (rgb, (rgb.shape[1], rgb.shape[0]))
         seen = oriented(rgb, meta["orientation"])
-        w, h = upright_size(rgb.shape[1], rgb.shape[0], seen.shape[1], seen.shape[0])
+        w, h = upright_size(width, height, seen.shape[1], seen.shape[0])
         grid = thumbnail(seen, thumbnail_side)
         camera = f"{meta['make'] or ''}|{meta['model'] or ''}".strip("|")
         return w, h, phash_variants(grid), dhash(grid), sharpness(grid), None, meta["taken_at"], camera, meta["latitude"], meta["longitude"], meta["richness"]
