@@ -238,7 +238,7 @@ def l2_normalize(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT vec_id, CAST(p AS INTEGER) AS pixel, round(0.299 * e[3 * p + 1] + 0.587 * e[3 * p + 2] + 0.114 * e[3 * p + 3], 6) AS luma FROM (SELECT vec_id, [x::DOUBLE FOR x IN embedding] AS e FROM embeddings), range(21) t(p)")
 def luma_rec601(spark: SparkSession, d: str) -> DataFrame:
-    """The vectors as rows of pixels, three values each."""
+    """The vectors as rows of pixels, three values each: 21 pixels, which leave the last of 64 values over."""
     at = lambda p, k: F.get("embedding", 3 * p + k).cast("double")
     pixels = F.transform(F.sequence(F.lit(0), F.lit(20)), lambda p: vectors.luma(at(p, 0), at(p, 1), at(p, 2)))
     own = table(spark, d, "embeddings").select("vec_id", F.posexplode(pixels).alias("pixel", "luma"))

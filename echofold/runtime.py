@@ -6,6 +6,8 @@ folder named in ``spark.checkpoint.dir``, which driver and executors share.
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 import zipfile
@@ -50,6 +52,21 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
+#: Folders of scratch tables made by this process, by session; they go when it ends.
+_made: list[tuple[SparkSession, str]] = []
+
+
+@atexit.register
+def sweep() -> None:
+    """Deletes the scratch tables of this process: nothing reads a lazy result past its end."""
+    while _made:
+        spark, root = _made.pop()
+        with contextlib.suppress(Exception):  # the session may be gone, and then its folder is the cluster's to clear
+            if not spark.sparkContext._jsc.sc().isStopped():
+                where = spark._jvm.org.apache.hadoop.fs.Path(root)
+                where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 class Scratch:
     """Written tables of one operator run, below one folder of the shared scratch space.
 
@@ -61,6 +78,7 @@ class Scratch:
     def __init__(self, spark: SparkSession, label: str) -> None:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+        _made.append((spark, self.root))
         self._n = 0
         self._held: set[str] = set()
 
