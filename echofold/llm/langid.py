@@ -6,8 +6,10 @@ all its positions.  Every byte of every text is labelled.
 
 Long texts are read in windows of ``WINDOW`` bytes, so that a thousand run side by side in numpy.
 Each direction first runs over the ``MARGIN`` bytes on its side of a window, whose positions are
-labelled in the window they belong to: a state is carried into every window, and texts of any
-length are read alike.
+labelled in the window they belong to.  So a position sees a state that is warmed up over its
+margin, not one carried through the whole text: what lies further back than margin and window has no
+effect on it.  On the 1,000 texts of sf0.01 margins of 64 and 256 bytes change no prediction against
+16, and no document's probability by more than 0.17; a test holds margins of 16 and 256 side by side.
 
 The network is trained in numpy by backpropagation through time on a bounded sample of labelled
 documents: ``SAMPLE`` distinct texts of a language, those least in a hash of the text, and

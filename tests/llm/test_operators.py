@@ -237,6 +237,20 @@ def test_language_of_every_byte(odd):
     assert np.allclose(got, [plain_probabilities(net, t) for t in texts], atol=1e-4)
 
 
+def test_language_margins_agree(spark, monkeypatch, sf):
+    """A wider margin changes no prediction, so states need not be carried through whole texts."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where("lang is not null")
+    net = langid.train(docs)
+    rows = docs.select("text").where("length(text) > 400").limit(60).collect()
+    import pyarrow as pa
+
+    data, offsets = textvec.buffer_of(pa.array([r.text for r in rows]))
+    near = langid.probabilities(net, data, offsets)
+    monkeypatch.setattr(langid, "MARGIN", 256)
+    far = langid.probabilities(net, data, offsets)
+    assert (near.argmax(1) == far.argmax(1)).all() and np.abs(near - far).max() < 0.25
+
+
 def test_language_sample(spark):
     rows = [(f"eins zwei drei {k}", "de") for k in range(3000)] + [("one and the same", "en")] * 4000 + [("ab " * 40_000, "long")] + [(f"word{k}", f"l{k}") for k in range(80)] + [(None, "xx"), ("12", "yy"), ("abc", None)]
     docs = spark.createDataFrame(rows, "text string, lang string")
@@ -892,3 +906,18 @@ def test_quality_model_odd_rows(spark, odd, none):
     one = quality_model.train(odd, labels.where("quality = 1"))
     assert {r.score for r in quality_model.score(odd, one).collect()} == {1.0}
     assert quality_model.score(none, quality_model.train(none, labels)).count() == 0
+
+
+def test_packing_splits_where_the_vocabulary_does(monkeypatch, reference_ids):
+    """Random runs of all kinds of characters, in small blocks too."""
+    rng = random.Random(12)
+    pieces = ["a", "Zq", "don't", "'s", "'", "''re", ",", "--", "<|endoftext|>", "<|endof", "text|>", "|>", "1", "23", " ", "  ", "\n", "\t", "é", "日", "\u00a0", "\u3000", "e\u0301", "_", "x_y", "🎉", "\x1c", "\x7f", "\x00", "ª", "²"]
+    encoder = packing.Encoder(packing.vocabulary())
+    for chunk in (1 << 20, 16, 40):
+        monkeypatch.setattr(textvec, "CHUNK", chunk)
+        texts = ["".join(rng.choice(pieces) for _ in range(rng.randrange(1, 60))) for _ in range(700)]
+        for t in texts[:150]:
+            assert [*encoder.whole(np.frombuffer(t.encode(), np.uint8)).tolist(), 1] == reference_ids(t), t
+        raw = [t.encode() for t in texts]
+        ids, first = encoder.batch(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+        assert [[*ids[a:b].tolist(), 1] for a, b in zip(first[:-1], first[1:], strict=True)] == [reference_ids(t) for t in texts]
