@@ -65,9 +65,8 @@ def same_size_candidates(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {_KEYED}, c AS (SELECT *, count(*) OVER (PARTITION BY size, is_video, partial_hash) AS n FROM keyed) SELECT file_id, partial_hash FROM c WHERE n > 1")
 def partial_hash_survivors(spark: SparkSession, d: str) -> DataFrame:
-    near = blocking.with_peers(files(spark, d).where("size > 0").select("file_id", "size", "is_video", "content"), "size", "is_video")
-    hashed = near.withColumn("partial_hash", hashing.partial_hash(F.col("content"), CHUNK)).drop("content")
-    return blocking.with_peers(hashed, "size", "is_video", "partial_hash").select("file_id", "partial_hash")
+    hashed = files(spark, d).where("size > 0").select("file_id", "size", "is_video", hashing.partial_hash(F.col("content"), CHUNK).alias("partial_hash"))
+    return blocking.with_peers(_once(hashed, "partial"), "size", "is_video", "partial_hash").select("file_id", "partial_hash")
 
 
 @query(f"WITH {_SETS} SELECT full_hash, is_video, count(*) AS copies, min(file_id) AS first_id, (count(*) - 1) * max(size) AS reclaimable_bytes FROM sets GROUP BY full_hash, is_video, size")
@@ -165,10 +164,11 @@ def sample_hash_groups(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {FILES_SQL}, p AS (SELECT a.file_id AS a, b.file_id AS b, a.content AS x, b.content AS y FROM files a JOIN files b ON a.size = b.size AND a.file_id < b.file_id WHERE a.size > 0)
     SELECT a, b, left(x, {CHUNK}) = left(y, {CHUNK}) AND right(x, {CHUNK}) = right(y, {CHUNK}) AS ends_equal, x = y AS bytes_equal FROM p""")
 def head_tail_check(spark: SparkSession, d: str) -> DataFrame:
-    own = files(spark, d).where("size > 0").select("file_id", "size", "content")
-    peers = blocking.with_peers(own, "size").select("file_id", "size", "content")
-    a, b = peers.toDF("a", "size", "x"), peers.toDF("b", "size", "y")
-    return a.join(b, "size").where("a < b").select("a", "b", (hashing.head_tail(F.col("x"), CHUNK) == hashing.head_tail(F.col("y"), CHUNK)).alias("ends_equal"), (F.col("x") == F.col("y")).alias("bytes_equal"))
+    """All pairs of one size, held against each other by the hashes of their ends and of all their bytes."""
+    c = F.col("content")
+    own = _once(files(spark, d).where("size > 0").select("file_id", "size", hashing.partial_hash(c, CHUNK).alias("ends"), hashing.full_hash(c).alias("bytes")), "hashed")
+    a, b = own.toDF("a", "size", "x", "p"), own.toDF("b", "size", "y", "q")
+    return a.join(b, "size").where("a < b").select("a", "b", (F.col("x") == F.col("y")).alias("ends_equal"), (F.col("p") == F.col("q")).alias("bytes_equal"))
 
 
 @query(f"WITH {_SETS} SELECT set_key, bool_and(is_video) AS videos, bool_or(is_video) AND NOT bool_and(is_video) AS mixed, count(*) AS files FROM sets GROUP BY set_key")
