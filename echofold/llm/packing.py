@@ -41,6 +41,10 @@ MAX_LEN = 2048
 REMEMBER, RECENT = 2_500_000, 1 << 18
 
 
+_LETTER = np.array([c < 128 and chr(c).isalpha() for c in range(256)])
+_SIGN = np.array([32 < c < 127 and not chr(c).isalnum() for c in range(256)])
+
+
 def vocabulary() -> str:
     """Place of the public byte-level vocabulary."""
     import public_tokenizers
@@ -50,11 +54,13 @@ def vocabulary() -> str:
 
 def part_starts(data: np.ndarray, offsets: np.ndarray, special: Sequence[bytes] = ()) -> np.ndarray:
     """Places where the vocabulary always splits: the starts of rows, both ends of a special token,
-    and white space in ASCII after a character that is not white space.
+    white space in ASCII after a character that is not white space, and a sign in ASCII after a
+    letter in ASCII.
 
-    No token of the pattern goes on from a visible character into white space, and its only
-    look-ahead is within a run of white space, so encoding the parts alone gives the same ids.
-    A place after a character that may be white space beyond ASCII is left out.
+    No token of the pattern goes on from a visible character into white space or from a letter into a
+    sign, and its only look-ahead is within a run of white space, so encoding the parts alone gives the
+    same ids.  A place after a character that may be white space beyond ASCII is left out, and so
+    are places inside a special token.
     """
     white = textvec.WHITE[data] | ((data >= 0x1C) & (data <= 0x1F))
     wide = np.zeros(len(data), bool)  # last byte of a character that may be wide white space
@@ -64,11 +70,12 @@ def part_starts(data: np.ndarray, offsets: np.ndarray, special: Sequence[bytes]
         lead = ((a == 0xE1) & (b == 0x9A)) | ((a == 0xE2) & ((b == 0x80) | (b == 0x81))) | ((a == 0xE3) & (b == 0x80))
         wide[2:] |= lead[:-1]
     cut = np.zeros(len(data) + 1, bool)
-    cut[1:-1] = white[1:] & ~white[:-1] & ~wide[:-1]
+    cut[1:-1] = (white[1:] & ~white[:-1] & ~wide[:-1]) | (_SIGN[data[1:]] & _LETTER[data[:-1]])
     raw = data.tobytes() if special else b""
     found = [m.span(1) for t in special if t in raw for m in re.finditer(b"(?=(" + re.escape(t) + b"))", raw)]
     for lo, hi in found:
         if np.searchsorted(offsets, lo, "right") == np.searchsorted(offsets, hi, "left"):  # in one row
+            cut[lo + 1 : hi] = False
             cut[lo] = cut[hi] = True
     cut[offsets] = True
     return np.flatnonzero(cut[:-1])
@@ -83,6 +90,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.longest = max(map(len, self.special), default=0)
         self.clear()
 
     def encode(self, parts: list[str]) -> list[list[int]]:
@@ -126,7 +134,8 @@ class Encoder:
 
     def _encoded(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Encodes these parts and stores their ids and bytes; their numbers."""
-        raw = [data[a:b].tobytes() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+        whole = data.tobytes()
+        raw = [whole[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
         found = self.encode([x.decode("utf-8", "replace") for x in raw])
         counts = np.fromiter(map(len, found), np.int64, len(found))
         flat = np.fromiter(chain.from_iterable(found), np.int32, int(counts.sum()))
@@ -182,7 +191,8 @@ class Encoder:
             block = data[lo : lo + size]
             hi = len(block)
             if lo + hi < len(data):
-                hi = int(part_starts(block, np.array([0, len(block)]), self.special)[-1])
+                starts = part_starts(block, np.array([0, len(block)]), self.special)
+                hi = int(starts[np.searchsorted(starts, max(len(block) - self.longest, 0), "right") - 1])  # no special token lies across
                 if not hi:  # one part fills the block
                     size *= 2
                     continue
