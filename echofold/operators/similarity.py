@@ -120,16 +120,20 @@ def _cells(rows: DataFrame, probes: DataFrame, radius: int, count: int, scratch:
     return home, sent, [(c, n, asked.get(c, 0)) for c, n in sorted(held.items())]
 
 
-def metric_pairs(rows: DataFrame, probes: DataFrame, radius: int, once: bool, scratch: Scratch) -> DataFrame:
-    """(a, b, distance) of ``rows`` (node, h) and ``probes`` (qid, qh) within the radius."""
-    home, sent, cells = _cells(rows, probes, radius, rows.count(), scratch)
+def metric_pairs(rows: DataFrame, probes: DataFrame, radius: int, once: bool, count: int, scratch: Scratch) -> DataFrame:
+    """(a, b, distance) of ``rows`` (node, h; ``count`` of them) and ``probes`` (qid, qh) within the radius."""
+    by = ["cell", "i", "j"]
+    if count <= BLOCK:  # one block, met by the probes in eight parts
+        x = rows.select(F.lit(0).alias("cell"), F.lit(0).alias("i"), F.explode(F.sequence(F.lit(0), F.lit(7))).alias("j"), "node", "h")
+        y = probes.select(F.lit(0).alias("cell"), F.lit(0).alias("i"), F.pmod(F.xxhash64("qh", F.lit(2)), F.lit(8)).cast("int").alias("j"), "qid", "qh")
+        return x.groupBy(*by).cogroup(y.groupBy(*by)).applyInArrow(_links(radius, once), "a long, b long, distance int")
+    home, sent, cells = _cells(rows, probes, radius, count, scratch)
     plan = [(c, -(-n // BLOCK), max(1, -(-m // BLOCK))) for c, n, m in cells]
     sizes = F.broadcast(rows.sparkSession.createDataFrame(plan or [(0, 1, 1)], "cell int, m int, k int"))  # a row a pivot
     part = lambda c, salt, n: F.pmod(F.xxhash64(c, F.lit(salt)), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     x = home.join(sizes, "cell").withColumn("i", part("node", 1, "m")).withColumn("j", every("k")).select("cell", "i", "j", "node", "h").toDF("cell", "i", "j", "node", "h")
     y = sent.join(sizes, "cell").withColumn("j", part("qh", 2, "k")).withColumn("i", every("m")).select("cell", "i", "j", "qid", "qh").toDF("cell", "i", "j", "qid", "qh")
-    by = ["cell", "i", "j"]
     return x.groupBy(*by).cogroup(y.groupBy(*by)).applyInArrow(_links(radius, once), "a long, b long, distance int")
 
 
@@ -171,7 +175,7 @@ def class_pairs(own: DataFrame, distance: int, variants: bool, options: Options,
     rows, probes = classes.select("node", "h"), classes.select(F.col("node").alias("qid"), F.explode("v").alias("qh"))
     count = classes.count()
     if count <= options.brute_force_hashes or distance > BANDED:
-        met = metric_pairs(rows, probes, distance, not variants, scratch)
+        met = metric_pairs(rows, probes, distance, not variants, count, scratch)
     else:
         met = _banded(rows, probes, distance, count)
     return classes, scratch.cut(met.groupBy("a", "b").agg(F.min("distance").alias("distance")), "class-pairs")

@@ -646,6 +646,19 @@ def review_cursor(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("file_id", "position", "after_decision", "forward", "back")
 
 
+_PLACES = "p AS (SELECT doc_id AS file_id, CASE doc_id % 5 WHEN 0 THEN 'C:\\a\\' WHEN 1 THEN 'e:\\b\\' WHEN 2 THEN '\\\\nas\\share\\' WHEN 3 THEN '/home/' ELSE 'D:/x/' END || source AS path FROM documents)"
+
+
+@query(f"""WITH {_PLACES}, d AS (SELECT *, upper(regexp_extract(path, '^([A-Za-z]:|\\\\\\\\[^\\\\]+\\\\[^\\\\]+)', 1)) AS found FROM p)
+    SELECT file_id, CASE WHEN found = '' THEN '/' ELSE found END <> 'C:' AS crosses, found IN ('C:', 'E:') AS bin FROM d""")
+def drive_rules(spark: SparkSession, d: str) -> DataFrame:
+    """Which moves to a quarantine on C: are copies between drives, and which files go to a recycle bin."""
+    i = F.col("doc_id")
+    folder = F.when(i % 5 == 0, "C:\\a\\").when(i % 5 == 1, "e:\\b\\").when(i % 5 == 2, "\\\\nas\\share\\").when(i % 5 == 3, "/home/").otherwise("D:/x/")
+    own = table(spark, d, "documents").select(i.alias("file_id"), F.concat(folder, "source").alias("path"))
+    return own.select("file_id", policy.crosses_drives(F.lit("C:\\quarantine"), F.col("path")).alias("crosses"), policy.has_bin(F.col("path"), ["C:", "e:", "/", "\\\\nas\\share"]).alias("bin"))
+
+
 @query(f"WITH {_REVIEW} SELECT file_id, status = 'Pending' AS chosen FROM review")
 def all_of_kind(spark: SparkSession, d: str) -> DataFrame:
     return policy.all_of_kind(_review(spark, d), "ExactBytes").select("file_id", "chosen")
