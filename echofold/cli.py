@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import json
+import os
 import shutil
 import time
 from collections.abc import Callable, Sequence
@@ -11,7 +12,9 @@ from dataclasses import dataclass
 from pathlib import Path
 
 from . import options as K
+from .functions.text import detect
 from .options import Options
+from .sources import report_files
 
 # Names of the modes and ways of disposal, English and Italian.
 MODES = {
@@ -31,6 +34,7 @@ class Request:
     cache: str | None
     answers: str | None
     fixed_drives: tuple[str, ...]
+    language: str
 
 
 def number(least: float, most: float) -> Callable[[str], float]:
@@ -81,6 +85,7 @@ def parse(arguments: Sequence[str]) -> Request:
     p.add_argument("--non-interactive", "--non-interattivo", action="store_true")
     p.add_argument("--answers", type=folder)
     p.add_argument("--fixed-drive", action="append", default=[])
+    p.add_argument("--language", "--lingua", choices=tuple(report_files.HEADERS), default=detect(os.environ.get("LC_ALL") or os.environ.get("LC_MESSAGES") or os.environ.get("LANG")))
     a = p.parse_args(arguments)
     if a.across_folders and len(a.roots) < 2:
         p.error("--across-folders compares different folders: give at least two")
@@ -92,7 +97,7 @@ def parse(arguments: Sequence[str]) -> Request:
         recursive=not a.no_subfolders, include_hidden=a.hidden, include_videos=a.videos or a.videos_quick, quick_video_check=a.videos_quick, burst_window_seconds=a.burst, detect_bursts=not a.no_bursts,
         mode=a.mode, auto_threshold=a.threshold, disposal=a.action, verify_before_move=a.full_check, preferred_folders=tuple(a.keep), cross_folder_only=a.across_folders, quarantine=a.quarantine,
     )
-    return Request(tuple(a.roots), options, a.report, a.cache, a.answers, tuple(a.fixed_drive))
+    return Request(tuple(a.roots), options, a.report, a.cache, a.answers, tuple(a.fixed_drive), a.language)
 
 
 def main(arguments: Sequence[str]) -> dict[str, int]:
@@ -112,7 +117,7 @@ def main(arguments: Sequence[str]) -> dict[str, int]:
     from .operators.contents import ByPath
     from .plans import actions, engine
     from .runtime import Scratch
-    from .sources import decoders, inventory, journal, report_files
+    from .sources import decoders, inventory, journal
 
     request = parse(arguments)
     spark = SparkSession.builder.appName("echofold").getOrCreate()
@@ -124,10 +129,10 @@ def main(arguments: Sequence[str]) -> dict[str, int]:
     small = lambda content: decoders.reduced(content, side)
     result = engine.run(files, lambda f: imaging.analyse(f, small, side), request.options, lambda f: imaging.pixel_hashes(f, decoders.decode), cache=known, reader=reader)
     if request.report:
-        rows = report.report_rows(result.members)
-        report_files.write_csv(rows, f"{request.report}-parts")
+        rows = report.report_rows(result.members, request.language)
+        report_files.write_csv(rows, f"{request.report}-parts", request.language)
         report_files.join_parts(f"{request.report}-parts", f"{request.report}.csv")
-        report_files.write_html(rows, report.kind_stats(result.groups), f"{request.report}-html")
+        report_files.write_html(rows, report.kind_stats(result.groups), f"{request.report}-html", report_files.TITLES[request.language])
     if request.cache:
         cached.save(result.cache, request.cache)
     found = {r["kind"] or "total": int(r["bytes"] or 0) for r in report.kind_summary(result.groups).collect()}

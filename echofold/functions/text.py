@@ -14,6 +14,60 @@ KIND_LABELS = {
     "VideoSampled": ("Videos, quick check", "Video, verifica rapida"),
 }
 
+# Reasons as a whole, English and Italian.
+REASONS = {
+    "byte-identical": "identici al byte",
+    "byte-identical, the name has a copy marker": 'copia identica (nome con "(1)"/"Copia")',
+    "byte-identical, same name": "copia identica, stesso nome",
+    "byte-identical, different name": "copia identica con nome diverso",
+    "same pixels, only the metadata differ": "stessi pixel, cambiano solo i metadati",
+    "same size and sampled blocks": "stesso peso e stessi byte nei blocchi campione",
+    "linked through other members": "simile ad altre foto del gruppo, ma non direttamente a quella da tenere",
+    "the sharpest shot": "lo scatto più nitido",
+    "it is in the folder to keep": "si trova nella cartella da tenere",
+    "higher resolution": "risoluzione più alta",
+    "richer metadata (date, GPS...)": "metadati più completi (data, GPS...)",
+    'original name, without "(1)" or "Copy"': 'nome originale, senza "(1)" o "Copia"',
+    "the oldest copy": "la copia più vecchia",
+    "shorter path": "percorso più breve",
+    "chosen by you": "scelta da te",
+}
+# Parts of the reasons that a comma joins, as patterns, English and Italian.
+REASON_PARTS = {
+    r"perceptual hash at distance (\d+)/64": "hash percettivo a distanza $1/64",
+    r"rotated or mirrored": "ruotata o specchiata",
+    r"different proportions \(perhaps cropped\)": "proporzioni diverse (forse ritagliata)",
+    r"dHash disagrees": "dHash discordante",
+    r"the neural network sees differences \((\d+)% similar\)": "la rete neurale vede differenze (somiglianza $1%)",
+    r"matching name": "nome compatibile",
+    r"taken (\d+) s apart with the same camera": "scattate a $1 s di distanza con la stessa fotocamera",
+    r"taken (\d+)\.(\d) s apart with the same camera": "scattate a $1,$2 s di distanza con la stessa fotocamera",
+    r"(\d+)% neural similarity": "somiglianza neurale $1%",
+    r"hash at distance (\d+)/64": "hash a distanza $1/64",
+    r"one of the two is an edited version": "una delle due è una versione modificata",
+}
+
+
+def detect(locale: str | None) -> str:
+    """The language of reports for a locale ("it_IT.UTF-8"): Italian for Italian ones, else English."""
+    return "it" if locale and locale.replace("-", "_").split(".")[0].split("_")[0].lower() == "it" else "en"
+
+
+def reason_in(reason: Column, language: str = "en") -> Column:
+    """A reason in the language of a report.  Reasons are stored in English and put into Italian when
+    shown, so groups found earlier follow the language too.  Null stays null, and what is none of
+    the known texts stays as it is."""
+    if language == "en":
+        return reason
+
+    def part(p: Column) -> Column:
+        for english, italian in REASON_PARTS.items():
+            p = F.regexp_replace(p, f"^{english}$", italian)
+        return p
+
+    whole = F.create_map(*[F.lit(t) for pair in REASONS.items() for t in pair])[reason]
+    return F.when(reason.isNotNull(), F.coalesce(whole, F.concat_ws(", ", F.transform(F.split(reason, ", "), part))))
+
 
 def format_bytes(n: Column) -> Column:
     """Bytes with a unit: two decimals of GB, one of MB, none of KB."""

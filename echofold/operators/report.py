@@ -15,7 +15,7 @@ def report_rows(members: DataFrame, language: str = "en") -> DataFrame:
     first = F.col("rank") == 1
     return members.select(
         F.col("group_id").alias("group"), F.when(first, keep).otherwise(dup).alias("role"), text.kind_label(F.when(first, F.col("group_kind")).otherwise(F.col("kind")), language).alias("kind"),
-        F.when(first, "").otherwise(F.format_string("%.0f", "confidence")).alias("confidence"), F.when(first, F.col("keeper_reason")).otherwise(F.col("reason")).alias("reason"), "path",
+        F.when(first, "").otherwise(F.format_string("%.0f", "confidence")).alias("confidence"), text.reason_in(F.when(first, F.col("keeper_reason")).otherwise(F.col("reason")), language).alias("reason"), "path",
         F.col("size").alias("size_bytes"), F.coalesce("width", F.lit(0)).alias("width"), F.coalesce("height", F.lit(0)).alias("height"),
         F.coalesce(F.substring(F.date_format("taken_at", "yyyy-MM-dd HH:mm:ss.SS"), 1, 22), F.lit("")).alias("taken_at"), F.format_string("%.0f", F.coalesce("sharpness", F.lit(0.0))).alias("sharpness"), F.col("rank").alias("_rank"),
     )

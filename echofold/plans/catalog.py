@@ -725,6 +725,16 @@ def report_rows(spark: SparkSession, d: str) -> DataFrame:
     return report.report_rows(_members(spark, d)).select("group", "role", "kind", "confidence", "path", "size_bytes", "width", "height", "taken_at")
 
 
+@query(f"""WITH {_RANKED}, w AS (SELECT *, max(CASE WHEN rank = 1 THEN normalized END) OVER g AS kn, max(CASE WHEN rank > 1 THEN width::BIGINT * height END) OVER g AS mp, max(CASE WHEN rank > 1 THEN richness END) OVER g AS mr,
+    bool_or(CASE WHEN rank > 1 THEN has_copy END) OVER g AS ac, min(CASE WHEN rank > 1 THEN last_write END) OVER g AS mw FROM ranked WINDOW g AS (PARTITION BY set_key))
+    SELECT path, CASE WHEN rank = 1 THEN 'TENERE' ELSE 'doppione' END AS role, 'Identici al byte' AS kind, CASE
+    WHEN rank > 1 AND normalized <> kn THEN 'copia identica con nome diverso' WHEN rank > 1 AND has_copy THEN 'copia identica (nome con "(1)"/"Copia")' WHEN rank > 1 THEN 'copia identica, stesso nome'
+    WHEN width::BIGINT * height > mp THEN 'risoluzione più alta' WHEN richness > mr THEN 'metadati più completi (data, GPS...)' WHEN NOT has_copy AND ac THEN 'nome originale, senza "(1)" o "Copia"'
+    WHEN last_write <= mw THEN 'la copia più vecchia' ELSE 'percorso più breve' END AS reason FROM w""")
+def report_rows_italian(spark: SparkSession, d: str) -> DataFrame:
+    return report.report_rows(_members(spark, d), "it").select("path", "role", "kind", "reason")
+
+
 def _kinds(spark: SparkSession, d: str) -> DataFrame:
     """Numbered groups with kinds varied by their keeper, to exercise every class."""
     return _numbered(spark, d).withColumn("kind", groups.kind_name(F.col("keeper_id") % 4))

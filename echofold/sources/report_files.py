@@ -26,6 +26,7 @@ HEADERS = {
     "en": "group;role;kind;confidence;reason;path;size_bytes;width;height;taken_at;sharpness",
     "it": "gruppo;ruolo;tipo;affidabilita;motivo;percorso;peso_byte;larghezza;altezza;data_scatto;nitidezza",
 }
+TITLES = {"en": "Duplicates", "it": "Doppioni"}
 FIELDS = HEADERS["en"].split(";")
 QUOTED = ("reason", "path")
 

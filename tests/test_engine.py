@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from echofold.functions import imaging, names, text, vectors
-from echofold.operators import blocking, cluster, groups, keeper, policy, similarity
+from echofold.operators import blocking, cluster, groups, keeper, policy, score, similarity
 from echofold.options import Options
 from echofold.plans import catalog, engine, pictures
 from echofold.sources import inventory, journal, ppm, report_files
@@ -397,9 +397,13 @@ def test_hidden_folders_count_below_the_root_only(spark, tmp_path):
     assert inventory.from_listing(spark, [str(base)], Options(include_hidden=True)).count() == 3
 
 
-def test_command_line(spark, tmp_path, capsys):
+def test_command_line(spark, tmp_path, capsys, monkeypatch):
     from echofold import cli
 
+    for locale, language in (("it_IT.UTF-8", "it"), ("C", "en")):
+        monkeypatch.setenv("LC_ALL", locale)
+        assert cli.parse(["/a"]).language == language
+    assert cli.parse(["/a", "--lingua", "it"]).language == "it"
     got = cli.parse(["/a", "/b", "--modo", "auto", "--soglia", "95,5", "--raffica", "3.5", "--solo-tra-cartelle", "--preferisci", "/a", "--video-rapido"])
     assert got.roots == ("/a", "/b") and got.options == Options(mode="Automatic", auto_threshold=95.5, burst_window_seconds=3.5, cross_folder_only=True, preferred_folders=("/a",), include_videos=True, quick_video_check=True)
     for wrong in ([], ["/a", "--threshold", "89"], ["/a", "--burst", "x"], ["/a", "--across-folders"], ["/a", "--mode", "assisted", "--non-interactive"], ["/a", "--what"], ["/a", "--mode", "fast"]):
@@ -414,7 +418,9 @@ def test_command_line(spark, tmp_path, capsys):
     assert "KEEP" in (tmp_path / "out" / "report.csv").read_text() and (tmp_path / "out" / "report-html" / "index.html").exists()
     os.link(tmp_path / "a.jpg", tmp_path / "d.jpg")
     away = tmp_path.parent / f"{tmp_path.name}-away"
-    assert cli.main([str(tmp_path), "--cache", cache, "--mode", "auto", "--non-interactive", "--quarantine", str(away)]) == {"total": size, "ExactBytes": size, "Moved": 1}
+    assert cli.main([str(tmp_path), "--cache", cache, "--report", report, "--language", "it", "--mode", "auto", "--non-interactive", "--quarantine", str(away)]) == {"total": size, "ExactBytes": size, "Moved": 1}
+    italian = (tmp_path / "out" / "report.csv").read_text("utf-8-sig")
+    assert italian.startswith(report_files.HEADERS["it"]) and "TENERE" in italian and "copia identica" in italian and "Doppioni" in (tmp_path / "out" / "report-html" / "index.html").read_text()
     from echofold.sources import journal
 
     moved = journal.read(spark, f"{away}/journal").collect()
@@ -512,3 +518,33 @@ def test_progress(spark):
     with progress.watched(spark, lambda *x: seen.append(x), spacing=0.05):
         spark.range(0, 4000, 1, 40).repartition(7).selectExpr("sum(id)").collect()
     assert seen and seen[-1][1] == seen[-1][2] >= 40 and all(a[1] <= b[1] for a, b in zip(seen, seen[1:], strict=False))
+
+
+def test_reasons_in_italian(spark):
+    known = {
+        "byte-identical, same name": "copia identica, stesso nome", "richer metadata (date, GPS...)": "metadati più completi (data, GPS...)", "": "", "something else, matching name": "something else, nome compatibile",
+        "perceptual hash at distance 3/64, rotated or mirrored, different proportions (perhaps cropped), dHash disagrees, the neural network sees differences (85% similar), matching name, one of the two is an edited version":
+        "hash percettivo a distanza 3/64, ruotata o specchiata, proporzioni diverse (forse ritagliata), dHash discordante, la rete neurale vede differenze (somiglianza 85%), nome compatibile, una delle due è una versione modificata",
+        "taken 2.5 s apart with the same camera, 97% neural similarity": "scattate a 2,5 s di distanza con la stessa fotocamera, somiglianza neurale 97%",
+        "taken 3 s apart with the same camera, hash at distance 12/64": "scattate a 3 s di distanza con la stessa fotocamera, hash a distanza 12/64",
+    }
+    rows = spark.createDataFrame([(k, v) for k, v in known.items()] + [(None, None)], "r string, want string")
+    for r in rows.select("r", "want", text.reason_in(F.col("r"), "it").alias("it"), text.reason_in(F.col("r")).alias("en")).collect():
+        assert r.it == r.want and r.en == r.r
+    assert [text.detect(x) for x in ("it_IT.UTF-8", "it", "IT-CH", "en_US", "C", "", None)] == ["it", "it", "it", "en", "en", "en", "en"]
+
+
+def test_every_reason_has_its_translation(spark):
+    """Reasons of the scorer and of keepers leave no English behind."""
+    file = {"path": "/a/x.jpg", "size": 5, "is_video": False, "normalized": "x", "has_edit": False, "width": 4, "height": 3, "phash": [0] * 8, "dhash": 0, "embedding": None, "camera_key": "c"}
+    cases = [
+        ({}, {}), ({}, {"width": 9, "has_edit": True}), ({}, {"phash": [255, 1, 255, 255, 255, 255, 255, 255]}), ({"full_hash": "f"}, {"full_hash": "f"}), ({"pixel_hash": "p"}, {"pixel_hash": "p"}),
+        ({"is_video": True, "sample_hash": "s"}, {"is_video": True, "sample_hash": "s"}), ({}, {"dhash": -1, "embedding": [0.6, 0.8]}),
+    ]
+    columns = "struct<path:string,size:long,is_video:boolean,normalized:string,has_edit:boolean,full_hash:string,sample_hash:string,pixel_hash:string,width:int,height:int,phash:array<bigint>,dhash:bigint,embedding:array<double>,taken_at:timestamp_ntz,camera_key:string,latitude:double,longitude:double>"
+    sides = [({**file, "embedding": [1.0, 0.0] if "embedding" in b else None, **a}, {**file, **b}) for a, b in cases]
+    pairs = spark.createDataFrame(sides, f"a {columns}, b {columns}")
+    found = pairs.select(score.compare(F.col("a"), F.col("b")).alias("m")).select("m.reason", text.reason_in(F.col("m.reason"), "it").alias("it")).collect()
+    assert len({r.reason for r in found}) == len(cases) and all(r.reason for r in found)
+    for r in found:
+        assert not set(r.reason.split(", ")) & set(r.it.split(", ")), r
