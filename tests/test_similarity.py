@@ -6,7 +6,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from echofold.operators import cluster, groups, similarity
+from echofold.operators import blocking, cluster, groups, similarity
 from echofold.options import Options
 from echofold.plans import engine
 
@@ -121,3 +121,25 @@ def test_same_pixels_in_a_crowd_link_at_any_time(spark, monkeypatch):
     got = engine.run(files, pixels=pixels).members.collect()
     assert sorted(asked) == list(range(20))
     assert sorted(r.file_id for r in got) == list(range(0, 20, 2)) and {r.kind for r in got if r["rank"] > 1} == {"IdenticalPixels"}
+
+
+@pytest.mark.parametrize(("rows", "probes"), [(3_000_000, 3_000_000), (15_000_000, 15_000_000)])
+def test_bands_send_few_entries_a_hash(rows, probes):
+    plan = blocking.band_plan(8, rows, probes)
+    assert sum(most + 1 for *_, most in plan) > 8  # two hashes within 8 bits are within ``most`` of one band
+    assert (rows * sum(len(masks) for _, _, masks, _ in plan) + probes * len(plan)) / rows < 100
+
+
+@pytest.mark.parametrize("many", [0, 10**9])
+@pytest.mark.parametrize("planned", [200, 10**7])
+def test_bands_in_small_blocks_equal_brute_force(spark, monkeypatch, many, planned):
+    monkeypatch.setattr(similarity, "CELL", 40)
+    monkeypatch.setattr(similarity, "ENTRIES", 300)
+    monkeypatch.setattr(similarity, "MANY", many)
+    hashes = sorted({signed(h) for h in clustered(7, 6, 30, 9)} | {signed(random.Random(3).getrandbits(64)) for _ in range(40)})
+    own = spark.createDataFrame(list(enumerate(hashes)), "node long, h long")
+    plan = blocking.band_plan
+    monkeypatch.setattr(blocking, "band_plan", lambda distance, rows, probes: plan(distance, planned, planned))
+    want = sorted((i, j, d) for j in range(len(hashes)) for i in range(j) if (d := ((hashes[i] ^ hashes[j]) & (1 << 64) - 1).bit_count()) <= 8)
+    got = similarity.banded_pairs(own, own.toDF("qid", "qh"), 8, True, len(hashes), len(hashes)).collect()
+    assert sorted((r.a, r.b, r.distance) for r in got) == want and want
