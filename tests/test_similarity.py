@@ -6,6 +6,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from echofold.functions import vectors
 from echofold.operators import blocking, cluster, groups, similarity
 from echofold.options import Options
 from echofold.plans import engine
@@ -143,3 +144,12 @@ def test_bands_in_small_blocks_equal_brute_force(spark, monkeypatch, many, plann
     want = sorted((i, j, d) for j in range(len(hashes)) for i in range(j) if (d := ((hashes[i] ^ hashes[j]) & (1 << 64) - 1).bit_count()) <= 8)
     got = similarity.banded_pairs(own, own.toDF("qid", "qh"), 8, True, len(hashes), len(hashes)).collect()
     assert sorted((r.a, r.b, r.distance) for r in got) == want and want
+
+
+def test_median_bits_sort_a_row_once(spark):
+    rng = random.Random(5)
+    rows = [[rng.random() for _ in range(64)] for _ in range(20)]
+    own = spark.createDataFrame([(i, v) for i, v in enumerate([*rows, [], None])], "i long, v array<double>").select("i", vectors.median_bits(F.col("v")).alias("h"))
+    assert own._jdf.queryExecution().analyzed().toString().count("array_sort(") == 1
+    want = {i: signed(sum(1 << k for k, x in enumerate(v) if x > sum(sorted(v)[31:33]) / 2)) for i, v in enumerate(rows)}
+    assert {r.i: r.h for r in own.collect()} == want | {20: 0, 21: None}
