@@ -6,10 +6,11 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from echofold.functions import vectors
+from echofold import runtime
+from echofold.functions import imaging, vectors
 from echofold.operators import blocking, cluster, groups, similarity
 from echofold.options import Options
-from echofold.plans import engine
+from echofold.plans import engine, pictures
 
 START = datetime(2024, 5, 1)
 
@@ -153,3 +154,24 @@ def test_median_bits_sort_a_row_once(spark):
     assert own._jdf.queryExecution().analyzed().toString().count("array_sort(") == 1
     want = {i: signed(sum(1 << k for k, x in enumerate(v) if x > sum(sorted(v)[31:33]) / 2)) for i, v in enumerate(rows)}
     assert {r.i: r.h for r in own.collect()} == want | {20: 0, 21: None}
+
+
+def test_pictures_are_drawn_a_few_at_a_time():
+    """Ten thousand ids of a batch in one frame were a gigabyte."""
+    frames = list(pictures.drawn(range(100)))
+    assert max(map(len, frames)) <= 5 * pictures.TOGETHER and [i for f in frames for i in f["file_id"]] == [i * 8 + k for i in range(100) for k in range(5)]
+    assert list(frames[3]["content"]) == [pictures.variant(i, k) for i in range(96, 100) for k in range(5)]
+
+
+def test_contents_go_to_python_in_batches_of_bounded_bytes(spark):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    try:
+        spark.conf.unset(name)
+        own = spark.range(0, 40, 1, 1).select(F.col("id").alias("file_id"), F.expr("cast(repeat('x', 1048576) as binary)").alias("content"))
+        imaging.pixel_hashes(own, None).collect()
+        assert int(spark.conf.get(name)) <= runtime.CONTENT_BATCH
+        sizes = [r.n for r in runtime.contents_in_batches(own).mapInPandas(lambda frames: (f.assign(n=len(f))[["n"]][:1] for f in frames), "n long").collect()]
+        assert sum(sizes) == 40 and max(sizes) <= 17
+    finally:
+        spark.conf.set(name, before)
