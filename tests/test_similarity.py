@@ -175,3 +175,18 @@ def test_contents_go_to_python_in_batches_of_bounded_bytes(spark):
         assert sum(sizes) == 40 and max(sizes) <= 17
     finally:
         spark.conf.set(name, before)
+
+
+def test_the_first_file_of_a_pair_is_sent_with_its_upright_hash_only(spark):
+    files = table(spark, [row(k, 0, f"/r/{k}.jpg", 7 + k) for k in range(4)])
+    pairs = spark.createDataFrame([(0, 1), (0, 2), (1, 3)], "a long, b long")
+    scored = groups.score_pairs(pairs, files)
+    assert scored._jdf.queryExecution().analyzed().toString().count("slice(phash") == 1
+    assert {(r.a, r.b) for r in scored.collect()} == {(0, 1), (0, 2), (1, 3)}
+
+
+def test_members_of_a_large_class_meet_in_several_tasks(spark):
+    files = table(spark, [row(k, None, f"/r/{k}.jpg", 7) for k in range(60)])
+    got = similarity.hamming_pairs(files, 8, hash_col="dhash", variants_col="phash")
+    assert sorted((r.a, r.b) for r in got.collect()) == [(i, j) for i in range(60) for j in range(i + 1, 60)]
+    assert "sequence(0, 15" in got._jdf.queryExecution().analyzed().toString()
