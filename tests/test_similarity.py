@@ -10,7 +10,7 @@ from echofold import runtime
 from echofold.functions import imaging, vectors
 from echofold.operators import blocking, cluster, groups, similarity
 from echofold.options import Options
-from echofold.plans import engine, pictures
+from echofold.plans import catalog, engine, pictures
 
 START = datetime(2024, 5, 1)
 
@@ -190,3 +190,44 @@ def test_members_of_a_large_class_meet_in_several_tasks(spark):
     got = similarity.hamming_pairs(files, 8, hash_col="dhash", variants_col="phash")
     assert sorted((r.a, r.b) for r in got.collect()) == [(i, j) for i in range(60) for j in range(i + 1, 60)]
     assert "sequence(0, 15" in got._jdf.queryExecution().analyzed().toString()
+
+
+def odd_vectors(hashes):
+    """A vector of four places a hash, and some that are missing, empty, shorter or lack a value."""
+    rng = random.Random(6)
+    rows = [(i, [rng.uniform(-1, 1) for _ in range(4)]) for i in range(len(hashes))]
+    rows[3], rows[4], rows[5], rows[6], rows[7] = (3, None), (4, []), (5, rows[5][1][:3]), (6, [1.0, None, 0.5, 0.25]), (7, [float("nan"), 1.0, 0.0, 0.0])
+    return rows[:-2]  # two files have no vector row
+
+
+@pytest.mark.parametrize(("distance", "block", "kind"), [(0, 40, "double"), (6, 10**6, "double"), (12, 40, "float"), (20, 40, "double"), (64, 40, "float")])
+def test_cosines_equal_the_join_of_pairs_with_vectors(spark, monkeypatch, distance, block, kind):
+    monkeypatch.setattr(similarity, "BLOCK", block)
+    monkeypatch.setattr(similarity, "PARTS", 3)
+    monkeypatch.setattr(similarity, "TILE", (7, 5))
+    monkeypatch.setattr(similarity, "TOGETHER", 50)
+    hashes = clustered(distance, 12, 12, 12) + [7] * 30
+    hashes[3:8] = [7] * 5  # the odd vectors are among the crowd of equal hashes
+    own = spark.createDataFrame([(i, signed(h)) for i, h in enumerate(hashes)] + [(10**6, None)], "file_id long, hash long")
+    held = spark.createDataFrame([*odd_vectors(hashes), (10**6, [0.0] * 4)], f"file_id long, embedding array<{kind}>")
+    pairs = similarity.hamming_pairs(own, distance)
+    joined = pairs.join(held.toDF("a", "x"), "a").join(held.toDF("b", "y"), "b").select("a", "b", "distance", vectors.cosine(F.col("x"), F.col("y")).alias("cosine"))
+    got = similarity.cosine_pairs(own, held, distance)
+    shown = lambda frame: sorted((r.a, r.b, r.distance, str(r.cosine)) for r in frame.collect())
+    assert shown(got) == shown(joined) and {"None", "nan"} <= {r[3] for r in shown(got)}
+
+
+def test_ids_held_twice_count_as_in_a_join(spark):
+    own = spark.createDataFrame([(1, 7), (1, 6), (2, 7)], "file_id long, hash long")
+    held = spark.createDataFrame([(1, [1.0]), (1, [2.0]), (2, [3.0])], "file_id long, embedding array<double>")
+    assert sorted((r.a, r.b, r.distance, r.cosine) for r in similarity.cosine_pairs(own, held, 8).collect()) == [(1, 2, 0, 3.0), (1, 2, 0, 6.0), (1, 2, 1, 3.0), (1, 2, 1, 6.0)]
+
+
+def test_no_vector_is_sent_for_a_pair(spark, sf):
+    """The tasks that meet hashes take the cosines: above them nothing is shuffled or joined, and a vector is
+    sent a fixed number of times."""
+    plan = catalog.cosine_pairs(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    above, found, _ = plan.partition("FlatMapGroupsInArrow")
+    assert found and "Join" not in above and "Exchange" not in above
+    assert {similarity.vector_parts(n) for n in (10_256, 51_282, 615_384)} == {similarity.PARTS}
+    assert similarity.vector_parts(100 * similarity.PART) == 100
