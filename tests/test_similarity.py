@@ -1,5 +1,6 @@
 """The Hamming join at any radius, classes of equal hashes, and links in capture time."""
 
+import os
 import random
 from datetime import datetime, timedelta
 
@@ -8,9 +9,10 @@ from pyspark.sql import functions as F
 
 from echofold import runtime
 from echofold.functions import imaging, vectors
-from echofold.operators import blocking, cluster, groups, similarity
+from echofold.operators import blocking, cluster, contents, groups, similarity
 from echofold.options import Options
 from echofold.plans import catalog, engine, pictures
+from echofold.sources import ppm
 
 START = datetime(2024, 5, 1)
 
@@ -163,6 +165,25 @@ def test_pictures_are_drawn_a_few_at_a_time():
     assert list(frames[3]["content"]) == [pictures.variant(i, k) for i in range(96, 100) for k in range(5)]
 
 
+def test_pictures_are_drawn_where_they_are_read(spark, tmp_path, monkeypatch):
+    """Written pictures were 36 KB a document; and tables of finished steps stayed until the session ended."""
+    ids = spark.createDataFrame([(10,), (20,), (30,)], "doc_id long")
+    ids.write.parquet(str(tmp_path / "documents.parquet"))
+    whole, slim = pictures.draw(ids), pictures.listed(ids)
+    assert sorted(map(tuple, whole.drop("content").select(sorted(slim.columns)).collect())) == sorted(map(tuple, slim.select(sorted(slim.columns)).collect()))
+    reader = pictures.Drawn()
+    assert sorted(map(tuple, reader.of(slim).collect())) == sorted(map(tuple, whole.select("file_id", "content").collect()))
+    asked = slim.select("file_id", F.element_at(F.array(F.lit("partial"), F.lit("full"), F.lit("sample")), (F.col("file_id") % 3 + 1).cast("int")).alias("how"))
+    assert sorted(map(str, reader.hashes(asked).collect())) == sorted(map(str, contents.InColumn(whole).hashes(asked).collect()))
+    kept, real = [], runtime.Scratch.cut
+    monkeypatch.setattr(runtime.Scratch, "cut", lambda self, df, name: kept.append((real(self, df, name), df)) or kept[-1][0])
+    got = pictures.end_to_end(spark, str(tmp_path))
+    assert kept and not any(f.dataType.simpleString() == "binary" for _, df in kept for f in df.schema)
+    assert sum(os.path.isdir(out.scratch_path.removeprefix("file:")) for out, _ in kept) < len(kept) / 2
+    want = engine.run(whole, analyse=lambda f: imaging.analyse(f, ppm.decode), pixels=lambda f: imaging.pixel_hashes(f, ppm.decode)).members
+    assert sorted(map(tuple, got.drop("confidence").collect())) == sorted(map(tuple, want.select(got.drop("confidence").columns).collect())) and got.count() == 18
+
+
 def test_contents_go_to_python_in_batches_of_bounded_bytes(spark):
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
     before = spark.conf.get(name)
